@@ -1,7 +1,7 @@
 """The queries of the ten training-data operators, and their SQL where it can express them."""
 
-from . import decontaminate, jaccard_join, sentencepiece_codec, sharding, url_filter
+from . import decontaminate, jaccard_join, quality, sentencepiece_codec, sharding, url_filter
 
-MODULES = [url_filter, decontaminate, sentencepiece_codec, jaccard_join, sharding]
+MODULES = [url_filter, decontaminate, sentencepiece_codec, jaccard_join, sharding, quality]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
