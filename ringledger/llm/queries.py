@@ -1,7 +1,7 @@
 """The queries of the ten training-data operators, and their SQL where it can express them."""
 
-from . import decontaminate, embedding_join, jaccard_join, quality, sentencepiece_codec, sharding, url_filter
+from . import decontaminate, embedding_join, html_extract, jaccard_join, quality, sentencepiece_codec, sharding, token_counts, url_filter
 
-MODULES = [embedding_join, url_filter, decontaminate, sentencepiece_codec, jaccard_join, sharding, quality]
+MODULES = [embedding_join, url_filter, decontaminate, sentencepiece_codec, jaccard_join, sharding, quality, token_counts, html_extract]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
