@@ -1,10 +1,28 @@
-"""Corpus pipeline: every stage works on all its predecessor kept."""
+"""Corpus pipeline over ``documents``: quality, near duplicates, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its decisions take effect. All but the last
+return the columns of ``documents``. Null and empty texts pass through every stage whose measure they do not fail; an empty table
+gives empty results; further columns of ``documents`` are carried along unread.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ringledger.llm import decontaminate, jaccard_join, quality, sentencepiece_codec
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose probability of the highest grade is low: junk and toxic texts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("grade", quality.grade())
+    rated = quality.rate_documents(docs, quality.train(docs, labels))
+    return rated.where("selected").select(*docs.columns)
 
-from ringledger.llm import decontaminate
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: that with the smallest id."""
+    return jaccard_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +30,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontaminated)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the bytes of the text that each stands for."""
+    found = sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), decode=False)
+    return found.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [("quality classifier", good), ("n-gram Jaccard join", distinct), ("benchmark decontamination", decontaminated), ("SentencePiece encoding", encoded)]
+#: SQL cannot express the classifier and the encoding; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
