@@ -3,10 +3,11 @@
 1. Every text becomes the sorted array of its shingles' 64-bit hashes. Equal arrays are one class, so copies cost nothing
    further.
 2. Shingles are ranked by how common they are, from counts of all documents in 2^22 hash buckets (a fixed size). Two
-   sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, rarest first. Classes that
-   share one are put into one cluster (connected components, so no pair is listed).
+   sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, rarest first. The classes of
+   a rare shingle (at most ``PAIRS_UP_TO``) are paired where sizes, places and bit counts allow the similarity; those of a
+   commoner one are only pointed at one of them, so its pairs are never listed. Connected classes are one cluster.
 3. Inside a cluster classes are sorted by size and cut into tiles. A tile meets only tiles whose sizes are within the
-   similarity. In a pair of tiles the bit counts of 1024-bit signatures bound every overlap from above:
+   similarity. In a pair of tiles the bit counts of signatures (1,024 to 65,536 bits, by size) bound every overlap from above:
    overlap <= (|x| + |y| - bits(x xor y)) / 2. Only pairs that this bound lets pass are intersected exactly.
 4. A pair of tiles returns link counts and a forest of its links; components of all forests give the classes.
 
@@ -31,8 +32,13 @@ from .components import Forest, components
 
 BUCKETS = 1 << 22
 SLICE = 1 << 14
-BITS = 1024
+#: Width of the signatures, by the size of the set.
+BITS, MOST_BITS = 1024, 65536
 TILE = 1000
+#: Classes of a shingle that are paired at most; beyond it they are pointed at one of them.
+PAIRS_UP_TO = 64
+#: Up to so many rows of 40 bytes are broadcast to pick out the texts of clustered documents.
+MAX_BROADCAST_ROWS = 500_000
 PERCENT = 80
 
 
@@ -82,43 +88,128 @@ def first_shingles(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
         return s.view(np.int64)
     k = n - -(-percent * n // 100) + 1
     order = rank[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
-    return (np.partition(order, k - 1)[:k] if k < n else order).view(np.int64)
+    return np.sort(np.partition(order, k - 1)[:k] if k < n else order).view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, cls, first) for every document; cls is null and first empty without words."""
+    """(id, n, cls, first, bits) for every document; cls is null without words, and first empty there and where the task has met the class."""
     rank = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, words))
 
     def run(batches):
-        hashes = common.WordHashes()
+        hashes, seen, none = common.WordHashes(), set(), np.zeros(0, np.int64)
         for batch in batches:
             sets = list(shingle_sets(batch["text"], hashes, words))
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "cls": pd.array([set_id(s) if len(s) else None for s in sets], "Int64"), "first": [first_shingles(s, rank.value, percent) for s in sets]})
+            ids = [set_id(s) if len(s) else None for s in sets]
+            first = []
+            for s, k in zip(sets, ids, strict=True):  # once a class and task: copies would only repeat it
+                first.append(none if k in seen else first_shingles(s, rank.value, percent))
+                seen.add(k)
+            if len(seen) > 500_000:
+                seen.clear()
+            bits = [bitmap(s, width(len(s))).tobytes() for s in sets]
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "cls": pd.array(ids, "Int64"), "first": first, "bits": bits})
+
+    return cut(docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, cls long, first array<long>, bits binary"))
+
+
+def _allowed(n: np.ndarray, m: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * shared >= percent * (n + m - shared)
+
+
+def light_edges(tiles: DataFrame, percent: int) -> DataFrame:
+    """(cls, lead, sure) from the tiles of rare shingles: the pairs that sizes and places allow, or pointers (``sure``) in larger tiles."""
+
+    def pair(token, place, n, cls):
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.concatenate([start, [len(token)]]))
+        within, run = np.repeat(size, size), np.repeat(start, size)
+        out = []
+        big = (within > PAIRS_UP_TO) & (cls != cls[run])
+        out.append(pd.DataFrame({"cls": cls[big], "lead": cls[run[big]], "sure": True}))
+        few = np.flatnonzero((within > 1) & (within <= PAIRS_UP_TO))
+        run, place, n, cls = run[few], place[few], n[few], cls[few]
+        for step in range(1, int(within[few].max(initial=1))):
+            a = np.flatnonzero(run[step:] == run[:-step])
+            b = a + step
+            left = np.minimum(n[a] - place[a], n[b] - place[b])  # at most so many can be shared if this is the first shared one
+            a, b = (x[_allowed(n[a], n[b], left, percent) & (cls[a] != cls[b])] for x in (a, b))
+            out.append(pd.DataFrame({"cls": cls[a], "lead": cls[b], "sure": False}))
+        return pd.concat(out, ignore_index=True).drop_duplicates()
 
-    return cut(docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, cls long, first array<long>"))
+    def run(batches):
+        names, held, size = ("token", "place", "n", "cls"), [], 0
+        for batch in batches:
+            held.append([batch[c].to_numpy() for c in names])
+            size += len(batch)
+            if size >= 100_000:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on in the next batch
+                if end:
+                    yield pair(*(c[:end] for c in columns))
+                held = [[c[end:] for c in columns]]
+                size -= end
+        if size:
+            yield pair(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    parts = max(8, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tiles = tiles.repartition(parts, "token").sortWithinPartitions("token", "cls")
+    return tiles.select("token", "place", "n", "cls").mapInPandas(run, "cls long, lead long, sure boolean")
+
+
+def heavy_edges(tiles: DataFrame) -> DataFrame:
+    """(cls, lead) that connect the classes of each common shingle; a shingle's classes are dealt over several tasks first."""
+    salted = tiles.select("cls", "token").withColumn("salt", F.pmod("cls", F.pow(F.lit(2), F.least(_rank(), F.lit(12))).cast("long")).cast("int"))
+    lead = F.first("cls").over(Window.partitionBy("token", "salt").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = cut(salted.withColumn("lead", lead))
+    own = led.where("lead = cls").distinct()
+    top = own.groupBy("token").agg(F.min("cls").alias("top"))
+    over = own.join(top, "token").where("cls != top").select("cls", F.col("top").alias("lead"))
+    return led.where("lead != cls").select("cls", "lead").unionByName(over).distinct()
 
 
-def clusters(classes: DataFrame) -> DataFrame:
-    """(cls, cluster) of the classes that share a first shingle with another class, directly or through others.
+def _rank():
+    return F.shiftrightunsigned("token", 56)
 
-    The classes of a shingle are pointed at its smallest one. A common shingle's classes are dealt over several tasks first.
-    """
-    rank = F.shiftrightunsigned("token", 56)
-    tiles = classes.select("cls", F.explode("first").alias("token")).withColumn("salt", F.when(rank > 0, F.pmod("cls", F.pow(F.lit(2), F.least(rank, F.lit(12))).cast("long"))).otherwise(0).cast("int"))
-    lead = F.first("cls").over(Window.partitionBy("token", "salt").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    led = cut(tiles.withColumn("lead", lead).where((F.col("lead") != F.col("cls")) | (rank > 0)))
-    top = led.where("lead = cls").groupBy("token").agg(F.min("cls").alias("top"))
-    over = led.where("lead = cls").join(top, "token").where("cls != top").select("cls", F.col("top").alias("lead"))
-    edges = led.where("lead != cls").select("cls", "lead").unionByName(over).distinct()
+
+def clusters(signed: DataFrame, percent: int) -> DataFrame:
+    """(cls, cluster) such that any two classes that can be linked have one cluster."""
+    tiles = signed.select("cls", "n", F.posexplode("first").alias("place", "token"))
+    light = cut(light_edges(tiles.where(_rank() == 0), percent).distinct())
+    bits = signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    other = bits.select(F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
+    pairs = light.where("not sure").select(F.greatest("cls", "lead").alias("cls"), F.least("cls", "lead").alias("lead")).distinct()
+
+    def bounded(batches):
+        for batch in batches:
+            for _, same in batch.groupby([batch["bits"].str.len(), batch["bits2"].str.len()]):
+                x, y = (np.frombuffer(b"".join(same[c]), np.uint64).reshape(len(same), -1) for c in ("bits", "bits2"))
+                words = min(x.shape[1], y.shape[1])
+                n, m = same["n"].to_numpy(np.int64), same["m"].to_numpy(np.int64)
+                most = (n + m - np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(1, dtype=np.int64)) // 2
+                yield same.loc[_allowed(n, m, most, percent), ["cls", "lead"]]
+
+    close = pairs.join(bits, "cls").join(other, "lead").select("cls", "lead", "n", "m", "bits", "bits2").mapInPandas(bounded, "cls long, lead long")
+    edges = close.unionByName(light.where("sure").select("cls", "lead")).unionByName(heavy_edges(tiles.where(_rank() > 0))).distinct()
     return components(edges, "cls", "lead").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 64-bit words for each set: bit h mod 1024 for each hash h."""
-    out = np.zeros((len(sets), BITS), np.uint8)
-    for k, s in enumerate(sets):
-        out[k, (s % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def width(n: float) -> int:
+    """Bits for sets of about n: a power of two, at least twice n within bounds."""
+    return min(MOST_BITS, max(BITS, 1 << int(np.ceil(np.log2(max(2 * n, 1))))))
+
+
+def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
+    """Bit h mod ``bits`` for each hash h, as 64-bit words; the halves of a bitmap joined by or are that of half the width."""
+    out = np.zeros(bits, np.uint8)
+    out[(items & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
 
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int):
@@ -126,7 +217,9 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     same = right is None
     right = left if same else right
     n_left, n_right = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    bits_left, bits_right = bitmaps(left), bitmaps(right)
+    bits = width(float(np.median(n_left)))
+    bits_left = np.stack([bitmap(x, bits) for x in left])
+    bits_right = bits_left if same else np.stack([bitmap(x, bits) for x in right])
     for i, s in enumerate(left):
         n = n_left[i]
         fit = (100 * np.minimum(n, n_right) >= percent * np.maximum(n, n_right)).nonzero()[0]
@@ -167,7 +260,9 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
     both = meet.unionByName(meet.where("with != tile").select("cluster", F.col("with").alias("tile"), F.col("tile").alias("with")).withColumn("swap", F.lit(1)), allowMissingColumns=True)
     dealt = tiled.join(both, ["cluster", "tile"]).select("id", "cls", "copies", "cluster", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "tile")
     small = placed.where(F.col("members") <= tile).select("id", "cls", "copies", "cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("tile"))
-    work = small.unionByName(dealt)
+    work = cut(small.unionByName(dealt))
+    if work.count() <= MAX_BROADCAST_ROWS:  # else both sides are shuffled by id
+        work = F.broadcast(work)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.join(work, "id").repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "tile")
 
@@ -218,9 +313,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = common.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     signed = signatures(docs, words, percent)
-    grouped = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("first").alias("first"))
-    classes = cut(grouped)
-    clustered = cut(classes.drop("first").join(clusters(classes.select("cls", "first")), "cls"))
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    clustered = cut(classes.join(clusters(signed, percent), "cls"))
     met = cut(links(docs, clustered, words, percent, tile))
     joined = components(met, "cls", "root").select(F.col("node").alias("cls"), "component")
     counted = met.groupBy("cls").agg(F.sum("n_links").alias("n_links"))

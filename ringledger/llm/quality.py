@@ -110,12 +110,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weights:
     does not gather noise. Gaps between the ordered thresholds stay positive by exp()."""
     if not len(rows):
         return Model(np.zeros(DIMENSIONS, np.float32), np.linspace(-1, 1, GRADES - 1))
-    owner = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s, _ in rows])
     slot, value = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
     seen = np.bincount(slot, minlength=DIMENSIONS) >= max(1, min(MIN_ROWS_PER_FEATURE, len(rows) // 20))
     keep = seen[slot]
     owner, slot, value = owner[keep], slot[keep], value[keep]
-    used, slot = np.unique(slot, return_inverse=True)
+    used = np.flatnonzero(seen & (np.bincount(slot, minlength=DIMENSIONS) > 0))
+    slot = np.searchsorted(used, slot)
     share = np.array([weights[grades >= k].sum() for k in range(1, GRADES)]) / weights.sum()
     start = -np.log((share.clip(1e-3, 1 - 1e-3)) / (1 - share.clip(1e-3, 1 - 1e-3)))
     n = len(used)
@@ -172,13 +173,13 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
         slots = TokenSlots()
         for batch in batches:
             found = [features(t, slots) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "grade": batch["grade"], "slots": [f[0] for f in found], "values": [f[1] for f in found]})
+            yield pd.DataFrame({"id": batch["id"].astype(str), "grade": batch["grade"], "slots": [f[0].tobytes() for f in found], "values": [f[1].tobytes() for f in found]})
 
-    rows = sorted(sample.mapInPandas(run, "id string, grade int, slots array<int>, values array<float>").collect(), key=lambda r: r["id"])
-    grades = np.array([r["grade"] for r in rows], np.int64)
+    rows = sample.mapInPandas(run, "id string, grade int, slots binary, values binary").toPandas().sort_values(["id", "slots"])
+    grades = rows["grade"].to_numpy(np.int64)
     drawn = np.bincount(grades, minlength=GRADES)
     weights = np.array([counts[g] / drawn[g] for g in grades], np.float64)
-    return fit([(np.array(r["slots"], np.int64), np.array(r["values"], np.float64)) for r in rows], grades, weights)
+    return fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(rows["slots"], rows["values"], strict=True)], grades, weights)
 
 
 def rate_documents(docs: DataFrame, model: Model, text_col: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
