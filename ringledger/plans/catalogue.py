@@ -63,9 +63,9 @@ def in_list_semi(spark, d):
     return read(spark, d, "orders").join(read(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@query("select contest_id, day, a, b, outcome, sport, division, method, rounds::int rounds, title, promotion, tier, round(margin, 6) margin from contests")
+@query("select contest_id, day::varchar as day, a, b, outcome, sport, division, method, rounds::int rounds, title, promotion, tier, round(margin, 6) margin from contests")
 def contest_log(spark, d):
-    return contests(spark, d).select("contest_id", "day", "a", "b", "outcome", "sport", "division", "method", "rounds", "title", "promotion", "tier", r6("margin").alias("margin"))
+    return contests(spark, d).select("contest_id", F.col("day").cast("string").alias("day"), "a", "b", "outcome", "sport", "division", "method", "rounds", "title", "promotion", "tier", r6("margin").alias("margin"))
 
 
 @query("select contest_id, contestant, opponent, result, round(edge, 6) edge from sides where sport = 'mma'")
@@ -91,10 +91,10 @@ def self_join_opponent(spark, d):
     return x.join(y, "contest_id", "left").where("contestant <> other").select("contest_id", "contestant", "other", "result", "other_result")
 
 
-@query("select contestant, arg_max(contest_id, (day, contest_id)) contest_id, max(day) as day, arg_max(result, (day, contest_id)) result from sides group by 1")
+@query("select contestant, arg_max(contest_id, (day, contest_id)) contest_id, max(day)::varchar as day, arg_max(result, (day, contest_id)) result from sides group by 1")
 def latest_per_group(spark, d):
     log = sides(contests(spark, d)).select("contestant", "day", "contest_id", "result")
-    return joins.latest_per_group(log, ["contestant"], [F.col("day"), F.col("contest_id")]).select("contestant", "contest_id", "day", "result")
+    return joins.latest_per_group(log, ["contestant"], [F.col("day"), F.col("contest_id")]).select("contestant", "contest_id", F.col("day").cast("string").alias("day"), "result")
 
 
 @query("select s_suppkey, l.contest_id, l.title from supplier, lateral (select contest_id, title from sides where contestant = s_suppkey order by day desc, contest_id desc limit 1) l")
@@ -119,10 +119,10 @@ def full_outer_merge(spark, d):
 
 
 @query(
-    "select contest_id, coalesce((select min(o_orderdate::date) from orders where o_orderkey % 50 = 0 and o_orderdate::date >= day), (select max(o_orderdate::date) from orders where o_orderkey % 50 = 0)) checkpoint from contests")
+    "select contest_id, coalesce((select min(o_orderdate::date) from orders where o_orderkey % 50 = 0 and o_orderdate::date >= day), (select max(o_orderdate::date) from orders where o_orderkey % 50 = 0))::varchar checkpoint from contests")
 def asof_forward_checkpoint(spark, d):
     marks = read(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("checkpoint"), F.col("o_orderkey").alias("mark"))
-    return joins.forward_asof(contests(spark, d).select("contest_id", "day"), "day", marks, "checkpoint", "mark").select("contest_id", "checkpoint")
+    return joins.forward_asof(contests(spark, d).select("contest_id", "day"), "day", marks, "checkpoint", "mark").select("contest_id", F.col("checkpoint").cast("string").alias("checkpoint"))
 
 
 @query()
@@ -246,9 +246,9 @@ def percentile_strict(spark, d):
     return analytics.strict_percentile(sides(contests(spark, d)), ["division"], "q").select("contest_id", "contestant", r6("percentile").alias("percentile"))
 
 
-@query("select contestant, day, arg_max(round(edge, 6), contest_id) edge from sides group by 1, 2")
+@query("select contestant, day::varchar as day, arg_max(round(edge, 6), contest_id) edge from sides group by 1, 2")
 def last_wins(spark, d):
-    return sides(contests(spark, d)).groupBy("contestant", "day").agg(F.max_by(r6("edge"), "contest_id").alias("edge"))
+    return sides(contests(spark, d)).groupBy("contestant", "day").agg(F.max_by(r6("edge"), "contest_id").alias("edge")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("select contest_id, contestant, count(*) over w n, round(avg(q) over w, 6) mean from sides window w as (partition by contestant order by day, contest_id rows 9 preceding)")
@@ -297,11 +297,11 @@ def parse_slug(spark, d):
     return read(spark, d, "pages").select("page_id", text.last_path_part(F.col("url")).alias("slug"))
 
 
-@query("select o_orderkey, case when o_orderkey % 4 = 3 then null else o_orderdate::date end as day from orders", views=False)
+@query("select o_orderkey, case when o_orderkey % 4 = 3 then null else o_orderdate::date end::varchar as day from orders", views=False)
 def parse_date_multi(spark, d):
     k, t = F.col("o_orderkey"), F.col("o_orderdate")
     raw = F.when(k % 4 == 0, F.date_format(t, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(t, "yyyy-MMM dd")).when(k % 4 == 2, F.concat(F.lit("  "), F.date_format(t, "yyyy-MMM  dd"), F.lit(" "))).otherwise("soon")
-    return read(spark, d, "orders").select("o_orderkey", text.flexible_date(raw).alias("day"))
+    return read(spark, d, "orders").select("o_orderkey", text.flexible_date(raw).cast("string").alias("day"))
 
 
 _METHODS = ["KO", "tko", "SUB", "Dec", "DQ", "", "NC"]

@@ -45,7 +45,7 @@ def sides(log: DataFrame) -> DataFrame:
     flip = F.create_map(*[F.lit(x) for x in ("W", "L", "L", "W", "D", "D", "NC", "NC")])
     shared = ["contest_id", "day", "sport", "division", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier"]
     one = F.struct(F.col("a").alias("contestant"), F.col("b").alias("opponent"), F.col("qa").alias("q"), F.col("qb").alias("q_other"), F.col("outcome").alias("result"), F.col("margin").alias("edge"))
-    two = F.struct(F.col("b").alias("contestant"), F.col("a").alias("opponent"), F.col("qb").alias("q"), F.col("qa").alias("q_other"), flip[F.col("outcome")].alias("result"), (-F.col("margin")).alias("edge"))
+    two = F.struct(F.col("b").alias("contestant"), F.col("a").alias("opponent"), F.col("qb").alias("q"), F.col("qa").alias("q_other"), flip[F.col("outcome")].alias("result"), (0 - F.col("margin")).alias("edge"))
     return log.select(*shared, F.explode(F.array(one, two)).alias("side")).select(*shared, "side.*")
 
 
@@ -64,4 +64,4 @@ contests as (select k contest_id, cast(o_orderdate as date) as day, a, b, qa, qb
     from pr join orders on k = o_orderkey),
 sides as (select contest_id, day, sport, division, method, rounds, title, finish_round, finish_seconds, promotion, tier, a contestant, b opponent, qa q, qb q_other, outcome result, margin edge from contests
     union all select contest_id, day, sport, division, method, rounds, title, finish_round, finish_seconds, promotion, tier, b, a, qb, qa,
-    case outcome when 'W' then 'L' when 'L' then 'W' else outcome end, -margin from contests)"""
+    case outcome when 'W' then 'L' when 'L' then 'W' else outcome end, 0 - margin from contests)"""
