@@ -31,7 +31,7 @@ from . import common
 from .components import Forest, components
 
 BUCKETS = 1 << 22
-SLICE = 1 << 14
+SLICE = 1 << 17
 #: Width of the signatures, by the size of the set.
 BITS, MOST_BITS = 1024, 65536
 TILE = 1000
@@ -51,6 +51,14 @@ def set_id(items: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).astype(np.int64))
 
 
+WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    most = counts.max(initial=0)
+    return counts.astype(next(t for w, t in WIDTHS.items() if most < 1 << 8 * w or w == 8))
+
+
 def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     """Documents' shingles by hash bucket, over all documents, as ranks: 0 for ordinary buckets, more for heavier ones."""
 
@@ -59,22 +67,22 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             for s in shingle_sets(batch["text"], hashes, words):
                 total[(s >> np.uint64(42)).astype(np.int64)] += 1
-        kind = np.uint8 if total.max(initial=0) < 256 else np.uint16 if total.max() < 65536 else np.int32
-        parts = total.astype(kind).reshape(-1, SLICE)
+        parts = narrow(total).reshape(-1, SLICE)
         yield pd.DataFrame({"slice": range(len(parts)), "width": parts.itemsize, "deal": TaskContext.get().partitionId() % 16, "counts": [p.tobytes() for p in parts]})
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, np.int64)
         for width, raw in zip(parts["width"], parts["counts"], strict=True):
-            total += np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[width])
-        return pd.DataFrame({"slice": parts["slice"][:1], "width": 8, "deal": 0, "counts": [total.tobytes()]})
+            total += np.frombuffer(raw, WIDTHS[width])
+        total = narrow(total)
+        return pd.DataFrame({"slice": parts["slice"][:1], "width": total.itemsize, "deal": 0, "counts": [total.tobytes()]})
 
     schema = "slice int, width int, deal int, counts binary"
     parts = docs.mapInPandas(count, schema).groupBy("slice", "deal").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
     total = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
 
     for row in parts.collect():  # 4 million counts, whatever the input
-        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+        total[row["slice"]] = np.frombuffer(row["counts"], WIDTHS[row["width"]])
     total = total.reshape(-1)
     mean = total.mean()
     usual = mean + 4 * mean**0.5 + 16
