@@ -31,6 +31,11 @@ UNIFIED = {
     "experience": ((5, 1.20), (12, 1.0), 0.90), "active": 1.05, "layoff": 0.88, "layoff_days": 540, "promotion": (0.85, 0.30, 0.75, 1.12), "upset": (0.30, 0.40), "quality": 0.15, "consistency": 0.10,
 }
 
+UNIFIED_SKILLS = {
+    "variance": (1.0, 1.2, 1.2, 1.0, 1.1), "noise": (0.0007, 0.0010, 0.0010, 0.0008, 0.0009), "composite": (0.55, 0.45), "floor": 0.35, "decay": 0.02, "blend": (0.45, 0.40, 0.15), "form": (0.04, 0.12), "bracket": "b",
+    "weights": {"mma": (1.0, 0.30, 0.30, 0.20, 0.20), "striking": (0.0, 1.0, 0.0, 0.20, 0.15), "grappling": (0.0, 0.0, 1.0, 0.15, 0.20), "other": (0.25, 0.45, 0.20, 0.20, 0.15)},
+}
+
 COLUMNS = ["contest_id", "day", "a", "b", "outcome", "sport", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier", "margin"]
 DELTA = "system string, contest_id long, contestant long, opponent long, day date, seq long, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long"
 
@@ -212,7 +217,102 @@ def factor_step(x: Factor, y: Factor, c) -> tuple:
     return pre, (x.rating, y.rating), e, t, 0.0, 0.0
 
 
-SYSTEMS: dict[str, tuple[Callable, Callable]] = {"elo": (Elo, elo_step), "glicko": (Glicko, glicko_step), "factor": (Factor, factor_step)}
+@dataclass
+class Unified:
+    """Rating backbone with deviation, five latent skills, streak, recent scores and a remembered peak; ``rating`` is the composite."""
+
+    base: float = UNIFIED["rating"]
+    rd: float = UNIFIED["rd"]
+    volatility: float = UNIFIED["volatility"]
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    cov: np.ndarray = field(default_factory=lambda: np.diag(UNIFIED_SKILLS["variance"]).astype(float))
+    fights: int = 0
+    last: object = None
+    streak: int = 0
+    finishes: int = 0
+    past: list = field(default_factory=list)
+    peak: float = UNIFIED["rating"]
+
+    def blend(self) -> float:
+        own, skill = UNIFIED_SKILLS["composite"]
+        return own * self.base + skill * (UNIFIED["rating"] + UNIFIED["scale"] * float(self.mean[0]))
+
+    @property
+    def rating(self) -> float:
+        start = UNIFIED["rating"]
+        return max(self.blend(), start + UNIFIED_SKILLS["floor"] * (self.peak - start)) if self.peak > start else self.blend()
+
+    def idle(self, day) -> None:
+        if self.last is not None and (days := max(0, (day - self.last).days)):
+            s = GLICKO["scale"]
+            self.rd = clip(s * math.sqrt((self.rd / s) ** 2 + days / GLICKO["period"] * UNIFIED["growth"] ** 2), *UNIFIED["rd_bounds"])
+            self.cov = self.cov + days * np.diag(UNIFIED_SKILLS["noise"])
+
+
+def unified_k(x: Unified, y: Unified, c, e: float) -> float:
+    """The factors of K for ``x``; ``e`` is its expectation. An upset is judged by a's outcome for both sides."""
+    u = UNIFIED
+    slope, most = u["margin"]
+    (few, early), (some, middle), late = u["experience"]
+    low, rise, least, top = u["promotion"]
+    k = u["k0"] * u["tier"].get(c.tier, u["tier"]["C"]) * (u["title"] if c.rounds >= 5 or c.title else 1.0) * (u["finish"] if c.method in kernels.FINISHES else 1.0)
+    k *= 1 + clip(slope * abs(c.margin or 0.0), 0.0, most)
+    k *= early if x.fights < few else middle if x.fights < some else late
+    k *= u["layoff"] if x.last is not None and (c.day - x.last).days > u["layoff_days"] else u["active"]
+    k *= 1.0 if c.promotion is None else clip(low + rise * clip(c.promotion, 0.0, 1.0), least, top)
+    surprise = 0.5 - e if c.outcome == "W" else e - 0.5
+    k *= 1 + clip(2 * u["upset"][0] * surprise, 0.0, u["upset"][1])
+    k *= 1 + clip(u["quality"] * (y.base - u["rating"]) / u["scale"], -0.15, 0.25)
+    k *= 1 + u["consistency"] * max(0.0, 1 - 5 * float(np.std(x.past))) if len(x.past) >= 3 else 1.0
+    return k * clip(x.rd / u["rd"], 0.5, 2.0)
+
+
+def unified_one(x: Unified, y: Unified, t: float, k: float) -> tuple[float, float, float]:
+    """New backbone rating, deviation and volatility of ``x``."""
+    s = GLICKO["scale"]
+    phi, g = x.rd / s, _g(y.rd / s)
+    e = sigmoid(g * (x.base - y.base) / s)
+    v = 1 / max(1e-9, g * g * e * (1 - e))
+    sigma = volatility(phi, v * g * (t - e), v, x.volatility, UNIFIED_SKILLS["bracket"])
+    rd = s / math.sqrt(1 / (phi**2 + sigma**2) + 1 / v)
+    return x.base + k * (t - sigmoid((x.base - y.base) / UNIFIED["scale"])), clip(rd, *UNIFIED["rd_bounds"]), sigma
+
+
+def unified_step(x: Unified, y: Unified, c) -> tuple:
+    """Other sports move the skills only. What counts as won follows a's outcome and the side's own target, so a's loss counts for a."""
+    x.idle(c.day)
+    y.idle(c.day)
+    w, (by_rating, by_skill, by_form), (each, most) = np.array(UNIFIED_SKILLS["weights"][family(c.sport)]), UNIFIED_SKILLS["blend"], UNIFIED_SKILLS["form"]
+    form = clip(0.5 + clip(each * (x.streak - y.streak), -most, most), 0.0, 1.0)
+    e = by_rating * sigmoid((x.base - y.base) / UNIFIED["scale"]) + by_skill * sigmoid(shifted_gap(w, x.mean, y.mean, c)) + by_form * form
+    e = clip(e / (by_rating + by_skill + by_form), 1e-6, 1 - 1e-6)
+    pre = x.rating, y.rating
+    if c.outcome == "NC" or (c.sport == "mma" and c.outcome == "D"):
+        return pre, pre, e, 0.5 if c.outcome == "D" else e, 0.0, 0.0
+    if c.sport != "mma":
+        t = 1.0 if c.outcome == "W" else 0.0 if c.outcome == "L" else 0.5
+        (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
+        return pre, (x.rating, y.rating), e, t, 0.0, 0.0
+    t = anchored(c.outcome, c.base, e)
+    ks = unified_k(x, y, c, e), unified_k(y, x, c, 1 - e)
+    new = unified_one(x, y, t, ks[0]), unified_one(y, x, 1 - t, ks[1])
+    (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
+    for p, (base, rd, sigma), own in ((x, new[0], t), (y, new[1], 1 - t)):
+        won = (c.outcome == "W" if own > 0.5 else c.outcome == "L") if own != 0.5 else False
+        lost = not won and own != 0.5
+        p.base, p.rd, p.volatility = base, rd, sigma
+        p.streak = max(1, p.streak + 1) if won else min(-1, p.streak - 1) if lost else 0
+        p.finishes += won and c.method in kernels.FINISHES
+        if c.margin is not None:
+            score = (1 + c.margin) / 2
+            p.past = [*p.past, score if own > 0.5 else 1 - score][-10:]
+        kept = p.peak - UNIFIED_SKILLS["decay"] * (p.peak - UNIFIED["rating"]) if lost else p.peak
+        p.peak = max(kept, p.blend())
+        p.fights, p.last = p.fights + 1, c.day
+    return pre, (x.rating, y.rating), e, t, *ks
+
+
+SYSTEMS: dict[str, tuple[Callable, Callable]] = {"elo": (Elo, elo_step), "glicko": (Glicko, glicko_step), "factor": (Factor, factor_step), "unified": (Unified, unified_step)}
 
 
 def prepared(log: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels, text
-from ..operators import analytics, folds, graph, joins, stacking
+from ..operators import analytics, folds, graph, joins, profiles, stacking
+from ..streaming import activity
 from ..session import read
 from .contest import CONTESTS_SQL, contests, sides
 
@@ -427,6 +428,36 @@ def rating_folds(spark, d):
     return found.select("system", "contest_id", "contestant", *[F.round(c, 4).alias(c) for c in ("pre_rating", "post_rating", "expected", "target", "k", "rd")], "fights")
 
 
+@query()
+def unified_ratings(spark, d):
+    """Last composite rating of every contestant, its deviation, and the rating less the deviation."""
+    now = folds.latest(folds.fold(contests(spark, d), ("unified",)))
+    return now.select("contestant", F.round("rating", 4).alias("rating"), F.round("rd", 4).alias("rd"), F.round(F.col("rating") - F.col("rd"), 4).alias("conservative"), "fights")
+
+
+@query()
+def alltime_profiles(spark, d):
+    """Pillars and composite of every qualified career, best first."""
+    log = contests(spark, d)
+    found = profiles.profiles(sides(log), folds.fold(log))
+    return found.select("contestant", F.row_number().over(Window.orderBy(F.desc("score"), "contestant")).alias("place"), *[F.round(c, 4).alias(c) for c in found.columns if c.startswith(("z_", "peak_"))], F.round("score", 4).alias("score"))
+
+
+@query()
+def expected_win_rates(spark, d):
+    """Mean win probability against the most active contestants, less the uncertainty of the factor rating."""
+    now = folds.latest(folds.fold(contests(spark, d), ("factor",)))
+    pool = stacking.reference_pool(now, "contestant", "fights").select(F.col("contestant").alias("other"), F.col("rating").alias("r"))
+    rate = stacking.expected_win_rate(now.select("contestant", "rating"), pool, "contestant", kernels.logistic((F.col("rating") - F.col("r")) / 400.0))
+    return rate.join(now.select("contestant", F.least(F.lit(0.49), F.col("rd") / 800).alias("doubt")), "contestant").select("contestant", r6("win_rate").alias("win_rate"), r6(F.col("win_rate") - F.col("doubt")).alias("adjusted"))
+
+
+@query("select date_trunc('day', ts)::timestamp::varchar as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2", views=False)
+def windowed_activity(spark, d):
+    found = activity.windowed_counts(read(spark, d, "events"))
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query()
 def leaderboard(spark, d):
     """Current Elo ranking of all contestants."""
@@ -439,7 +470,7 @@ def leaderboard(spark, d):
 def stacked_predictions(spark, d):
     """Stacked win probabilities from the three systems, fitted on all samples."""
     log = contests(spark, d)
-    return stacking.stack(log, folds.fold(log)).select("contest_id", F.round("p", 6).alias("p"), "won")
+    return stacking.stack(log, folds.fold(log, ("elo", "glicko", "factor"))).select("contest_id", F.round("p", 6).alias("p"), "won")
 
 
 @query(
