@@ -6,15 +6,15 @@ that gives it the longer context, by masked attention over a batch of windows. T
 class (each of the commonest ids is a class of its own, the others share classes with ids of like contexts), times the id's share of its class in all
 training text, so the probabilities of all ids add up to one.
 
-What comes from the corpus: counts of all words and of all subword ids over every training document, and ``SAMPLE_WINDOWS`` training windows for
-the attention weights (a bound that does not depend on the input). Scale: word counts are summed by hash before and after one
+What comes from the corpus: counts of all words, of all subword ids and of ids beside each other, and the attention weights, all over every
+training document. The documents' ids are written once; each id is predicted once in ``ROUNDS`` rounds, in which the tasks learn from equal weights
+and the mean of theirs goes on. Tasks grow in number with the corpus, weights do not. Scale: word counts are summed by hash before and after one
 shuffle. The commonest words (at most ``COMMON_WORDS``) are broadcast; what a document has of all other words is joined to their
 counts by hash, so neither the driver nor any task holds the vocabulary, and no join key is hot.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +29,13 @@ WINDOW, OVERLAP = 16, 4
 WIDTH, HIDDEN, CLASSES = 16, 16, 96
 #: Commonest ids whose places beside an id describe its context.
 CONTEXTS = 128
-SAMPLE_WINDOWS = 48_000
+#: Rounds of the training pass, and windows of all rounds that a task is dealt.
+ROUNDS, TASK_WINDOWS = 8, 200_000
+#: Windows that are shuffled at a time in a task, and embedding rows of a slice of weights.
+SHUFFLED, SLICE = 16_384, 4096
 COMMON_WORDS = 300_000
 BATCH_WINDOWS = 256
+BLOCK_ROWS = 100
 #: Words are cut here first, so that a very long one costs no more a byte than others.
 PIECES = r" ?\p{L}{1,32}| ?\p{N}{1,8}| ?[^\s\p{L}\p{N}]{1,16}|\s+"
 
@@ -190,39 +194,47 @@ class Attention:
         return total
 
 
-def classes_of(counts: np.ndarray, data: np.ndarray, classes: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def context_places(counts: np.ndarray) -> np.ndarray:
+    """Place of each of the commonest ids among the contexts, -1 for the others."""
+    place = np.full(len(counts), -1)
+    contexts = np.lexsort((np.arange(len(counts)), -counts))[:CONTEXTS]
+    place[contexts] = np.arange(len(contexts))
+    return place
+
+
+def neighbours(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, times) of the contexts beside each id; a cell is 2 CONTEXTS times the id, and the context's place behind it or CONTEXTS more before it."""
+    ok = (left >= 0) & (right >= 0)
+    left, right = left[ok].astype(np.int64), right[ok].astype(np.int64)
+    cells = [a[place[b] >= 0] * 2 * CONTEXTS + place[b][place[b] >= 0] + shift for a, b, shift in ((left, right, 0), (right, left, CONTEXTS))]
+    return np.unique(np.concatenate(cells), return_counts=True)
+
+
+def classes_of(counts: np.ndarray, cells: np.ndarray, times: np.ndarray, classes: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Each id's class and log10 share of its class; counts are smoothed by one.
 
     A quarter of the classes are the commonest ids alone. The other ids are clustered (k-means over the square roots of the shares of
-    their neighbours in the sample ``data``), so that ids of a class stand in like contexts. Ids that the sample lacks share the last class.
+    their neighbours), so that ids of a class stand in like contexts. Ids without such a neighbour share the last class.
     """
     smooth = counts + 1.0
     order = np.lexsort((np.arange(len(counts)), -counts))
     alone = min(classes // 4, len(counts))
     group = np.full(len(counts), classes - 1, np.int64)
     group[order[:alone]] = np.arange(alone)
-    contexts, place = order[:CONTEXTS], np.full(len(counts), -1)
-    place[contexts] = np.arange(len(contexts))
-    left, right = data[:, :-1].reshape(-1), data[:, 1:].reshape(-1)
-    ok = (left >= 0) & (right >= 0)
-    left, right = left[ok], right[ok]
     rest = order[alone:]
     line = np.full(len(counts), -1)  # rows of the ids that have a neighbour among the contexts
     beside = np.zeros(len(counts), bool)
-    beside[left[place[right] >= 0]] = beside[right[place[left] >= 0]] = True
+    beside[cells // (2 * CONTEXTS)] = True
     rest = rest[beside[rest]]
     line[rest] = np.arange(len(rest))
-    near = np.zeros(len(rest) * 2 * len(contexts), np.float32)
-    for a, b, shift in ((left, right, 0), (right, left, len(contexts))):
-        some = (place[b] >= 0) & (line[a] >= 0)
-        cell, times = np.unique(line[a[some]] * 2 * len(contexts) + place[b[some]] + shift, return_counts=True)
-        near[cell] += times
-    x = near.reshape(len(rest), 2 * len(contexts))
+    x = np.zeros((len(rest), 2 * CONTEXTS), np.float32)
+    own = line[cells // (2 * CONTEXTS)]
+    x[own[own >= 0], cells[own >= 0] % (2 * CONTEXTS)] = times[own >= 0]
     k = min(classes - alone - 1, len(rest))
     if k > 1:
         np.sqrt(x, out=x)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        weight = smooth[rest]
+        weight = smooth[rest].astype(np.float32)
         centres = x[:k].copy()  # the commonest
         for _ in range(rounds):
             own = (x @ centres.T).argmax(1)
@@ -235,10 +247,9 @@ def classes_of(counts: np.ndarray, data: np.ndarray, classes: int, rounds: int =
     return group, np.log10(smooth / total[group]).astype(np.float32)
 
 
-def train(windows: list[np.ndarray], counts: np.ndarray, classes: int = CLASSES, epochs: int = 3, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Attention:
-    """Adam on the class log loss. ``windows`` are rows of WINDOW + 1 ids; -1 stands for the beginning and -2 for no id."""
-    data = np.stack(windows).astype(np.int64) if windows else np.zeros((0, WINDOW + 1), np.int64)
-    group, share = classes_of(counts, data, classes)
+def fresh(counts: np.ndarray, cells: np.ndarray, times: np.ndarray, classes: int, seed: int) -> Attention:
+    """The model before training."""
+    group, share = classes_of(counts, cells, times, classes)
     kept = np.lexsort((np.arange(len(counts)), -counts))[:4094]
     row = np.ones(len(counts), np.int64)  # row 1: any rare id
     row[kept[counts[kept] > 0]] = np.arange((counts[kept] > 0).sum()) + 2
@@ -246,57 +257,230 @@ def train(windows: list[np.ndarray], counts: np.ndarray, classes: int = CLASSES,
     shapes = {"E": (4096, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "A": (WIDTH, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, WIDTH), "U": (WIDTH, classes), "u": (classes,)}
     p = {k: (r.normal(0, 0.25, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     p["u"] = np.log(np.bincount(group, counts + 1.0, classes) / (counts + 1.0).sum() + 1e-9).astype(np.float32)
-    model = Attention(p, group, share, row)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    x_all = np.where(data[:, :-1] >= 0, row[np.maximum(data[:, :-1], 0)], 0)
-    y_all = np.where(data[:, 1:] >= 0, group[np.maximum(data[:, 1:], 0)], -1)
-    mask = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), np.float32(-1e9))
-    scale, step = np.float32(WIDTH**-0.5), 0
+    return Attention(p, group, share, row)
+
+
+class Learner:
+    """Adam on the class log loss, in place; of the embedding a step touches only the rows that its windows have."""
+
+    MASK = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), np.float32(-1e9))
+
+    def __init__(self, model: Attention) -> None:
+        self.model, self.p, self.step, self.windows = model, model.p, 0, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+        self.seen = np.zeros(len(model.p["E"]), np.float32)  # how often a row was met
+
+    def learn(self, data: np.ndarray, later: np.ndarray, rate: float) -> None:
+        """One step. ``data`` are rows of WINDOW + 1 ids, -1 for the beginning and -2 for no id; of ``later`` windows the overlap is context only."""
+        p, scale = self.p, np.float32(WIDTH**-0.5)
+        x = np.where(data[:, :-1] >= 0, self.model.row[np.maximum(data[:, :-1], 0)], 0)
+        y = np.where(data[:, 1:] >= 0, self.model.group[np.maximum(data[:, 1:], 0)], -1)
+        y[later, :OVERLAP] = -1
+        h0 = p["E"][x] + p["P"]
+        q, k, w = h0 @ p["Q"], h0 @ p["K"], h0 @ p["V"]
+        a = q @ k.transpose(0, 2, 1) * scale + self.MASK
+        a = np.exp(a - a.max(-1, keepdims=True))
+        a /= a.sum(-1, keepdims=True)
+        c = a @ w
+        h1 = h0 + c @ p["O"]
+        pre = h1 @ p["A"] + p["a"]
+        act = np.maximum(pre, 0)
+        h2 = h1 + act @ p["B"]
+        ok = np.flatnonzero(y.reshape(-1) >= 0)  # the classes' part only where an id is wanted
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        h = flat(h2)[ok]
+        z = h @ p["U"]
+        z += p["u"]
+        z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / np.float32(max(1, len(ok)))) / z.sum(-1, keepdims=True)
+        z[np.arange(len(ok)), y.reshape(-1)[ok]] -= 1 / np.float32(max(1, len(ok)))
+        g = {"U": h.T @ z, "u": z.sum(0)}
+        d2 = np.zeros_like(flat(h2))
+        d2[ok] = z @ p["U"].T
+        d2 = d2.reshape(h2.shape)
+        g["B"] = flat(act).T @ flat(d2)
+        dp = (d2 @ p["B"].T) * (pre > 0)
+        g["A"], g["a"] = flat(h1).T @ flat(dp), flat(dp).sum(0)
+        d1 = d2 + dp @ p["A"].T
+        g["O"] = flat(c).T @ flat(d1)
+        dc = d1 @ p["O"].T
+        da = dc @ w.transpose(0, 2, 1)
+        dw = a.transpose(0, 2, 1) @ dc
+        ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        g["Q"], g["K"], g["V"] = flat(h0).T @ flat(dq), flat(h0).T @ flat(dk), flat(h0).T @ flat(dw)
+        d0 = d1 + dq @ p["Q"].T + dk @ p["K"].T + dw @ p["V"].T
+        g["P"] = d0.sum(0)
+        rows, at, times = np.unique(x.reshape(-1), return_inverse=True, return_counts=True)
+        at = at.reshape(-1)
+        g["E"] = np.stack([np.bincount(at, flat(d0)[:, j], len(rows)) for j in range(WIDTH)], axis=1).astype(np.float32)
+        self.seen[rows] += times
+        self.step += 1
+        self.windows += len(data)
+        now = rate * min(1.0, self.step / 20)
+        for key, grad in g.items():
+            part = rows if key == "E" else slice(None)
+            m = self.m[key][part] = 0.9 * self.m[key][part] + 0.1 * grad
+            v = self.v[key][part] = 0.99 * self.v[key][part] + 0.01 * grad * grad
+            p[key][part] -= (now * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
+def train(windows: list[np.ndarray], counts: np.ndarray, classes: int = CLASSES, epochs: int = 3, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Attention:
+    """A model of the given ``windows``, rows of WINDOW + 1 ids; -1 stands for the beginning and -2 for no id."""
+    data = np.stack(windows).astype(np.int64) if windows else np.zeros((0, WINDOW + 1), np.int64)
+    model = fresh(counts, *neighbours(data[:, :-1].reshape(-1), data[:, 1:].reshape(-1), context_places(counts)), classes, seed)
+    learner, r = Learner(model), np.random.default_rng(seed)
     steps = epochs * -(-len(data) // batch)
     for _ in range(epochs):
         order = r.permutation(len(data))
         for at in range(0, len(data), batch):
-            x, y = x_all[order[at : at + batch]], y_all[order[at : at + batch]]
-            h0 = p["E"][x] + p["P"]
-            q, k, w = h0 @ p["Q"], h0 @ p["K"], h0 @ p["V"]
-            a = q @ k.transpose(0, 2, 1) * scale + mask
-            a = np.exp(a - a.max(-1, keepdims=True))
-            a /= a.sum(-1, keepdims=True)
-            c = a @ w
-            h1 = h0 + c @ p["O"]
-            pre = h1 @ p["A"] + p["a"]
-            act = np.maximum(pre, 0)
-            h2 = h1 + act @ p["B"]
-            z = h2 @ p["U"] + p["u"]
-            z = np.exp(z - z.max(-1, keepdims=True))
-            z /= z.sum(-1, keepdims=True)
-            ok = y >= 0
-            np.put_along_axis(z, np.maximum(y, 0)[..., None], np.take_along_axis(z, np.maximum(y, 0)[..., None], 2) - 1, 2)
-            z *= ok[..., None] / np.float32(max(1, ok.sum()))
-            flat = lambda t: t.reshape(-1, t.shape[-1])
-            g = {"U": flat(h2).T @ flat(z), "u": flat(z).sum(0)}
-            d2 = z @ p["U"].T
-            g["B"] = flat(act).T @ flat(d2)
-            dp = (d2 @ p["B"].T) * (pre > 0)
-            g["A"], g["a"] = flat(h1).T @ flat(dp), flat(dp).sum(0)
-            d1 = d2 + dp @ p["A"].T
-            g["O"] = flat(c).T @ flat(d1)
-            dc = d1 @ p["O"].T
-            da = dc @ w.transpose(0, 2, 1)
-            dw = a.transpose(0, 2, 1) @ dc
-            ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            g["Q"], g["K"], g["V"] = flat(h0).T @ flat(dq), flat(h0).T @ flat(dk), flat(h0).T @ flat(dw)
-            d0 = d1 + dq @ p["Q"].T + dk @ p["K"].T + dw @ p["V"].T
-            g["P"] = d0.sum(0)
-            rows = x.reshape(-1)
-            g["E"] = np.stack([np.bincount(rows, flat(d0)[:, j], 4096) for j in range(WIDTH)], axis=1).astype(np.float32)
-            step += 1
-            now = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
-            for key, grad in g.items():
-                m[key] = 0.9 * m[key] + 0.1 * grad
-                v[key] = 0.99 * v[key] + 0.01 * grad * grad
-                p[key] -= (now * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            some = data[order[at : at + batch]]
+            learner.learn(some, np.zeros(len(some), bool), rate * (1 - learner.step / (steps + 1)))
+    model.tables()
+    return model
+
+
+def windows_of(ids: np.ndarray, sizes: np.ndarray, chosen=None) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the sequences that lie one behind the other in ``ids``, as scoring cuts them: every id is wanted in one of them.
+
+    Rows of WINDOW + 1 ids, and whether the window is not the first of its sequence; ``chosen`` takes the windows' number and says which.
+    """
+    step = WINDOW - OVERLAP
+    more = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // step)), 0)
+    owner = np.repeat(np.arange(len(sizes)), more)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more)
+    if chosen is not None:
+        some = chosen(len(owner))
+        owner, number = owner[some], number[some]
+    first = (np.cumsum(sizes) - sizes)[owner]
+    at = (first + number * step)[:, None] + np.arange(-1, WINDOW)
+    data = ids[np.clip(at, 0, max(0, len(ids) - 1))].astype(np.int64) if len(ids) else np.zeros((0, WINDOW + 1), np.int64)
+    data[at < first[:, None]] = -1
+    data[at >= (first + sizes[owner])[:, None]] = -2
+    return data, number > 0
+
+
+def encode(tool: Subwords, texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Subword ids of the texts one behind the other, each with its end id; their sizes; and the places of the words of each."""
+    each = tool.places([common.space_words(t if isinstance(t, str) else None) for t in texts])
+    places, owner = np.concatenate([np.zeros(0, np.int64), *each]), np.repeat(np.arange(len(each)), [len(p) for p in each])
+    sizes = np.bincount(owner, (tool.start[places + 1] - tool.start[places]), len(each)).astype(np.int64) + 1
+    ids = tool.ids(places)[:-1]
+    return (np.insert(ids, np.cumsum(sizes - 1), tool.end) if len(each) else ids), sizes, each
+
+
+def id_blocks(docs: DataFrame, path: str) -> DataFrame:
+    """(number, ids, sizes): the ids of every document, written once, some documents a row."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        tool, number = subwords(path), TaskContext.get().partitionId() << 32
+        kind = np.uint16 if tool.size <= 1 << 16 else np.int32
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                if tool.full:
+                    tool.clear()
+                ids, sizes, _ = encode(tool, batch["text"][at : at + BLOCK_ROWS])
+                number += 1
+                yield pd.DataFrame({"number": [number], "width": [np.dtype(kind).itemsize], "ids": [ids.astype(kind).tobytes()], "sizes": [sizes.tobytes()]})
+
+    return cut(common.small_batches(docs.select("text")).mapInPandas(run, "number long, width int, ids binary, sizes binary"))
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for number, width, ids, sizes in zip(batch["number"], batch["width"], batch["ids"], batch["sizes"], strict=True):
+            yield number, np.frombuffer(ids, np.uint16 if width == 2 else np.int32).astype(np.int64), np.frombuffer(sizes, np.int64)
+
+
+def count_neighbours(blocks: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, times) of ``neighbours`` over all documents; at most 2 CONTEXTS cells an id of the vocabulary reach the driver."""
+    place = context_places(counts)
+
+    def run(batches):
+        total = np.zeros(len(place) * 2 * CONTEXTS, np.int32)
+        for _, ids, sizes in _unpacked(batches):
+            left, right = ids[:-1].copy(), ids[1:]
+            left[np.cumsum(sizes)[:-1] - 1] = -1  # an end stands beside nothing
+            cells, times = neighbours(left, right, place)
+            total[cells] += times.astype(np.int32)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 100_000):
+            yield pd.DataFrame({"hash": some[at : at + 100_000], "n": total[some[at : at + 100_000]].astype(np.int64)})
+
+    return packed_counts(blocks.mapInPandas(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+
+
+def train_on(blocks: DataFrame, counts: np.ndarray, sample: int | None = None, classes: int = CLASSES, batch: int = 128, rate: float = 0.02, seed: int = 5) -> Attention:
+    """A model that has learnt to predict every id of the documents in ``blocks`` once (of about ``sample`` windows, where a caller sets a bound)."""
+    spark = blocks.sparkSession
+    model = fresh(counts, *count_neighbours(blocks, counts), classes, seed)
+    windows = counts.sum() / (WINDOW - OVERLAP)
+    share = 1.0 if sample is None else min(1.0, sample / max(1.0, windows))
+    dealt = cut(blocks.repartition(max(1, int(np.ceil(windows * share / TASK_WINDOWS))), "number"))
+    dense = [k for k in model.p if k != "E"]
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(raw, np.float64) for raw in parts["sums"])
+        return pd.DataFrame({"slice": parts["slice"][:1], "deal": 0, "sums": [total.tobytes()]})
+
+    for number in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(model)
+        now = rate * (1 - number / ROUNDS)
+
+        def learn(batches, sent=sent, number=number, now=now):
+            from pyspark import TaskContext
+
+            base = sent.value
+            learner = Learner(Attention({k: x.copy() for k, x in base.p.items()}, base.group, base.share, base.row))
+            r = np.random.default_rng((seed, number))
+
+            def use(held):
+                data, later = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = r.permutation(len(data))
+                for at in range(0, len(data), batch):
+                    learner.learn(data[order[at : at + batch]], later[order[at : at + batch]], now)
+
+            held, size = [], 0
+            for block, ids, sizes in _unpacked(batches):
+                def chosen(n, block=block):
+                    drawn = np.random.default_rng((seed, block)).random(n)  # the same in every round: each window is in one of them
+                    return np.floor(drawn * ROUNDS / share) == number if share else np.zeros(n, bool)
+
+                held.append(windows_of(ids, sizes, chosen))
+                size += len(held[-1][0])
+                if size >= SHUFFLED:
+                    use(held)
+                    held, size = [], 0
+            if size:
+                use(held)
+            if not learner.windows:
+                return
+            p, deal = learner.p, TaskContext.get().partitionId() % 16
+            flat = np.concatenate([p[k].reshape(-1) for k in dense] + [[1.0]]).astype(np.float64) * learner.windows
+            yield pd.DataFrame({"slice": [-1], "deal": [deal], "sums": [flat.tobytes()]})
+            for at in range(0, len(p["E"]), SLICE):  # a row's mean is over the tasks that met it
+                seen = learner.seen[at : at + SLICE, None].astype(np.float64)
+                if seen.any():
+                    yield pd.DataFrame({"slice": [at], "deal": [deal], "sums": [np.concatenate([p["E"][at : at + SLICE] * seen, seen], axis=1).tobytes()]})
+
+        schema = "slice int, deal int, sums binary"
+        found = dealt.mapInPandas(learn, schema).groupBy("slice", "deal").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+        for r in found.collect():  # as many bytes as the weights have, whatever the input
+            sums = np.frombuffer(r["sums"], np.float64)
+            if r["slice"] >= 0:
+                sums = sums.reshape(-1, WIDTH + 1)
+                met = sums[:, -1] > 0
+                model.p["E"][r["slice"] : r["slice"] + len(sums)][met] = sums[met, :-1] / sums[met, -1:]
+            else:
+                at = 0
+                for k in dense:
+                    x = model.p[k]
+                    model.p[k] = (sums[at : at + x.size] / sums[-1]).reshape(x.shape).astype(np.float32)
+                    at += x.size
+        sent.unpersist()
     model.tables()
     return model
 
@@ -377,56 +561,19 @@ def packed_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _sampled(doc_id, number: int) -> int:
-    return zlib.crc32(f"{doc_id}:{number}".encode())
-
-
-def sample_windows(docs: DataFrame, path: str, pieces: int, most: int = SAMPLE_WINDOWS) -> list[np.ndarray]:
-    """About ``most`` training windows, spread over all documents by a hash of id and place."""
-    stride = WINDOW - OVERLAP
-    share = min(1.0, most / max(1.0, pieces / stride))
-    limit = int(share * 0xFFFFFFFF)
-
-    def run(batches):
-        tool = subwords(path)
-        for batch in batches:
-            if tool.full:
-                tool.clear()
-            out = []
-            texts = [common.space_words(t if isinstance(t, str) else None) for t in batch["text"]]
-            chosen = []
-            for doc_id, words in zip(batch["id"], texts, strict=True):  # windows are drawn by their first word, before encoding
-                chosen.append([k for k in range(0, max(1, len(words)), 12) if _sampled(doc_id, k) <= limit])
-            for words, starts in zip(texts, chosen, strict=True):
-                for k in starts:
-                    before = words[max(0, k - 1) : k]
-                    ids = tool.ids(tool.places([words[k : k + WINDOW + 1]])[0])
-                    ids = ids if k + WINDOW + 1 >= len(words) else ids[:-1]
-                    lead = tool.ids(tool.places([before])[0])[-2:-1] if before else np.array([-1])
-                    row = np.full(WINDOW + 1, -2, np.int64)
-                    both = np.concatenate([lead, ids])[: WINDOW + 1]
-                    row[: len(both)] = both
-                    out.append(row.astype(np.int32).tobytes())
-            if out:
-                yield pd.DataFrame({"ids": out})
-
-    rows = common.small_batches(docs.select(F.col("id").cast("string").alias("id"), "text")).mapInPandas(run, "ids binary").collect()
-    return [np.frombuffer(r, np.int32) for r in sorted(bytes(r["ids"]) for r in rows)]
-
-
-def score_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", is_held_out=held_out, sample: int = SAMPLE_WINDOWS, common_words: int = COMMON_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", is_held_out=held_out, sample: int | None = None, common_words: int = COMMON_WORDS) -> DataFrame:
     """One row per document: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from the documents that are not held out. Null and empty texts are one end token. Whole texts are scored, whatever their
     length. ``base_score`` is the smoothed unigram log10 probability of words and end, ``score`` the attention model's. Without
-    training documents all counts are zero. Repeated rows count and are returned as often as they came. Other columns are not read; an
+    training documents all counts are zero. All windows are learnt from, or about ``sample`` of them where a caller sets it. Repeated rows count and are returned as often as they came. Other columns are not read; an
     empty table gives an empty result.
     """
     common.small_batches(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(is_held_out(F.col("id")), F.lit(False)))
     learn = rows.where("not held_out").select("id", "text")
     counts = count_corpus(learn, tokenizer_path)
-    model = train(sample_windows(learn, tokenizer_path, int(counts.pieces.sum()), sample), counts.pieces)
+    model = train_on(id_blocks(learn, tokenizer_path), counts.pieces, sample)
     divisor, low = float(counts.tokens + counts.distinct + 1), common_from(counts.words, common_words)
     sent = docs.sparkSession.sparkContext.broadcast((model, *packed_counts(counts.words.where(F.col("n") >= low))))
     end_known, end_log = int(counts.ends > 0), float(np.log10((counts.ends + 1) / divisor))
@@ -436,7 +583,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
         for batch in batches:
             if tool.full:
                 tool.clear()
-            each = tool.places([common.space_words(t if isinstance(t, str) else None) for t in batch["text"]])
+            ids, sizes, each = encode(tool, batch["text"])
             n = np.array([len(p) for p in each])
             places, owner = np.concatenate([np.zeros(0, np.int64), *each]), np.repeat(np.arange(len(each)), n)
             used = np.flatnonzero(np.bincount(places, minlength=1))
@@ -446,9 +593,6 @@ def score_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
             is_common = c > 0
             other, times = np.unique(owner[~is_common] * len(line) + places[~is_common], return_counts=True)
             stops = np.searchsorted(other, np.arange(1, len(each)) * len(line))
-            sizes = np.bincount(owner, (tool.start[places + 1] - tool.start[places]), len(each)).astype(np.int64) + 1
-            ids = tool.ids(places)[:-1]
-            ids = np.insert(ids, np.cumsum(sizes - 1), tool.end) if len(each) else ids
             yield pd.DataFrame({
                 "id": batch["id"], "held_out": batch["held_out"], "n_tokens": n + 1, "score": model.scores(ids, sizes),
                 "n_known": np.bincount(owner, is_common, len(each)).astype(np.int64) + end_known,

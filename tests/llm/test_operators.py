@@ -192,6 +192,35 @@ def test_lm_probabilities_add_up_and_windows_do_not_matter():
     assert model.scores(ids, np.array([5, 295, 400])) == pytest.approx(alone, rel=1e-5)
 
 
+def test_lm_windows_hold_every_id_once():
+    sizes = np.array([1, 16, 17, 300, 5, 28, 29])
+    ids = np.arange(sizes.sum()) + 7
+    data, later = lm_scoring.windows_of(ids, sizes)
+    wanted = data[:, 1:].copy()
+    wanted[later, : lm_scoring.OVERLAP] = -2
+    assert sorted(wanted[wanted >= 0]) == ids.tolist()
+    parts = [lm_scoring.windows_of(ids, sizes, lambda n, k=k: np.random.default_rng(1).integers(0, 3, n) == k)[0] for k in range(3)]
+    assert sorted(map(tuple, np.concatenate(parts))) == sorted(map(tuple, data))
+
+
+def test_lm_learns_from_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TASK_WINDOWS", 200)  # several tasks
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(str(k), "x" * 40 + "".join(f"qz{k % 7}-" for _ in range(60)) + " one long run " * 20) for k in range(40)]
+    blocks = lm_scoring.id_blocks(spark.createDataFrame(rows, "id string, text string"), path)
+    ids, sizes, _ = lm_scoring.encode(lm_scoring.subwords(path), [t for _, t in rows])
+    counts = np.bincount(ids, minlength=lm_scoring.subwords(path).size)
+    cells, times = lm_scoring.count_neighbours(blocks, counts)
+    pairs = Counter((a, b) for d in np.split(ids, np.cumsum(sizes)[:-1]) for a, b in zip(d[:-1], d[1:], strict=True))
+    assert times.sum() == 2 * sum(pairs.values())
+    model = lm_scoring.train_on(blocks, counts)
+    met = np.unique(model.row[ids[ids != lm_scoring.subwords(path).end]])
+    start = lm_scoring.fresh(counts, cells, times, lm_scoring.CLASSES, 5)
+    assert (model.p["E"][met] != start.p["E"][met]).any(1).all()  # every id of the documents, those inside long runs included, was learnt from
+    start.tables()
+    assert model.scores(ids, sizes).sum() > start.scores(ids, sizes).sum()
+
+
 def test_quality_classifier(spark):
     r = random.Random(1)
     kinds = {0: "zz qq !! xx", 1: "vile awful nasty", 2: "calm clear useful text here"}
