@@ -26,7 +26,7 @@ from ..session import cut
 from . import common
 
 WINDOW, OVERLAP = 16, 4
-WIDTH, HIDDEN, CLASSES = 16, 16, 96
+WIDTH, HIDDEN, CLASSES = 16, 16, 192
 #: Commonest ids whose places beside an id describe its context.
 CONTEXTS = 128
 #: Rounds of the training pass, and windows of all rounds that a task is dealt.
@@ -250,11 +250,9 @@ def classes_of(counts: np.ndarray, cells: np.ndarray, times: np.ndarray, classes
 def fresh(counts: np.ndarray, cells: np.ndarray, times: np.ndarray, classes: int, seed: int) -> Attention:
     """The model before training."""
     group, share = classes_of(counts, cells, times, classes)
-    kept = np.lexsort((np.arange(len(counts)), -counts))[:4094]
-    row = np.ones(len(counts), np.int64)  # row 1: any rare id
-    row[kept[counts[kept] > 0]] = np.arange((counts[kept] > 0).sum()) + 2
+    row = np.arange(len(counts)) + 1  # row 0: the beginning
     r = np.random.default_rng(seed)
-    shapes = {"E": (4096, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "A": (WIDTH, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, WIDTH), "U": (WIDTH, classes), "u": (classes,)}
+    shapes = {"E": (len(counts) + 1, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "A": (WIDTH, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, WIDTH), "U": (WIDTH, classes), "u": (classes,)}
     p = {k: (r.normal(0, 0.25, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     p["u"] = np.log(np.bincount(group, counts + 1.0, classes) / (counts + 1.0).sum() + 1e-9).astype(np.float32)
     return Attention(p, group, share, row)

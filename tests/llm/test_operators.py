@@ -203,6 +203,13 @@ def test_lm_windows_hold_every_id_once():
     assert sorted(map(tuple, np.concatenate(parts))) == sorted(map(tuple, data))
 
 
+def test_lm_ids_have_rows_of_their_own():
+    counts = np.arange(6000)[::-1].copy()
+    model = lm_scoring.train([], counts)
+    assert len(np.unique(model.row)) == len(counts) and 0 not in model.row and len(model.p["E"]) == len(counts) + 1
+    assert model.p["U"].shape[1] == lm_scoring.CLASSES == 192
+
+
 def test_lm_learns_from_all_windows(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "TASK_WINDOWS", 200)  # several tasks
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
