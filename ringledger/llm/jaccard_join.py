@@ -100,7 +100,7 @@ def first_shingles(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, cls, first, bits) for every document; cls is null without words, and first empty there and where the task has met the class."""
+    """(id, key, n, cls, first, bits) for every document; cls is null without words, and first empty there and where the task has met the class."""
     rank = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, words))
 
     def run(batches):
@@ -115,9 +115,9 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if len(seen) > 500_000:
                 seen.clear()
             bits = [bitmap(s, width(len(s))).tobytes() for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "cls": pd.array(ids, "Int64"), "first": first, "bits": bits})
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": [len(s) for s in sets], "cls": pd.array(ids, "Int64"), "first": first, "bits": bits})
 
-    return cut(docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, cls long, first array<long>, bits binary"))
+    return cut(docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, n int, cls long, first array<long>, bits binary"))
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
     """(cls, root, n_links): links met in each pair of tiles, and a forest of them.
 
-    ``clustered`` has (id, cls, n, copies, cluster): one document of each class.
+    ``clustered`` has (key, cls, n, copies, cluster): one document of each class.
     """
     sized = clustered.groupBy("cluster").agg(F.count("*").alias("members"))
     placed = clustered.join(sized, "cluster")
@@ -266,13 +266,13 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
     other = edges.select("cluster", F.col("tile").alias("with"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meet = edges.join(other, "cluster").where(f"with >= tile and 100 * high >= {percent} * low2").select("cluster", "tile", "with")
     both = meet.unionByName(meet.where("with != tile").select("cluster", F.col("with").alias("tile"), F.col("tile").alias("with")).withColumn("swap", F.lit(1)), allowMissingColumns=True)
-    dealt = tiled.join(both, ["cluster", "tile"]).select("id", "cls", "copies", "cluster", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "tile")
-    small = placed.where(F.col("members") <= tile).select("id", "cls", "copies", "cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("tile"))
+    dealt = tiled.join(both, ["cluster", "tile"]).select("key", "cls", "copies", "cluster", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "tile")
+    small = placed.where(F.col("members") <= tile).select("key", "cls", "copies", "cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("tile"))
     work = cut(small.unionByName(dealt))
-    if work.count() <= MAX_BROADCAST_ROWS:  # else both sides are shuffled by id
+    if work.count() <= MAX_BROADCAST_ROWS:  # else both sides are shuffled by key
         work = F.broadcast(work)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.join(work, "id").repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "tile")
+    texts = docs.join(work, "key").repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "tile")
 
     def solve(group: list[tuple]):
         ids, copies, tiles, sets = zip(*group, strict=True)
@@ -299,7 +299,7 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
                     if len(group) > 1:
                         out += solve(list(group.values()))
                     key, group = (cluster, a, b), {}
-                if set_id(s) == cls:  # ids that repeat may bring other texts
+                if set_id(s) == cls:  # hashes may agree by chance
                     group[cls] = (cls, copies, tile_, s)
                 if len(out) > 10_000:
                     yield pd.DataFrame(out, columns=["cls", "root", "n_links"])
@@ -311,17 +311,22 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
     return texts.select("cluster", "a", "b", "tile", "cls", "copies", "text").mapInPandas(run, "cls long, root long, n_links long")
 
 
+def _parts(id_col: str, text_col: str) -> list:
+    """What the hash of a row is taken of: nulls are not empty values."""
+    return [F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, n_links``.
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their shingles (runs of ``words`` words; the whole
     text where it has fewer). ``component_id`` is the smallest id reachable by links, the document's own included; ``n_links`` the number of
     other documents linked directly. Texts that are null, empty or without words have no shingles and link with nothing. Repeated rows
-    count as copies. Ids must not be null. Other columns are not read; an empty table gives an empty result.
+    count as copies. Null ids count as rows, but are never smallest; ``component_id`` is null where all ids are. Other columns are not read; an empty table gives an empty result.
     """
-    docs = common.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    docs = common.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(*_parts(id_col, text_col)).alias("key")))
     signed = signatures(docs, words, percent)
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("copies"))
     clustered = cut(classes.join(clusters(signed, percent), "cls"))
     met = cut(links(docs, clustered, words, percent, tile))
     joined = components(met, "cls", "root").select(F.col("node").alias("cls"), "component")
@@ -333,10 +338,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest id (once, if rows repeat)."""
-    found = jaccard_join(docs, id_col, text_col)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.dropDuplicates([id_col]).join(first, id_col, "left_semi")
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id, null last, by a hash of id and text among equal ids.
+
+    Ids may be null or repeat: rows are told apart by 128 bits of hash of id and text. Rows without words link with nothing, so all of them stay.
+    """
+    keyed = docs.withColumn("_key", F.concat(*[F.hex(F.xxhash64(F.lit(k), *_parts(id_col, text_col))) for k in (1, 2)]))
+    found = jaccard_join(keyed, "_key", text_col).select("_key", F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
+    ids = keyed.select("_key", F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_id")).distinct()
+    first = found.join(ids, "_key").groupBy("_component").agg(F.min(F.struct("_last", "_id", "_key")).getField("_key").alias("_key"), F.first("_bare").alias("_bare"))
+    kept = keyed.join(cut(first.select("_key", "_bare")), "_key")
+    return kept.where("_bare").unionByName(kept.where("not _bare").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,18 @@ def test_jaccard_join(spark):
     assert not jaccard_join.jaccard_join(spark.createDataFrame([], DOCS)).collect()
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    near = a.replace("a39", "z")
+    rows = [(None, a), (None, near), (5, b), (5, c), (7, b), (None, c + " more"), (None, None), (8, ""), (9, "alone here"), (9, "alone here")]
+    docs = spark.createDataFrame([(k, t, "x", n) for n, (k, t) in enumerate(rows)], DOCS)
+    found = Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs).collect())
+    assert found == Counter([(None, None, 1)] * 2 + [(5, 5, 1)] * 2 + [(7, 5, 1), (None, 5, 1), (None, None, 0), (8, 8, 0)] + [(9, 9, 1)] * 2)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect()]
+    assert len(kept) == 6 and {(5, b), (5, c), (None, None), (8, ""), (9, "alone here")} < set(kept)
+    assert ((None, a) in kept) != ((None, near) in kept)
+
+
 def test_jaccard_tiles_of_one_large_cluster(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join([*base[:-1], f"v{k}"]), "x", 1) for k in range(130)]
