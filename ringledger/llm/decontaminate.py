@@ -7,17 +7,22 @@ drops documents of which too much was hit.
 
 Scale: the benchmark is cut into blocks of at most ``max_block_words`` words by a hash of the item; one automaton per
 block is built inside the tasks from the block's words, which are the only thing broadcast, so its size is bounded.
-Documents are read once per block and never shuffled when there is one block; with more, only the matches are grouped.
+Documents are read once per block and never shuffled when there is one block; with more, rows get a number and are written, one block after the
+other is scanned and its matches written, and only the matches are grouped and joined back to the rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import common
 
 WINDOW = 10
@@ -137,14 +142,17 @@ class Automaton:
         return spans, [int(k) for k in met], longest
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_block_words: int) -> list[list[tuple[str, list[str]]]]:
-    """Blocks of (item, words), each of about ``max_block_words``; their number follows the benchmark's size."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_block_words: int) -> tuple[int, Iterator[list[tuple[str, list[str]]]]]:
+    """Number of blocks, which follows the benchmark's size, and the blocks of (item, words), each of about ``max_block_words``."""
     counted = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = counted.agg(F.sum(F.length("text") / 5)).first()[0] or 0
     n = int(total // max_block_words) + 1
-    for k in range(n):
+
+    def block(k: int) -> list[tuple[str, list[str]]]:
         rows = counted.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()
-        yield [(r["item"] or "", words(r["text"])) for r in rows]
+        return [(r["item"] or "", words(r["text"])) for r in rows]
+
+    return n, map(block, range(n))
 
 
 _built: dict[int, Automaton] = {}
@@ -176,76 +184,100 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     ``spans`` are merged hit spans in words, ``items`` the ids (as sorted strings) of the benchmark items of which a window
     occurs, ``longest`` the longest matching run. Null and empty texts have no words and no hits; items without words
-    match nothing; items with the same text are all named. Rows that repeat are returned as often; with more than
-    one benchmark block, ids must be unique. Other columns are not read. Empty tables give empty or unhit results.
+    match nothing; items with the same text are all named. Rows that repeat are returned as often; ids may repeat or
+    be null. Other columns are not read. Empty tables give empty or unhit results.
     """
     columns = [id_col, *["text"] * keep_text, "n_words", "spans", "items", "longest"]
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + "text string, " * keep_text + f"n_words long, spans {MATCHES}, items array<string>, longest int"
-    parts = []
-    for items in _blocks(benchmark, item_col, item_text_col, max_block_words):
-        handle = _Handle(docs.sparkSession.sparkContext.broadcast((items, window)), next(_numbers))
-
-        def scan(batches, handle=handle):
-            auto = _automaton(handle)
-            names = auto.names
-            for batch in batches:
-                n_words, spans, met, longest = [], [], [], []
-                for text in batch["text"]:
-                    seq = words(text)
-                    a, b, c = auto.match(seq)
-                    n_words.append(len(seq))
-                    spans.append([{"start": x, "end": y} for x, y in a])
-                    met.append(sorted({names[k] for k in b}))
-                    longest.append(c)
-                out = {id_col: batch[id_col], "n_words": n_words, "spans": spans, "items": met, "longest": longest}
-                yield pd.DataFrame(out | ({"text": batch["text"]} if keep_text else {}))[columns]
-
-        parts.append(common.small_batches(docs.select(id_col, F.col(text_col).alias("text"))).mapInPandas(scan, schema))
-    if len(parts) == 1:
-        return parts[0]
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    joined = all_parts.groupBy(id_col).agg(*([F.first("text").alias("text")] * keep_text), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    rows = docs.select(id_col, F.col(text_col).alias("text"))
+    n, blocks = _blocks(benchmark, item_col, item_text_col, max_block_words)
+    if n == 1:
+        return _scan(rows, next(blocks), window, [id_col, *["text"] * keep_text])
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    return rows.join(_matches(rows, blocks, window), "_row").select(*columns)
+
+
+def _scan(rows: DataFrame, items: list[tuple[str, list[str]]], window: int, carried: list[str], used: list | None = None) -> DataFrame:
+    """``carried`` columns of ``rows`` with n_words, spans, items and longest of their text, by one block."""
+    handle = _Handle(rows.sparkSession.sparkContext.broadcast((items, window)), next(_numbers))
+    if used is not None:
+        used.append(handle.broadcast)
+    columns = [*carried, "n_words", "spans", "items", "longest"]
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carried) + f"n_words long, spans {MATCHES}, items array<string>, longest int"
+
+    def scan(batches):
+        auto = _automaton(handle)
+        names = auto.names
+        for batch in batches:
+            n_words, spans, met, longest = [], [], [], []
+            for text in batch["text"]:
+                seq = words(text)
+                a, b, c = auto.match(seq)
+                n_words.append(len(seq))
+                spans.append([{"start": x, "end": y} for x, y in a])
+                met.append(sorted({names[k] for k in b}))
+                longest.append(c)
+            out = {"n_words": n_words, "spans": spans, "items": met, "longest": longest}
+            yield pd.DataFrame({c: batch[c] for c in carried} | out)[columns]
+
+    return common.small_batches(rows).mapInPandas(scan, schema)
+
+
+def _matches(rows: DataFrame, blocks: Iterator[list[tuple[str, list[str]]]], window: int) -> DataFrame:
+    """(_row, n_words, spans, items, longest) of written ``rows`` over several blocks; one block is held at a time."""
+    parts = None
+    for items in blocks:
+        used: list = []
+        part = cut(_scan(rows.select("_row", "text"), items, window, ["_row"], used))
+        used[0].unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    joined = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
     step = f"""aggregate(spans, cast(array() as {MATCHES}), (done, s) -> case
         when size(done) > 0 and element_at(done, -1).end >= s.start
         then concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end))))
         else concat(done, array(s)) end)"""
-    return joined.withColumn("spans", F.expr(step)).select(*columns)
+    return joined.withColumn("spans", F.expr(step))
 
 
 def hit_words(spans: str = "spans") -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """``docs`` without the hit spans of their texts, and without documents of which more than ``max_coverage`` of the words are hit.
 
     A removed span leaves one line break. Columns stay as they are, but for ``n_chars`` (where present), which follows the text.
     Null texts stay null. A document is returned as often as it came.
     """
-    blocks = list(_blocks(benchmark, "item_id", "text", MAX_BLOCK_WORDS))
-    handles = [_Handle(docs.sparkSession.sparkContext.broadcast((items, window)), next(_numbers)) for items in blocks]
+    n, blocks = _blocks(benchmark, "item_id", "text", max_block_words)
     has_count = "n_chars" in docs.columns
 
+    if n == 1:
+        handle = _Handle(docs.sparkSession.sparkContext.broadcast((next(blocks), window)), next(_numbers))
+        rows = docs
+    else:
+        handle = None
+        rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+        rows = rows.join(_matches(rows.select("_row", F.col(text_col).alias("text")), blocks, window).select("_row", F.to_json("spans").alias("_spans")), "_row")
+
     def clean(batches):
         for batch in batches:
             texts, keep = [], []
-            autos = [_automaton(h) for h in handles] if len(handles) == 1 else [Automaton(*h.value) for h in handles]
-            for text in batch[text_col]:
+            auto = _automaton(handle) if handle else None
+            found = [None] * len(batch) if auto else batch["_spans"]
+            for text, spans in zip(batch[text_col], found, strict=True):
                 seq = words(text)
-                spans = sorted(s for auto in autos for s in auto.match(seq)[0])
                 hit = np.zeros(len(seq), bool)
-                for a, b in spans:
+                for a, b in auto.match(seq)[0] if auto else [(s["start"], s["end"]) for s in json.loads(spans)]:
                     hit[a:b] = True
                 keep.append(not len(seq) or hit.mean() <= max_coverage)
                 texts.append(cut_words(text, hit) if keep[-1] and hit.any() else text)
             batch = batch.assign(**{text_col: texts})
             if has_count:
                 batch["n_chars"] = [len(t) if isinstance(t, str) else n for t, n in zip(texts, batch["n_chars"], strict=True)]
-            yield batch[np.array(keep, bool)]
+            yield batch.loc[np.array(keep, bool), docs_columns]
 
-    return common.small_batches(docs).mapInPandas(clean, docs.schema)
+    docs_columns = docs.columns
+    return common.small_batches(rows).mapInPandas(clean, docs.schema)
 
 
 def cut_words(text: str, hit: np.ndarray) -> str:

@@ -155,6 +155,20 @@ def test_decontamination(spark):
     assert not decontaminate.find_contamination(docs.limit(0), bench).collect()
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(8)]
+    rows = [(i, f"start {items[k][1]} and so on it goes for quite some words more than were hit before {k}", "x", k) for i in (None, 3) for k in range(4)] * 2 + [(3, None, "x", 0)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id string, text string")
+    found, cleaned = [], []
+    for most in (decontaminate.MAX_BLOCK_WORDS, 20):
+        part = decontaminate.find_contamination(docs, bench, max_block_words=most, keep_text=True).collect()
+        found.append(Counter((r["doc_id"], r["text"], r["n_words"], str(r["spans"]), str(r["items"]), r["longest"]) for r in part))
+        cleaned.append(Counter(map(tuple, decontaminate.remove_spans(docs, bench, max_block_words=most).collect())))
+    assert found[0] == found[1] and cleaned[0] == cleaned[1]
+    assert sum(found[0].values()) == sum(cleaned[0].values()) == len(rows)
+    assert not any("w0x5" in (r[1] or "") for r in cleaned[1])
+
+
 def test_sentencepiece_matches_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     tool = sentencepiece.SentencePieceProcessor(model_file=path)
