@@ -26,12 +26,19 @@ from . import common
 # Element names of the HTML standard, and words found in attributes of page furniture and of main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-HIDDEN = frozenset("script style textarea title noscript template iframe noembed noframes head svg math button select option datalist object audio video canvas map".split())
+HIDDEN = frozenset("script style textarea title noscript template iframe noembed noframes head svg annotation annotation-xml button select option datalist".split())
+#: Elements that may stay in a head; any other ends it.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes head".split())
+#: Content that is shown where the medium is not: nodes of their own, which do not end a paragraph.
+FALLBACK = frozenset("object audio video canvas".split())
+TABLE = frozenset("caption table tbody tfoot thead tr td th".split())
+#: Elements whose content is HTML again inside svg.
+INNER = frozenset("foreignobject desc".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split()
-)
-CLOSES_P = BLOCK - {"html", "body", "dd", "dt", "li", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
+) | FALLBACK
+CLOSES_P = BLOCK - FALLBACK - {"html", "body", "dd", "dt", "li", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 TAG_GROUPS = ["article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "blockquote", "pre", "table thead tbody tfoot tr td th caption", "nav", "header hgroup", "footer", "aside", "form fieldset legend search", "figure figcaption", "html body", "dialog details summary address"]
@@ -87,7 +94,8 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
     """Block elements in document order, the root first; each with its own text blocks, white space collapsed."""
     root = Node("html", None, 0)
     nodes, stack, parts = [root], [root], []
-    hidden, links, order = 0, 0, 0
+    hidden: list[str] = []  # the outermost hidden element that is open, and what is open in it
+    links, order = 0, 0
     linked = 0
 
     def flush() -> None:
@@ -111,6 +119,24 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
         if links:
             linked += len(chunk.strip())
 
+    def ended(tag: str) -> bool:
+        """Ends the hidden elements that a start tag ends; whether the tag does nothing else."""
+        in_table = tag in TABLE and any(x.tag == "table" for x in stack)
+        if hidden == ["head"]:
+            if tag not in HEAD:
+                hidden.clear()
+        elif tag in ("option", "optgroup"):
+            while hidden and (hidden[-1] == "option" or hidden[-1] == tag):
+                hidden.pop()
+        elif "select" in hidden and (tag in ("input", "select", "textarea") or in_table):
+            del hidden[hidden.index("select") :]
+            return tag == "select"
+        elif "svg" in hidden and tag in BLOCK and INNER.isdisjoint(hidden):
+            del hidden[hidden.index("svg") :]
+        elif tag == "button" and "button" in hidden:
+            del hidden[hidden.index("button") :]
+        return False
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -118,6 +144,8 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
             if not hidden:
                 add(page[at:])
             break
+        if hidden == ["head"] and page[at : m.start()].strip():
+            hidden.clear()
         if m.start() > at and not hidden:
             add(page[at : m.start()])
         at = m.end()
@@ -125,6 +153,8 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
         if not tag:
             continue
         if not m[1]:
+            if hidden and ended(tag):
+                continue
             if tag in RAW and not m[3].endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = close.start() if close else end
@@ -132,7 +162,7 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
                     at = page.find(">", at) + 1 or end
                 continue
             if tag == "body" or tag == "html":
-                hidden = 0
+                hidden.clear()
                 continue
             if tag in VOID:
                 if tag == "br" and not hidden:
@@ -143,9 +173,12 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
             if m[3].endswith("/") and tag not in BLOCK:
                 continue
             if tag in HIDDEN:
-                hidden += 1
+                if tag != "head" or len(nodes) == 1 and not root.texts and not "".join(parts).strip():
+                    hidden.append(tag)
                 continue
             if hidden:
+                if tag in BLOCK or tag in INNER or tag == "optgroup":
+                    hidden.append(tag)
                 continue
             if tag == "a":
                 links = 1
@@ -173,9 +206,12 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
             nodes.append(node)
             stack.append(node)
         else:
-            if tag in HIDDEN and hidden:
-                hidden -= 1
-            elif tag == "a":
+            if tag in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                continue
+            if hidden and tag in BLOCK and ("select" not in hidden or tag in TABLE) and any(x.tag == tag for x in stack[1:]):
+                hidden.clear()  # what was open around them ends
+            if tag == "a":
                 links = 0
             elif tag in BLOCK and not hidden:
                 for k in range(len(stack) - 1, 0, -1):

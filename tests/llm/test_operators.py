@@ -276,6 +276,25 @@ def test_html_extraction(spark):
     assert by[2] == by[3] == "" and all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+@pytest.mark.parametrize("page", [
+    "<body><form><select><option>no<option>no</select></form><p>Body text.</p><p>More.</p>",
+    "<head><meta charset=x><title>no</title><p>Body text.</p><p>More.</p>",
+    "<head><title>no</title>Body text.<p>More.</p>",
+    "<body><datalist><option>no<option>no</datalist><p>Body text.</p><p>More.</p>",
+    "<body><select><optgroup><option>no<optgroup><option>no</select>Body text.<p>More.</p>",
+    "<body><div><button>no</div><p>Body text.</p><p>More.</p>",
+    "<body><svg><text>no</text><p>Body text.</p><p>More.</p>",
+    "<body><table><tr><td><select><option>no<td>Body text.</table><p>More.</p>",
+])
+def test_html_hidden_elements_end(page):
+    assert [t for _, t in sorted(b for x in html_extract.parse(page) for b in x.texts)] == ["Body text.", "More."]
+
+
+def test_html_math_and_fallback_content_reach_the_trees():
+    nodes = html_extract.parse("<body><p>Let <math><mi>x</mi> = 2</math> be.</p><p><video><a href=/v>get it</a></video> End.</p><object><p>Shown.</p></object>")
+    assert [(x.tag, [t for _, t in x.texts]) for x in nodes if x.texts] == [("p", ["Let x = 2 be."]), ("p", ["End."]), ("video", ["get it"]), ("p", ["Shown."])]
+
+
 def test_html_on_composed_pages():
     model, r, right, all_ = html_extract.trained(), random.Random(99), 0, 0
     for _ in range(60):
