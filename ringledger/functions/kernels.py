@@ -48,11 +48,8 @@ def safe_share(a: Column, b: Column, prior: float) -> Column:
     return F.when(total <= 0, 0.5).otherwise((a + prior) / total)
 
 
-def safe_rate(part: Column, whole: Column) -> Column:
-    return F.when(whole > 1e-9, part / whole).otherwise(0.0)
-
-
 def shrink(value: Column, n: Column, tau: float, mean: Column) -> Column:
+    """Drawn to a mean by how few observations there are."""
     return n / (n + tau) * value + tau / (n + tau) * mean
 
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 # Words of the sources' labels.
 NO_RECORD = ("n/a", "na", "none", "--")
 TRUE_WORDS, FALSE_WORDS = ("true", "t", "1", "yes", "y"), ("false", "f", "0", "no", "n")
-DIVISIONS = [("super heavyweight", "SHW"), ("light heavyweight", "LHW"), ("middleweight", "MW"), ("welterweight", "WW"), ("super lightweight", "LW"), ("lightweight", "LW"), ("featherweight", "FW"), ("bantamweight", "BW"), ("flyweight", "FLY"), ("strawweight", "STRAW"), ("atomweight", "ATOM"), ("open weight", "OPEN"), ("openweight", "OPEN"), ("open", "OPEN")]
-LIMITS = [("ATOM", 105), ("STRAW", 115), ("FLY", 125), ("BW", 135), ("FW", 145), ("LW", 155), ("WW", 170), ("MW", 185), ("LHW", 205), ("HW", 265)]
-KG_IN_LB = 2.20462
+SPORTS = ("mma", "grappling", "kickboxing", "boxing", "muay", "knuckle", "custom", "karate", "wrestling", "shootboxing", "knuckle_mma", "sanda", "judo", "boxing_cage", "slap", "combat_jj", "sambo", "lethwei", "valetudo", "ice_fighting", "pancrase", "unknown")
+METHODS = ("KO", "TKO", "SUB", "DEC", "DQ", "OVERTURNED")
 
 
 def clean(c: Column) -> Column:
@@ -32,6 +31,11 @@ def minutes_seconds(c: Column) -> Column:
     return F.when(m != "", m.try_cast("int") * 60 + F.regexp_extract(clean(c), r"^(\d+):(\d+)$", 2).try_cast("int"))
 
 
+def time_in_details(c: Column) -> Column:
+    """The first ``m:ss`` in free text as seconds."""
+    return minutes_seconds(F.nullif(F.regexp_extract(c, r"\d+:\d{2}", 0), F.lit("")))
+
+
 def round_number(c: Column) -> Column:
     """A round label; ``Totals`` is round 0."""
     return F.when(F.lower(clean(c)) == "totals", 0).otherwise(to_int(c))
@@ -54,6 +58,30 @@ def last_path_part(c: Column) -> Column:
     return F.nullif(F.element_at(F.split(path, "/"), -1), F.lit(""))
 
 
+def profile_id_in_url(c: Column) -> Column:
+    """What follows ``/fighters/`` in a url."""
+    return clean(F.nullif(F.regexp_extract(clean(c), r"/fighters/([^/?#]+)", 1), F.lit("")))
+
+
+def uuid(c: Column) -> Column:
+    """A UUID in canonical form; braces, a ``urn:uuid:`` prefix and hyphens may be there or not."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace(clean(c), "^(?:urn:)?(?:uuid:)?", ""), "[{}-]", ""))
+    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+
+
+def stable_uuid(name: Column) -> Column:
+    """UUID of version 5 in the url namespace: the same name has the same id in every run."""
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), name.cast("binary")))
+    part = lambda start, n: F.substring(h, start, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def promotion_key(slug: Column, name: Column) -> Column:
+    """``slug:...`` where there is a slug, else ``name:...`` in lower case."""
+    return F.coalesce(F.concat(F.lit("slug:"), slug), F.concat(F.lit("name:"), F.lower(clean(name))))
+
+
 def hex_id(c: Column) -> Column:
     return F.when(clean(c).rlike("^[0-9a-fA-F]{16}$"), F.lower(clean(c)))
 
@@ -86,6 +114,45 @@ def flexible_date(c: Column) -> Column:
     return F.coalesce(F.try_to_date(one, "yyyy-MM-dd"), F.try_to_date(one, "yyyy-MMM dd"), F.try_to_date(one, "yyyy-MMM d"))
 
 
+def timestamp(c: Column) -> Column:
+    """An ISO timestamp; ``Z`` and offsets are applied, times without a zone are taken in the session's (UTC)."""
+    return F.when(clean(c).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.replace(clean(c), F.lit("Z"), F.lit("+00:00"))))
+
+
+def processing_date(meta: Column, fallback: Column) -> Column:
+    """The source's own event date in the record's JSON, where it can be read, else the event's."""
+    return F.coalesce(flexible_date(F.get_json_object(meta, "$.tapology_event_date")), fallback)
+
+
+def fight_minutes(finish_round: Column, finish_seconds: Column, scheduled: Column) -> Column:
+    """Minutes by round and time of the finish, by its round, or by the schedule."""
+    whole = F.greatest(finish_round - 1, F.lit(0)) * 5.0 + finish_seconds / 60.0
+    return F.coalesce(whole, finish_round * 5.0, scheduled * 5.0)
+
+
+def int_or(c: Column, default: int) -> Column:
+    return F.coalesce(F.when(clean(c).rlike(r"^[+-]?\d+$"), clean(c).try_cast("int")), F.lit(default))
+
+
+def double_or(c: Column, default: float) -> Column:
+    return F.coalesce(clean(c).try_cast("double"), F.lit(float(default)))
+
+
+def gender(c: Column) -> Column:
+    up = F.upper(clean(c))
+    return F.when(up.isin("M", "F"), up).otherwise("U")
+
+
+def member(c: Column, members: tuple[str, ...], default: str | None = None, unknown: str | None = None) -> Column:
+    """``c`` if it is one of ``members``. Other texts give ``default``, or ``unknown`` where there is none; missing ones give ``default``."""
+    known = clean(c)
+    return F.when(known.isin(*members), known).when(known.isNotNull() & F.lit(default is None), F.lit(unknown)).otherwise(F.lit(default))
+
+
+def sport(c: Column) -> Column:
+    return member(c, SPORTS, "unknown")
+
+
 def boolean(c: Column) -> Column:
     low = F.lower(clean(c))
     return F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False)
@@ -100,6 +167,44 @@ def inverse_result(c: Column) -> Column:
     return F.when(c == "W", "L").when(c == "L", "W").when(c.isin("D", "NC"), c).otherwise("UNKNOWN")
 
 
+def corner_results(winner: Column, red: Column, blue: Column, method: Column) -> Column:
+    """(red, blue): overturned contests have no result, those without a known winner are draws."""
+    pair = lambda a, b: F.struct(F.lit(a).alias("red"), F.lit(b).alias("blue"))
+    return F.when(method == "OVERTURNED", pair("NC", "NC")).when(winner == red, pair("W", "L")).when(winner == blue, pair("L", "W")).otherwise(pair("D", "D"))
+
+
+def decision_for(outcome: Column, method: Column, decision: Column) -> Column:
+    return F.when(outcome == "D", "DRAW").when((method != "DEC") | (decision == "UNKNOWN"), "NA").otherwise(decision)
+
+
+def rating_outcome(c: Column) -> Column:
+    """What rating knows of a result: anything else is a draw."""
+    return F.when(c.isin("W", "L", "D", "NC"), c).otherwise("D")
+
+
+def pair_outcome(a: Column, b: Column) -> Column:
+    """The outcome of a; from b's where a's is not known."""
+    return F.coalesce(F.when(a.isin("W", "L", "D", "NC"), a), F.when(b == "W", "L").when(b == "L", "W").otherwise(b))
+
+
+def finish_method(group: Column) -> Column:
+    up = F.upper(group)
+    return F.when(up.isin(*METHODS), up).otherwise("UNKNOWN")
+
+
+def ends_early(group: Column) -> Column:
+    """Whether a method group is a finish in the ontology, where disqualifications count."""
+    return group.isin("KO", "TKO", "SUB", "DQ")
+
+
+def ruleset(sport: Column, rounds: Column, title: Column) -> Column:
+    """(ruleset, rounds) by sport, scheduled rounds and title."""
+    n = F.coalesce(rounds, F.when(sport == "mma", F.when(title, 5).otherwise(3)))
+    mma = F.when((n == 5) & title, F.lit("unified_mma_title_5x5")).otherwise(F.concat(F.lit("unified_mma_"), n.cast("string"), F.lit("x5")))
+    other = F.concat(sport, F.coalesce(F.concat(F.lit("_"), n.cast("string"), F.lit("x5")), F.lit("_unknown")))
+    return F.struct(F.when(sport == "mma", mma).otherwise(other).alias("ruleset"), F.coalesce(n, F.lit(0)).cast("int").alias("rounds"))
+
+
 def method_group(method: Column, details: Column) -> Column:
     """(method, decision) of the first source's labels; the first rule that fits counts."""
     m, d = F.upper(F.trim(F.coalesce(method, F.lit("")))), F.lower(F.trim(F.coalesce(details, F.lit(""))))
@@ -129,38 +234,19 @@ def method_group_second(method: Column, details: Column) -> Column:
     )
 
 
-def division_phrase(label: Column) -> Column:
-    low = F.lower(F.coalesce(label, F.lit("")))
-    found = F.when(F.lit(False), F.lit(""))
-    for phrase, code in DIVISIONS:
-        found = found.when(low.contains(phrase), code)
-    return found
-
-
-def nearest_division(lbs: Column) -> Column:
-    """The limit nearest to a weight; the lighter of equals."""
-    gaps = F.array(*[F.struct(F.abs(F.lit(limit) - lbs).alias("gap"), F.lit(k).alias("k"), F.lit(code).alias("code")) for k, (code, limit) in enumerate(LIMITS)])
-    return F.when(lbs.isNotNull(), F.array_min(gaps)["code"])
-
-
-def weight_limit(label: Column, lbs: Column) -> Column:
-    """(unit, value, lbs, confidence) of a weight label with a unit, else of the pounds column."""
-    low, number = F.lower(F.coalesce(label, F.lit(""))), F.bround(first_number(label), 2).cast("decimal(10,2)")
-    kg, lb = low.contains("kg"), low.contains("lb") | low.contains("pound")
-    row = lambda unit, value, pounds, sure: F.struct(F.lit(unit).cast("string").alias("unit"), value.cast("decimal(10,2)").alias("value"), pounds.cast("decimal(10,2)").alias("lbs"), F.lit(sure).cast("decimal(4,3)").alias("confidence"))
-    none, given = F.lit(None), F.bround(to_decimal(lbs), 2)
-    return (
-        F.when(kg & number.isNotNull(), row("kg", number, F.bround(number * F.lit("2.20462").cast("decimal(7,5)"), 2), 0.98)).when(kg, row(None, none, none, 0.3))
-        .when(lb & number.isNotNull(), row("lb", number, number, 0.98)).when(lb, row(None, none, none, 0.3))
-        .when(given.isNotNull() & number.isNull(), row("lb", given, given, 0.96)).otherwise(row(None, none, none, 0.5))
-    )
-
-
 def inches_to_cm(c: Column) -> Column:
     return F.bround(c * F.lit("2.54").cast("decimal(4,2)"), 2)
 
 
-def json_number(doc: Column, key: str) -> Column:
-    """A number under a key; strings and other values do not count."""
-    bare = F.regexp_extract(doc, rf'"{key}"\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*[,}}]', 1)
-    return F.nullif(bare, F.lit("")).try_cast("double")
+def json_number(doc: Column, key: str, kind: str = "double") -> Column:
+    """The number under a key of the document itself; strings, booleans and objects there do not count, nor do keys further inside."""
+    found = F.try_variant_get(F.try_parse_json(doc), f"$.{key}", "variant")
+    return F.when(~F.schema_of_variant(found).isin("STRING", "BOOLEAN", "VOID") & ~F.schema_of_variant(found).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(found, "$", kind))
+
+
+def profile_facts(extra: Column, rating: Column) -> dict[str, Column]:
+    """What the profile table takes of a snapshot's JSON: skills, the peak (at least the rating) and the streak as JSON."""
+    facts = {name: json_number(extra, key, "decimal(10,4)") for name, key in (("strike", "striking"), ("grapple", "grappling"), ("durability", "durability"))}
+    streak = json_number(extra, "streak")
+    known = F.to_json(F.struct(streak.cast("int").alias("win_streak"), F.coalesce(json_number(extra, "mma_fights"), F.lit(0)).cast("int").alias("mma_fights")))
+    return facts | {"peak": F.greatest(rating.cast("decimal(10,4)"), json_number(extra, "peak", "decimal(10,4)")), "streaks": F.when(streak.isNotNull(), known).otherwise("{}")}

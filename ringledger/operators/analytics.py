@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def longest_streak(sides: DataFrame, who: str = "contestant", result: str = "result", order: tuple[str, ...] = ("day", "contest_id")) -> DataFrame:
     """Most wins in a row; losses and draws end a streak, no-contests do not."""
@@ -43,29 +45,63 @@ def capped_area(series: DataFrame, who: str, value: str, day: str, base: float =
     return parts.groupBy(who).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"), F.coalesce(F.sum("_e"), F.lit(0)).alias("elite_days"))
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str | Column], n: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``n`` over the rows of its group up to and with its own, in the order of ``order`` (which must tell rows of a group apart).
+
+    No task sees a whole group: rows are range-partitioned and written, each range is summed on its own, and what lies before it comes from one row a
+    group and range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*group, "_range").agg(F.sum(n).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = placed.withColumn("_within", F.sum(n).over(within)).alias("p").join(F.broadcast(before).alias("q"), [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("_range", *group)])
+    return both.select(*[f"p.{c}" for c in df.columns], (F.col("p._within") + F.col("q._before")).alias(out))
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the exact median of each column, nulls left out, from counts of its distinct values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*").where("value is not null")
+    counts = running_total(long.groupBy("name", "value").agg(F.count("*").alias("n")), ["name"], ["value"], "n", "upto")
+    total = counts.groupBy("name").agg(F.sum("n").alias("all"))
+    spot = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    met = counts.join(F.broadcast(total), "name").where(spot(low) | spot(high))
+    middle = met.groupBy("name").agg(((F.min("value") + F.max("value")) / 2).alias("m"))
+    return middle.groupBy().pivot("name", columns).agg(F.first("m"))
+
+
 def nearest_rank(df: DataFrame, value: str, p: float, fallback: float) -> DataFrame:
-    """The value at index min(n - 1, floor(n p)) of the sorted values, by counting per distinct value (no global sort)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    """The value at index min(n - 1, floor(n p)) of the sorted values, from counts of the distinct ones."""
+    counts = running_total(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), [], [value], "n", "upto")
     total = counts.agg(F.sum("n").alias("all"))
-    sums = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
     wanted = F.least(F.col("all") - 1, F.floor(F.col("all") * p))
-    return sums.join(F.broadcast(total)).where(F.col("upto") > wanted).agg(F.coalesce(F.min(value), F.lit(fallback)).alias("nearest_rank"))
+    return counts.join(F.broadcast(total)).where(F.col("upto") > wanted).agg(F.coalesce(F.min(value), F.lit(fallback)).alias("nearest_rank"))
 
 
 def robust_z(df: DataFrame, value: str, out: str = "z") -> DataFrame:
     """(x - median) / (1.4826 MAD), or by the sample deviation where the MAD is 0, or by 1; cut at 4."""
-    centre = df.agg(F.median(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    centre = medians(df, [value]).withColumnRenamed(value, "_m").join(df.agg(F.stddev_samp(value).alias("_s")))
     off = df.join(F.broadcast(centre))
-    spread = off.agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"))
+    spread = medians(off.select(F.abs(F.col(value) - F.col("_m")).alias("_mad")), ["_mad"])
     scale = F.when(F.col("_mad") > 1e-9, 1.4826 * F.col("_mad")).when(F.col("_s") > 1e-9, F.col("_s")).otherwise(1.0)
     z = (F.col(value) - F.col("_m")) / scale
     return off.join(F.broadcast(spread)).withColumn(out, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), z))).drop("_m", "_s", "_mad")
 
 
 def strict_percentile(df: DataFrame, group: list[str], value: str, out: str = "percentile") -> DataFrame:
-    """Share of the group strictly below, with the row's own group as pool."""
-    w = Window.partitionBy(*group)
-    return df.withColumn(out, (F.rank().over(w.orderBy(value)) - 1) / F.count("*").over(w))
+    """Share of the group strictly below, with the row's own group as pool; from counts of the group's distinct values, so no task holds a group."""
+    counts = running_total(df.groupBy(*group, value).agg(F.count("*").alias("_n")), group, [value], "_n", "_upto")
+    pool = counts.groupBy(*group).agg(F.sum("_n").alias("_all"))
+    same = lambda x, y, keys: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in keys]
+    shares = counts.alias("c").join(pool.alias("g"), same("c", "g", group)).select(*[f"c.{c}" for c in (*group, value)], ((F.col("_upto") - F.col("_n")) / F.col("_all")).alias("_share"))
+    return df.alias("d").join(shares.alias("s"), same("d", "s", [*group, value])).select("d.*", F.col("s._share").alias(out))
+
+
+def rank_in_group(df: DataFrame, group: list[str], order: list[str | Column], out: str = "rank") -> DataFrame:
+    """Row numbers within groups, of which none is sorted in one task; ``order`` must tell rows apart."""
+    return running_total(df.withColumn("_one", F.lit(1)), group, order, "_one", out).drop("_one").withColumn(out, F.col(out).cast("int"))
 
 
 def weighted(parts: dict[str, float]) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..session import cut
 from .graph import components
 
 # Fixed values of the systems.
@@ -29,15 +31,12 @@ FACTOR_WEIGHTS = {"mma": (1.0, 0.35, 0.35, 0.20), "striking": (0.0, 1.0, 0.0, 0.
 UNIFIED = {
     "rating": 1500.0, "scale": 400.0, "rd": 300.0, "volatility": 0.06, "growth": 0.05, "rd_bounds": (30.0, 350.0), "k0": 28.0, "tier": {"A": 1.0, "B": 0.85, "C": 0.70}, "title": 1.10, "finish": 1.08, "margin": (0.45, 0.40),
     "experience": ((5, 1.20), (12, 1.0), 0.90), "active": 1.05, "layoff": 0.88, "layoff_days": 540, "promotion": (0.85, 0.30, 0.75, 1.12), "upset": (0.30, 0.40), "quality": 0.15, "consistency": 0.10,
-}
-
-UNIFIED_SKILLS = {
-    "variance": (1.0, 1.2, 1.2, 1.0, 1.1), "noise": (0.0007, 0.0010, 0.0010, 0.0008, 0.0009), "composite": (0.55, 0.45), "floor": 0.35, "decay": 0.02, "blend": (0.45, 0.40, 0.15), "form": (0.04, 0.12), "bracket": "b",
+    "variance": (1.0, 1.2, 1.2, 1.0, 1.1), "noise": (0.0007, 0.0010, 0.0010, 0.0008, 0.0009), "composite": (0.55, 0.45), "floor": 0.35, "decay": 0.02, "blend": (0.45, 0.40, 0.15), "form": (0.04, 0.12),
     "weights": {"mma": (1.0, 0.30, 0.30, 0.20, 0.20), "striking": (0.0, 1.0, 0.0, 0.20, 0.15), "grappling": (0.0, 0.0, 1.0, 0.15, 0.20), "other": (0.25, 0.45, 0.20, 0.20, 0.15)},
 }
 
 COLUMNS = ["contest_id", "day", "a", "b", "outcome", "sport", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier", "margin"]
-DELTA = "system string, contest_id long, contestant long, opponent long, day date, seq long, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long"
+DELTA = "system string, contest_id long, contestant long, opponent long, day date, seq long, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long, expected_after double, latent double, streak int, peak double, finish_rate double"
 
 
 def clip(v: float, low: float, high: float) -> float:
@@ -99,62 +98,78 @@ class Glicko:
             self.rd = s * math.sqrt((self.rd / s) ** 2 + days / GLICKO["period"] * growth**2)
 
 
-def volatility(phi: float, delta: float, v: float, sigma: float, end: str = "a") -> float:
-    """Root of the volatility equation by the regula falsi with halving; ``end`` names the bracket end that is returned."""
-    tau, a = GLICKO["tau"], math.log(sigma * sigma)
+def volatility(phi: float, sigma: float, gain: float, variance: float, tau: float = GLICKO["tau"]) -> float:
+    """The volatility at which the published condition on x = ln(sigma^2) holds, to machine precision.
 
-    def f(x: float) -> float:
-        ex = math.exp(x)
-        return ex * (delta**2 - phi**2 - v - ex) / (2 * (phi**2 + v + ex) ** 2) - (x - a) / tau**2
+    ``gain`` is the improvement that the result suggests and ``variance`` that of the performance. The condition falls in x around its root,
+    so a bracket is widened by steps of tau below the old value and closed by Ridders' rule.
+    """
+    start = 2 * math.log(sigma)
+    apart = gain * gain - phi * phi - variance
 
-    low = a
-    if delta**2 > phi**2 + v:
-        high = math.log(delta**2 - phi**2 - v)
-    else:
-        k = 1
-        while f(a - k * tau) < 0:
-            k += 1
-        high = a - k * tau
-    f_low, f_high = f(low), f(high)
-    while abs(high - low) > GLICKO["epsilon"]:
-        middle = low + (low - high) * f_low / (f_high - f_low)
-        f_middle = f(middle)
-        if f_middle * f_high < 0 or (end == "b" and f_middle * f_high == 0):
-            low, f_low = high, f_high
-        else:
-            f_low /= 2
-        high, f_high = middle, f_middle
-    return math.exp((low if end == "a" else high) / 2)
-
-
-def _g(phi: float) -> float:
-    return 1 / math.sqrt(1 + 3 * phi**2 / math.pi**2)
-
-
-def glicko_one(rating: float, rd: float, sigma: float, other: float, other_rd: float, score: float, end: str = "a") -> tuple[float, float, float]:
-    s = GLICKO["scale"]
-    mu, phi, g = (rating - 1500) / s, rd / s, _g(other_rd / s)
-    e = 1 / (1 + math.exp(-g * (mu - (other - 1500) / s)))
-    v = 1 / (g * g * e * (1 - e))
-    new_sigma = volatility(phi, v * g * (score - e), v, sigma, end)
-    new_phi = 1 / math.sqrt(1 / (phi**2 + new_sigma**2) + 1 / v)
-    return 1500 + s * (mu + new_phi**2 * g * (score - e)), s * new_phi, new_sigma
+    def slack(x: float) -> float:
+        ex = math.exp(x)
+        return ex * (apart - ex) / (2 * (phi * phi + variance + ex) ** 2) - (x - start) / (tau * tau)
+
+    low = high = start
+    if apart > 0:
+        low, high = min(start, math.log(apart)), max(start, math.log(apart))
+    while slack(low) < 0:
+        low -= tau
+    at_low, at_high = slack(low), slack(high)
+    if at_low == 0 or at_high == 0:
+        return math.exp((low if at_low == 0 else high) / 2)
+    for _ in range(60):
+        middle = (low + high) / 2
+        at_middle = slack(middle)
+        if at_middle == 0 or high - low < 1e-13:
+            return math.exp(middle / 2)
+        x = min(max(middle + (middle - low) * at_middle / math.sqrt(at_middle * at_middle - at_low * at_high), low), high)
+        at_x = slack(x)
+        for point, value in sorted(((middle, at_middle), (x, at_x))):
+            if value > 0:
+                low, at_low = max(low, point), value
+            else:
+                high, at_high = point, value
+                break
+        if at_x == 0:
+            return math.exp(x / 2)
+    return math.exp((low + high) / 4)
+
+
+def dampening(phi: float) -> float:
+    """How much a result says against an opponent of that deviation."""
+    return 1 / math.sqrt(1 + 3 * (phi / math.pi) ** 2)
+
+
+def after_contest(gap: float, phi: float, sigma: float, other_phi: float, score: float) -> tuple[float, float, float]:
+    """(deviation, volatility, surprise) after one contest; ``gap`` is the rating less the opponent's, all in units of the scale."""
+    g = dampening(other_phi)
+    e = sigmoid(g * gap)
+    information, surprise = max(1e-9, g * g * e * (1 - e)), g * (score - e)
+    new_sigma = volatility(phi, sigma, surprise / information, 1 / information)
+    return (1 / (phi * phi + new_sigma * new_sigma) + information) ** -0.5, new_sigma, surprise
+
+
+def glicko_expected(x: Glicko, y: Glicko) -> float:
+    """The opponent's deviation alone counts, so the two sides' expectations do not add up to one."""
+    return sigmoid(dampening(y.rd / GLICKO["scale"]) * (x.rating - y.rating) / GLICKO["scale"])
 
 
 def glicko_step(x: Glicko, y: Glicko, c) -> tuple:
     x.idle(c.day)
     y.idle(c.day)
-    s = GLICKO["scale"]
-    e = 1 / (1 + math.exp(-_g(y.rd / s) * (x.rating - y.rating) / s))
+    s, e = GLICKO["scale"], glicko_expected(x, y)
     pre = x.rating, y.rating
     for p in (x, y):
         p.fights, p.last = p.fights + 1, c.day
     if c.sport != "mma" or c.outcome in ("NC", "D"):
         return pre, pre, e, 0.5 if c.outcome == "D" else e, 0.0, 0.0
     t = anchored(c.outcome, c.base, e)
-    new_x = glicko_one(x.rating, x.rd, x.volatility, y.rating, y.rd, t)
-    new_y = glicko_one(y.rating, y.rd, y.volatility, x.rating, x.rd, 1 - t)
-    (x.rating, x.rd, x.volatility), (y.rating, y.rd, y.volatility) = new_x, new_y
+    gap, phis = (x.rating - y.rating) / s, (x.rd / s, y.rd / s)
+    for p, d, other, score, sign in ((x, phis[0], phis[1], t, 1), (y, phis[1], phis[0], 1 - t, -1)):
+        phi, p.volatility, surprise = after_contest(sign * gap, d, p.volatility, other, score)
+        p.rating, p.rd = p.rating + s * phi * phi * surprise, s * phi
     return pre, (x.rating, y.rating), e, t, 0.0, 0.0
 
 
@@ -225,7 +240,7 @@ class Unified:
     rd: float = UNIFIED["rd"]
     volatility: float = UNIFIED["volatility"]
     mean: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    cov: np.ndarray = field(default_factory=lambda: np.diag(UNIFIED_SKILLS["variance"]).astype(float))
+    cov: np.ndarray = field(default_factory=lambda: np.diag(UNIFIED["variance"]).astype(float))
     fights: int = 0
     last: object = None
     streak: int = 0
@@ -234,23 +249,23 @@ class Unified:
     peak: float = UNIFIED["rating"]
 
     def blend(self) -> float:
-        own, skill = UNIFIED_SKILLS["composite"]
+        own, skill = UNIFIED["composite"]
         return own * self.base + skill * (UNIFIED["rating"] + UNIFIED["scale"] * float(self.mean[0]))
 
     @property
     def rating(self) -> float:
         start = UNIFIED["rating"]
-        return max(self.blend(), start + UNIFIED_SKILLS["floor"] * (self.peak - start)) if self.peak > start else self.blend()
+        return max(self.blend(), start + UNIFIED["floor"] * (self.peak - start)) if self.peak > start else self.blend()
 
     def idle(self, day) -> None:
         if self.last is not None and (days := max(0, (day - self.last).days)):
             s = GLICKO["scale"]
             self.rd = clip(s * math.sqrt((self.rd / s) ** 2 + days / GLICKO["period"] * UNIFIED["growth"] ** 2), *UNIFIED["rd_bounds"])
-            self.cov = self.cov + days * np.diag(UNIFIED_SKILLS["noise"])
+            self.cov = self.cov + days * np.diag(UNIFIED["noise"])
 
 
-def unified_k(x: Unified, y: Unified, c, e: float) -> float:
-    """The factors of K for ``x``; ``e`` is its expectation. An upset is judged by a's outcome for both sides."""
+def unified_k(x: Unified, y: Unified, c, e: float, won: bool) -> float:
+    """The factors of K for ``x``; ``e`` is its expectation and ``won`` the outcome by which an upset is judged."""
     u = UNIFIED
     slope, most = u["margin"]
     (few, early), (some, middle), late = u["experience"]
@@ -260,7 +275,7 @@ def unified_k(x: Unified, y: Unified, c, e: float) -> float:
     k *= early if x.fights < few else middle if x.fights < some else late
     k *= u["layoff"] if x.last is not None and (c.day - x.last).days > u["layoff_days"] else u["active"]
     k *= 1.0 if c.promotion is None else clip(low + rise * clip(c.promotion, 0.0, 1.0), least, top)
-    surprise = 0.5 - e if c.outcome == "W" else e - 0.5
+    surprise = 0.5 - e if won else e - 0.5
     k *= 1 + clip(2 * u["upset"][0] * surprise, 0.0, u["upset"][1])
     k *= 1 + clip(u["quality"] * (y.base - u["rating"]) / u["scale"], -0.15, 0.25)
     k *= 1 + u["consistency"] * max(0.0, 1 - 5 * float(np.std(x.past))) if len(x.past) >= 3 else 1.0
@@ -270,19 +285,19 @@ def unified_k(x: Unified, y: Unified, c, e: float) -> float:
 def unified_one(x: Unified, y: Unified, t: float, k: float) -> tuple[float, float, float]:
     """New backbone rating, deviation and volatility of ``x``."""
     s = GLICKO["scale"]
-    phi, g = x.rd / s, _g(y.rd / s)
-    e = sigmoid(g * (x.base - y.base) / s)
-    v = 1 / max(1e-9, g * g * e * (1 - e))
-    sigma = volatility(phi, v * g * (t - e), v, x.volatility, UNIFIED_SKILLS["bracket"])
-    rd = s / math.sqrt(1 / (phi**2 + sigma**2) + 1 / v)
-    return x.base + k * (t - sigmoid((x.base - y.base) / UNIFIED["scale"])), clip(rd, *UNIFIED["rd_bounds"]), sigma
+    phi, sigma, _ = after_contest((x.base - y.base) / s, x.rd / s, x.volatility, y.rd / s, t)
+    return x.base + k * (t - sigmoid((x.base - y.base) / UNIFIED["scale"])), clip(s * phi, *UNIFIED["rd_bounds"]), sigma
+
 
+def unified_step(x: Unified, y: Unified, c, compat: bool = True) -> tuple:
+    """Other sports move the skills only.
 
-def unified_step(x: Unified, y: Unified, c) -> tuple:
-    """Other sports move the skills only. What counts as won follows a's outcome and the side's own target, so a's loss counts for a."""
+    With ``compat`` what counts as won follows a's outcome and the side's own target, so a's loss counts as a win for a's streak, finishes and remembered
+    scores; without it each side's own outcome and score count.
+    """
     x.idle(c.day)
     y.idle(c.day)
-    w, (by_rating, by_skill, by_form), (each, most) = np.array(UNIFIED_SKILLS["weights"][family(c.sport)]), UNIFIED_SKILLS["blend"], UNIFIED_SKILLS["form"]
+    w, (by_rating, by_skill, by_form), (each, most) = np.array(UNIFIED["weights"][family(c.sport)]), UNIFIED["blend"], UNIFIED["form"]
     form = clip(0.5 + clip(each * (x.streak - y.streak), -most, most), 0.0, 1.0)
     e = by_rating * sigmoid((x.base - y.base) / UNIFIED["scale"]) + by_skill * sigmoid(shifted_gap(w, x.mean, y.mean, c)) + by_form * form
     e = clip(e / (by_rating + by_skill + by_form), 1e-6, 1 - 1e-6)
@@ -294,19 +309,21 @@ def unified_step(x: Unified, y: Unified, c) -> tuple:
         (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
         return pre, (x.rating, y.rating), e, t, 0.0, 0.0
     t = anchored(c.outcome, c.base, e)
-    ks = unified_k(x, y, c, e), unified_k(y, x, c, 1 - e)
+    ks = unified_k(x, y, c, e, c.outcome == "W"), unified_k(y, x, c, 1 - e, (c.outcome == "W") if compat else c.outcome == "L")  # by a's outcome for both
     new = unified_one(x, y, t, ks[0]), unified_one(y, x, 1 - t, ks[1])
     (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
     for p, (base, rd, sigma), own in ((x, new[0], t), (y, new[1], 1 - t)):
         won = (c.outcome == "W" if own > 0.5 else c.outcome == "L") if own != 0.5 else False
         lost = not won and own != 0.5
+        if not compat:
+            won, lost = c.outcome == ("W" if p is x else "L"), c.outcome == ("L" if p is x else "W")
         p.base, p.rd, p.volatility = base, rd, sigma
         p.streak = max(1, p.streak + 1) if won else min(-1, p.streak - 1) if lost else 0
         p.finishes += won and c.method in kernels.FINISHES
         if c.margin is not None:
             score = (1 + c.margin) / 2
-            p.past = [*p.past, score if own > 0.5 else 1 - score][-10:]
-        kept = p.peak - UNIFIED_SKILLS["decay"] * (p.peak - UNIFIED["rating"]) if lost else p.peak
+            p.past = [*p.past, score if (own > 0.5 if compat else p is x) else 1 - score][-10:]
+        kept = p.peak - UNIFIED["decay"] * (p.peak - UNIFIED["rating"]) if lost else p.peak
         p.peak = max(kept, p.blend())
         p.fights, p.last = p.fights + 1, c.day
     return pre, (x.rating, y.rating), e, t, *ks
@@ -315,6 +332,22 @@ def unified_step(x: Unified, y: Unified, c) -> tuple:
 SYSTEMS: dict[str, tuple[Callable, Callable]] = {"elo": (Elo, elo_step), "glicko": (Glicko, glicko_step), "factor": (Factor, factor_step), "unified": (Unified, unified_step)}
 
 
+def elo_expected(x: Elo, y: Elo) -> float:
+    return sigmoid((x.rating - y.rating) / 400)
+
+
+AFTER = {"elo": elo_expected, "glicko": glicko_expected}
+
+
+def facts(system: str, p) -> tuple:
+    """(latent, streak, peak, finish_rate): the MMA-weighted latent strength of a factor state, the rest of a unified one."""
+    if system == "factor":
+        return float(np.dot(FACTOR_WEIGHTS["mma"], p.mean)), None, None, None
+    if system == "unified":
+        return None, p.streak, p.peak, p.finishes / p.fights if p.fights else 0.0
+    return None, None, None, None
+
+
 def prepared(log: DataFrame) -> DataFrame:
     """The log with what a contest alone decides: its order, the target before anchoring and the static part of K."""
     k = kernels
@@ -326,41 +359,47 @@ def prepared(log: DataFrame) -> DataFrame:
     return log.select(*COLUMNS, base.alias("base"), k.k_static(F.col("tier"), F.col("rounds"), F.col("title"), F.col("method"), F.col("margin"), F.col("promotion")).alias("k"))
 
 
-def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), by_component: bool = True) -> DataFrame:
+def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), by_component: bool = True, compat: bool = True) -> DataFrame:
     """Two rows a contest and system (``DELTA``), contests in the order of (day, contest_id).
 
+    ``expected`` is the expectation before the contest, ``expected_after`` (Elo and Glicko) that of the updated states, for a in both rows.
     ``seq`` numbers a contestant's contests within a task. Contests of one component never leave their task, so states are
-    whole; without ``by_component`` a system is one stream.
+    whole; without ``by_component`` a system is one stream. Without ``compat`` the unified system takes each side's own outcome.
     """
-    ready = prepared(log)
+    ready = cut(prepared(log))  # read twice: for the components and for the fold
     if by_component:
-        label = components(log.select("a", "b"), "a", "b")
+        label = components(ready.select("a", "b"), "a", "b")
         ready = ready.join(label.select(F.col("node").alias("a"), "component"), "a")
     else:
         ready = ready.withColumn("component", F.lit(0).cast("long"))
     ready = ready.withColumn("system", F.explode(F.array(*[F.lit(s) for s in systems])))
     parts = max(len(systems), int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = ready.repartition(parts, "system", "component").sortWithinPartitions("system", "component", "day", "contest_id")
+    columns = [x.split()[0] for x in DELTA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, states, make, step = None, {}, None, None
+        key, states, make, step, after = None, {}, None, None, None
         for batch in batches:
             out = []
             for c in batch.astype({"promotion": object, "margin": object}).where(batch.notna(), None).itertuples(index=False):
                 if key != (c.system, c.component):
                     key, states = (c.system, c.component), {}
                     make, step = SYSTEMS[c.system]
+                    after = AFTER.get(c.system)
+                    if step is unified_step:
+                        step = partial(unified_step, compat=compat)
                 x, y = (states[n] if n in states else states.setdefault(n, make()) for n in (c.a, c.b))
                 pre, post, e, t, kx, ky = step(x, y, c)
                 seq = c.day.toordinal() * 10**9 + c.contest_id % 10**9
-                out.append((c.system, c.contest_id, c.a, c.b, c.day, seq, pre[0], post[0], e, t, kx, x.rd, x.fights))
-                out.append((c.system, c.contest_id, c.b, c.a, c.day, seq, pre[1], post[1], 1 - e, 1 - t, ky, y.rd, y.fights))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in DELTA.split(", ")])
+                later = after(x, y) if after else None
+                out.append((c.system, c.contest_id, c.a, c.b, c.day, seq, pre[0], post[0], e, t, kx, x.rd, x.fights, later, *facts(c.system, x)))
+                out.append((c.system, c.contest_id, c.b, c.a, c.day, seq, pre[1], post[1], 1 - e, 1 - t, ky, y.rd, y.fights, later, *facts(c.system, y)))
+            yield pd.DataFrame(out, columns=columns).astype({"streak": "Int32"})
 
     return dealt.mapInPandas(run, DELTA)
 
 
 def latest(deltas: DataFrame) -> DataFrame:
     """The last state of each contestant and system, in one partial aggregation."""
-    last = F.max_by(F.struct("day", F.col("post_rating").alias("rating"), "rd", "fights"), F.struct("day", "contest_id"))
+    last = F.max_by(F.struct("day", F.col("post_rating").alias("rating"), "rd", "fights", "latent", "streak", "peak", "finish_rate"), F.struct("day", "contest_id"))
     return deltas.groupBy("system", "contestant").agg(last.alias("s")).select("system", "contestant", "s.*")

@@ -6,39 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from ..session import cut
 
 
-def forward_asof(left: DataFrame, left_time: str, marks: DataFrame, mark_time: str, mark_id: str, salts: int = 16) -> DataFrame:
+def forward_asof(left: DataFrame, left_time: str, marks: DataFrame, mark_time: str, mark_id: str, salts: int | None = None) -> DataFrame:
     """``left`` with the first mark at or after its time (ties: the smallest id); null times and those past the end get the last mark.
 
-    Marks and rows are merged in one sorted sweep. Rows are dealt over salts and the marks (the smaller side) repeated in each, so
-    a time that many rows share does not gather in one task.
+    Marks and rows are merged in one sorted sweep from the last time to the first, in which a running frame carries the mark met last. Rows are dealt
+    over salts (as many as shuffle partitions) and the marks (the smaller side) repeated in each, so a time that many rows share does not gather in one task.
     """
+    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = marks.agg(F.max_by(F.struct(mark_time, mark_id), F.struct(F.col(mark_time), -F.col(mark_id))).alias("_last"))
     one = marks.where(F.col(mark_time).isNotNull()).groupBy(mark_time).agg(F.min(mark_id).alias("_id"))
     opened = one.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col(mark_time).alias("_at"), F.lit(1).alias("_mark"), F.struct(F.col(mark_time), F.col("_id").alias(mark_id)).alias("_met"))
     rows = left.select("*", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_salt"), F.col(left_time).alias("_at"), F.lit(0).alias("_mark"))
-    ahead = Window.partitionBy("_salt").orderBy(F.col("_at").asc_nulls_first(), "_mark").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    met = rows.unionByName(opened, allowMissingColumns=True).withColumn("_met", F.when(F.col("_at").isNotNull(), F.first("_met", ignorenulls=True).over(ahead))).where("_mark = 0")
+    back = Window.partitionBy("_salt").orderBy(F.col("_at").desc_nulls_last(), F.desc("_mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(opened, allowMissingColumns=True).withColumn("_met", F.when(F.col("_at").isNotNull(), F.last("_met", ignorenulls=True).over(back))).where("_mark = 0")
     return met.join(F.broadcast(last)).select(*left.columns, F.coalesce("_met", "_last")[mark_id].alias(mark_id), F.coalesce("_met", "_last")[mark_time].alias(mark_time))
 
 
-def greedy_match(pairs: DataFrame, left: str, right: str, weight: str, max_rounds: int = 100) -> DataFrame:
-    """One-to-one pairs as greedy choice by (-weight, left, right) gives them: in rounds, pairs that are best for both sides are taken."""
+def greedy_match(pairs: DataFrame, left: str, right: str, weight: str) -> DataFrame:
+    """One-to-one pairs as greedy choice by (-weight, left, right) gives them: in rounds, pairs that are best for both sides are taken.
+
+    Every round takes at least the best pair that is left, so the rounds end.
+    """
     rest, taken = cut(pairs.select(left, right, weight).where(F.col(left).isNotNull() & F.col(right).isNotNull())), None
-    order = [F.col(weight).desc(), F.col(left), F.col(right)]
-    for _ in range(max_rounds):
+    while True:
         best = F.min(F.struct((-F.col(weight)).alias("w"), left, right))
         mine = rest.groupBy(left).agg(best.alias("x")).select("x.*")
         yours = rest.groupBy(right).agg(best.alias("x")).select("x.*")
         both = cut(mine.join(yours, ["w", left, right]).select(left, right, (-F.col("w")).alias(weight)))
         if both.isEmpty():
             return taken if taken is not None else both
-        taken = both if taken is None else taken.unionByName(both)
+        taken = both if taken is None else cut(taken.unionByName(both))
         rest = cut(rest.join(both.select(left), left, "left_anti").join(both.select(right), right, "left_anti"))
-    del order
-    raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
 
 
 def merge_sources(primary: DataFrame, secondary: DataFrame, key: str, unknown: str = "UNKNOWN") -> DataFrame:
@@ -61,3 +63,28 @@ def latest_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Dat
     """The last row of each group by ``order``, in one partial aggregation."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s")).select(*keys, "_s.*")
+
+
+def lookup_with_fallback(rows: DataFrame, table: DataFrame, keys: list[str], value: str, fallback: dict[str, object]) -> DataFrame:
+    """``rows`` with ``value`` of ``table`` by ``keys``, or by the same keys with some replaced as ``fallback`` says, else null. ``table`` is a small dimension."""
+    first = table.select(*keys, F.col(value).alias("_first"))
+    second = table.where(" and ".join(f"{k} = '{v}'" for k, v in fallback.items())).select(*[k for k in keys if k not in fallback], F.col(value).alias("_second"))
+    joined, rest = rows.join(first, keys, "left"), [k for k in keys if k not in fallback]
+    joined = joined.join(second, rest, "left") if rest else joined.join(second, how="left")
+    return joined.select(*rows.columns, F.coalesce("_first", "_second").alias(value))
+
+
+def merge_participants(primary: DataFrame, secondary: DataFrame, prefer_known: bool = False) -> DataFrame:
+    """One row a (contest, contestant) of two sources; opponents that only the other side names are inferred, with the outcome turned round.
+
+    Both have (contest_id, contestant, opponent, outcome, record). The secondary source's outcome counts where it has a row, even if it is ``UNKNOWN``
+    (with ``prefer_known`` only where it is known); other fields are filled from the primary.
+    """
+    keys = ["contest_id", "contestant"]
+    p, s = primary.dropDuplicates(keys), secondary.dropDuplicates(keys)
+    theirs = F.when(F.col("s.outcome") != "UNKNOWN", F.col("s.outcome")) if prefer_known else F.col("s.outcome")
+    pick = lambda c: F.coalesce(f"s.{c}", f"p.{c}").alias(c)
+    both = p.alias("p").join(s.alias("s"), keys, "full_outer").select(*keys, pick("opponent"), F.coalesce(theirs, "p.outcome", "s.outcome").alias("outcome"), pick("record"), F.lit(False).alias("inferred"))
+    named = s.where("opponent is not null").select("contest_id", F.col("opponent").alias("contestant"), F.col("contestant").alias("opponent"), text.inverse_result(F.col("outcome")).alias("outcome"), F.lit(None).cast("string").alias("record"), F.lit(True).alias("inferred"))
+    missing = named.join(both.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct("opponent", "outcome", "record", "inferred"), "opponent").alias("x")).select(*keys, "x.*")
+    return both.unionByName(missing)

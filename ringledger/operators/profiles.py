@@ -25,18 +25,27 @@ BASE, UPSET, ELITE, TOP = 1500.0, 0.40, (0.90, 1700.0), (0.75, 1600.0)
 
 
 def robust_all(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every column replaced by its robust z; two aggregations whatever the number of columns."""
-    centre = F.broadcast(df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]))
-    off = df.join(centre)
-    off = off.join(F.broadcast(off.agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in columns])))
+    """Every column replaced by its robust z; medians of all columns come from one pass, their deviations from a second."""
+    named = lambda row, mark: row.select(*[F.col(c).alias(f"{mark}{c}") for c in columns])
+    centre = named(analytics.medians(df, columns), "_m_").join(df.agg(*[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]))
+    off = df.join(F.broadcast(centre))
+    spread = analytics.medians(off.select(*[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns]), columns)
+    off = off.join(F.broadcast(named(spread, "_d_")))
     scale = lambda c: F.when(F.col(f"_d_{c}") > 1e-9, 1.4826 * F.col(f"_d_{c}")).when(F.col(f"_s_{c}") > 1e-9, F.col(f"_s_{c}")).otherwise(1.0)
     return off.withColumns({c: kernels.clip((F.col(c) - F.col(f"_m_{c}")) / scale(c), -4, 4) for c in columns}).select(*df.columns)
 
 
-def schedule(deltas: DataFrame) -> DataFrame:
-    """Strength of the opponents: means of their ratings, upsets, spread of rating changes; all from the opponent's side of a contest."""
+def schedule(deltas: DataFrame, compat: bool = True) -> DataFrame:
+    """Strength of the opponents: means of their ratings, upsets, spread of rating changes.
+
+    With ``compat`` expectation and change are those of the opponent's side of a contest, so an upset is a win over one who was not expected to win; without it
+    they are the contestant's own.
+    """
     other = deltas.select("contest_id", F.col("opponent").alias("contestant"), F.col("pre_rating").alias("r"), F.col("expected").alias("e"), (F.col("post_rating") - F.col("pre_rating")).alias("change"))
-    met = other.where("r > 0").join(deltas.select("contest_id", "contestant", "result"), ["contest_id", "contestant"])
+    own = deltas.select("contest_id", "contestant", "result", F.col("expected").alias("own_e"), (F.col("post_rating") - F.col("pre_rating")).alias("own_change"))
+    met = other.where("r > 0").join(own, ["contest_id", "contestant"])
+    if not compat:
+        met = met.withColumns({"e": F.col("own_e"), "change": F.col("own_change")})
     won = F.col("result") == "W"
     means = met.groupBy("contestant").agg(
         F.avg("r").alias("opponent_rating"), F.coalesce(F.avg(F.when(won, F.col("r"))), F.lit(0.0)).alias("beaten_rating"), F.count_if(won & (F.col("e") < UPSET)).alias("upset_wins"),
@@ -46,7 +55,7 @@ def schedule(deltas: DataFrame) -> DataFrame:
     return means.join(wins, "contestant", "left")
 
 
-def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8) -> DataFrame:
+def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: bool = True) -> DataFrame:
     """One row per contestant with at least ``min_fights`` contests and a win: attributes, z of every pillar, ``score`` and ``place``.
 
     ``sides`` is the log by contestant, ``deltas`` the folds of all systems. Missing attributes count as 0.
@@ -65,7 +74,7 @@ def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8) -> DataFr
     elite = analytics.nearest_rank(peaks.where(F.col("peak_unified") > BASE), "peak_unified", *ELITE).first()[0]
     parts = [
         career, peaks, analytics.rolling_peak(line, "contestant", "v", ("day",)).withColumnRenamed("peak", "peak_three"), analytics.window_peak(line, "contestant", "v", "day").withColumnRenamed("peak", "peak_year"),
-        analytics.capped_area(line, "contestant", "v", "day", BASE, 180, elite), schedule(unified), analytics.longest_streak(mma).withColumnRenamed("longest", "streak")]
+        analytics.capped_area(line, "contestant", "v", "day", BASE, 180, elite), schedule(unified, compat), analytics.longest_streak(mma).withColumnRenamed("longest", "streak")]
     whole = parts[0].where((F.col("fights") >= min_fights) & (F.col("wins") > 0))
     for part in parts[1:]:
         whole = whole.join(part, "contestant", "left")

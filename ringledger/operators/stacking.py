@@ -3,73 +3,117 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
+from ..session import cut
 
-# Fixed values of the stacking fit.
+# Fixed values of the stacking fit, and of the neutral contest of the expected win rates.
 RATE, RIDGE, ROUNDS, MIN_SAMPLES = 0.05, 1e-3, 1500, 20
+NEUTRAL_DAYS, MAX_DOUBT, DOUBT_SCALE = 120.0, 0.49, 800.0
+MAX_LOGIT = float(np.log((1 - 1e-6) / 1e-6))
 #: The reference pool is a fixed number of contestants, so broadcasting it is safe at any size.
 POOL = 300
+#: Labelled contests that the fit takes at most, chosen by a hash of the contest: 14 doubles each are brought together.
+MAX_SAMPLES = 200_000
+SYSTEMS = ("elo", "glicko", "factor")
 
 
-def reference_pool(activity: DataFrame, who: str, n: str, size: int = POOL) -> DataFrame:
-    """The most active contestants; ties by id."""
-    return activity.orderBy(F.desc(n), who).limit(size)
+def reference_pool(activity: DataFrame, who: str, n: str, size: int = POOL, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The most active contestants; ties by ``ties``, then by id."""
+    return activity.orderBy(F.desc(n), *ties, who).limit(size)
 
 
 def expected_win_rate(contestants: DataFrame, pool: DataFrame, who: str, probability: Column, other: str = "other") -> DataFrame:
     """Mean probability over the pool, the contestant's own place left out; 0.5 where nobody is left. ``pool`` must be bounded (it is broadcast)."""
-    met = contestants.join(F.broadcast(pool), F.col(who) != F.col(other), "left")
-    return met.groupBy(who).agg(F.coalesce(F.avg(F.when(F.col(other).isNotNull(), probability)), F.lit(0.5)).alias("win_rate"))
+    met = contestants.join(F.broadcast(pool), F.col(who) != F.col(other), "left").withColumn("_p", probability)
+    return met.groupBy(who).agg(F.coalesce(F.avg("_p"), F.lit(0.5)).alias("win_rate"))
 
 
-def design(log: DataFrame, deltas: DataFrame) -> DataFrame:
-    """One row a decided contest: the 13 terms of the stacking fit, and whether a won."""
-    p = deltas.groupBy("contest_id", "contestant").pivot("system", ["elo", "glicko", "factor"]).agg(F.first("expected"))
-    w = Window.partitionBy("a").orderBy("day", "contest_id")
-    met = Window.partitionBy("b").orderBy("day", "contest_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumns({"days": F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(999)), "known": F.count("*").over(met)}).where("outcome in ('W', 'L')")
-    rows = rows.join(p, (rows.contest_id == p.contest_id) & (rows.a == p.contestant)).drop(p.contest_id)
+def careers(mma_sides: DataFrame) -> DataFrame:
+    """(contest_id, contestant, days, known): days since a contestant's last MMA contest (none: 999) and how many there were, in either role."""
+    w = Window.partitionBy("contestant").orderBy("day", "contest_id")
+    return mma_sides.select("contest_id", "contestant", F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(999)).alias("days"), (F.row_number().over(w) - 1).alias("known"))
+
+
+def terms(logits: list[Column], tier: Column, rounds: Column, title: Column, days: Column, no_division: Column, no_promotion: Column, known: Column) -> Column:
+    """The 14 terms of the fit; there is no network probability, so its logit and flag are 0."""
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    terms = [F.lit(1.0), *[kernels.logit(F.col(s)) for s in ("elo", "glicko", "factor")], F.lit(0.0), F.lit(0.0), flag(F.col("tier") == "A"), flag(F.col("tier") == "B"), flag(F.col("rounds") >= 5), flag(F.col("title")),
-             kernels.clip(F.col("days") / 365.0, 0, 4), flag(F.col("division").isNull()), flag(F.col("promotion").isNull()), kernels.clip(F.col("known") / 20.0, 0, 3)]
-    return rows.select("contest_id", F.array(*terms).alias("x"), flag(F.col("outcome") == "W").alias("won"), ((F.col("elo") + F.col("glicko") + F.col("factor")) / 3).alias("mean"))
+    return F.array(
+        F.lit(1.0), *logits, F.lit(0.0), F.lit(0.0), flag(tier == "A"), flag(tier == "B"), flag(rounds >= 5), flag(title),
+        kernels.clip(days / 365.0, 0, 4), flag(no_division), flag(no_promotion), kernels.clip(known / 20.0, 0, 3))
 
 
-def fit(samples: DataFrame, rounds: int = ROUNDS) -> np.ndarray | None:
+def design(log: DataFrame, mma_sides: DataFrame, deltas: DataFrame, compat: bool = True) -> DataFrame:
+    """(contest_id, x, won, mean) of every decided MMA contest: the terms of the fit for a, and whether a won.
+
+    ``days`` are those of a and ``known`` the contests of b. With ``compat`` the first two systems' probabilities are those of the ratings after the
+    contest, as the reference order has it; without it all are from before.
+    """
+    took = F.when(F.col("system") != "factor", F.col("expected_after")).otherwise(F.col("expected")) if compat else F.col("expected")
+    p = deltas.withColumn("_p", took).groupBy("contest_id", "contestant").pivot("system", list(SYSTEMS)).agg(F.first("_p"))
+    past = careers(mma_sides)
+    rows = log.where("sport = 'mma' and outcome in ('W', 'L')").select("contest_id", "a", "b", "outcome", "tier", "rounds", "title", "division", "promotion")
+    rows = rows.join(past.select("contest_id", F.col("contestant").alias("a"), "days"), ["contest_id", "a"]).join(past.select("contest_id", F.col("contestant").alias("b"), "known"), ["contest_id", "b"])
+    rows = rows.join(p.withColumnRenamed("contestant", "a"), ["contest_id", "a"])
+    c = F.col
+    x = terms([kernels.logit(c(s)) for s in SYSTEMS], c("tier"), c("rounds"), c("title"), c("days"), c("division").isNull(), c("promotion").isNull(), c("known"))
+    return rows.select("contest_id", x.alias("x"), F.when(c("outcome") == "W", 1.0).otherwise(0.0).alias("won"), (sum(c(s) for s in SYSTEMS) / 3).alias("mean"))
+
+
+def fit(samples: DataFrame, rounds: int = ROUNDS, max_samples: int = MAX_SAMPLES) -> np.ndarray | None:
     """Weights after a fixed number of gradient steps (the fit is not run to convergence). Null with too few samples.
 
-    The samples are compressed before they reach the driver: rows that agree in all terms but the three logits cannot be merged, so
-    the fit works on per-task blocks of the design matrix that stay in the executors' results of at most 14 doubles a contest.
+    Up to ``max_samples`` labelled contests are fitted, all of them if there are no more; beyond, a share by the hash of the contest. The rows are brought together in
+    the order of the contests, so sums do not depend on how they were dealt.
     """
-    blocks = samples.select("x", "won").mapInPandas(_blocks, "rows binary, won binary")
-    parts = [(np.frombuffer(r["rows"]).reshape(-1, 14), np.frombuffer(r["won"])) for r in blocks.toLocalIterator()]
-    if sum(len(w) for _, w in parts) < MIN_SAMPLES:
+    n = samples.count()
+    if n < MIN_SAMPLES:
         return None
-    x, y = np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts])
-    order = np.lexsort(x.T)
-    x, y, w = x[order], y[order], np.zeros(x.shape[1])
+    if n > max_samples:
+        samples = samples.where(F.pmod(F.xxhash64("contest_id"), F.lit(1 << 20)) < int((1 << 20) * max_samples / n))
+    rows = samples.select("contest_id", "x", "won").toPandas().sort_values("contest_id")
+    x, y = np.stack(rows["x"].to_numpy()).astype(np.float64), rows["won"].to_numpy(np.float64)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x @ w)))
         w -= RATE * (x.T @ (p - y) / len(y) + RIDGE * np.concatenate([[0.0], w[1:]]))
     return w
 
 
-def _blocks(batches):
-    for b in batches:
-        if len(b):
-            yield pd.DataFrame({"rows": [np.stack(b["x"].to_numpy()).astype(np.float64).tobytes()], "won": [b["won"].to_numpy(np.float64).tobytes()]})
+def predicted(x: Column, w: np.ndarray) -> Column:
+    weighed = F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b)
+    return kernels.logistic(F.aggregate(weighed, F.lit(0.0), lambda s, v: s + v))
 
 
-def stack(log: DataFrame, deltas: DataFrame) -> DataFrame:
+def stack(log: DataFrame, mma_sides: DataFrame, deltas: DataFrame, compat: bool = True) -> DataFrame:
     """(contest_id, p, won); the mean of the three probabilities where there are too few samples."""
-    rows = design(log, deltas)
+    rows = cut(design(log, mma_sides, deltas, compat))
     w = fit(rows)
-    if w is None:
-        return rows.select("contest_id", F.col("mean").alias("p"), "won")
-    z = sum((F.element_at("x", k + 1) * float(v) for k, v in enumerate(w)), F.lit(0.0))
-    return rows.select("contest_id", kernels.logistic(z).alias("p"), "won")
+    return rows.select("contest_id", (F.col("mean") if w is None else predicted(F.col("x"), w)).alias("p"), "won")
+
+
+def win_rates(log: DataFrame, mma_sides: DataFrame, deltas: DataFrame, latest: DataFrame, compat: bool = True) -> DataFrame:
+    """(contestant, win_rate, doubt, adjusted) of everyone with an MMA contest: mean stacked probability of a neutral contest (tier B, three rounds, a decision) against
+    the most active ones, less the doubt that the factor rating leaves.
+
+    ``latest`` has the last state of each contestant and system. The pool is 300 contestants at most, ties by who came first, and is broadcast.
+    """
+    w = fit(design(log, mma_sides, deltas, compat))
+    came = F.min(F.struct("day", "contest_id", F.col("contestant") > F.col("opponent")))
+    active = mma_sides.groupBy("contestant").agg(F.count("*").alias("known"), came.alias("_came"))
+    state = latest.groupBy("contestant").pivot("system", list(SYSTEMS)).agg(F.first(F.struct("rating", "rd", "latent")))
+    now = cut(active.join(state, "contestant", "left").select(
+        "contestant", "known", "_came", F.coalesce("elo.rating", F.lit(1500.0)).alias("elo"), F.coalesce("glicko.rating", F.lit(1500.0)).alias("glicko"), F.coalesce("glicko.rd", F.lit(350.0)).alias("glicko_rd"),
+        F.coalesce("factor.latent", F.lit(0.0)).alias("latent"), F.least(F.lit(MAX_DOUBT), F.col("factor.rd") / DOUBT_SCALE).alias("doubt")))
+    pool = reference_pool(now, "contestant", "known", ties=("_came",))
+    theirs = pool.select(F.col("contestant").alias("other"), *[F.col(c).alias(f"{c}_other") for c in ("known", "elo", "glicko", "glicko_rd", "latent")])
+    gap = lambda c: F.col(c) - F.col(f"{c}_other")
+    dampening = 1 / F.sqrt(1 + 3 * F.pow(F.col("glicko_rd_other") / 173.7178 / F.pi(), 2))
+    # The logit of a logistic is its argument, cut where the probability is.
+    logits = [kernels.clip(g, -MAX_LOGIT, MAX_LOGIT) for g in (gap("elo") / 400.0, dampening * gap("glicko") / 173.7178, gap("latent"))]
+    neutral = terms(logits, F.lit("B"), F.lit(3), F.lit(False), F.lit(NEUTRAL_DAYS), F.lit(False), F.lit(False), F.col("known_other"))
+    rate = expected_win_rate(now, theirs, "contestant", sum(map(kernels.logistic, logits)) / 3 if w is None else predicted(neutral, w))
+    return rate.join(now.select("contestant", "doubt"), "contestant").select("contestant", "win_rate", "doubt", (F.col("win_rate") - F.coalesce("doubt", F.lit(0.0))).alias("adjusted"))

@@ -5,35 +5,16 @@ Doubles are rounded to 6 places in both; the order of sums may differ between en
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kernels, text
+from ..functions import kernels, text, weights
 from ..operators import analytics, folds, graph, joins, profiles, stacking
+from ..session import cut, read
 from ..streaming import activity
-from ..session import read
-from .contest import CONTESTS_SQL, contests, sides
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: bool = True):
-    """Registers a function of (spark, sf_dir) by its name; ``sql`` may use the contest views."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"with {CONTESTS_SQL} {sql}" if views else sql
-        return f
-
-    return keep
-
-
-r6 = lambda c: F.round(c, 6)
+from . import dimensions, performance, serving  # noqa: F401  they register their queries
+from .contest import contests, sides
+from .registry import ORACLES, QUERIES, query, r6  # noqa: F401
 
 # ---- scans, filters, paging ----
 
@@ -105,9 +86,24 @@ def lateral_top1(spark, d):
     return read(spark, d, "supplier").join(top, F.col("s_suppkey") == F.col("contestant")).select("s_suppkey", "contest_id", "title")
 
 
-@query("select c_custkey from customer anti join orders on c_custkey = o_custkey", views=False)
+@query("select c_custkey from customer anti join (select * from orders where o_orderstatus = 'P' and o_orderpriority = '1-URGENT') on c_custkey = o_custkey", views=False)
 def anti_join_missing(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order that is pending."""
+    urgent = read(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    return read(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("select c_custkey as k from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'", views=False)
+def set_difference(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
+
+
+@query("select c_custkey, count(o_orderkey) n from customer join orders on c_custkey = o_custkey where o_orderdate is not null group by 1", views=False)
+def require_partners(spark, d):
+    """Orders a customer, after the assertion that every order's customer is known (it raises otherwise)."""
+    orders, customers = read(spark, d, "orders"), read(spark, d, "customer")
+    known = joins.require_all(orders.withColumnRenamed("o_custkey", "c_custkey"), customers, "c_custkey")
+    return known.join(customers.select("c_custkey"), "c_custkey").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
 @query(
@@ -120,12 +116,22 @@ def full_outer_merge(spark, d):
 
 
 @query(
-    "select contest_id, coalesce((select min(o_orderdate::date) from orders where o_orderkey % 50 = 0 and o_orderdate::date >= day), (select max(o_orderdate::date) from orders where o_orderkey % 50 = 0))::varchar checkpoint from contests")
+    ", m as (select distinct o_orderdate::date checkpoint from orders where o_orderstatus = 'P' and o_orderpriority = '1-URGENT') "
+    "select contest_id, coalesce(checkpoint, (select max(checkpoint) from m))::varchar checkpoint from contests asof left join m on contests.day <= m.checkpoint")
 def asof_forward_checkpoint(spark, d):
-    marks = read(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("checkpoint"), F.col("o_orderkey").alias("mark"))
+    """The day of the next urgent pending order, at or after each contest's day."""
+    marks = read(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("checkpoint"), F.col("o_orderkey").alias("mark"))
     return joins.forward_asof(contests(spark, d).select("contest_id", "day"), "day", marks, "checkpoint", "mark").select("contest_id", F.col("checkpoint").cast("string").alias("checkpoint"))
 
 
+@query("select distinct o_orderdate::date::varchar checkpoint, (lag(o_orderdate::date) over (order by o_orderdate::date) + 1)::varchar since from (select distinct o_orderdate::date o_orderdate from orders where o_orderstatus = 'P')", views=False)
+def checkpoint_schedule(spark, d):
+    """The checkpoint days and the first day that each stands for. Days are few whatever the orders, so one task may order them."""
+    days = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("checkpoint")).distinct()
+    since = F.date_add(F.lag("checkpoint").over(Window.orderBy("checkpoint")), 1)
+    return days.select(F.col("checkpoint").cast("string").alias("checkpoint"), since.cast("string").alias("since"))
+
+
 @query()
 def greedy_match(spark, d):
     pairs = contests(spark, d).groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -267,7 +273,7 @@ def days_since_last(spark, d):
 @query("select division, contestant, n::bigint n, (row_number() over (partition by division order by n desc, contestant))::int as rank from (select division, contestant, count_if(result = 'W') n from sides group by 1, 2)")
 def rank_by_group(spark, d):
     won = sides(contests(spark, d)).groupBy("division", "contestant").agg(F.count_if(F.col("result") == "W").alias("n"))
-    return won.withColumn("rank", F.row_number().over(Window.partitionBy("division").orderBy(F.desc("n"), "contestant")))
+    return analytics.rank_in_group(won.withColumn("_down", -F.col("n")), ["division"], ["_down", "contestant"]).drop("_down")
 
 
 @query("select contestant, count(*) n from sides group by 1 order by n desc, contestant limit 25")
@@ -328,20 +334,21 @@ def method_rules(spark, d):
 def weight_class_rules(spark, d):
     k = F.col("c_custkey")
     label = F.when(k % 6 == 0, F.format_string("Light Heavyweight %d lbs", 100 + k % 160)).when(k % 6 == 1, F.format_string("Super Lightweight (%d kg)", 45 + k % 70)).when(k % 6 == 2, "Super heavyweight").when(k % 6 == 3, "Open").when(k % 6 == 4, "Women's Flyweight")
-    limit = text.weight_limit(label, F.lit(None).cast("string"))
-    return read(spark, d, "customer").select("c_custkey", text.division_phrase(label).alias("code"), limit.alias("w")).select("c_custkey", "code", "w.unit", F.col("w.lbs").cast("double").alias("lbs"))
+    limit = weights.weight_limit(label, F.lit(None).cast("string"))
+    return read(spark, d, "customer").select("c_custkey", weights.division_phrase(label).alias("code"), limit.alias("w")).select("c_custkey", "code", "w.unit", F.col("w.lbs").cast("double").alias("lbs"))
 
 
 @query(
-    "with l as (select * from (values " + ", ".join(f"({k}, '{c}', {v})" for k, (c, v) in enumerate(text.LIMITS)) + ") t(k, code, lim)) select c_custkey, arg_min(code, abs(lim - (90 + c_custkey % 190)) * 100 + k) code from customer, l group by 1", views=False)
+    "with l as (select * from (values " + ", ".join(f"({k}, '{c}', {v})" for k, (c, v) in enumerate(weights.LIMITS)) + ") t(k, code, lim)) select c_custkey, arg_min(code, abs(lim - (90 + c_custkey % 190)) * 100 + k) code from customer, l group by 1", views=False)
 def nearest_division(spark, d):
-    return read(spark, d, "customer").select("c_custkey", text.nearest_division(90 + F.col("c_custkey") % 190).alias("code"))
+    return read(spark, d, "customer").select("c_custkey", weights.nearest_division(90 + F.col("c_custkey") % 190).alias("code"))
 
 
-@query("select event_id, case when event_id % 3 = 0 then null else (props::json->>'k')::double end k from events", views=False)
+@query("select event_id, case when event_id % 4 in (0, 1) then null else (props::json->>'k')::double end k from events", views=False)
 def json_extract_numeric(spark, d):
-    quoted = F.regexp_replace("props", r":\s*(\d+)", ': "$1"')
-    doc = F.when(F.col("event_id") % 3 == 0, quoted).otherwise(F.col("props"))
+    """Numbers that stand as such under a key; not those in quotes, nor those of an inner object."""
+    quoted, inner = F.regexp_replace("props", r":\s*(\d+)", ': "$1"'), F.concat(F.lit('{"x": '), F.col("props"), F.lit("}"))
+    doc = F.when(F.col("event_id") % 4 == 0, quoted).when(F.col("event_id") % 4 == 1, inner).otherwise(F.col("props"))
     return read(spark, d, "events").select("event_id", text.json_number(doc, "k").alias("k"))
 
 
@@ -391,33 +398,6 @@ def k_factors(spark, d):
     return log.select("contest_id", "contestant", r6(kernels.k_static(c("tier"), c("rounds"), c("title"), c("method"), c("edge"), c("promotion")) * kernels.k_career(c("fights"), c("days"))).alias("k"))
 
 
-def _stats(side: str) -> dict:
-    q, k = F.col(f"q{side}"), F.col("contest_id")
-    n = lambda m, shift: ((k + shift) % m).cast("double")
-    s = 0 if side == "a" else 3
-    return {"kd": n(3, s), "sig_landed": q, "sig_attempted": q + n(17, s), "total_attempted": q + n(29, s), "td_landed": n(4, s), "td_attempted": n(4, s) + 1, "sub_attempts": n(2, s), "rev": n(2, s + 1), "ctrl": n(200, 7 * s), "head": q * 0.5, "body": q * 0.3, "leg": q * 0.2, "ground": n(9, s)}
-
-
-@query()
-def ps_round(spark, d):
-    """Performance scores and ten-point probabilities of every contest, taken as one round."""
-    log = contests(spark, d).select("contest_id", kernels.is_finish(F.col("method")).alias("finish"), (F.col("outcome") == "W").alias("winner_is_a"), F.col("finish_seconds").cast("double").alias("elapsed"), F.struct(*[v.alias(k) for k, v in _stats("a").items()]).alias("a"), F.struct(*[v.alias(k) for k, v in _stats("b").items()]).alias("b"))
-    scored = kernels.performance(log)
-    return scored.select("contest_id", *[r6(F.col(c)).alias(c) for c in kernels.SCORES])
-
-
-@query()
-def ps_fight(spark, d):
-    """Weighted mean of the rounds' scores and the one-sided excess of each contestant, with the finish round weighted up."""
-    log = contests(spark, d).select("contest_id", "a", "b", (F.col("outcome") == "W").alias("winner_is_a"), "method", "finish_round", "finish_seconds", *["qa", "qb"], F.explode(F.sequence(F.lit(1), F.col("rounds"))).alias("round_num"))
-    log = log.withColumns({"finish": kernels.is_finish(F.col("method")) & (F.col("round_num") == F.col("finish_round")), "elapsed": F.col("finish_seconds").cast("double"), "contest_key": F.col("contest_id"), "contest_id": F.col("contest_id") + 31 * F.col("round_num")})
-    log = log.select("contest_key", "finish", "winner_is_a", "elapsed", F.struct(*[v.alias(k) for k, v in _stats("a").items()]).alias("a"), F.struct(*[v.alias(k) for k, v in _stats("b").items()]).alias("b"))
-    scored = kernels.performance(log).withColumn("w", kernels.finish_weight(F.col("finish"), F.col("elapsed")))
-    mean = lambda v: r6(F.sum(F.col("w") * v) / F.sum("w"))
-    over = lambda v: r6(F.sum(F.col("w") * F.greatest(F.lit(0.0), v - 0.5)))
-    return scored.groupBy(F.col("contest_key").alias("contest_id")).agg(mean(F.col("ps_a")).alias("ps_a"), mean(F.col("ps_b")).alias("ps_b"), over(F.col("ps_a")).alias("excess_a"), over(F.col("ps_b")).alias("excess_b"))
-
-
 # ---- rating systems ----
 
 
@@ -438,18 +418,20 @@ def unified_ratings(spark, d):
 @query()
 def alltime_profiles(spark, d):
     """Pillars and composite of every qualified career, best first."""
-    log = contests(spark, d)
-    found = profiles.profiles(sides(log), folds.fold(log))
-    return found.select("contestant", F.row_number().over(Window.orderBy(F.desc("score"), "contestant")).alias("place"), *[F.round(c, 4).alias(c) for c in found.columns if c.startswith(("z_", "peak_"))], F.round("score", 4).alias("score"))
+    log = cut(contests(spark, d))
+    found = profiles.profiles(sides(log), folds.fold(log)).withColumn("_down", -F.col("score"))
+    found = analytics.rank_in_group(found, [], ["_down", "contestant"], "place").drop("_down")
+    return found.select("contestant", "place", *[F.round(c, 4).alias(c) for c in found.columns if c.startswith(("z_", "peak_"))], F.round("score", 4).alias("score"))
 
 
 @query()
 def expected_win_rates(spark, d):
-    """Mean win probability against the most active contestants, less the uncertainty of the factor rating."""
-    now = folds.latest(folds.fold(contests(spark, d), ("factor",)))
-    pool = stacking.reference_pool(now, "contestant", "fights").select(F.col("contestant").alias("other"), F.col("rating").alias("r"))
-    rate = stacking.expected_win_rate(now.select("contestant", "rating"), pool, "contestant", kernels.logistic((F.col("rating") - F.col("r")) / 400.0))
-    return rate.join(now.select("contestant", F.least(F.lit(0.49), F.col("rd") / 800).alias("doubt")), "contestant").select("contestant", r6("win_rate").alias("win_rate"), r6(F.col("win_rate") - F.col("doubt")).alias("adjusted"))
+    """Mean stacked win probability against the most active contestants, less the doubt of the factor rating; best first."""
+    log = cut(contests(spark, d))
+    deltas = cut(folds.fold(log, ("elo", "glicko", "factor")))
+    found = stacking.win_rates(log, sides(log.where("sport = 'mma'")), deltas, folds.latest(deltas)).withColumn("_down", -F.col("adjusted"))
+    ranked = analytics.rank_in_group(found, [], ["_down", "contestant"])
+    return ranked.select("contestant", r6("win_rate").alias("win_rate"), r6("doubt").alias("doubt"), r6("adjusted").alias("adjusted"), "rank")
 
 
 @query("select date_trunc('day', ts)::timestamp::varchar as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2", views=False)
@@ -460,32 +442,60 @@ def windowed_activity(spark, d):
 
 @query()
 def leaderboard(spark, d):
-    """Current Elo ranking of all contestants."""
-    now = folds.latest(folds.fold(contests(spark, d), ("elo",))).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("contestant"), F.col("s_name").alias("name"), F.concat(F.lit("D"), (F.col("s_suppkey") % 8).cast("string")).alias("division")), "contestant")
-    ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("system", "division").orderBy(F.desc("rating"), "contestant")))
+    """Current Elo ranking of all contestants, by the division of the last contest."""
+    log = cut(contests(spark, d))
+    now = folds.latest(folds.fold(log, ("elo",)))
+    last = sides(log).groupBy("contestant").agg(F.max_by("division", F.struct("day", "contest_id")).alias("division"))
+    named = now.join(last, "contestant").join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("contestant"), F.col("s_name").alias("name")), "contestant")
+    ranked = analytics.rank_in_group(named.withColumn("_down", -F.col("rating")), ["system", "division"], ["_down", "contestant"])
     return ranked.select("system", "division", "rank", "contestant", "name", F.round("rating", 4).alias("rating"), "fights", "day")
 
 
 @query()
 def stacked_predictions(spark, d):
-    """Stacked win probabilities from the three systems, fitted on all samples."""
-    log = contests(spark, d)
-    return stacking.stack(log, folds.fold(log, ("elo", "glicko", "factor"))).select("contest_id", F.round("p", 6).alias("p"), "won")
+    """Stacked win probabilities from the three systems, fitted on all decided MMA contests."""
+    log = cut(contests(spark, d))
+    return stacking.stack(log, sides(log.where("sport = 'mma'")), folds.fold(log, ("elo", "glicko", "factor"))).select("contest_id", F.round("p", 6).alias("p"), "won")
 
 
-@query(
-    ", ed as (select src, dst, sum(w) w from (select case outcome when 'W' then b else a end src, case outcome when 'W' then a else b end dst, case outcome when 'D' then 0.5 else 1.0 end w from contests where outcome in ('W', 'L', 'D') "
-    "union all select b, a, 0.5 from contests where outcome = 'D') group by 1, 2) select src, dst, w::double w from ed")
-def result_edges(spark, d):
-    return graph.result_edges(contests(spark, d))
+_EDGES = "ed as (select src, dst, sum(w)::double w from (select case outcome when 'W' then b else a end src, case outcome when 'W' then a else b end dst, case outcome when 'D' then 0.5 else 1.0 end w from contests where outcome in ('W', 'L', 'D') union all select b, a, 0.5 from contests where outcome = 'D') group by 1, 2)"
 
 
-@query()
+@query(
+    f", {_EDGES}, nd as (select distinct unnest([src, dst]) node from ed), sh as (select src, dst, w / sum(w) over (partition by src) share from ed), ld as (select node, node in (select src from ed) leads, (select count(*) from nd) n from nd), "
+    "pr0 as (with recursive it(k, node, r) as (select 0, node, 1.0::double / n from ld union all select k + 1, ld.node, 0.15 / ld.n + 0.85 * ((select coalesce(sum(i.r), 0) from it i join ld l on l.node = i.node where not l.leads) / ld.n + coalesce(g.r, 0)) "
+    "from (select max(k) k from it) kk, ld left join (select dst, sum(share * i.r) r from it i join sh on sh.src = i.node group by 1) g on g.dst = ld.node where k < 60) select * from it where k = 60) select node, round(r, 8) as rank from pr0")
 def pagerank(spark, d):
+    """Ranks from loser to winner; the SQL makes 60 steps, by which both have settled."""
     found = graph.pagerank(graph.result_edges(contests(spark, d)))
     return found.select("node", F.round("rank", 8).alias("rank"))
 
 
+@query(f", {_EDGES} select src, dst, w from ed")
+def result_edges(spark, d):
+    return graph.result_edges(contests(spark, d))
+
+
+@query("select contestant, count(*) contests from sides group by 1")
+def connectivity(spark, d):
+    return graph.connectivity(contests(spark, d))
+
+
+@query("select contest_id, round(1 / (1 + exp(-(ln(greatest(qa / 100, 1e-12)) - ln(greatest(qb / 100, 1e-12))))), 6) p from contests")
+def rank_probability(spark, d):
+    return contests(spark, d).select("contest_id", r6(graph.win_probability(F.col("qa") / 100, F.col("qb") / 100)).alias("p"))
+
+
 @query("select contestant, min(contestant) over () component from (select distinct contestant from sides)")
 def contest_components(spark, d):
     return graph.components(contests(spark, d), "a", "b").select(F.col("node").alias("contestant"), "component")
+
+
+@query(
+    "with recursive e as (select c_custkey u, lag(c_custkey) over (partition by c_nationkey, c_mktsegment order by c_custkey) v from customer), b as (select u, v from e where v is not null union all select v, u from e where v is not null), "
+    "r(u, m) as (select u, u from b union select b.u, r.m from r join b on b.v = r.u where r.m < b.u) select u as customer, min(m) component from r group by 1", views=False)
+def chain_components(spark, d):
+    """Components of many chains: each customer is tied to the one before in its nation and segment."""
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    chains = read(spark, d, "customer").select(F.col("c_custkey").alias("x"), before.alias("y"))
+    return graph.components(chains, "x", "y").select(F.col("node").alias("customer"), "component")

@@ -25,11 +25,14 @@ def local_session(cpus: int | str = "*", app: str = "ringledger") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    """Use the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset and the session is local, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ringledger-"))
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ringledger-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

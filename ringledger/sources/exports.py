@@ -16,9 +16,39 @@ def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return rows.select(*[(text.clean(F.col(c)) if c in head else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
-def with_resolved_ids(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    """The id that the url holds, else the raw one if it is well formed."""
-    return df.withColumn(id_col, text.resolve_hex_id(F.col(id_col), F.col(url_col)))
+# The exports' files, and in which columns of them ids of 16 hex digits stand (with the column of the url that may hold them too).
+EXPORTS = (
+    "tapology_fighters", "tapology_events", "tapology_bouts", "tapology_bout_fighters", "ufcstats_fighters", "ufcstats_events_2025", "ufcstats_fights", "ufcstats_fight_totals", "ufcstats_fight_rounds",
+    "ufcstats_sig_strikes_by_target", "ufcstats_sig_strikes_by_position", "fighter_id_map", "bout_id_map", "promotions_with_sports", "sport_translation",
+)
+HEX_IDS = {
+    "ufcstats_fighters": {"ufcstats_fighter_id": "ufcstats_url"},
+    "ufcstats_events_2025": {"event_id": "url"},
+    "ufcstats_fights": {"ufcstats_fight_id": "ufcstats_fight_url", "ufcstats_event_id": None, "red_fighter_id": None, "blue_fighter_id": None, "winner_fighter_id": None},
+    "ufcstats_fight_totals": {"ufcstats_fight_id": None, "ufcstats_fighter_id": None},
+    "ufcstats_fight_rounds": {"ufcstats_fight_id": None, "ufcstats_fighter_id": None},
+    "ufcstats_sig_strikes_by_target": {"ufcstats_fight_id": None, "ufcstats_fighter_id": None},
+    "ufcstats_sig_strikes_by_position": {"ufcstats_fight_id": None, "ufcstats_fighter_id": None},
+    "fighter_id_map": {"ufcstats_fighter_id": None},
+    "bout_id_map": {"ufcstats_fight_id": None},
+}
+
+
+def load(spark: SparkSession, folder: str, names: tuple[str, ...] = EXPORTS) -> dict[str, DataFrame]:
+    """Every export as a frame of trimmed texts, its hex ids in canonical form. Files are read when the frames are."""
+    frames = {}
+    for name in names:
+        path = f"{folder}/{name}.csv"
+        frame = read_export(spark, path, spark.read.option("header", True).csv(path).columns)
+        for id_col, url_col in HEX_IDS.get(name, {}).items():
+            frame = with_resolved_ids(frame, id_col, url_col)
+        frames[name] = frame
+    return frames
+
+
+def with_resolved_ids(df: DataFrame, id_col: str, url_col: str | None = None) -> DataFrame:
+    """The id that the url holds, else the raw one if it is well formed, else null."""
+    return df.withColumn(id_col, text.resolve_hex_id(F.col(id_col), F.col(url_col) if url_col else F.lit(None).cast("string")))
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, replace: bool = True) -> None:
