@@ -29,8 +29,8 @@ WINDOW, OVERLAP = 16, 4
 WIDTH, HIDDEN, CLASSES = 16, 16, 192
 #: Commonest ids whose places beside an id describe its context.
 CONTEXTS = 128
-#: Rounds of the training pass, and windows of all rounds that a task is dealt.
-ROUNDS, TASK_WINDOWS = 8, 200_000
+#: Rounds of the training pass, and windows of all rounds that a task is dealt: what a task returns a round is small beside its ids.
+ROUNDS, TASK_WINDOWS = 4, 400_000
 #: Windows that are shuffled at a time in a task, and embedding rows of a slice of weights.
 SHUFFLED, SLICE = 16_384, 4096
 COMMON_WORDS = 300_000
@@ -417,12 +417,12 @@ def train_on(blocks: DataFrame, counts: np.ndarray, sample: int | None = None, c
     model = fresh(counts, *count_neighbours(blocks, counts), classes, seed)
     windows = counts.sum() / (WINDOW - OVERLAP)
     share = 1.0 if sample is None else min(1.0, sample / max(1.0, windows))
-    dealt = cut(blocks.repartition(max(1, int(np.ceil(windows * share / TASK_WINDOWS))), "number"))
+    dealt = cut(blocks.repartition(max(1, int(np.ceil(windows * share / TASK_WINDOWS)))))
     dense = [k for k in model.p if k != "E"]
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(raw, np.float64) for raw in parts["sums"])
-        return pd.DataFrame({"slice": parts["slice"][:1], "deal": 0, "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(raw, np.float32).astype(np.float64) for raw in parts["sums"])
+        return pd.DataFrame({"slice": parts["slice"][:1], "deal": 0, "sums": [total.astype(np.float32).tobytes()]})
 
     for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
@@ -457,17 +457,17 @@ def train_on(blocks: DataFrame, counts: np.ndarray, sample: int | None = None, c
             if not learner.windows:
                 return
             p, deal = learner.p, TaskContext.get().partitionId() % 16
-            flat = np.concatenate([p[k].reshape(-1) for k in dense] + [[1.0]]).astype(np.float64) * learner.windows
-            yield pd.DataFrame({"slice": [-1], "deal": [deal], "sums": [flat.tobytes()]})
+            flat = np.concatenate([p[k].reshape(-1) for k in dense] + [[1.0]]) * learner.windows
+            yield pd.DataFrame({"slice": [-1], "deal": [deal], "sums": [flat.astype(np.float32).tobytes()]})
             for at in range(0, len(p["E"]), SLICE):  # a row's mean is over the tasks that met it
-                seen = learner.seen[at : at + SLICE, None].astype(np.float64)
+                seen = learner.seen[at : at + SLICE, None]
                 if seen.any():
                     yield pd.DataFrame({"slice": [at], "deal": [deal], "sums": [np.concatenate([p["E"][at : at + SLICE] * seen, seen], axis=1).tobytes()]})
 
         schema = "slice int, deal int, sums binary"
         found = dealt.mapInPandas(learn, schema).groupBy("slice", "deal").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
         for r in found.collect():  # as many bytes as the weights have, whatever the input
-            sums = np.frombuffer(r["sums"], np.float64)
+            sums = np.frombuffer(r["sums"], np.float32)
             if r["slice"] >= 0:
                 sums = sums.reshape(-1, WIDTH + 1)
                 met = sums[:, -1] > 0

@@ -218,6 +218,27 @@ def test_lm_probabilities_add_up_and_windows_do_not_matter():
     assert model.scores(ids, np.array([5, 295, 400])) == pytest.approx(alone, rel=1e-5)
 
 
+def test_lm_scores_equal_a_loop_over_tokens():
+    """Each token in the window that scores it, in double precision, one head position by position."""
+    r = np.random.default_rng(7)
+    data = [r.integers(0, 30, lm_scoring.WINDOW + 1).astype(np.int32) for _ in range(100)]
+    model = lm_scoring.train(data, np.bincount(np.concatenate(data), minlength=40), classes=10, epochs=1)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    ids, step = r.integers(0, 40, 61), lm_scoring.WINDOW - lm_scoring.OVERLAP
+    total = 0.0
+    for i, wanted in enumerate(ids):
+        start = 0 if i < lm_scoring.WINDOW else step * (-(-(i + 1 - lm_scoring.WINDOW) // step))  # the first window in which it stands behind its overlap
+        rows = [0 if j < 0 else int(model.row[ids[j]]) for j in range(start - 1, i)]
+        h = np.array([p["E"][x] + p["P"][k] for k, x in enumerate(rows)])
+        scores = np.array([h[-1] @ p["Q"] @ (x @ p["K"]) for x in h]) / lm_scoring.WIDTH**0.5
+        share = np.exp(scores - scores.max())
+        one = h[-1] + (share / share.sum()) @ (h @ p["V"]) @ p["O"]
+        two = one + np.maximum(one @ p["A"] + p["a"], 0) @ p["B"]
+        z = two @ p["U"] + p["u"]
+        total += (z[model.group[wanted]] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10) + model.share[wanted]
+    assert model.scores(ids, np.array([len(ids)]))[0] == pytest.approx(total, rel=1e-4)
+
+
 def test_lm_windows_hold_every_id_once():
     sizes = np.array([1, 16, 17, 300, 5, 28, 29])
     ids = np.arange(sizes.sum()) + 7
