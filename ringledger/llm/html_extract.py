@@ -1,7 +1,7 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes with hierarchical decoding.
 
 A page is parsed into a tree of block elements. Every node is described by its subtree (text, link and punctuation density, paragraph and item
-counts), its attribute tokens and those of its ancestors, its depth and its siblings. Boosted trees give the probability
+counts), its attribute tokens and those of its ancestors, notes of rights, its depth and its siblings. Boosted trees give the probability
 that it holds main text, and a bottom-up pass picks the most probable labelling in which nothing below a dropped node is
 kept. The trees are trained in numpy on pages composed at random (``compose_page``), with the labels known by construction.
 
@@ -58,10 +58,14 @@ WORD_GROUP = {w: k for k, words in enumerate(WORDS.values()) for w in words.spli
 N_TAGS, N_WORDS = len(TAG_GROUPS), len(WORDS)
 TAG_GROUP = {t: k for k, tags in enumerate(TAG_GROUPS) for t in tags.split()}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?/][^>]*>""", re.S)
+#: A quote counts only behind an equals sign. Where it is not closed, or only by the quote of a later attribute, the tag ends at the next ``>``.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]+|=\s*"[^"]*(?<!=)"|=\s*""|=\s*'[^']*(?<!=)'|=\s*''|=(?!\s*["']))*)(?=>)|[^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|style|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _LONG_MARK = re.compile(r"[.!?;:,]")
+#: An article's paragraph that is lost weighs as much as so many pieces of furniture that are kept.
+MAIN_WEIGHT = 2.0
+_RIGHTS = re.compile("\u00a9|\\(c\\)|copyright|all rights reserved", re.I)
 
 
 @dataclass
@@ -222,18 +226,15 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
     return nodes
 
 
-N_FEATURES = 22 + N_TAGS + 2 * N_WORDS + 6
-
-
 def describe(nodes: list[Node]) -> np.ndarray:
     """One row of features a node."""
     n = len(nodes)
     place = {id(x): k for k, x in enumerate(nodes)}
-    own = np.zeros((n, 7))  # characters, linked characters, marks, texts, paragraphs, items, nodes
+    own = np.zeros((n, 8))  # characters, linked characters, marks, texts, paragraphs, items, nodes, notes of rights
     parent = np.array([0] + [place[id(x.parent)] for x in nodes[1:]])
     for k, x in enumerate(nodes):
         chars = sum(len(t) for _, t in x.texts)
-        own[k] = chars, x.link, sum(len(_LONG_MARK.findall(t)) for _, t in x.texts), len(x.texts), x.tag == "p", x.tag in ("li", "dt", "dd"), 1
+        own[k] = chars, x.link, sum(len(_LONG_MARK.findall(t)) for _, t in x.texts), len(x.texts), x.tag == "p", x.tag in ("li", "dt", "dd"), 1, sum(bool(_RIGHTS.search(t)) for _, t in x.texts)
     total = own.copy()
     for k in range(n - 1, 0, -1):
         total[parent[k]] += total[k]
@@ -269,7 +270,7 @@ def describe(nodes: list[Node]) -> np.ndarray:
         np.log1p(chars), np.log1p(own[:, 0]), total[:, 1] / np.maximum(chars, 1), own[:, 1] / np.maximum(own[:, 0], 1), total[:, 2] / np.maximum(chars, 1),
         chars / np.maximum(total[:, 6], 1), chars / np.maximum(total[:, 3], 1), np.log1p(total[:, 3]), np.log1p(total[:, 4]), np.log1p(total[:, 5]), np.log1p(total[:, 6]),
         chars / whole, chars / np.maximum(up[:, 0], 1), np.array([x.depth for x in nodes]), siblings, rank / siblings, alike / siblings, before / whole,
-        np.log1p(up[:, 0]), up[:, 1] / np.maximum(up[:, 0], 1), np.log1p(up[:, 4]), np.array([nodes[p].tag in ("article", "main", "section") for p in parent]),
+        total[:, 7] / np.maximum(total[:, 3], 1), np.log1p(up[:, 0]), up[:, 1] / np.maximum(up[:, 0], 1), np.log1p(up[:, 4]), np.array([nodes[p].tag in ("article", "main", "section") for p in parent]),
     ]
     return np.column_stack([*columns, tags, words, above, furniture, prose, hidden, (words + above)[:, 1:].sum(1), (words + above)[:, 0], total[:, 4] / np.maximum(total[:, 6], 1)]).astype(np.float32)
 
@@ -294,17 +295,17 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 2.0) -> Trees:
-    """Second-order boosting of the logistic loss, with histograms over quantile bins."""
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 2.0) -> Trees:
+    """Second-order boosting of the weighted logistic loss, with histograms over quantile bins."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)])  # x <= cut b  <=>  bin <= b
-    share = y.mean().clip(1e-3, 1 - 1e-3)
+    share = np.average(y, weights=weight).clip(1e-3, 1 - 1e-3)
     start = float(np.log(share / (1 - share)))
     f, inner = np.full(len(x), start), 2**depth - 1
     all_f, all_c, all_v = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-f))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         at = np.zeros(len(x), np.int64)
         feature, cut_, value = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
         for level in range(depth):
@@ -365,25 +366,36 @@ def _joined(nodes: list[Node], kept: np.ndarray) -> str:
 # ---- pages to learn from ----
 
 
+class Layout(random.Random):
+    """Draws of one page. Names of elements say what they hold only where ``named``, elements of their own for furniture and articles are used only where ``semantic``."""
+
+    named = semantic = True
+
+    def made_up(self) -> str:
+        return "".join(self.choice("bcdfgklmnprstvxz") + self.choice(["a", "e", "i", "o", "u", "", "1", "9"]) for _ in range(self.randint(1, 4)))
+
+
 def _sentence(r: random.Random, low: int, high: int) -> str:
     words = ["".join(r.choice("bcdfghlmnprstvw") + r.choice("aeiouy") for _ in range(r.randint(1, 4))) + r.choice(["", "", "n", "s", ","]) for _ in range(r.randint(low, high))]
     return " ".join(words).capitalize() + r.choice([".", ".", ".", "!", "?", " ***", ""])
 
 
-def _attrs(r: random.Random, kind: str, odds: float = 0.9) -> str:
+def _attrs(r: Layout, kind: str, odds: float = 0.9) -> str:
     if r.random() > odds:
         return r.choice(["", ' class="box"', f' class="c{r.randint(1, 99)}"'])
+    if not r.named:
+        return f' {r.choice(["class", "class", "id"])}="{r.choice([r.made_up(), r.made_up() + "-" + r.made_up()])}"'
     word = r.choice(WORDS[kind].split())
     word = r.choice([word, f"{word}-{r.choice(['box', 'wrap', 'area', 'inner', 'list', '1'])}", f"site-{word}", f"{word} block", word.capitalize()])
     return f' {r.choice(["class", "class", "id"])}="{word}"'
 
 
-def _links(r: random.Random, low: int = 2, high: int = 9) -> str:
+def _links(r: Layout, low: int = 2, high: int = 9) -> str:
     items = [f'<a href="/{k}">{_sentence(r, 1, 4)}</a>' for k in range(r.randint(low, high))]
     return r.choice(["<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", " | ".join(items), "".join(f"<div>{i}</div>" for i in items), "".join(f"<p>{i}</p>" for i in items[:5])])
 
 
-def _prose(r: random.Random, mark: str, low: int = 1, high: int = 14) -> str:
+def _prose(r: Layout, mark: str, low: int = 1, high: int = 14) -> str:
     out = []
     for _ in range(r.randint(low, high)):
         kind, text = r.random(), " ".join(_sentence(r, 1, 18) for _ in range(r.choice([1, 1, 2, 3, 6])))
@@ -406,18 +418,20 @@ def _prose(r: random.Random, mark: str, low: int = 1, high: int = 14) -> str:
     return "".join(out)
 
 
-def _furniture(r: random.Random, kind: str) -> str:
-    text = " ".join(_sentence(r, 2, 14) for _ in range(r.randint(1, 3)))
+def _furniture(r: Layout, kind: str) -> str:
+    told = r.named or r.semantic  # else only what furniture is like can tell it from an article
+    text = " ".join(_sentence(r, 2, 14 if told else 8) for _ in range(r.randint(1, 3 if told else 1)))
     wrap = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "talk": "section", "advert": "div", "notice": "div", "share": "div"}[kind]
     named = r.random() < 0.55
+    named = named and r.semantic
     tag, attrs = (wrap, _attrs(r, kind, 0.5 if wrap not in ("div", "section") else 1)) if named else (r.choice(["div", "div", "section"]), _attrs(r, kind, 1))
     body = {
         "menu": lambda: _links(r),
         "head": lambda: r.choice([f"<h1>{_sentence(r, 1, 3)}</h1>", f"<div>{_sentence(r, 1, 3)}</div>", f"<p>{text}</p>"]) + r.choice(["", _links(r)]),
         "foot": lambda: f"&copy; {r.randint(1990, 2030)} {text}" + r.choice(["", _links(r), f"<p>{text}</p>"]),
-        "side": lambda: f"<h3>{_sentence(r, 1, 3)}</h3>" + r.choice([_links(r), f"<p>{text}</p>" * r.randint(1, 3), _links(r) + f"<p>{text}</p>"]),
+        "side": lambda: f"<h3>{_sentence(r, 1, 3)}</h3>" + r.choice([_links(r), f"<p>{text}</p>" * r.randint(1, 3 if told else 1), _links(r) + f"<p>{text}</p>"]),
         "form": lambda: f"<label>{_sentence(r, 1, 4)}</label><input name=q>" + r.choice(["", f"<p>{text}</p>"]) + "<button>Go</button>",
-        "talk": lambda: r.choice(["", f"<h3>{_sentence(r, 1, 3)}</h3>"]) + "".join(f"<{t}{_attrs(r, 'talk')}><p>{' '.join(_sentence(r, 2, 18) for _ in range(r.randint(1, 4)))}</p></{t}>" for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 6))),
+        "talk": lambda: r.choice(["", f"<h3>{_sentence(r, 1, 3)}</h3>"]) + "".join(f"<{t}{_attrs(r, 'talk')}><p>{' '.join(_sentence(r, 2, 18) for _ in range(r.randint(1, 4)))}</p></{t}>" for t in [r.choice(["div", "li", "article"] if r.named else ["div", "li"])] for _ in range(r.randint(1, 6))),
         "advert": lambda: r.choice([text, f"<p>{text}</p>", f'<a href="#">{text}</a>', f"<div>{text}</div>"]),
         "notice": lambda: r.choice([text, f"<p>{text}</p>"]) + r.choice(["", "<button>OK</button>", '<a href="#">More</a>']),
         "share": lambda: _links(r, 1, 4),
@@ -426,7 +440,10 @@ def _furniture(r: random.Random, kind: str) -> str:
 
 
 def compose_page(r: random.Random) -> str:
-    """A page of random layout. Elements that hold main text carry the attribute ``data-main``."""
+    """A page of random layout. Elements that hold main text carry the attribute ``data-main``. Half of the pages have names that say nothing, a third no elements
+    that do."""
+    r = Layout(r.random())
+    r.named, r.semantic = r.random() < 0.5, r.random() < 0.67
     mark = " data-main"
     brief = r.random() < 0.2
     inside = [f"<h1{mark}>{_sentence(r, 2, 12)}</h1>"] if r.random() < 0.85 else []
@@ -435,7 +452,7 @@ def compose_page(r: random.Random) -> str:
         inside += [_prose(r, mark, 1, 1 if brief else 14)]
         inside += [_furniture(r, r.choice(["advert", "side", "form", "notice", "menu"]))] if r.random() < 0.25 else []
     inside += [_furniture(r, r.choice(["talk", "side", "share"]))] if r.random() < 0.2 else []
-    tag = r.choice(["article", "article", "main", "div", "section"])
+    tag = r.choice(["article", "article", "main", "div", "section"] if r.semantic else ["div", "div", "section"])
     main = f"<{tag}{mark}{_attrs(r, 'main', 0.35 if tag in ('article', 'main') else 0.9)}>{''.join(inside)}</{tag}>"
     for _ in range(r.choice([0, 0, 1, 2])):
         main = f"<div{mark}{_attrs(r, 'main', 0.4)}>{main}{_furniture(r, 'side') if r.random() < 0.3 else ''}</div>"
@@ -446,7 +463,7 @@ def compose_page(r: random.Random) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 900, seed: int = 7) -> Trees:
+def trained(pages: int = 1200, seed: int = 7) -> Trees:
     """Trees fitted to ``pages`` composed pages; the same for every call and every input."""
     r = random.Random(seed)
     xs, ys = [], []
@@ -454,7 +471,8 @@ def trained(pages: int = 900, seed: int = 7) -> Trees:
         nodes = parse(compose_page(r), "data-main")
         xs.append(describe(nodes))
         ys.append(np.array([k == 0 or x.label is True for k, x in enumerate(nodes)], np.float64))
-    return boost(np.concatenate(xs), np.concatenate(ys))
+    y = np.concatenate(ys)
+    return boost(np.concatenate(xs), y, np.where(y > 0, MAIN_WEIGHT, 1.0))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Trees | None = None) -> DataFrame:
