@@ -44,8 +44,8 @@ def _slot(kind: str, text: str) -> int:
 
 
 def shape(token: str) -> str:
-    """Letters as A or a, digits as 0, runs squeezed, at most six characters."""
-    return _SQUEEZE.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))[:6]
+    """Letters as A or a, digits as 0, runs squeezed; of the whole token."""
+    return _SQUEEZE.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token))
 
 
 class TokenSlots(dict):
@@ -154,13 +154,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weights:
 
 
 def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
-    """0: low quality, 1: toxic, 2: good."""
+    """0: low quality, 1: toxic, 2: good.
+
+    The order is that of use for training: junk teaches nothing, toxic texts are at least texts, good ones are both. Toxic texts that are also junk are junk.
+    """
     return F.when(F.col(quality) == 0, 0).when(F.col(toxic) == 1, 1).when((F.col(quality) == 1) & (F.col(toxic) == 0), 2)
 
 
 def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_per_grade: int = MAX_PER_GRADE) -> Model:
-    """``rated`` has (id, grade); rows with a null id or grade are not used."""
-    rated = rated.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
+    """``rated`` has (id, grade); rows with a null id, without grade or with one that is none of 0, 1, ``GRADES - 1`` are not used. Of several grades of an id the lowest counts."""
+    rated = rated.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, GRADES - 1)).groupBy("id").agg(F.min("grade").alias("grade"))
     counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     wanted = F.lit(False)
@@ -182,22 +185,25 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
     return fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(rows["slots"], rows["values"], strict=True)], grades, weights)
 
 
-def rate_documents(docs: DataFrame, model: Model, text_col: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``p_top`` (probability of the highest grade) and ``selected``; columns of these names are replaced.
+NAMES = ("expected_grade", "p_top", "selected")
+
+
+def rate_documents(docs: DataFrame, model: Model, text_col: str = "text", min_tail: float = MIN_TAIL, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with the expected grade, the probability of the highest grade and whether it is at least ``min_tail``, under ``names``; columns of these names are replaced.
 
     Null, empty and blank texts have no features and are rated by the thresholds alone; whole texts count, whatever their length.
     Equal texts get equal ratings. An empty table gives an empty result.
     """
     handle = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    docs = common.small_batches(docs.drop("expected_grade", "p_top", "selected"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["expected_grade double", "p_top double", "selected boolean"])
+    docs = common.small_batches(docs.drop(*names))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {t}" for n, t in zip(names, ("double", "double", "boolean"), strict=True)])
 
     def run(batches):
         slots, model = TokenSlots(), Model(*handle.value)
         for batch in batches:
             scores = np.array([model.score(*features(t, slots)) for t in batch[text_col]], np.float64)
             tails = model.tails(scores)
-            yield batch.assign(expected_grade=tails.sum(1), p_top=tails[:, -1], selected=tails[:, -1] >= min_tail)
+            yield batch.assign(**dict(zip(names, (tails.sum(1), tails[:, -1], tails[:, -1] >= min_tail), strict=True)))
 
     return docs.mapInPandas(run, schema)
 
