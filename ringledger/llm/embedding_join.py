@@ -8,8 +8,8 @@ leaves are compared, by cosines in double precision.
 
 Scale: equal vectors of a label are one class, so copies cost nothing. Blocks come from a range partitioning of the sorted order,
 so a large label is spread over many tasks; a task holds two blocks. Pairs of blocks are found by an equi-join on grid
-cells of the first axis. A pair of blocks returns counts of links and a forest of them, never the pairs. The driver gets one
-second-moment matrix for each vector length.
+cells of the first two axes. A pair of blocks returns counts of links and a forest of them, never the pairs. The driver gets one
+second-moment matrix for each of the commonest vector lengths, whose number and size are bounded. Rows without a usable vector are kept apart from all joins.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ MIN_COSINE = 0.93
 AXES = 8
 BLOCK = 512
 LEAF = 64
-MAX_LENGTHS = 1000
+#: Axes whose cells key the pairs of blocks.
+KEY_AXES = 2
+#: Lengths of vectors that get principal axes of their own, the commonest first, and the greatest of them; others take their first components, with which the join is as exact.
+MAX_LENGTHS, MAX_DIMENSIONS = 64, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -38,7 +41,9 @@ def usable(vector: Column) -> Column:
 
 
 def principal_axes(classes: DataFrame, axes: int) -> dict[int, np.ndarray]:
-    """Leading eigenvectors of the second moments of the unit vectors, for each length of vectors."""
+    """Leading eigenvectors of the second moments of the unit vectors, for each of the commonest lengths of vectors."""
+    lengths = classes.where(F.col("size") <= MAX_DIMENSIONS).groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(MAX_LENGTHS).select("size")
+    classes = classes.join(F.broadcast(lengths), "size")
 
     def moments(batches):
         total: dict[int, np.ndarray] = {}
@@ -58,9 +63,8 @@ def principal_axes(classes: DataFrame, axes: int) -> dict[int, np.ndarray]:
     return {size: np.linalg.eigh(m)[1][:, ::-1][:, :axes] for size, m in found.items()}
 
 
-def blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, block: int) -> DataFrame:
-    """Runs of the grid order: label, size, block (smallest class of the run), low and high on each axis, and the packed members."""
-    k = max((a.shape[1] for a in axes.values()), default=1)
+def blocks(classes: DataFrame, axes: dict[int, np.ndarray], k: int, eps: float, block: int) -> DataFrame:
+    """Runs of the grid order: label, size, block (smallest class of the run), low and high on each of ``k`` axes, and the packed members."""
 
     def project(batches):
         for batch in batches:
@@ -68,7 +72,7 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, block: i
             for size, at in batch.groupby("size").indices.items():
                 x = np.stack(batch["embedding"].to_numpy()[at]).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                p = x @ axes[size]
+                p = x @ axes[size] if size in axes else x[:, :k]
                 spots[at, : p.shape[1]] = p
             cells = np.floor(spots / eps).astype(np.int32)
             yield batch.assign(spot=list(spots), **{f"c{i}": cells[:, i] for i in range(k)})
@@ -102,13 +106,16 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, block: i
 
 
 def close_blocks(packed: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a <= b: blocks of one label whose boxes are within eps."""
-    first = lambda c: F.floor(F.element_at(c, 1) / eps).cast("int")
+    """(a, b), a <= b: blocks of one label whose boxes are within eps. Blocks meet by their cells on ``KEY_AXES`` axes; one side has the neighbouring cells too."""
     box = packed.select("label", "size", "block", "low", "high")
-    left = box.withColumn("cell", F.explode(F.sequence(first("low") - 1, first("high") + 1)))
-    right = box.select("label", "size", F.col("block").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(first("low"), first("high"))).alias("cell"))
+    left, right = box, box.select("label", "size", F.col("block").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    cells = [f"cell{i}" for i in range(KEY_AXES)]
+    for i, cell in enumerate(cells):
+        spot = lambda c, i=i: F.floor(F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) / eps).cast("int")
+        left = left.withColumn(cell, F.explode(F.sequence(spot("low") - 1, spot("high") + 1)))
+        right = right.withColumn(cell, F.explode(F.sequence(spot("low2"), spot("high2"))))
     gaps = F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    near = left.join(right, ["label", "size", "cell"]).where("block <= b").withColumn("gap", F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
+    near = left.join(right, ["label", "size", *cells]).where("block <= b").withColumn("gap", F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
     return near.where(F.col("gap") <= eps * eps).select(F.col("block").alias("a"), "b").distinct()
 
 
@@ -196,15 +203,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("label", "embedding")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit("second"), "embedding", "label"))})
     classes = cut(rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("size", F.size("embedding")))
     directions = principal_axes(classes, axes)
-    packed = blocks(classes.drop("h1", "h2"), directions, eps, block)
+    packed = blocks(classes.drop("h1", "h2"), directions, axes, eps, block)
     met = block_links(packed, close_blocks(packed, eps), eps, min_cosine)
     joined = components(met, "cls", "root").select(F.col("node").alias("cls"), "component")
     counted = met.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     per_class = classes.select("h1", "h2", "cls", "copies").join(joined, "cls", "left").join(counted, "cls", "left")
     per_class = per_class.select("h1", "h2", F.coalesce("component", "cls").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    found = rows.select("id", "h1", "h2").join(per_class, ["h1", "h2"], "left")
-    component = F.coalesce("component", "id")
-    return found.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    # A class with very many copies is one skewed key of this join; its other side is one row, so its rows can be split over tasks.
+    found = rows.where("ok").select("id", "h1", "h2").join(per_class, ["h1", "h2"]).select("id", "n_links", "component")
+    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return found.unionByName(alone).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
