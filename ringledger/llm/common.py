@@ -6,15 +6,34 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of few rows in this session: texts may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """``df``, with Arrow batches of few rows and bytes in this session, as texts may be very long.
+
+    The bounds are read when the plan is made, after this returns, so they stay; a session that has smaller ones keeps them.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, most)
     return df
 
 
+def free_names(columns: list[str], *names: str) -> tuple[str, ...]:
+    """The names, with underscores in front until no column has them."""
+    low = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n = f"_{n}"
+        out.append(n)
+    return tuple(out)
+
+
 class WordHashes(dict):
     """64-bit hash by word (bytes); forgets all when it holds ``limit`` words, so its memory is bounded."""
 

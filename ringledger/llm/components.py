@@ -1,40 +1,8 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, in DataFrame functions.
-
-Every step points the nodes of a neighbourhood at its smallest node; the number of steps grows with the logarithm of the
-component size. Each step's edges are written to the shared checkpoint folder. Nothing but one checksum a step
-reaches the driver.
-"""
+"""Connected components: of an edge table (the library's alternating star steps), and of pairs inside one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import cut
-
-
-def components(edges: DataFrame, left: str = "u", right: str = "v", max_steps: int = 60) -> DataFrame:
-    """(node, component) for every node that has an edge; ``component`` is the smallest node reachable.
-
-    Directions, repeated edges and loops do not matter; edges with a null end are ignored. Without edges the result is empty.
-    """
-    a, b = F.col(left), F.col(right)
-    now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = None
-    for _ in range(max_steps):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u")
-        now = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_steps} steps")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+from ..operators.graph import components  # noqa: F401
 
 
 class Forest:
