@@ -177,7 +177,7 @@ def weight_limit_dimension(spark, d):
     return rows.groupBy("unit", "value").agg(F.min_by("lbs", "k").cast("double").alias("lbs")).withColumn("value", F.col("value").cast("double"))
 
 
-_BRIDGE = (f"b as (select sport, label, arg_max(division, (confidence, k)) division, arg_max(sex, (confidence, k)) sex, arg_max(unit, (confidence, k)) unit, arg_max(value, (confidence, k)) as value, max(confidence) confidence from (select x.*, {_case(_BY_SPORT, 'x.k // 16')} sport, coalesce(nullif(trim({_case(_LABELS, 'x.k')}), ''), 'Unknown') as label from ({_weights_sql()}) x) group by 1, 2)")
+_BRIDGE = (f"b as (select sport, label, x.division, x.sex, x.unit, x.v as value, x.confidence from (select sport, label, arg_max({{'division': division, 'sex': sex, 'unit': unit, 'v': value, 'confidence': confidence}}, (confidence, k)) x from (select x.*, {_case(_BY_SPORT, 'x.k // 16')} sport, coalesce(nullif(trim({_case(_LABELS, 'x.k')}), ''), 'Unknown') as label from ({_weights_sql()}) x) group by 1, 2))")
 
 
 @query(f"with {_BRIDGE}, dv as (select distinct division, sex from ({_weights_sql()})) select b.sport, b.label, b.division, coalesce((select division || '/' || sex from dv where dv.division = b.division and dv.sex = b.sex), b.division || '/U') division_key, b.confidence, unit || ' ' || value::decimal(10, 2)::varchar weight_limit from b", views=False)
