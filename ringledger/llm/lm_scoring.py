@@ -35,6 +35,8 @@ ROUNDS, TASK_WINDOWS = 4, 400_000
 SHUFFLED, SLICE = 16_384, 4096
 COMMON_WORDS = 300_000
 BATCH_WINDOWS = 256
+#: Rows of class logits that are worked on at a time, so that they stay in the cache of a core.
+CACHED = 512
 BLOCK_ROWS = 100
 #: Words are cut here first, so that a very long one costs no more a byte than others.
 PIECES = r" ?\p{L}{1,32}| ?\p{N}{1,8}| ?[^\s\p{L}\p{N}]{1,16}|\s+"
@@ -127,6 +129,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - top), its sums of rows and ``top``: 0, or the rows' largest where exp(z) would be too large or too small."""
+    ones, top = np.ones(z.shape[1], np.float32), np.float32(0)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        top = z.max(-1)
+        e = np.exp(z - top[:, None])
+        total = e @ ones
+    return e, total, top
+
+
 @dataclass
 class Attention:
     """One head with a residual, a hidden layer with a residual, and class logits; ``group`` is each id's class and ``share`` its log10 share of it."""
@@ -150,24 +165,21 @@ class Attention:
         qe = ask[inputs[:, from_:]] + ask_at[from_:n]
         kv = offer[inputs] + offer_at[:n]
         a = qe[..., :WIDTH] @ kv[..., :WIDTH].transpose(0, 2, 1)
-        np.exp(np.minimum(a, 60, out=a), out=a)  # exp() must not overflow
+        np.exp(np.clip(a, -60, 60, out=a), out=a)  # exp() must neither overflow nor vanish
         a *= np.tri(n, dtype=np.float32)[from_:]
-        a /= a.sum(-1, keepdims=True)
+        a /= (a.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*a.shape[:2], 1)
         h = (qe[..., WIDTH:] + a @ kv[..., WIDTH:]).reshape(-1, WIDTH)
         hidden = h @ p["A"]
         hidden += p["a"]
         np.maximum(hidden, 0, out=hidden)
         h += hidden @ p["B"]
-        z = h @ p["U"]
-        z += p["u"]
-        picked = z[np.arange(len(z)), wanted.reshape(-1)]
-        ones = np.ones(z.shape[1], np.float32)
-        with np.errstate(over="ignore"):
-            total = np.exp(z) @ ones
-        if not np.isfinite(total).all():
-            top = z.max(-1)
-            return (picked - top - np.log(np.exp(z - top[:, None]) @ ones)).reshape(wanted.shape)
-        return (picked - np.log(total)).reshape(wanted.shape)
+        h, wanted_, out = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1), wanted.reshape(-1), np.empty(len(h), np.float32)
+        both = np.concatenate([p["U"], p["u"][None]])
+        for at in range(0, len(h), CACHED):
+            z = h[at : at + CACHED] @ both
+            _, total, top = exponentials(z)
+            out[at : at + CACHED] = z[np.arange(len(z)), wanted_[at : at + CACHED]] - top - np.log(total)
+        return out.reshape(wanted.shape)
 
     def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each of the sequences that lie one behind the other in ``ids``; none is empty. Every id is scored once."""
@@ -259,69 +271,101 @@ def fresh(counts: np.ndarray, cells: np.ndarray, times: np.ndarray, classes: int
 
 
 class Learner:
-    """Adam on the class log loss, in place; of the embedding a step touches only the rows that its windows have."""
+    """Adam on the class log loss, in place; of the embedding a step touches only the rows that its windows have.
+
+    All weights but the embedding lie in one vector, of which ``p`` holds views, so a step updates them at once.
+    """
 
-    MASK = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), np.float32(-1e9))
+    TRI = np.tri(WINDOW, dtype=np.float32)
 
     def __init__(self, model: Attention) -> None:
-        self.model, self.p, self.step, self.windows = model, model.p, 0, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
-        self.seen = np.zeros(len(model.p["E"]), np.float32)  # how often a row was met
+        p = model.p
+        dense = [k for k in p if k != "E"]
+        ends = np.cumsum([p[k].size for k in dense])
+        self.flat = np.concatenate([p[k].reshape(-1) for k in dense])
+        self.slope = np.zeros_like(self.flat)
+        views = [{k: x[end - p[k].size : end].reshape(p[k].shape) for k, end in zip(dense, ends, strict=True)} for x in (self.flat, self.slope)]
+        self.model, self.p, self.g, self.step, self.windows = model, views[0] | {"E": p["E"]}, views[1], 0, 0
+        model.p = self.p
+        self.moments = np.zeros((2, len(self.flat)), np.float32)
+        self.rows = np.zeros((2, *p["E"].shape), np.float32)  # the embedding's moments
+        self.seen = np.zeros(len(p["E"]), np.float32)  # how often a row was met
+        self.place = np.zeros(len(p["E"]), np.int64)
 
     def learn(self, data: np.ndarray, later: np.ndarray, rate: float) -> None:
         """One step. ``data`` are rows of WINDOW + 1 ids, -1 for the beginning and -2 for no id; of ``later`` windows the overlap is context only."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        x = np.where(data[:, :-1] >= 0, self.model.row[np.maximum(data[:, :-1], 0)], 0)
+        p, g, scale, windows = self.p, self.g, np.float32(WIDTH**-0.5), len(data)
+        x = np.where(data[:, :-1] >= 0, self.model.row[np.maximum(data[:, :-1], 0)], 0).reshape(-1)
         y = np.where(data[:, 1:] >= 0, self.model.group[np.maximum(data[:, 1:], 0)], -1)
         y[later, :OVERLAP] = -1
-        h0 = p["E"][x] + p["P"]
-        q, k, w = h0 @ p["Q"], h0 @ p["K"], h0 @ p["V"]
-        a = q @ k.transpose(0, 2, 1) * scale + self.MASK
-        a = np.exp(a - a.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        c = a @ w
+        y = y.reshape(-1)
+        cube, flat = lambda t: t.reshape(windows, WINDOW, -1), lambda t: t.reshape(len(x), -1)  # products of small matrices are slow one by one
+        row_sums = lambda t: cube(flat(t) @ np.ones(t.shape[-1], np.float32))
+        h0 = flat(cube(p["E"][x]) + p["P"])
+        q, k, w = cube(h0 @ (p["Q"] * scale)), cube(h0 @ p["K"]), cube(h0 @ p["V"])
+        a = q @ k.transpose(0, 2, 1)
+        np.exp(np.clip(a, -60, 60, out=a), out=a)  # exp() must neither overflow nor vanish
+        a *= self.TRI
+        a /= row_sums(a)
+        c = flat(a @ w)
         h1 = h0 + c @ p["O"]
-        pre = h1 @ p["A"] + p["a"]
+        pre = h1 @ p["A"]
+        pre += p["a"]
         act = np.maximum(pre, 0)
         h2 = h1 + act @ p["B"]
-        ok = np.flatnonzero(y.reshape(-1) >= 0)  # the classes' part only where an id is wanted
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        h = flat(h2)[ok]
-        z = h @ p["U"]
-        z += p["u"]
-        z -= z.max(-1, keepdims=True)
-        np.exp(z, out=z)
-        z *= (1 / np.float32(max(1, len(ok)))) / z.sum(-1, keepdims=True)
-        z[np.arange(len(ok)), y.reshape(-1)[ok]] -= 1 / np.float32(max(1, len(ok)))
-        g = {"U": h.T @ z, "u": z.sum(0)}
-        d2 = np.zeros_like(flat(h2))
-        d2[ok] = z @ p["U"].T
-        d2 = d2.reshape(h2.shape)
-        g["B"] = flat(act).T @ flat(d2)
-        dp = (d2 @ p["B"].T) * (pre > 0)
-        g["A"], g["a"] = flat(h1).T @ flat(dp), flat(dp).sum(0)
+        d2 = self.class_slopes(h2, y)
+        g["B"][:] = act.T @ d2
+        dp = d2 @ p["B"].T
+        dp *= pre > 0
+        g["A"][:], g["a"][:] = h1.T @ dp, dp.sum(0)
         d1 = d2 + dp @ p["A"].T
-        g["O"] = flat(c).T @ flat(d1)
-        dc = d1 @ p["O"].T
-        da = dc @ w.transpose(0, 2, 1)
-        dw = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = flat(h0).T @ flat(dq), flat(h0).T @ flat(dk), flat(h0).T @ flat(dw)
-        d0 = d1 + dq @ p["Q"].T + dk @ p["K"].T + dw @ p["V"].T
-        g["P"] = d0.sum(0)
-        rows, at, times = np.unique(x.reshape(-1), return_inverse=True, return_counts=True)
-        at = at.reshape(-1)
-        g["E"] = np.stack([np.bincount(at, flat(d0)[:, j], len(rows)) for j in range(WIDTH)], axis=1).astype(np.float32)
-        self.seen[rows] += times
+        g["O"][:] = c.T @ d1
+        dc = cube(d1 @ p["O"].T)
+        ds = dc @ w.transpose(0, 2, 1)
+        ds *= a
+        ds -= a * row_sums(ds)
+        dq, dk, dw = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dc)
+        dq *= scale
+        g["Q"][:], g["K"][:], g["V"][:] = h0.T @ dq, h0.T @ dk, h0.T @ dw
+        d0 = d1 + dq @ p["Q"].T
+        d0 += dk @ p["K"].T
+        d0 += dw @ p["V"].T
+        g["P"][:] = cube(d0).sum(0)
+        number = np.arange(len(x))
+        self.place[x] = number
+        rows = x[self.place[x] == number]
+        self.place[rows] = number[: len(rows)]
+        at = self.place[x]
+        of_rows = np.bincount((at[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1), d0.reshape(-1), len(rows) * WIDTH)
+        self.seen[rows] += np.bincount(at, minlength=len(rows))
         self.step += 1
-        self.windows += len(data)
+        self.windows += windows
         now = rate * min(1.0, self.step / 20)
-        for key, grad in g.items():
-            part = rows if key == "E" else slice(None)
-            m = self.m[key][part] = 0.9 * self.m[key][part] + 0.1 * grad
-            v = self.v[key][part] = 0.99 * self.v[key][part] + 0.01 * grad * grad
-            p[key][part] -= (now * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        self.flat -= self.change(self.slope, self.moments, now)
+        moments = self.rows[:, rows]
+        p["E"][rows] -= self.change(of_rows.astype(np.float32).reshape(-1, WIDTH), moments, now)
+        self.rows[:, rows] = moments
+
+    def class_slopes(self, h2: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Slopes of the mean log loss along ``h2``; those of the classes' weights are put into ``g``. Only where an id is wanted."""
+        ok = np.flatnonzero(y >= 0)
+        both = np.concatenate([self.p["U"], self.p["u"][None]])
+        slopes, sums = np.zeros_like(h2), np.zeros_like(both)
+        for some in (ok[at : at + CACHED] for at in range(0, len(ok), CACHED)):
+            h = np.concatenate([h2[some], np.ones((len(some), 1), np.float32)], axis=1)
+            z, total, _ = exponentials(h @ both)
+            z[np.arange(len(some)), y[some]] -= total
+            share = (1 / (total * np.float32(len(ok))))[:, None]
+            sums += (h * share).T @ z
+            slopes[some] = (z @ self.p["U"].T) * share
+        self.g["U"][:], self.g["u"][:] = sums[:-1], sums[-1]
+        return slopes
+
+    def change(self, slope: np.ndarray, moments: np.ndarray, rate: float) -> np.ndarray:
+        m, v = moments
+        m += np.float32(0.1) * (slope - m)
+        v += np.float32(0.01) * (slope * slope - v)
+        return np.float32(rate / (1 - 0.9**self.step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.step))) + np.float32(1e-8))
 
 
 def train(windows: list[np.ndarray], counts: np.ndarray, classes: int = CLASSES, epochs: int = 3, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Attention:
