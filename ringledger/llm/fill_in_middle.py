@@ -1,10 +1,11 @@
 """Fill-in-middle transformation by secondary sort.
 
 A text is cut at two points that its id's hash names, and its parts are written in another order behind marks. Every row becomes a header and
-pieces of at most ``UNITS`` code points, keyed by (document, output position). ``repartitionAndSortWithinPartitions`` deals them by document
-and sorts them by position, so a task streams piece after piece into an incremental digest and never builds an output. The stream is then read as a reader would
-read it, by marks and form alone: each stretch gets the position it had in the text. The pieces are sorted anew by that position, which needs no
-second shuffle, since the partitioner is the same, and stream into the digest of the restored text.
+pieces of at most ``UNITS`` code points, keyed by (document, output position). ``repartition`` and ``sortWithinPartitions`` (the two halves of
+``repartitionAndSortWithinPartitions`` for tables, which sort with spilling) deal them by document and sort them by position, so a task streams piece after piece into an
+incremental digest and never builds an output. The stream is then read as a reader would read it, by marks and form alone: each stretch gets the position it had in the
+text. The stretches are sorted anew by that position, which needs no second shuffle, since they have not left their partitions, and stream into the digest of the
+restored text.
 
 A document is known by a hash of its id and text and by the input partition it came from. Rows that repeat within a partition give the same pieces, which then
 stand side by side: each is used once, and the document is returned as often as its header came. So a hot id, or a text that a third of all rows share,
@@ -14,18 +15,21 @@ is spread over as many keys as there are input partitions, and a task that runs
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark import RDD
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .common import small_batches
 
 PREFIX, SUFFIX, MIDDLE = MARKS = ("<P>", "<S>", "<M>")
 #: Marks in the order of the output, and the place of what follows each in the text.
 ORDERS = {"plain": ((), (0,)), "psm": ((PREFIX, SUFFIX, MIDDLE), (0, 2, 1)), "spm": ((SUFFIX, PREFIX, MIDDLE), (2, 0, 1))}
 UNITS = 4096
-HEADER = (-1, 0)
 
 
 @dataclass(frozen=True)
@@ -99,63 +103,102 @@ class Reader:
         yield from self.place(self.left)
 
 
-def deal(key: tuple) -> int:
-    return int(key[0][:12], 16)
+#: A row of the sort: a header (place -1) or a piece. Headers carry the document, and behind the first pass the output's digest and the number of copies.
+ENTRY = "key string, place int, number long, piece string, n long, form string, low long, high long, output_sha256 string, copies long"
+WIDTH = len(ENTRY.split(", "))
 
 
 def row_key(part: int, *values) -> str:
     return f"{hashlib.sha256(repr(values).encode('utf-8', 'surrogatepass')).hexdigest()[:32]}-{part}"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, choice: Choice, units: int) -> RDD:
-    """((key, position), piece) of all outputs, and ((key, HEADER), (id, length, form, low, high))."""
+def header(key: str, n: int | None, form: str, low: int | None, high: int | None, doc_id, sha: str | None = None, copies: int | None = None) -> tuple:
+    return key, -1, 0, None, n, form, low, high, sha, copies, doc_id
+
+
+def piece(key: str, place: int, number: int, text: str) -> tuple:
+    return (key, place, number, text, *[None] * (WIDTH - 3))
+
+
+def mapped(df: DataFrame, make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """``df`` through a function of row tuples, in batches of bounded size both ways."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+
+        held, size = [], 0
+        for row in make(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            held.append(row)
+            size += sum(len(v) for v in row if isinstance(v, str))
+            if len(held) >= 2000 or size >= 1 << 22:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def entry_schema(df: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(ENTRY).fields, T.StructField("id", df.schema[id_col].dataType)])
+
 
-    def cut(part: int, rows: Iterator) -> Iterator[tuple]:
-        for doc_id, text in rows:
+def cut_documents(docs: DataFrame, id_col: str, text_col: str, choice: Choice, units: int) -> DataFrame:
+    """The headers of all documents and the pieces of all outputs."""
+
+    def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text, part in rows:
             text = text or ""
             form, low, high = cuts(doc_id, text, choice)
             key = row_key(part, doc_id, text)
-            yield (key, HEADER), (doc_id, len(text), form, low, high)
-            for k, piece in enumerate(pieces(text, form, low, high, units)):
-                yield (key, (0, k)), piece
+            yield header(key, len(text), form, low, high, doc_id)
+            for k, chunk in enumerate(pieces(text, form, low, high, units)):
+                yield piece(key, 0, k, chunk)
+
+    return mapped(docs.select(id_col, text_col, F.spark_partition_id()), cut, entry_schema(docs, id_col))
+
 
-    return docs.select(id_col, text_col).rdd.mapPartitionsWithIndex(cut)
+def by_document(entries: DataFrame, parts: int | None) -> DataFrame:
+    return entries.repartition(parts or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
 
 
-def by_position(rows: RDD, parts: int) -> RDD:
-    """Dealt by document and sorted by position; without a shuffle where they are dealt so already."""
-    return rows.repartitionAndSortWithinPartitions(parts, deal)
+def in_order(entries: DataFrame) -> DataFrame:
+    """Behind ``by_document``, and behind what keeps its rows in their partitions, this moves nothing."""
+    return entries.sortWithinPartitions("key", "place", "number")
 
 
-def streams(rows: Iterator[tuple], begin, add, end) -> Iterator:
-    """Over sorted entries: ``begin(key, header)`` gives a document's state, ``add(state, piece)`` and ``end(state, copies)`` what it yields; repeated entries count once."""
+def streams(rows: Iterator[tuple], begin: Callable, add: Callable, end: Callable) -> Iterator:
+    """Over sorted entries: ``begin(header)`` gives a document's state, ``add(state, text)`` and ``end(state, copies)`` what it yields; repeated entries count once."""
     key, at, copies, state = None, None, 0, None
-    for (now, position), value in rows:
-        if now != key:
+    for row in rows:
+        if row[0] != key:
             if key is not None:
                 yield from end(state, copies)
-            key, at, copies, state = now, position, 1, begin(now, value)
-        elif position == HEADER:
+            key, at, copies, state = row[0], row[1:3], 1, begin(row)
+        elif row[1] < 0:
             copies += 1
-        elif position != at:
-            at = position
-            yield from add(state, value)
+        elif row[1:3] != at:
+            at = row[1:3]
+            yield from add(state, row[3])
     if key is not None:
         yield from end(state, copies)
 
 
-def _parts(spark: SparkSession, parts: int | None) -> int:
-    return parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _result(head: tuple, *more: str) -> tuple:
+    n, form, low, high = head[4:8]
+    return head[-1], n, form, *((None, None) if form == "plain" else (low, high - low)), *more
 
 
-def _cut_columns(header: tuple) -> tuple:
-    doc_id, n, form, low, high = header
-    return doc_id, n, form, *((None, None) if form == "plain" else (low, high - low))
+def _schema(docs: DataFrame, id_col: str, *more: str) -> T.StructType:
+    plain = T.StructType.fromDDL(", ".join(["n long, form string, prefix_chars long, middle_chars long", *[f"{c} string" for c in more]]))
+    return T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *plain.fields])
 
 
-def _schema(docs: DataFrame, id_col: str, *more: str) -> T.StructType:
-    plain = [T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("prefix_chars", T.LongType()), T.StructField("middle_chars", T.LongType())]
-    return T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *plain, *[T.StructField(c, T.StringType()) for c in more]])
+def keep(state: tuple, text: str) -> tuple:
+    state[1].append(text)
+    return ()
 
 
 def transform_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", choice: Choice = Choice(), parts: int | None = None, units: int = UNITS) -> DataFrame:
@@ -164,79 +207,64 @@ def transform_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts count as empty, and empty ones and those that contain a mark stay plain. Null ids are hashed as an empty string. Rows that repeat are returned as often as they
     came, an empty table gives an empty result, and other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    begin = lambda _, header: (header, [])
-
-    def add(state: tuple, piece: str) -> tuple:
-        state[1].append(piece)
-        return ()
-
-    def end(state: tuple, copies: int) -> list[tuple]:
-        return [(*_cut_columns(state[0]), "".join(state[1]))] * copies
-
-    dealt = by_position(keyed(docs, id_col, text_col, choice, units), _parts(spark, parts))
-    return spark.createDataFrame(dealt.mapPartitions(lambda rows: streams(rows, begin, add, end)), _schema(docs, id_col, "output"), verifySchema=False)
+    end = lambda state, copies: [_result(state[0], "".join(state[1]))] * copies
+    sorted_ = in_order(by_document(cut_documents(docs, id_col, text_col, choice, units), parts))
+    return mapped(sorted_, lambda rows: streams(rows, lambda head: (head, []), keep, end), _schema(docs, id_col, "output"))
 
 
 def restore_documents(outputs: DataFrame, id_col: str = "doc_id", form_col: str = "form", output_col: str = "output", parts: int | None = None, units: int = UNITS) -> DataFrame:
-    """(id, ``text``) from outputs and their forms alone. Null outputs give empty texts; a form that is not known, or an output without its marks, is an error."""
-    spark = outputs.sparkSession
+    """(id, ``text``) from outputs and their forms alone. Null outputs give empty texts if plain; a form that is not known, or an output without its marks, is an error."""
 
-    def cut(part: int, rows: Iterator) -> Iterator[tuple]:
-        for doc_id, form, output in rows:
+    def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, form, output, part in rows:
             reader, key = Reader(form), row_key(part, doc_id, form, output)
-            yield (key, HEADER), (doc_id,)
+            yield header(key, None, form, None, None, doc_id)
             for k in range(0, len(output or ""), units):
-                for position, stretch in reader.feed(output[k : k + units]):
-                    yield (key, position), stretch
-            for position, stretch in reader.close():
-                yield (key, position), stretch
-
-    def add(state: tuple, piece: str) -> tuple:
-        state[1].append(piece)
-        return ()
+                for (place, number), stretch in reader.feed(output[k : k + units]):
+                    yield piece(key, place, number, stretch)
+            for (place, number), stretch in reader.close():
+                yield piece(key, place, number, stretch)
 
-    dealt = by_position(outputs.select(id_col, form_col, output_col).rdd.mapPartitionsWithIndex(cut), _parts(spark, parts))
-    texts = dealt.mapPartitions(lambda rows: streams(rows, lambda _, header: (header, []), add, lambda s, copies: [(*s[0], "".join(s[1]))] * copies))
-    return spark.createDataFrame(texts, T.StructType([T.StructField(id_col, outputs.schema[id_col].dataType), T.StructField("text", T.StringType())]), verifySchema=False)
+    entries = mapped(outputs.select(id_col, form_col, output_col, F.spark_partition_id()), cut, entry_schema(outputs, id_col))
+    end = lambda state, copies: [(state[0][-1], "".join(state[1]))] * copies
+    schema = T.StructType([T.StructField(id_col, outputs.schema[id_col].dataType), T.StructField("text", T.StringType())])
+    return mapped(in_order(by_document(entries, parts)), lambda rows: streams(rows, lambda head: (head, []), keep, end), schema)
 
 
 class Output:
-    """A document whose output is being read: its digest so far, and where the stretches go."""
+    """A document whose output is being read: its digest so far, and the places its stretches go to."""
 
-    def __init__(self, key: str, header: tuple) -> None:
-        self.key, self.header, self.sha, self.reader = key, header, hashlib.sha256(), Reader(header[2])
+    def __init__(self, head: tuple) -> None:
+        self.head, self.sha, self.reader = head, hashlib.sha256(), Reader(head[5])
 
-    def add(self, piece: str) -> Iterator[tuple]:
-        self.sha.update(piece.encode())
-        for position, stretch in self.reader.feed(piece):
-            yield (self.key, position), stretch
+    def add(self, text: str) -> Iterator[tuple]:
+        self.sha.update(text.encode())
+        for (place, number), stretch in self.reader.feed(text):
+            yield piece(self.head[0], place, number, stretch)
 
     def end(self, copies: int) -> Iterator[tuple]:
-        for position, stretch in self.reader.close():
-            yield (self.key, position), stretch
-        yield (self.key, HEADER), (self.header, self.sha.hexdigest(), copies)
+        for (place, number), stretch in self.reader.close():
+            yield piece(self.head[0], place, number, stretch)
+        yield header(self.head[0], *self.head[4:8], self.head[-1], self.sha.hexdigest(), copies)
 
 
 class Restored:
-    def __init__(self, key: str, header: tuple) -> None:
-        self.header, self.sha = header, hashlib.sha256()
+    def __init__(self, head: tuple) -> None:
+        self.head, self.sha = head, hashlib.sha256()
 
-    def add(self, stretch: str) -> tuple:
-        self.sha.update(stretch.encode())
+    def add(self, text: str) -> tuple:
+        self.sha.update(text.encode())
         return ()
 
-    def end(self, copies: int) -> list[tuple]:
-        header, output, times = self.header
-        return [(*_cut_columns(header), output, self.sha.hexdigest())] * times
+    def end(self, _: int) -> list[tuple]:
+        return [_result(self.head, self.head[8], self.sha.hexdigest())] * self.head[9]
 
 
 def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", choice: Choice = Choice(), parts: int | None = None, units: int = UNITS) -> DataFrame:
     """As ``transform_documents``, with ``output_sha256`` and ``restored_sha256`` (the text rebuilt from output and form) for the output; no text is held whole behind the shuffle."""
-    spark, parts = docs.sparkSession, _parts(docs.sparkSession, parts)
-    outputs = by_position(keyed(docs, id_col, text_col, choice, units), parts).mapPartitions(lambda rows: streams(rows, Output, Output.add, Output.end), preservesPartitioning=True)
-    digests = by_position(outputs, parts).mapPartitions(lambda rows: streams(rows, Restored, Restored.add, Restored.end))
-    return spark.createDataFrame(digests, _schema(docs, id_col, "output_sha256", "restored_sha256"), verifySchema=False)
+    entries = in_order(by_document(cut_documents(docs, id_col, text_col, choice, units), parts))
+    stretches = mapped(entries, lambda rows: streams(rows, Output, Output.add, Output.end), entry_schema(docs, id_col))
+    return mapped(in_order(stretches), lambda rows: streams(rows, Restored, Restored.add, Restored.end), _schema(docs, id_col, "output_sha256", "restored_sha256"))
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
