@@ -1,25 +1,31 @@
 """Order-dependent rating folds over a contest log.
 
-Each contest reads and writes the states of two contestants, so neither windows nor single-key state express the fold. The log is
-labelled with the connected components of who met whom, dealt by (system, component) and streamed in order through
-``mapInPandas``: a task holds the states of its contestants, never the log. Everything that a contest alone decides (K
-factors, target offsets) is computed before, in columns.
+Each contest reads and writes the states of two contestants, so neither windows nor single-key state express the fold. Everything that a contest
+alone decides (K factors, target offsets) is computed before, in columns. The rest runs in waves: a contest's level is one more than the last levels of
+its two contestants, so the contests of a level touch different contestants, and a level is one update of numpy arrays of states.
+
+Contestants who never meet, not even through others, do not matter to one another: the log is labelled with the connected components of who met whom and dealt by (system,
+component). Where a component has more contests than one task may have, the log is cut into slices of its order, each short enough that
+no component *inside* it is larger, and the slices follow one another; states pass on as a table by contestant. A task holds the states of its
+contestants and ``CHUNK`` contests.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from functools import partial
+from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir
+from . import analytics
 from .graph import components
 
 # Fixed values of the systems.
@@ -35,368 +41,538 @@ UNIFIED = {
     "weights": {"mma": (1.0, 0.30, 0.30, 0.20, 0.20), "striking": (0.0, 1.0, 0.0, 0.20, 0.15), "grappling": (0.0, 0.0, 1.0, 0.15, 0.20), "other": (0.25, 0.45, 0.20, 0.20, 0.15)},
 }
 
+OUTCOMES = {"L": -1, "D": 0, "W": 1}
+FAMILIES = tuple(FACTOR_WEIGHTS)
+TIERS = tuple(UNIFIED["tier"])
+#: Contests that a task holds at once; contests that a task may have in all before the log is cut into slices.
+CHUNK, MAX_TASK_CONTESTS = 1 << 16, 4_000_000
+FIRST_DAY = "1900-01-01"
+
 COLUMNS = ["contest_id", "day", "a", "b", "outcome", "sport", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier", "margin"]
-DELTA = "system string, contest_id long, contestant long, opponent long, day date, seq long, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long, expected_after double, latent double, streak int, peak double, finish_rate double"
+DELTA = "system string, contest_id long, contestant long, opponent long, day date, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long, expected_after double, latent double, streak int, peak double, finish_rate double"
+STATE = "system string, contestant long, state array<double>"
+NAMES = [c.split()[0] for c in DELTA.split(", ")]
+
+
+def clip(v: np.ndarray, low, high) -> np.ndarray:
+    """The lower bound wins where the bounds cross."""
+    return np.where(v < low, low, np.where(v > high, high, v))
 
 
-def clip(v: float, low: float, high: float) -> float:
-    return low if v < low else high if v > high else v
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    small = np.exp(-np.abs(x))
+    return np.where(x >= 0, 1.0, small) / (1 + small)
 
 
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+def anchored(won: np.ndarray, base: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The target of a decided contest: ``base`` (outcome, margin, finish; a column) moved beyond the expectation on the winner's side."""
+    near = kernels.TARGET["epsilon"]
+    return np.where(won, clip(base, np.maximum(0.5, expected + near), 1.0), clip(base, 0.0, np.minimum(0.5, expected - near)))
 
 
-def anchored(outcome: str, base: float, expected: float) -> float:
-    """The target: ``base`` (outcome, margin, finish; a column) moved beyond the expectation on the winner's side."""
-    if outcome == "W":
-        return clip(base, max(0.5, expected + kernels.TARGET["epsilon"]), 1.0)
-    if outcome == "L":
-        return clip(base, 0.0, min(0.5, expected - kernels.TARGET["epsilon"]))
-    return 0.5
+def idle_days(states: dict, at: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """Days since the last contest, 0 for newcomers."""
+    return np.nan_to_num(np.maximum(0, day - states["last"][at]))
 
 
-@dataclass
-class Elo:
-    rating: float = 1500.0
-    fights: int = 0
-    last: object = None
-    rd: float = float("nan")
+def career(states: dict, at: np.ndarray, day: np.ndarray, rules: dict) -> np.ndarray:
+    """The factor of K for experience and for a long absence."""
+    (few, early), (some, middle), late = rules["experience"]
+    fights, away = states["fights"][at], day - states["last"][at] > rules["layoff_days"]  # false for newcomers
+    return np.where(fights < few, early, np.where(fights < some, middle, late)) * np.where(away, rules["layoff"], rules["active"])
 
-    def career(self, day) -> float:
-        (few, early), (some, middle), late = kernels.ELO["experience"]
-        layoff = self.last is not None and (day - self.last).days > kernels.ELO["layoff_days"]
-        return (early if self.fights < few else middle if self.fights < some else late) * (kernels.ELO["layoff"] if layoff else kernels.ELO["active"])
 
+def played(states: dict, at: np.ndarray, day: np.ndarray) -> None:
+    states["fights"][at] += 1
+    states["last"][at] = day
 
-def elo_step(x: Elo, y: Elo, c) -> tuple:
-    e = sigmoid((x.rating - y.rating) / 400)
-    pre = x.rating, y.rating
-    if c.sport != "mma" or c.outcome in ("NC", "D"):
-        t = 0.5 if c.outcome == "D" else e
-        return pre, pre, e, t, 0.0 if c.outcome == "D" else 0.0, 0.0
-    t = anchored(c.outcome, c.base, e)
-    kx, ky = c.k * x.career(c.day), c.k * y.career(c.day)
-    x.rating += kx * (t - e)
-    y.rating += ky * ((1 - t) - (1 - e))
-    for s in (x, y):
-        s.fights, s.last = s.fights + 1, c.day
-    return pre, (x.rating, y.rating), e, t, kx, ky
 
+def elo_expected(s: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return sigmoid((s["rating"][i] - s["rating"][j]) / 400)
 
-@dataclass
-class Glicko:
-    rating: float = GLICKO["rating"]
-    rd: float = GLICKO["rd"]
-    volatility: float = GLICKO["volatility"]
-    fights: int = 0
-    last: object = None
 
-    def idle(self, day, growth: float = GLICKO["growth"]) -> None:
-        if self.last is not None and (days := max(0, (day - self.last).days)):
-            s = GLICKO["scale"]
-            self.rd = s * math.sqrt((self.rd / s) ** 2 + days / GLICKO["period"] * growth**2)
+def elo_wave(s: dict, i: np.ndarray, j: np.ndarray, c: SimpleNamespace, compat: bool) -> tuple:
+    """(ratings before, expected, target, K of both) of contests of which no two share a contestant; moves the states. So do the other waves."""
+    pre = s["rating"][i], s["rating"][j]
+    e = elo_expected(s, i, j)
+    live = c.mma & c.decided
+    t = np.where(live, anchored(c.won, c.base, e), np.where(c.draw, 0.5, e))
+    ks = tuple(np.where(live, c.k * career(s, at, c.day, kernels.ELO), 0.0) for at in (i, j))
+    s["rating"][i] = pre[0] + ks[0] * (t - e)
+    s["rating"][j] = pre[1] + ks[1] * (e - t)
+    for at in (i, j):
+        played(s, at[live], c.day[live])
+    return pre, e, t, ks
 
 
-def volatility(phi: float, sigma: float, gain: float, variance: float, tau: float = GLICKO["tau"]) -> float:
-    """The volatility at which the published condition on x = ln(sigma^2) holds, to machine precision.
+def volatility(phi, sigma, gain, variance, tau: float = GLICKO["tau"]) -> np.ndarray:
+    """The volatility at which the published condition on x = ln(sigma^2) holds, to machine precision, for arrays.
 
     ``gain`` is the improvement that the result suggests and ``variance`` that of the performance. The condition falls in x around its root,
-    so a bracket is widened by steps of tau below the old value and closed by Ridders' rule.
+    so brackets are widened by steps of tau below the old value and closed by Ridders' rule.
     """
-    start = 2 * math.log(sigma)
-    apart = gain * gain - phi * phi - variance
-
-    def slack(x: float) -> float:
-        ex = math.exp(x)
-        return ex * (apart - ex) / (2 * (phi * phi + variance + ex) ** 2) - (x - start) / (tau * tau)
-
-    low = high = start
-    if apart > 0:
-        low, high = min(start, math.log(apart)), max(start, math.log(apart))
-    while slack(low) < 0:
-        low -= tau
-    at_low, at_high = slack(low), slack(high)
-    if at_low == 0 or at_high == 0:
-        return math.exp((low if at_low == 0 else high) / 2)
+    phi, sigma, gain, variance = np.broadcast_arrays(*(np.asarray(v, float) for v in (phi, sigma, gain, variance)))
+    start, fixed = 2 * np.log(sigma), phi * phi + variance
+    apart = gain * gain - fixed
+
+    def slack(x: np.ndarray) -> np.ndarray:
+        ex = np.exp(x)
+        return ex * (apart - ex) / (2 * (fixed + ex) ** 2) - (x - start) / (tau * tau)
+
+    far = np.where(apart > 0, np.log(np.maximum(apart, 1e-300)), start)
+    low, high = np.minimum(start, far), np.maximum(start, far)
+    at_low = slack(low)
+    while (open_ := at_low < 0).any():
+        low = np.where(open_, low - tau, low)
+        at_low = slack(low)
+    at_high = slack(high)
     for _ in range(60):
         middle = (low + high) / 2
         at_middle = slack(middle)
-        if at_middle == 0 or high - low < 1e-13:
-            return math.exp(middle / 2)
-        x = min(max(middle + (middle - low) * at_middle / math.sqrt(at_middle * at_middle - at_low * at_high), low), high)
+        root = np.sqrt(np.maximum(at_middle * at_middle - at_low * at_high, 1e-300))
+        x = np.minimum(np.maximum(middle + (middle - low) * at_middle / root, low), high)
         at_x = slack(x)
-        for point, value in sorted(((middle, at_middle), (x, at_x))):
-            if value > 0:
-                low, at_low = max(low, point), value
-            else:
-                high, at_high = point, value
-                break
-        if at_x == 0:
-            return math.exp(x / 2)
-    return math.exp((low + high) / 4)
-
-
-def dampening(phi: float) -> float:
+        near, near_value, past, past_value = *(np.where(middle < x, u, v) for u, v in ((middle, x), (at_middle, at_x))), *(np.where(middle < x, v, u) for u, v in ((middle, x), (at_middle, at_x)))
+        low, at_low = np.where(past_value >= 0, past, np.where(near_value >= 0, near, low)), np.where(past_value >= 0, past_value, np.where(near_value >= 0, near_value, at_low))
+        high, at_high = np.where(near_value <= 0, near, np.where(past_value <= 0, past, high)), np.where(near_value <= 0, near_value, np.where(past_value <= 0, past_value, at_high))
+        if (high - low < 1e-13).all():
+            break
+    return np.exp((low + high) / 4)[()]
+
+
+def dampening(phi: np.ndarray) -> np.ndarray:
     """How much a result says against an opponent of that deviation."""
-    return 1 / math.sqrt(1 + 3 * (phi / math.pi) ** 2)
+    return 1 / np.sqrt(1 + 3 * (phi / math.pi) ** 2)
 
 
-def after_contest(gap: float, phi: float, sigma: float, other_phi: float, score: float) -> tuple[float, float, float]:
+def after_contest(gap, phi, sigma, other_phi, score) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(deviation, volatility, surprise) after one contest; ``gap`` is the rating less the opponent's, all in units of the scale."""
     g = dampening(other_phi)
     e = sigmoid(g * gap)
-    information, surprise = max(1e-9, g * g * e * (1 - e)), g * (score - e)
+    information, surprise = np.maximum(1e-9, g * g * e * (1 - e)), g * (score - e)
     new_sigma = volatility(phi, sigma, surprise / information, 1 / information)
     return (1 / (phi * phi + new_sigma * new_sigma) + information) ** -0.5, new_sigma, surprise
 
 
-def glicko_expected(x: Glicko, y: Glicko) -> float:
+def grown(rd: np.ndarray, days: np.ndarray, growth: float) -> np.ndarray:
+    scale = GLICKO["scale"]
+    return np.where(days > 0, scale * np.sqrt((rd / scale) ** 2 + days / GLICKO["period"] * growth**2), rd)
+
+
+def glicko_expected(s: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The opponent's deviation alone counts, so the two sides' expectations do not add up to one."""
-    return sigmoid(dampening(y.rd / GLICKO["scale"]) * (x.rating - y.rating) / GLICKO["scale"])
+    return sigmoid(dampening(s["rd"][j] / GLICKO["scale"]) * (s["rating"][i] - s["rating"][j]) / GLICKO["scale"])
+
+
+def glicko_wave(s: dict, i: np.ndarray, j: np.ndarray, c: SimpleNamespace, compat: bool) -> tuple:
+    for at in (i, j):
+        s["rd"][at] = grown(s["rd"][at], idle_days(s, at, c.day), GLICKO["growth"])
+    scale, e, pre = GLICKO["scale"], glicko_expected(s, i, j), (s["rating"][i], s["rating"][j])
+    for at in (i, j):
+        played(s, at, c.day)
+    live = c.mma & c.decided
+    t = np.where(live, anchored(c.won, c.base, e), np.where(c.draw, 0.5, e))
+    n, me, other = int(live.sum()), np.concatenate([i[live], j[live]]), np.concatenate([j[live], i[live]])
+    score = np.concatenate([t[live], 1 - t[live]])
+    if n:
+        phi, sigma, surprise = after_contest((s["rating"][me] - s["rating"][other]) / scale, s["rd"][me] / scale, s["volatility"][me], s["rd"][other] / scale, score)
+        s["rating"][me] += scale * phi * phi * surprise
+        s["rd"][me], s["volatility"][me] = scale * phi, sigma
+    return pre, e, t, (np.zeros(len(i)),) * 2
+
+
+def shifted_gap(w: np.ndarray, x: np.ndarray, y: np.ndarray, c: SimpleNamespace) -> np.ndarray:
+    """Latent gap and what margin, promotion and finish add; a zero promotion counts as unknown."""
+    gap, margin = (w * (x - y)).sum(1), np.nan_to_num(c.margin)
+    promotion = np.where(np.isnan(c.promotion) | (c.promotion == 0), 0.5, c.promotion) - 0.5
+    shift = FACTOR["margin"] * margin + FACTOR["promotion"] * promotion
+    return gap + shift + np.where(c.finish, FACTOR["finish"] * (FACTOR["damage"] * np.abs(margin) + FACTOR["latent"] * gap), 0.0)
 
 
-def glicko_step(x: Glicko, y: Glicko, c) -> tuple:
-    x.idle(c.day)
-    y.idle(c.day)
-    s, e = GLICKO["scale"], glicko_expected(x, y)
-    pre = x.rating, y.rating
-    for p in (x, y):
-        p.fights, p.last = p.fights + 1, c.day
-    if c.sport != "mma" or c.outcome in ("NC", "D"):
-        return pre, pre, e, 0.5 if c.outcome == "D" else e, 0.0, 0.0
-    t = anchored(c.outcome, c.base, e)
-    gap, phis = (x.rating - y.rating) / s, (x.rd / s, y.rd / s)
-    for p, d, other, score, sign in ((x, phis[0], phis[1], t, 1), (y, phis[1], phis[0], 1 - t, -1)):
-        phi, p.volatility, surprise = after_contest(sign * gap, d, p.volatility, other, score)
-        p.rating, p.rd = p.rating + s * phi * phi * surprise, s * phi
-    return pre, (x.rating, y.rating), e, t, 0.0, 0.0
+def kalman(s: dict, i: np.ndarray, j: np.ndarray, w: np.ndarray, e: np.ndarray, t: np.ndarray) -> None:
+    """Joint update of two independent states by one observation; what they come to share is dropped again."""
+    slope = e * (1 - e)
+    h = slope[:, None] * w
+    p = [np.einsum("nij,nj->ni", s["cov"][at], sign * h) for at, sign in ((i, 1), (j, -1))]
+    d = ((h * p[0]).sum(1) - (h * p[1]).sum(1) + np.maximum(FACTOR["floor"], slope))[:, None]
+    for at, own in ((i, p[0]), (j, p[1])):
+        new = s["cov"][at] - own[:, :, None] * own[:, None, :] / d[:, :, None]
+        s["cov"][at] = (new + new.transpose(0, 2, 1)) / 2
+        s["mean"][at] += own / d * (t - e)[:, None]
 
 
-def family(sport: str) -> str:
-    return "mma" if sport == "mma" else "striking" if sport in STRIKING else "grappling" if sport in GRAPPLING else "other"
+FACTOR_MATRIX = np.array([FACTOR_WEIGHTS[f] for f in FAMILIES])
+UNIFIED_MATRIX = np.array([UNIFIED["weights"][f] for f in FAMILIES])
 
 
-@dataclass
-class Factor:
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    cov: np.ndarray = field(default_factory=lambda: np.diag(FACTOR["variance"]).astype(float))
-    fights: int = 0
-    last: object = None
+def noisier(s: dict, at: np.ndarray, day: np.ndarray, noise: tuple) -> None:
+    s["cov"][at] += idle_days(s, at, day)[:, None, None] * np.diag(noise)
 
-    @property
-    def rating(self) -> float:
-        return FACTOR["rating"] + FACTOR["scale"] * float(self.mean[0])
 
-    @property
-    def rd(self) -> float:
-        return FACTOR["scale"] * math.sqrt(max(0.0, self.cov[0, 0]))
+def factor_rating(s: dict, at: np.ndarray) -> np.ndarray:
+    return FACTOR["rating"] + FACTOR["scale"] * s["mean"][at, 0]
 
 
-def shifted_gap(w: np.ndarray, x, y, c) -> float:
-    """Latent gap and what margin, promotion and finish add; a zero promotion counts as unknown."""
-    gap = float(w @ (x - y))
-    margin, promotion = c.margin or 0.0, (c.promotion or 0.5) - 0.5
-    shift = FACTOR["margin"] * margin + FACTOR["promotion"] * promotion
-    if c.method in kernels.FINISHES:
-        shift += FACTOR["finish"] * (FACTOR["damage"] * abs(margin) + FACTOR["latent"] * gap)
-    return gap + shift
+def factor_wave(s: dict, i: np.ndarray, j: np.ndarray, c: SimpleNamespace, compat: bool) -> tuple:
+    for at in (i, j):
+        noisier(s, at, c.day, FACTOR["noise"])
+    w = FACTOR_MATRIX[c.family]
+    e = sigmoid(shifted_gap(w, s["mean"][i], s["mean"][j], c))
+    pre = factor_rating(s, i), factor_rating(s, j)
+    t = np.where(c.decided, np.where(c.mma, anchored(c.won, c.base, e), c.won), np.where(c.draw, 0.5, e))
+    kalman(s, i[c.decided], j[c.decided], w[c.decided], e[c.decided], t[c.decided])
+    for at in (i, j):
+        s["fights"][at] += c.mma
+        s["last"][at] = c.day
+    return pre, e, t, (np.zeros(len(i)),) * 2
 
 
-def kalman(w: np.ndarray, x: tuple, y: tuple, e: float, t: float) -> tuple:
-    """Joint update of two independent states by one observation; what they come to share is dropped again."""
-    slope = e * (1 - e)
-    hx, hy = slope * w, -slope * w
-    px, py = x[1] @ hx, y[1] @ hy
-    d = float(hx @ px + hy @ py) + max(FACTOR["floor"], slope)
-    out = []
-    for (mean, cov), p in ((x, px), (y, py)):
-        new = cov - np.outer(p, p) / d
-        out.append((mean + p / d * (t - e), (new + new.T) / 2))
-    return tuple(out)
-
-
-def factor_step(x: Factor, y: Factor, c) -> tuple:
-    for p in (x, y):
-        if p.last is not None and (days := max(0, (c.day - p.last).days)):
-            p.cov = p.cov + days * np.diag(FACTOR["noise"])
-    w = np.array(FACTOR_WEIGHTS[family(c.sport)])
-    e = sigmoid(shifted_gap(w, x.mean, y.mean, c))
-    pre = x.rating, y.rating
-    t = 0.5 if c.outcome == "D" else e
-    if c.outcome not in ("NC", "D"):
-        t = anchored(c.outcome, c.base, e) if c.sport == "mma" else 1.0 if c.outcome == "W" else 0.0
-        (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
-    for p in (x, y):
-        p.fights, p.last = p.fights + (c.sport == "mma"), c.day
-    return pre, (x.rating, y.rating), e, t, 0.0, 0.0
-
-
-@dataclass
-class Unified:
-    """Rating backbone with deviation, five latent skills, streak, recent scores and a remembered peak; ``rating`` is the composite."""
-
-    base: float = UNIFIED["rating"]
-    rd: float = UNIFIED["rd"]
-    volatility: float = UNIFIED["volatility"]
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    cov: np.ndarray = field(default_factory=lambda: np.diag(UNIFIED["variance"]).astype(float))
-    fights: int = 0
-    last: object = None
-    streak: int = 0
-    finishes: int = 0
-    past: list = field(default_factory=list)
-    peak: float = UNIFIED["rating"]
-
-    def blend(self) -> float:
-        own, skill = UNIFIED["composite"]
-        return own * self.base + skill * (UNIFIED["rating"] + UNIFIED["scale"] * float(self.mean[0]))
-
-    @property
-    def rating(self) -> float:
-        start = UNIFIED["rating"]
-        return max(self.blend(), start + UNIFIED["floor"] * (self.peak - start)) if self.peak > start else self.blend()
-
-    def idle(self, day) -> None:
-        if self.last is not None and (days := max(0, (day - self.last).days)):
-            s = GLICKO["scale"]
-            self.rd = clip(s * math.sqrt((self.rd / s) ** 2 + days / GLICKO["period"] * UNIFIED["growth"] ** 2), *UNIFIED["rd_bounds"])
-            self.cov = self.cov + days * np.diag(UNIFIED["noise"])
-
-
-def unified_k(x: Unified, y: Unified, c, e: float, won: bool) -> float:
-    """The factors of K for ``x``; ``e`` is its expectation and ``won`` the outcome by which an upset is judged."""
+def blend(s: dict, at: np.ndarray) -> np.ndarray:
+    own, skill = UNIFIED["composite"]
+    return own * s["base"][at] + skill * (UNIFIED["rating"] + UNIFIED["scale"] * s["mean"][at, 0])
+
+
+def unified_rating(s: dict, at: np.ndarray) -> np.ndarray:
+    """The composite, held up by the remembered peak."""
+    start, peak = UNIFIED["rating"], s["peak"][at]
+    return np.where(peak > start, np.maximum(blend(s, at), start + UNIFIED["floor"] * (peak - start)), blend(s, at))
+
+
+def unified_k(s: dict, i: np.ndarray, j: np.ndarray, c: SimpleNamespace, e: np.ndarray, won: np.ndarray) -> np.ndarray:
+    """K of the contestants ``i``; ``e`` is their expectation and ``won`` the outcome by which an upset is judged."""
     u = UNIFIED
     slope, most = u["margin"]
-    (few, early), (some, middle), late = u["experience"]
     low, rise, least, top = u["promotion"]
-    k = u["k0"] * u["tier"].get(c.tier, u["tier"]["C"]) * (u["title"] if c.rounds >= 5 or c.title else 1.0) * (u["finish"] if c.method in kernels.FINISHES else 1.0)
-    k *= 1 + clip(slope * abs(c.margin or 0.0), 0.0, most)
-    k *= early if x.fights < few else middle if x.fights < some else late
-    k *= u["layoff"] if x.last is not None and (c.day - x.last).days > u["layoff_days"] else u["active"]
-    k *= 1.0 if c.promotion is None else clip(low + rise * clip(c.promotion, 0.0, 1.0), least, top)
-    surprise = 0.5 - e if won else e - 0.5
-    k *= 1 + clip(2 * u["upset"][0] * surprise, 0.0, u["upset"][1])
-    k *= 1 + clip(u["quality"] * (y.base - u["rating"]) / u["scale"], -0.15, 0.25)
-    k *= 1 + u["consistency"] * max(0.0, 1 - 5 * float(np.std(x.past))) if len(x.past) >= 3 else 1.0
-    return k * clip(x.rd / u["rd"], 0.5, 2.0)
-
-
-def unified_one(x: Unified, y: Unified, t: float, k: float) -> tuple[float, float, float]:
-    """New backbone rating, deviation and volatility of ``x``."""
-    s = GLICKO["scale"]
-    phi, sigma, _ = after_contest((x.base - y.base) / s, x.rd / s, x.volatility, y.rd / s, t)
-    return x.base + k * (t - sigmoid((x.base - y.base) / UNIFIED["scale"])), clip(s * phi, *UNIFIED["rd_bounds"]), sigma
-
-
-def unified_step(x: Unified, y: Unified, c, compat: bool = True) -> tuple:
+    k = u["k0"] * np.array([u["tier"][t] for t in TIERS])[c.tier] * np.where(c.major, u["title"], 1.0) * np.where(c.finish, u["finish"], 1.0)
+    k = k * (1 + np.minimum(slope * np.abs(np.nan_to_num(c.margin)), most)) * career(s, i, c.day, u)
+    k = k * np.where(np.isnan(c.promotion), 1.0, clip(low + rise * clip(c.promotion, 0.0, 1.0), least, top))
+    k = k * (1 + clip(2 * u["upset"][0] * np.where(won, 0.5 - e, e - 0.5), 0.0, u["upset"][1]))
+    k = k * (1 + clip(u["quality"] * (s["base"][j] - u["rating"]) / u["scale"], -0.15, 0.25))
+    past = s["past"][i]
+    n = np.maximum((~np.isnan(past)).sum(1), 1)
+    mean = np.nansum(past, 1) / n
+    deviation = np.sqrt(np.nansum((past - mean[:, None]) ** 2, 1) / n)
+    k = k * np.where(n >= 3, 1 + u["consistency"] * np.maximum(0.0, 1 - 5 * deviation), 1.0)
+    return k * clip(s["rd"][i] / u["rd"], 0.5, 2.0)
+
+
+def unified_wave(s: dict, i: np.ndarray, j: np.ndarray, c: SimpleNamespace, compat: bool) -> tuple:
     """Other sports move the skills only.
 
     With ``compat`` what counts as won follows a's outcome and the side's own target, so a's loss counts as a win for a's streak, finishes and remembered
     scores; without it each side's own outcome and score count.
     """
-    x.idle(c.day)
-    y.idle(c.day)
-    w, (by_rating, by_skill, by_form), (each, most) = np.array(UNIFIED["weights"][family(c.sport)]), UNIFIED["blend"], UNIFIED["form"]
-    form = clip(0.5 + clip(each * (x.streak - y.streak), -most, most), 0.0, 1.0)
-    e = by_rating * sigmoid((x.base - y.base) / UNIFIED["scale"]) + by_skill * sigmoid(shifted_gap(w, x.mean, y.mean, c)) + by_form * form
+    u, scale = UNIFIED, GLICKO["scale"]
+    for at in (i, j):
+        days = idle_days(s, at, c.day)
+        s["rd"][at] = np.where(days > 0, clip(grown(s["rd"][at], days, u["growth"]), *u["rd_bounds"]), s["rd"][at])
+        noisier(s, at, c.day, u["noise"])
+    w, (by_rating, by_skill, by_form), (each, most) = UNIFIED_MATRIX[c.family], u["blend"], u["form"]
+    form = clip(0.5 + clip(each * (s["streak"][i] - s["streak"][j]), -most, most), 0.0, 1.0)
+    e = by_rating * sigmoid((s["base"][i] - s["base"][j]) / u["scale"]) + by_skill * sigmoid(shifted_gap(w, s["mean"][i], s["mean"][j], c)) + by_form * form
     e = clip(e / (by_rating + by_skill + by_form), 1e-6, 1 - 1e-6)
-    pre = x.rating, y.rating
-    if c.outcome == "NC" or (c.sport == "mma" and c.outcome == "D"):
-        return pre, pre, e, 0.5 if c.outcome == "D" else e, 0.0, 0.0
-    if c.sport != "mma":
-        t = 1.0 if c.outcome == "W" else 0.0 if c.outcome == "L" else 0.5
-        (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
-        return pre, (x.rating, y.rating), e, t, 0.0, 0.0
-    t = anchored(c.outcome, c.base, e)
-    ks = unified_k(x, y, c, e, c.outcome == "W"), unified_k(y, x, c, 1 - e, (c.outcome == "W") if compat else c.outcome == "L")  # by a's outcome for both
-    new = unified_one(x, y, t, ks[0]), unified_one(y, x, 1 - t, ks[1])
-    (x.mean, x.cov), (y.mean, y.cov) = kalman(w, (x.mean, x.cov), (y.mean, y.cov), e, t)
-    for p, (base, rd, sigma), own in ((x, new[0], t), (y, new[1], 1 - t)):
-        won = (c.outcome == "W" if own > 0.5 else c.outcome == "L") if own != 0.5 else False
-        lost = not won and own != 0.5
-        if not compat:
-            won, lost = c.outcome == ("W" if p is x else "L"), c.outcome == ("L" if p is x else "W")
-        p.base, p.rd, p.volatility = base, rd, sigma
-        p.streak = max(1, p.streak + 1) if won else min(-1, p.streak - 1) if lost else 0
-        p.finishes += won and c.method in kernels.FINISHES
-        if c.margin is not None:
-            score = (1 + c.margin) / 2
-            p.past = [*p.past, score if (own > 0.5 if compat else p is x) else 1 - score][-10:]
-        kept = p.peak - UNIFIED["decay"] * (p.peak - UNIFIED["rating"]) if lost else p.peak
-        p.peak = max(kept, p.blend())
-        p.fights, p.last = p.fights + 1, c.day
-    return pre, (x.rating, y.rating), e, t, *ks
-
-
-SYSTEMS: dict[str, tuple[Callable, Callable]] = {"elo": (Elo, elo_step), "glicko": (Glicko, glicko_step), "factor": (Factor, factor_step), "unified": (Unified, unified_step)}
-
-
-def elo_expected(x: Elo, y: Elo) -> float:
-    return sigmoid((x.rating - y.rating) / 400)
-
-
-AFTER = {"elo": elo_expected, "glicko": glicko_expected}
-
-
-def facts(system: str, p) -> tuple:
-    """(latent, streak, peak, finish_rate): the MMA-weighted latent strength of a factor state, the rest of a unified one."""
-    if system == "factor":
-        return float(np.dot(FACTOR_WEIGHTS["mma"], p.mean)), None, None, None
-    if system == "unified":
-        return None, p.streak, p.peak, p.finishes / p.fights if p.fights else 0.0
-    return None, None, None, None
+    pre = unified_rating(s, i), unified_rating(s, j)
+    live, skills = c.mma & c.decided, c.decided | (c.draw & ~c.mma)
+    t = np.where(live, anchored(c.won, c.base, e), np.where(c.draw, 0.5, np.where(c.decided, c.won, e)))
+    lost_it = c.decided & ~c.won
+    ks = tuple(np.where(live, k, 0.0) for k in (unified_k(s, i, j, c, e, c.won), unified_k(s, j, i, c, 1 - e, c.won if compat else lost_it)))  # with compat by a's outcome for both
+    me, other, on = np.concatenate([i[live], j[live]]), np.concatenate([j[live], i[live]]), np.concatenate([live, live])
+    if len(me):
+        score, gap = np.concatenate([t, 1 - t])[on], s["base"][me] - s["base"][other]
+        phi, sigma, _ = after_contest(gap / scale, s["rd"][me] / scale, s["volatility"][me], s["rd"][other] / scale, score)
+        base = s["base"][me] + np.concatenate(ks)[on] * (score - sigmoid(gap / u["scale"]))
+    kalman(s, i[skills], j[skills], w[skills], e[skills], t[skills])
+    if len(me):
+        s["base"][me], s["rd"][me], s["volatility"][me] = base, clip(scale * phi, *u["rd_bounds"]), sigma
+        first = np.arange(len(me)) < len(me) // 2
+        won_it, lost_it = np.concatenate([c.won, c.won])[on], np.concatenate([lost_it, lost_it])[on]
+        ahead = score > 0.5
+        won = np.where(ahead, won_it, lost_it) & (score != 0.5) if compat else np.where(first, won_it, lost_it)
+        lost = ~won & (score != 0.5) if compat else np.where(first, lost_it, won_it)
+        streak = s["streak"][me]
+        s["streak"][me] = np.where(won, np.maximum(1, streak + 1), np.where(lost, np.minimum(-1, streak - 1), 0))
+        s["finishes"][me] += won & np.concatenate([c.finish, c.finish])[on]
+        margin = np.concatenate([c.margin, c.margin])[on]
+        known, shown = ~np.isnan(margin), (1 + margin) / 2
+        past = s["past"][me]
+        newest = np.where(ahead if compat else first, shown, 1 - shown)
+        s["past"][me] = np.where(known[:, None], np.concatenate([past[:, 1:], newest[:, None]], 1), past)
+        peak = s["peak"][me]
+        s["peak"][me] = np.maximum(np.where(lost, peak - u["decay"] * (peak - u["rating"]), peak), blend(s, me))
+        played(s, me, np.concatenate([c.day, c.day])[on])
+    return pre, e, t, ks
+
+
+@dataclass(frozen=True)
+class System:
+    """``start``: a newcomer's state by field. ``rating`` reads it, ``after`` is the expectation of updated states, ``facts`` further columns of one side."""
+
+    start: dict
+    wave: Callable
+    rating: Callable = lambda s, at: s["rating"][at]
+    after: Callable | None = None
+    rd: Callable = lambda s, at: s["rd"][at]
+    facts: Callable = lambda s, at: {}
+
+
+NEW = {"fights": 0.0, "last": math.nan}
+SYSTEMS: dict[str, System] = {
+    "elo": System(NEW | {"rating": 1500.0}, elo_wave, after=elo_expected, rd=lambda s, at: np.full(len(at), np.nan)),
+    "glicko": System(NEW | {k: GLICKO[k] for k in ("rating", "rd", "volatility")}, glicko_wave, after=glicko_expected),
+    "factor": System(
+        NEW | {"mean": np.zeros(4), "cov": np.diag(FACTOR["variance"])}, factor_wave, factor_rating, rd=lambda s, at: FACTOR["scale"] * np.sqrt(np.maximum(0.0, s["cov"][at, 0, 0])),
+        facts=lambda s, at: {"latent": s["mean"][at] @ np.array(FACTOR_WEIGHTS["mma"])}),
+    "unified": System(
+        NEW | {"base": UNIFIED["rating"], "rd": UNIFIED["rd"], "volatility": UNIFIED["volatility"], "mean": np.zeros(5), "cov": np.diag(UNIFIED["variance"]), "streak": 0.0, "finishes": 0.0, "past": np.full(10, np.nan), "peak": UNIFIED["rating"]},
+        unified_wave, unified_rating, facts=lambda s, at: {"streak": s["streak"][at], "peak": s["peak"][at], "finish_rate": s["finishes"][at] / np.maximum(s["fights"][at], 1)}),
+}
+
+
+class States:
+    """The states of a task's contestants, a row each in the arrays of all fields."""
+
+    def __init__(self, start: dict) -> None:
+        self.start = {k: np.asarray(v, float) for k, v in start.items()}
+        self.row: dict[int, int] = {}
+        self.data = {k: np.empty((0, *v.shape)) for k, v in self.start.items()}
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """The rows of the contestants; newcomers get one."""
+        row = self.row
+        found = np.array([row.setdefault(n, len(row)) for n in ids.tolist()], int)
+        have = len(self.data["fights"])
+        if len(row) > have:
+            more = max(len(row), 2 * have) - have
+            self.data = {k: np.concatenate([v, np.repeat(self.start[k][None], more, 0)]) for k, v in self.data.items()}
+        return found
+
+    def put(self, ids: np.ndarray, packed: np.ndarray) -> None:
+        at, start = self.rows(ids), 0
+        for k, v in self.start.items():
+            self.data[k][at] = packed[:, start : start + v.size].reshape(len(at), *v.shape)
+            start += v.size
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.row)
+        return np.fromiter(self.row, np.int64, n), np.concatenate([self.data[k][:n].reshape(n, -1) for k in self.start], 1)
+
+
+def levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One more than the last levels of both contestants, for contests in order."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    last, out = [0] * len(names), []
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        n = (last[x] if last[x] > last[y] else last[y]) + 1
+        last[x] = last[y] = n
+        out.append(n)
+    return np.array(out, int)
+
+
+def waves(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The contests' places, level by level."""
+    if not len(a):
+        return []
+    level = levels(a, b)
+    order = np.argsort(level, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(level[order])) + 1)
+
+
+FIELDS = ("day", "outcome", "mma", "family", "finish", "major", "tier", "margin", "promotion", "base", "k")
+
+
+def run_chunk(name: str, states: States, ids: np.ndarray, a: np.ndarray, b: np.ndarray, columns: dict[str, np.ndarray], compat: bool) -> dict[str, np.ndarray]:
+    """Folds contests in order; the columns of ``DELTA``, first all of a's rows, then all of b's."""
+    system, n = SYSTEMS[name], len(a)
+    both = states.rows(np.concatenate([a, b]))
+    i, j, s = both[:n], both[n:], states.data
+    out = {k: np.full((2, n), np.nan) for k in NAMES[5:]}
+    for at in waves(a, b):
+        x, y = i[at], j[at]
+        c = SimpleNamespace(**{k: v[at] for k, v in columns.items()})
+        pre, e, t, ks = system.wave(s, x, y, c, compat)
+        after = system.after(s, x, y) if system.after else np.nan
+        for side, who in enumerate((x, y)):
+            here = {"pre_rating": pre[side], "post_rating": system.rating(s, who), "expected": 1 - e if side else e, "target": 1 - t if side else t, "k": ks[side], "rd": system.rd(s, who), "fights": s["fights"][who], "expected_after": after, **system.facts(s, who)}
+            for k, v in here.items():
+                out[k][side, at] = v
+    flat = {k: v.reshape(-1) for k, v in out.items()}
+    day = columns["day"].astype(np.int32)
+    return {"contest_id": np.concatenate([ids, ids]), "contestant": np.concatenate([a, b]), "opponent": np.concatenate([b, a]), "day": np.concatenate([day, day]), **flat}
+
+
+TYPES = {"system": pa.string(), "contest_id": pa.int64(), "contestant": pa.int64(), "opponent": pa.int64(), "day": pa.date32(), "fights": pa.int64(), "streak": pa.int32()}
+SCHEMA = pa.schema([(n, TYPES.get(n, pa.float64())) for n in NAMES] + [("state", pa.list_(pa.float64()))])
+
+
+def _array(name: str, values: np.ndarray) -> pa.Array:
+    kind = TYPES.get(name, pa.float64())
+    if kind in (pa.int64(), pa.int32()) and values.dtype.kind == "f":
+        return pa.array(np.where(np.isnan(values), 0, values).astype(np.int64), mask=np.isnan(values)).cast(kind)
+    return pa.array(values, from_pandas=True).cast(kind)
+
+
+def runner(compat: bool, with_states: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (system, contest_id, a, b, ``FIELDS``, state) sorted by system, states before contests, contests in order: ``DELTA`` rows, and after each
+    system, if asked for, the states as rows that have no contest."""
+
+    def delta_rows(name: str, states: States, rows: pa.Table) -> pa.RecordBatch:
+        one = {c: rows.column(c).to_numpy() for c in ("contest_id", "a", "b")}
+        f = {c: rows.column(c).to_numpy() for c in FIELDS}
+        outcome = f.pop("outcome")
+        f |= {c: f[c].astype(bool) for c in ("mma", "finish", "major")} | {c: f[c].astype(int) for c in ("family", "tier")} | {c: f[c].astype(float) for c in ("day", "margin", "promotion", "base", "k")}
+        f |= {"won": outcome == 1, "draw": outcome == 0, "decided": np.abs(outcome) == 1}
+        made = run_chunk(name, states, one["contest_id"], one["a"], one["b"], f, compat)
+        arrays = [pa.array([name] * len(made["day"]), pa.string()), *[_array(n, made[n]) for n in NAMES[1:]], pa.nulls(len(made["day"]), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
+
+    def state_rows(name: str, states: States) -> Iterator[pa.RecordBatch]:
+        ids, packed = states.packed()
+        for k in range(0, len(ids), CHUNK):
+            part = packed[k : k + CHUNK]
+            lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), part.reshape(-1))
+            fixed = {"system": pa.array([name] * len(part)), "contestant": pa.array(ids[k : k + CHUNK])}
+            yield pa.RecordBatch.from_arrays([*[fixed.get(n, pa.nulls(len(part), SCHEMA.field(n).type)) for n in NAMES], lists], schema=SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, states, held, n = None, None, [], 0
+        for batch in batches:
+            names = np.asarray(batch.column("system").to_pylist())
+            for start in [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1)] if len(names) else []:
+                end = start + int((names[start:] == names[start]).argmin() or len(names) - start)
+                if names[start] != name:
+                    if n:
+                        yield delta_rows(name, states, pa.Table.from_batches(held))
+                    if name and with_states:
+                        yield from state_rows(name, states)
+                    name, held, n = str(names[start]), [], 0
+                    states = States(SYSTEMS[name].start)
+                part = batch.slice(start, end - start)
+                given = part.filter(part.column("state").is_valid())
+                if len(given):
+                    states.put(given.column("a").to_numpy(), given.column("state").flatten().to_numpy().reshape(len(given), -1))
+                    part = part.filter(part.column("state").is_null())
+                if len(part):
+                    held, n = [*held, part], n + len(part)
+                if n >= CHUNK:
+                    yield delta_rows(name, states, pa.Table.from_batches(held))
+                    held, n = [], 0
+        if n:
+            yield delta_rows(name, states, pa.Table.from_batches(held))
+        if name and with_states:
+            yield from state_rows(name, states)
+
+    return run
+
+
+def family(sport: Column) -> Column:
+    """The place of the sport's family in ``FAMILIES``."""
+    named = F.when(sport == "mma", "mma").when(sport.isin(*STRIKING), "striking").when(sport.isin(*GRAPPLING), "grappling").otherwise("other")
+    return F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), named) - 1
 
 
 def prepared(log: DataFrame) -> DataFrame:
-    """The log with what a contest alone decides: its order, the target before anchoring and the static part of K."""
+    """The log with what a contest alone decides: its order, the target before anchoring and the static part of K. A null day counts as the first of 1900."""
     k = kernels
     sign = F.when(F.col("outcome") == "W", 1.0).when(F.col("outcome") == "L", -1.0).otherwise(0.0)
     elapsed = (F.col("finish_round") - 1) * 300 + F.col("finish_seconds")
     early = F.when((F.col("finish_round") > 0) & F.col("finish_seconds").isNotNull(), k.TARGET["time"] * (1 - k.clip(elapsed / (F.greatest("rounds", "finish_round") * 300), 0, 1))).otherwise(0.0)
     bonus = F.when(k.is_finish(F.col("method")), k.TARGET["finish"]).otherwise(0.0)
     base = k.clip(0.5 + sign * k.TARGET["gap"] + k.TARGET["margin"] * F.coalesce("margin", F.lit(0.0)) + sign * (bonus + early), 0, 1)
-    return log.select(*COLUMNS, base.alias("base"), k.k_static(F.col("tier"), F.col("rounds"), F.col("title"), F.col("method"), F.col("margin"), F.col("promotion")).alias("k"))
+    fixed = k.k_static(F.col("tier"), F.col("rounds"), F.col("title"), F.col("method"), F.col("margin"), F.col("promotion")).alias("k")
+    return log.withColumn("day", F.coalesce("day", F.lit(FIRST_DAY).cast("date"))).select(*COLUMNS, base.alias("base"), fixed)
+
+
+def numbers(ready: DataFrame) -> DataFrame:
+    """A prepared log as ids and numbers (``FIELDS``) for the waves; other outcomes than W, L and D are none (2)."""
+    code = F.coalesce(F.create_map(*[F.lit(x) for item in OUTCOMES.items() for x in item])[F.col("outcome")], F.lit(2))
+    tier = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")), F.lit(0)), F.lit(len(TIERS))) - 1
+    no = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return ready.select(
+        "contest_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.unix_date("day").alias("day"), code.alias("outcome"), no(F.col("sport") == "mma").alias("mma"), family(F.col("sport")).cast("int").alias("family"),
+        no(kernels.is_finish(F.col("method"))).alias("finish"), no((F.col("rounds") >= 5) | F.coalesce("title", F.lit(False))).alias("major"), tier.cast("int").alias("tier"), F.col("margin").cast("double").alias("margin"),
+        F.col("promotion").cast("double").alias("promotion"), F.col("base").cast("double").alias("base"), F.col("k").cast("double").alias("k"))
 
 
-def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), by_component: bool = True, compat: bool = True) -> DataFrame:
-    """Two rows a contest and system (``DELTA``), contests in the order of (day, contest_id).
+def _dealt(rows: DataFrame, systems: tuple[str, ...], states: DataFrame | None = None) -> DataFrame:
+    """Contests (with ``component``) for each system, and the given states of their contestants, dealt by (system, component) in order."""
+    spark = rows.sparkSession
+    shape = ["contest_id", "a", "b", *FIELDS, "component"]
+    each = rows.select(*shape, F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"), F.lit(None).cast("array<double>").alias("state"))
+    if states is not None:
+        who = rows.select(F.explode(F.array("a", "b")).alias("contestant"), "component").distinct()
+        given = states.where(F.col("system").isin(*systems)).join(who, "contestant").select(F.col("contestant").alias("a"), "component", "system", "state")
+        each = each.unionByName(given, allowMissingColumns=True)
+    parts = max(len(systems), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return each.repartition(parts, "system", "component").sortWithinPartitions("system", F.col("state").isNull(), "day", "contest_id").drop("component")
 
-    ``expected`` is the expectation before the contest, ``expected_after`` (Elo and Glicko) that of the updated states, for a in both rows.
-    ``seq`` numbers a contestant's contests within a task. Contests of one component never leave their task, so states are
-    whole; without ``by_component`` a system is one stream. Without ``compat`` the unified system takes each side's own outcome.
+
+def largest_component(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, "component").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("n"))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    label = components(rows.select("a", "b"), "a", "b")
+    return rows.join(label.select(F.col("node").alias("a"), "component"), "a")
+
+
+def sliced(rows: DataFrame, bound: int) -> DataFrame:
+    """``rows`` with ``slice`` (a number that grows with the order) and ``component``, which is one of the slice alone and has at most ``bound`` contests.
+
+    The whole order is halved again and again where a component is too large. Only the halves that are too large are looked at again, of which there are fewer
+    than contests divided by ``bound``.
     """
-    ready = cut(prepared(log))  # read twice: for the components and for the fold
-    if by_component:
-        label = components(ready.select("a", "b"), "a", "b")
-        ready = ready.join(label.select(F.col("node").alias("a"), "component"), "a")
-    else:
-        ready = ready.withColumn("component", F.lit(0).cast("long"))
-    ready = ready.withColumn("system", F.explode(F.array(*[F.lit(s) for s in systems])))
-    parts = max(len(systems), int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ready.repartition(parts, "system", "component").sortWithinPartitions("system", "component", "day", "contest_id")
-    columns = [x.split()[0] for x in DELTA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, states, make, step, after = None, {}, None, None, None
-        for batch in batches:
-            out = []
-            for c in batch.astype({"promotion": object, "margin": object}).where(batch.notna(), None).itertuples(index=False):
-                if key != (c.system, c.component):
-                    key, states = (c.system, c.component), {}
-                    make, step = SYSTEMS[c.system]
-                    after = AFTER.get(c.system)
-                    if step is unified_step:
-                        step = partial(unified_step, compat=compat)
-                x, y = (states[n] if n in states else states.setdefault(n, make()) for n in (c.a, c.b))
-                pre, post, e, t, kx, ky = step(x, y, c)
-                seq = c.day.toordinal() * 10**9 + c.contest_id % 10**9
-                later = after(x, y) if after else None
-                out.append((c.system, c.contest_id, c.a, c.b, c.day, seq, pre[0], post[0], e, t, kx, x.rd, x.fights, later, *facts(c.system, x)))
-                out.append((c.system, c.contest_id, c.b, c.a, c.day, seq, pre[1], post[1], 1 - e, 1 - t, ky, y.rd, y.fights, later, *facts(c.system, y)))
-            yield pd.DataFrame(out, columns=columns).astype({"streak": "Int32"})
-
-    return dealt.mapInPandas(run, DELTA)
+    ordered = cut(analytics.running_total(rows.withColumn("_one", F.lit(1)), [], ["day", "contest_id"], "_one", "_upto").withColumn("_place", F.col("_upto") - 1).drop("_one", "_upto"))
+    total, done, depth, rest = ordered.count(), None, 0, ordered
+    while True:
+        half = cut(rest.withColumn("_half", F.floor(F.col("_place") * F.lit(2**depth) / F.lit(total)).cast("long")))
+        node = lambda c: F.struct(F.col("_half").alias("half"), F.col(c).alias("who"))
+        label = components(half.select(node("a").alias("x"), node("b").alias("y")), "x", "y").select(F.col("node.half").alias("_half"), F.col("node.who").alias("a"), F.col("component.who").alias("component"))
+        named = cut(half.join(label, ["_half", "a"]))
+        large = largest_component(named, "_half").where(F.col("n") > bound).select("_half")
+        fine = named.join(F.broadcast(large), "_half", "left_anti").withColumn("slice", F.col("_half") / F.lit(2.0**depth)).drop("_half", "_place")
+        done = fine if done is None else done.unionByName(fine)
+        rest = cut(named.join(F.broadcast(large), "_half", "left_semi").drop("_half", "component"))
+        if rest.isEmpty():
+            return cut(done)
+        depth += 1
+
+
+def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), compat: bool = True, bound: int = MAX_TASK_CONTESTS) -> DataFrame:
+    """Two rows a contest and system (``DELTA``), contests in the order of (day, contest_id). ``a`` and ``b`` differ and are not null.
+
+    ``expected`` is the expectation before the contest, ``expected_after`` (Elo and Glicko) that of the updated states, for a in both rows. No task gets a component of more than
+    ``bound`` contests. Without ``compat`` the unified system takes each side's own outcome. An empty log gives an empty result.
+    """
+    return fold_on(log, systems, None, compat, bound, keep=False)[0]
+
+
+def fold_on(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), states: DataFrame | None = None, compat: bool = True, bound: int = MAX_TASK_CONTESTS, keep: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """As ``fold``, going on from ``states`` (``STATE``); also the states of all contestants afterwards, unless ``keep`` is false."""
+    spark = log.sparkSession
+    rows = cut(numbers(prepared(log)))
+    whole = labelled(rows)
+    found = largest_component(whole).first()
+    shape = f"{DELTA}, state array<double>"
+    if not found or (found["n"] or 0) <= bound:
+        made = _dealt(whole, systems, states).mapInArrow(runner(compat, keep), shape)
+        if not keep:
+            return made.drop("state"), None
+        made = cut(made)
+        return made.where("state is null").drop("state"), _replaced(states, made)
+    parts = sliced(rows, bound)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/fold-{uuid.uuid4().hex}"
+    for number, (start,) in enumerate(parts.select("slice").distinct().orderBy("slice").collect()):
+        made = _dealt(parts.where(F.col("slice") == start), systems, states).mapInArrow(runner(compat, True), shape)
+        made.write.parquet(f"{folder}/slice={number}")
+        made = spark.read.parquet(f"{folder}/slice={number}")
+        states = cut(_replaced(states, made))
+    return spark.read.parquet(folder).where("state is null").select(*NAMES), states
+
+
+def _replaced(states: DataFrame | None, made: DataFrame) -> DataFrame:
+    new = made.where("state is not null").select("system", "contestant", "state")
+    return new if states is None else states.join(new, ["system", "contestant"], "left_anti").unionByName(new)
 
 
 def latest(deltas: DataFrame) -> DataFrame:

@@ -67,19 +67,6 @@ def test_elo_fold_equals_a_plain_loop(spark):
     assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in expected.items())
 
 
-def test_unified_step_by_hand():
-    """Equal newcomers: expectation one half; the loser's peak decays, a's loss counts as a win for a's streak."""
-
-    class C:
-        sport, outcome, method, tier, rounds, title, margin, promotion, base, day = "mma", "L", "DEC", "A", 3, False, 0.0, None, 0.2, datetime.date(2020, 1, 1)
-
-    x, y = folds.Unified(), folds.Unified()
-    pre, post, e, t, kx, ky = folds.unified_step(x, y, C)
-    assert pre == (1500.0, 1500.0) and e == pytest.approx(0.5) and t == 0.2
-    assert kx == pytest.approx(28 * 1.2 * 1.05) and x.base == pytest.approx(1500 + kx * -0.3)
-    assert (x.streak, y.streak) == (1, -1) and post[0] < 1500 < post[1] and x.rd < 300
-
-
 def test_profiles_and_ratings_are_whole(spark):
     found = catalogue.QUERIES["alltime_profiles"](spark, SF).toPandas()
     assert found["contestant"].is_unique and found["score"].notna().all()
