@@ -45,19 +45,46 @@ def capped_area(series: DataFrame, who: str, value: str, day: str, base: float =
     return parts.groupBy(who).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"), F.coalesce(F.sum("_e"), F.lit(0)).alias("elite_days"))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str | Column], n: str, out: str) -> DataFrame:
-    """``df`` with the sum of ``n`` over the rows of its group up to and with its own, in the order of ``order`` (which must tell rows of a group apart).
+def by_range(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
+    """``df`` range-partitioned by group and order and written, with the number of its range (``_range``). Rows that are equal in both share a range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def carried(parts: DataFrame, group: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(group, _range, columns) for the ranges that do not begin their group. Ranges follow one another, so only one group can go on from one
+    range into the next: these are fewer rows than there are ranges, whatever the data."""
+    first = F.min("_range").over(Window.partitionBy(*group))
+    return parts.withColumn("_first", first).withColumns(columns).where("_range > _first").select(*group, "_range", *columns)
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of the few rows of ``carried``; null keys are equal."""
+    extra = [c for c in right.columns if c not in keys]
+    both = left.alias("p").join(F.broadcast(right).alias("q"), [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in keys], "left")
+    return both.select("p.*", *[f"q.{c}" for c in extra])
+
+
+def running_totals(df: DataFrame, group: list[str], order: list[str | Column], sums: dict[str, str], exclusive: bool = False) -> DataFrame:
+    """``df`` with the sums of columns (new name -> column) over the rows of its group up to and with those that are equal in ``order``, or before its own row with ``exclusive``.
 
     No task sees a whole group: rows are range-partitioned and written, each range is summed on its own, and what lies before it comes from one row a
-    group and range.
+    group and range. Without rows before, an exclusive sum is 0.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()))
+    placed = by_range(df, group, order)
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy(*group, "_range").agg(F.sum(n).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = placed.withColumn("_within", F.sum(n).over(within)).alias("p").join(F.broadcast(before).alias("q"), [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("_range", *group)])
-    return both.select(*[f"p.{c}" for c in df.columns], (F.col("p._within") + F.col("q._before")).alias(out))
+    parts = placed.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
+    before = carried(parts, group, {f"_b_{o}": F.sum(f"_s_{o}").over(earlier) for o in sums})
+    within = Window.partitionBy("_range", *group).orderBy(*order)
+    within = within.rowsBetween(Window.unboundedPreceding, -1) if exclusive else within.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumns({f"_w_{o}": F.sum(c).over(within) for o, c in sums.items()})
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return joined_by(summed, before, ["_range", *group]).select(*df.columns, *[(none(f"_b_{o}") + none(f"_w_{o}")).alias(o) for o in sums])
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str | Column], n: str, out: str) -> DataFrame:
+    """``running_totals`` of one column; ``order`` must tell rows of a group apart."""
+    return running_totals(df, group, order, {out: n})
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,23 +1,23 @@
 """The attribute system's fold: 22 stats and 12 perks of every contestant, moved contest by contest towards percentile targets.
 
-All that a contest alone decides (features, organisation weight, stats that the sport moves, bonuses) are columns, computed before. What is left depends on
-everything earlier: a contestant's state and the pools of earlier features, by division and over all. The pools are shared by all contests,
-so the log is one ordered stream in one task, whatever its components; that is the limit of this system. The task holds states and pools.
+All that the log decides are columns, computed before: features, organisation weight, a contestant's record so far, and the percentiles in pools that grow with
+the log (``pools``), as what joins a pool and what is looked up never depends on a rating. What is left are two contestants' states a contest, so the
+system runs as the other folds do: in waves, by components, in slices where a component is too large.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attributes as at
 from ..functions import features as fe
+from ..session import cut
+from . import analytics, folds, pools
 
 KEYS = (*fe.FEATURES, *at.CAREER)
 PLACE = {k: i for i, k in enumerate(KEYS)}
@@ -25,8 +25,6 @@ LOW = np.array([at.bounds(s)[0] for s in at.STATS])
 HIGH = np.array([at.bounds(s)[1] for s in at.STATS])
 WEIGHTS = np.array([[at.TARGETS[s].get(k, 0.0) for k in KEYS] for s in at.STATS])
 TAUS = np.array([next((t for t, keys in at.TAU.items() if k in keys), at.OTHER_TAU) for k in KEYS])
-USED = np.flatnonzero(WEIGHTS.any(0))
-LESS = np.array([k in at.LESS_IS_BETTER for k in KEYS])
 K_BASE = np.array([at.K_BASE[at.kind(s)] for s in at.STATS])
 CAPS = np.array([at.CAPS[at.kind(s)] for s in at.STATS])
 HEALTH = np.array([s in at.HEALTH for s in at.STATS])
@@ -34,144 +32,152 @@ MOVED = {sport: np.array([s in family for s in at.STATS]) for sport, family in a
 BONUS = {m: np.array([table.get(s, 0.0) for s in at.STATS]) for methods, table in ((("KO", "TKO"), at.KO_BONUS), (("SUB",), at.SUB_BONUS)) for m in methods}
 PERKS = np.array([[weights.get(s, 0.0) for s in at.STATS] for _, weights in at.PERKS.values()])
 PERK_VALUE = np.array([at.STRENGTH[tier] for tier, _ in at.PERKS.values()])
+NOTHING, NO_BONUS = np.zeros(len(at.STATS), bool), np.zeros(len(at.STATS))
 MEANS = [(share, np.array([w.get(s, 0.0) for s in at.STATS]) / sum(w.values())) for share, w in at.BUCKETS.values()]
 PAIRS = [(at.STATS.index(a), at.STATS.index(b), c) for a, b, c in at.SYNERGIES]
 
 DELTA = "contest_id long, contestant long, opponent long, day date, pre_overall double, post_overall double, stats array<double>, changes array<double>, perk_scores array<double>, perk_active array<boolean>, perk_above array<int>, perk_below array<int>, mma_fights int, tier_a_fights int, fights int"
-
-
-class Pools:
-    """Sorted earlier values of each feature, by division and over all; a division with few values is stood in for by all.
-
-    Sums are kept with what rounding took from them, as a value drawn to the mean of values like it must not pass them by the last bit.
-    """
-
-    def __init__(self) -> None:
-        self.values: dict[object, list[list[float]]] = {}
-        self.sums: dict[object, np.ndarray] = {}
-
-    def add(self, division, values: np.ndarray) -> None:
-        for key in {division, None}:
-            pool = self.values.setdefault(key, [[] for _ in KEYS])
-            total, lost = self.sums.setdefault(key, np.zeros((2, len(KEYS))))
-            for i, v in enumerate(values):
-                if v == v:
-                    insort(pool[i], v)
-                    new = total[i] + v
-                    lost[i] += (total[i] - new) + v if abs(total[i]) >= abs(v) else (v - new) + total[i]
-                    total[i] = new
-
-    def shares(self, division, values: np.ndarray, n: int) -> np.ndarray:
-        """Percentile of each used feature, which is drawn to the pool's mean by how few tier-A contests ``n`` there were; without a pool one half."""
-        own, whole = self.values.get(division), self.values.get(None)
-        out = np.full(len(KEYS), np.nan)
-        for i in USED:
-            v = values[i]
-            if v != v:
-                continue
-            key, pool = division, own[i] if own else []
-            if len(pool) < at.POOL_MIN_SIZE:
-                key, pool = None, whole[i] if whole else []
-            if not pool:
-                share = 0.5
-            else:
-                w = n / (n + TAUS[i])
-                share = bisect_left(pool, w * v + (1 - w) * (self.sums[key][:, i].sum() / len(pool))) / len(pool)
-            out[i] = 1 - share if LESS[i] else share
-        return out
-
-
-class State:
-    """One contestant."""
-
-    def __init__(self) -> None:
-        self.stats = np.full(len(at.STATS), at.START)
-        self.scores, self.active = np.full(len(at.PERKS), at.PERK_START), np.zeros(len(at.PERKS), bool)
-        self.above, self.below = np.zeros(len(at.PERKS), int), np.zeros(len(at.PERKS), int)
-        self.mma = self.tier_a = self.fights = self.ko = self.sub = 0
-        self.downs = self.survived = self.minutes = 0.0
-
-    def overall(self) -> float:
-        normal = np.clip((self.stats - LOW) / (HIGH - LOW), 0, 1)
-        logs = np.log(at.GEO_EPSILON + normal)
-        low, high = at.RANGE
-        base = low + (high - low) * sum(share * math.exp(w @ logs) for share, w in MEANS)
-        synergy = min(sum(c * normal[a] * normal[b] for a, b, c in PAIRS), at.SYNERGY_CAP)
-        return min(max(base + synergy + float(PERK_VALUE[self.active].sum()), low), high)
-
-    def career(self) -> list[float]:
-        n = max(self.fights, 1)
-        return [self.ko / n, self.sub / n, max(self.minutes, fe.TINY), self.survived / self.downs if self.downs > 0 else 1.0]
-
-    def move_perks(self) -> None:
-        """A perk comes on after three scores in a row above one threshold and goes after three below another; between them an active one counts as above."""
-        self.scores = at.PERK_KEEP * self.scores + (1 - at.PERK_KEEP) * (PERKS @ self.stats)
-        low = self.scores < at.PERK_OFF
-        high = (self.scores >= at.PERK_ON) | (~low & self.active)
-        self.above, self.below = np.where(high, self.above + 1, 0), np.where(low, self.below + 1, 0)
-        self.active = np.where(self.above >= at.PERK_IN_A_ROW, True, np.where(self.below >= at.PERK_IN_A_ROW, False, self.active))
-
-
-def move(x: State, values: np.ndarray | None, c, won: bool, other_overall: float, pools: Pools) -> np.ndarray:
-    """One contestant's update; the changes of the stats."""
-    k = at.TIER.get(c.tier, at.TIER["C"]) / math.sqrt(1 + x.mma / at.CAREER_DIVISOR) * c.organisation
-    k *= at.QUALITY[0] + at.QUALITY[1] / (1 + math.exp(at.USUAL_OVERALL - other_overall))
-    if c.sport != "mma":
-        k *= math.exp(-x.mma / at.PRIOR_DECAY)
-    before = x.stats
-    if values is not None:
-        shares = pools.shares(c.division, np.concatenate([values, x.career()]), x.tier_a)
-        has = shares == shares
-        weight = WEIGHTS[:, has].sum(1)
-        share = WEIGHTS[:, has] @ shares[has] / np.maximum(weight, fe.TINY)
-        target = np.array([round(v, 2) for v in (LOW + (HIGH - LOW) * share).tolist()])
-        change = K_BASE * k * (target - before) + (BONUS.get(c.method, 0.0) if won else 0.0)
-        most = np.where(HEALTH & (change < 0), at.CAPS["health_drop"], CAPS)
-        after = np.clip(before + np.clip(change, -most, most), LOW, HIGH)
-        x.stats = np.where(MOVED.get(c.sport, False) & (weight >= fe.TINY), after, before)
-        minutes, taken = c.minutes, values[PLACE["kd_abs15"]]
-        x.downs += taken * minutes / 15
-        x.survived += taken * minutes / 15 if won and taken > 0 else 0.0
-        x.minutes += minutes
-    x.mma, x.tier_a, x.fights = x.mma + (c.sport == "mma"), x.tier_a + (c.tier == "A"), x.fights + 1
-    x.ko, x.sub = x.ko + (won and c.method in ("KO", "TKO")), x.sub + (won and c.method == "SUB")
-    x.move_perks()
-    return x.stats - before
-
-
-def fold(log: DataFrame, features: DataFrame) -> DataFrame:
+LISTS = {"stats": pa.float64(), "changes": pa.float64(), "perk_scores": pa.float64(), "perk_active": pa.bool_(), "perk_above": pa.int32(), "perk_below": pa.int32()}
+COUNTED = ("mma_fights", "tier_a_fights", "fights")
+START = {"fights": 0.0, "stats": np.full(len(at.STATS), at.START), "scores": np.full(len(at.PERKS), at.PERK_START), "active": np.zeros(len(at.PERKS)), "above": np.zeros(len(at.PERKS)), "below": np.zeros(len(at.PERKS))}
+SCHEMA = pa.schema([("system", pa.string()), ("contest_id", pa.int64()), ("contestant", pa.int64()), ("opponent", pa.int64()), ("day", pa.date32()), ("pre_overall", pa.float64()), ("post_overall", pa.float64()), *[(c, pa.list_(t)) for c, t in LISTS.items()], *[(c, pa.int32()) for c in COUNTED], ("state", pa.list_(pa.float64()))])
+
+
+def overall(s: dict, who: np.ndarray) -> np.ndarray:
+    normal = np.clip((s["stats"][who] - LOW) / (HIGH - LOW), 0, 1)
+    logs = np.log(at.GEO_EPSILON + normal)
+    low, high = at.RANGE
+    base = low + (high - low) * sum(share * np.exp(logs @ w) for share, w in MEANS)
+    synergy = np.minimum(sum(c * normal[:, a] * normal[:, b] for a, b, c in PAIRS), at.SYNERGY_CAP)
+    return np.minimum(np.maximum(base + synergy + s["active"][who] @ PERK_VALUE, low), high)
+
+
+def move_perks(s: dict, who: np.ndarray) -> None:
+    """A perk comes on after three scores in a row above one threshold and goes after three below another; between them an active one counts as above."""
+    scores = s["scores"][who] = at.PERK_KEEP * s["scores"][who] + (1 - at.PERK_KEEP) * (s["stats"][who] @ PERKS.T)
+    active = s["active"][who] > 0
+    low = scores < at.PERK_OFF
+    high = (scores >= at.PERK_ON) | (~low & active)
+    above, below = np.where(high, s["above"][who] + 1, 0), np.where(low, s["below"][who] + 1, 0)
+    s["above"][who], s["below"][who] = above, below
+    s["active"][who] = np.where(above >= at.PERK_IN_A_ROW, True, np.where(below >= at.PERK_IN_A_ROW, False, active))
+
+
+def targets(shares: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """A row of percentiles (nan where unknown) as the stats' targets, two places; nan where a stat has none or its sport does not move it."""
+    has = ~np.isnan(shares)
+    weight = has @ WEIGHTS.T
+    share = np.nan_to_num(shares) @ WEIGHTS.T / np.maximum(weight, fe.TINY)
+    plain = LOW + (HIGH - LOW) * share
+    two = np.array([round(v, 2) for v in plain.reshape(-1).tolist()]).reshape(plain.shape)
+    return np.where(moved & (weight >= fe.TINY), two, np.nan)
+
+
+def wave(s: dict, who: np.ndarray, other: np.ndarray, k: np.ndarray, target: np.ndarray, bonus: np.ndarray) -> np.ndarray:
+    """Moves the states of contestants of whom no two are the same; the changes of the stats."""
+    k = k * (at.QUALITY[0] + at.QUALITY[1] / (1 + np.exp(at.USUAL_OVERALL - other)))
+    before = s["stats"][who]
+    change = K_BASE * k[:, None] * (target - before) + bonus
+    most = np.where(HEALTH & (change < 0), at.CAPS["health_drop"], CAPS)
+    after = np.clip(before + np.clip(change, -most, most), LOW, HIGH)
+    s["stats"][who] = np.where(np.isnan(target), before, after)
+    move_perks(s, who)
+    return s["stats"][who] - before
+
+
+def rows_of(name: str, states: folds.States, table: pa.Table) -> pa.RecordBatch:
+    """``DELTA`` of contests in order, first all of a's rows, then all of b's."""
+    ids, a, b, day = (table.column(c).to_numpy() for c in ("contest_id", "a", "b", "day"))
+    n = len(ids)
+    both = states.rows(np.concatenate([a, b]))
+    two = lambda c: np.concatenate([table.column(f"{c}_{x}").to_numpy() for x in "ab"])
+    k, won = two("k").astype(float), two("won").astype(bool)
+    sports, methods = np.array(table.column("sport").to_pylist(), object), np.array(table.column("method").to_pylist(), object)
+    moved = np.array([MOVED.get(x, NOTHING) for x in sports]).reshape(n, -1)
+    gains = np.array([BONUS.get(x, NO_BONUS) for x in methods]).reshape(n, -1)
+    shares = np.full((2 * n, len(KEYS)), np.nan)
+    for side in (0, 1):
+        given = table.column(f"shares_{'ab'[side]}").combine_chunks()
+        known = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+        if len(known):
+            shares[side * n + known] = given.filter(given.is_valid()).flatten().to_numpy(zero_copy_only=False).reshape(len(known), -1)
+    target, bonus = targets(shares, np.concatenate([moved, moved])), np.concatenate([gains, gains]) * won[:, None]
+    counts = table.column("counts").to_numpy().astype(bool)
+    s, out = states.data, {c: np.zeros((2 * n, len(at.STATS if c in ("stats", "changes") else at.PERKS))) for c in LISTS}
+    before, after = np.empty(2 * n), np.empty(2 * n)
+    for at_ in folds.waves(a, b):
+        sides = np.concatenate([at_, at_ + n])
+        who = both[sides]
+        before[sides] = overall(s, who)
+        live = np.concatenate([counts[at_], counts[at_]])
+        if live.any():
+            other = before[np.concatenate([at_ + n, at_])]
+            out["changes"][sides[live]] = wave(s, who[live], other[live], k[sides[live]], target[sides[live]], bonus[sides[live]])
+        after[sides] = overall(s, who)
+        for c, f in (("stats", "stats"), ("perk_scores", "scores"), ("perk_active", "active"), ("perk_above", "above"), ("perk_below", "below")):
+            out[c][sides] = s[f][who]
+    lists = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.reshape(-1)).cast(LISTS[c])) for c, v in out.items()]
+    numbers = [pa.array(two(c).astype(np.int32)) for c in COUNTED]
+    flat = [pa.array([name] * (2 * n), pa.string()), pa.array(np.concatenate([ids, ids])), pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([day, day]).astype(np.int32)).cast(pa.date32()), pa.array(before), pa.array(after)]
+    return pa.RecordBatch.from_arrays([*flat, *lists, *numbers, pa.nulls(2 * n, pa.list_(pa.float64()))], schema=SCHEMA)
+
+
+def records(sides: DataFrame) -> DataFrame:
+    """``sides`` (one row a contest and contestant, with ``place``) and what the contestant's earlier contests with a result come to."""
+    one = lambda c: F.when(F.col("counts") & c, 1).otherwise(0)
+    seen = F.col("counts") & F.col("f").isNotNull()
+    taken = F.coalesce(F.element_at("f", PLACE["kd_abs15"] + 1), F.lit(float("nan"))) * F.col("minutes") / 15
+    counted = {
+        "n_mma": one(F.col("sport") == "mma"), "n_a": one(F.col("tier") == "A"), "n_all": one(F.lit(True)), "n_ko": one(F.col("won") & F.col("method").isin("KO", "TKO")), "n_sub": one(F.col("won") & (F.col("method") == "SUB")),
+        "s_min": F.when(seen, F.col("minutes")).otherwise(0.0), "s_down": F.when(seen, taken).otherwise(0.0), "s_kept": F.when(seen & F.col("won") & (taken > 0) & ~F.isnan(taken), taken).otherwise(0.0)}
+    return analytics.running_totals(sides.withColumns(counted), ["contestant"], ["place"], {f"had_{c}": c for c in counted}, exclusive=True)
+
+
+def shares(sides: DataFrame, block: int = pools.BLOCK) -> DataFrame:
+    """(contest_id, contestant, shares) of the rows of ``records`` that have features and a result; before a tier-A contest its own features join the pools, if the contestant had enough such contests."""
+    n = F.greatest("had_n_all", F.lit(1))
+    steady = ~F.isnan("had_s_down") & (F.col("had_s_down") > 0)
+    career = F.array(F.col("had_n_ko") / n, F.col("had_n_sub") / n, F.greatest("had_s_min", F.lit(fe.TINY)), F.when(steady, F.col("had_s_kept") / F.col("had_s_down")).otherwise(1.0))
+    own = F.concat("f", F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]))  # a contest's own features have no career
+    known = F.col("f").isNotNull()
+    asked = sides.select(
+        "contest_id", "contestant", "place", F.col("division").alias("grp"), (known & F.coalesce(F.col("tier") == "A", F.lit(False)) & (F.col("had_n_a") >= at.POOL_MIN_TIER_A)).alias("enters"), (known & F.col("counts")).alias("asks"),
+        F.col("had_n_a").alias("n"), own.alias("pool"), F.concat("f", career).alias("values"))
+    found = pools.growing_shares(asked, TAUS.tolist(), at.POOL_MIN_SIZE, block)
+    less = F.array(*[F.lit(k in at.LESS_IS_BETTER) for k in KEYS])
+    return found.withColumn("shares", F.zip_with("shares", less, lambda v, turned: F.when(turned, 1 - v).otherwise(v)))
+
+
+def _factor(sport: Column, had: Column) -> Column:
+    """What experience, and in other sports an MMA career, take from K."""
+    slow = 1 / F.sqrt(1 + had / at.CAREER_DIVISOR)
+    return F.when(sport == "mma", slow).otherwise(slow * F.exp(-had / at.PRIOR_DECAY))
+
+
+def fold(log: DataFrame, features: DataFrame, bound: int = folds.MAX_TASK_CONTESTS, block: int = pools.BLOCK) -> DataFrame:
     """Two rows a contest (``DELTA``) in the order of (day, contest_id); ``features`` as ``functions.features.bout_features`` gives them.
 
-    A contest without features moves no stat, one without result nothing. Before a tier-A contest its own features join the pools, if the contestant had enough such contests.
+    A contest without features moves no stat, one without result nothing. A null day counts as the first of 1900. An empty log gives an empty result.
     """
-    packed = features.select("contest_id", "contestant", "minutes", F.array(*[F.col(k) for k in fe.FEATURES]).alias("f"))
-    one = lambda who: packed.select("contest_id", F.col("contestant").alias(who), F.col("f").alias(f"f_{who}"), F.col("minutes").alias(f"minutes_{who}"))
-    ready = log.select("contest_id", "day", "a", "b", "outcome", "sport", "division", "tier", "method", at.organisation_weight(F.col("promotion"), F.col("sport")).alias("organisation"))
-    ready = ready.join(one("a"), ["contest_id", "a"], "left").join(one("b"), ["contest_id", "b"], "left").withColumn("minutes", F.coalesce("minutes_a", "minutes_b", F.lit(0.0)))
-    stream = ready.drop("minutes_a", "minutes_b").repartition(1).sortWithinPartitions("day", "contest_id")
-    columns = [x.split()[0] for x in DELTA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict[int, State] = {}
-        pools = Pools()
-        for batch in batches:
-            out = []
-            for c in batch.itertuples(index=False):
-                x, y = (states[n] if n in states else states.setdefault(n, State()) for n in (c.a, c.b))
-                values = [None if f is None else np.array(f, np.float64) for f in (c.f_a, c.f_b)]
-                if c.tier == "A":
-                    for p, v in ((x, values[0]), (y, values[1])):
-                        if v is not None and p.tier_a >= at.POOL_MIN_TIER_A:
-                            pools.add(c.division, np.concatenate([v, [0.0, 0.0, 0.0, 1.0]]))  # a contest's own features have no career
-                before = x.overall(), y.overall()
-                change = [np.zeros(len(at.STATS))] * 2
-                if c.outcome != "NC":
-                    change = [move(x, values[0], c, c.outcome == "W", before[1], pools), move(y, values[1], c, c.outcome == "L", before[0], pools)]
-                for p, who, other, pre, moved in ((x, c.a, c.b, before[0], change[0]), (y, c.b, c.a, before[1], change[1])):
-                    out.append((c.contest_id, who, other, c.day, pre, p.overall(), p.stats.copy(), moved, p.scores.copy(), p.active.copy(), p.above.astype(np.int32), p.below.astype(np.int32), p.mma, p.tier_a, p.fights))
-            yield pd.DataFrame(out, columns=columns)
-
-    return stream.mapInPandas(run, DELTA)
+    ready = log.select("contest_id", F.unix_date(F.coalesce("day", F.lit(folds.FIRST_DAY).cast("date"))).alias("day"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "outcome", "sport", "division", "tier", "method", at.organisation_weight(F.col("promotion"), F.col("sport")).alias("organisation"))
+    ready = cut(analytics.running_totals(ready.withColumn("_one", F.lit(1)), [], ["day", "contest_id"], {"place": "_one"}).drop("_one"))
+    packed = features.select("contest_id", "contestant", F.col("minutes").alias("m"), F.array(*[F.col(k) for k in fe.FEATURES]).alias("f"))
+    side = lambda me, won: F.struct(F.col(me).alias("contestant"), (F.col("outcome") == won).alias("won"))
+    sides = ready.select("*", F.explode(F.array(side("a", "W"), side("b", "L"))).alias("x")).select(*ready.columns, "x.*").withColumn("counts", F.col("outcome") != "NC")
+    lasted = packed.groupBy("contest_id").agg(F.max("m").alias("minutes"))
+    sides = sides.join(packed.drop("m"), ["contest_id", "contestant"], "left").join(lasted, "contest_id", "left").withColumn("minutes", F.coalesce("minutes", F.lit(0.0)))
+    known = cut(records(sides))
+    asked = known.join(shares(known, block), ["contest_id", "contestant"], "left")
+    k = F.create_map(*[F.lit(x) for item in at.TIER.items() for x in item])
+    after = lambda had, own: (F.col(had) + F.col(own)).cast("int")
+    one = asked.select(
+        "contest_id", "contestant", "shares", "won", (F.coalesce(k[F.col("tier")], F.lit(at.TIER["C"])) * _factor(F.col("sport"), F.col("had_n_mma")) * F.col("organisation")).alias("k"),
+        after("had_n_mma", "n_mma").alias("mma_fights"), after("had_n_a", "n_a").alias("tier_a_fights"), after("had_n_all", "n_all").alias("fights"))
+    named = lambda x: one.select("contest_id", F.col("contestant").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("shares", "won", "k", *COUNTED)])
+    rows = ready.select("contest_id", "day", "a", "b", "sport", "method", (F.col("outcome") != "NC").cast("int").alias("counts")).join(named("a"), ["contest_id", "a"]).join(named("b"), ["contest_id", "b"])
+    rows = cut(rows.withColumns({c: F.col(c).cast("int") for c in ("won_a", "won_b")}))
+    run = lambda with_states: folds.runner(rows_of, {"attributes": START}, SCHEMA, with_states)
+    return folds.fold_rows(rows, ("attributes",), run, f"system string, {DELTA}", None, bound, False)[0].drop("system")
 
 
 def snapshots(deltas: DataFrame) -> DataFrame:

@@ -411,13 +411,13 @@ def _array(name: str, values: np.ndarray) -> pa.Array:
     return pa.array(values, from_pandas=True).cast(kind)
 
 
-def runner(compat: bool, with_states: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows (system, contest_id, a, b, ``FIELDS``, state) sorted by system, states before contests, contests in order: ``DELTA`` rows, and after each
-    system, if asked for, the states as rows that have no contest."""
+Rows = Callable[[str, States, pa.Table], pa.RecordBatch]
 
-    def delta_rows(name: str, states: States, rows: pa.Table) -> pa.RecordBatch:
-        one = {c: rows.column(c).to_numpy() for c in ("contest_id", "a", "b")}
-        f = {c: rows.column(c).to_numpy() for c in FIELDS}
+
+def delta_rows(compat: bool) -> Rows:
+    def rows(name: str, states: States, table: pa.Table) -> pa.RecordBatch:
+        one = {c: table.column(c).to_numpy() for c in ("contest_id", "a", "b")}
+        f = {c: table.column(c).to_numpy() for c in FIELDS}
         outcome = f.pop("outcome")
         f |= {c: f[c].astype(bool) for c in ("mma", "finish", "major")} | {c: f[c].astype(int) for c in ("family", "tier")} | {c: f[c].astype(float) for c in ("day", "margin", "promotion", "base", "k")}
         f |= {"won": outcome == 1, "draw": outcome == 0, "decided": np.abs(outcome) == 1}
@@ -425,13 +425,20 @@ def runner(compat: bool, with_states: bool) -> Callable[[Iterator[pa.RecordBatch
         arrays = [pa.array([name] * len(made["day"]), pa.string()), *[_array(n, made[n]) for n in NAMES[1:]], pa.nulls(len(made["day"]), pa.list_(pa.float64()))]
         return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
+    return rows
+
+
+def runner(rows: Rows, starts: dict[str, dict], schema: pa.Schema, with_states: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over batches with system, a and state, sorted by system, states before contests, contests in order: what ``rows`` makes of up to ``CHUNK`` contests, and after each
+    system, if asked for, the states as rows of ``schema`` (which ends with the state) that have no contest."""
+
     def state_rows(name: str, states: States) -> Iterator[pa.RecordBatch]:
         ids, packed = states.packed()
         for k in range(0, len(ids), CHUNK):
             part = packed[k : k + CHUNK]
             lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), part.reshape(-1))
-            fixed = {"system": pa.array([name] * len(part)), "contestant": pa.array(ids[k : k + CHUNK])}
-            yield pa.RecordBatch.from_arrays([*[fixed.get(n, pa.nulls(len(part), SCHEMA.field(n).type)) for n in NAMES], lists], schema=SCHEMA)
+            fixed = {"system": pa.array([name] * len(part)), "contestant": pa.array(ids[k : k + CHUNK]), "state": lists}
+            yield pa.RecordBatch.from_arrays([fixed[f.name] if f.name in fixed else pa.nulls(len(part), f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, states, held, n = None, None, [], 0
@@ -441,11 +448,11 @@ def runner(compat: bool, with_states: bool) -> Callable[[Iterator[pa.RecordBatch
                 end = start + int((names[start:] == names[start]).argmin() or len(names) - start)
                 if names[start] != name:
                     if n:
-                        yield delta_rows(name, states, pa.Table.from_batches(held))
+                        yield rows(name, states, pa.Table.from_batches(held))
                     if name and with_states:
                         yield from state_rows(name, states)
                     name, held, n = str(names[start]), [], 0
-                    states = States(SYSTEMS[name].start)
+                    states = States(starts[name])
                 part = batch.slice(start, end - start)
                 given = part.filter(part.column("state").is_valid())
                 if len(given):
@@ -454,10 +461,10 @@ def runner(compat: bool, with_states: bool) -> Callable[[Iterator[pa.RecordBatch
                 if len(part):
                     held, n = [*held, part], n + len(part)
                 if n >= CHUNK:
-                    yield delta_rows(name, states, pa.Table.from_batches(held))
+                    yield rows(name, states, pa.Table.from_batches(held))
                     held, n = [], 0
         if n:
-            yield delta_rows(name, states, pa.Table.from_batches(held))
+            yield rows(name, states, pa.Table.from_batches(held))
         if name and with_states:
             yield from state_rows(name, states)
 
@@ -496,8 +503,7 @@ def numbers(ready: DataFrame) -> DataFrame:
 def _dealt(rows: DataFrame, systems: tuple[str, ...], states: DataFrame | None = None) -> DataFrame:
     """Contests (with ``component``) for each system, and the given states of their contestants, dealt by (system, component) in order."""
     spark = rows.sparkSession
-    shape = ["contest_id", "a", "b", *FIELDS, "component"]
-    each = rows.select(*shape, F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"), F.lit(None).cast("array<double>").alias("state"))
+    each = rows.withColumn("system", F.explode(F.array(*[F.lit(s) for s in systems]))).withColumn("state", F.lit(None).cast("array<double>"))
     if states is not None:
         who = rows.select(F.explode(F.array("a", "b")).alias("contestant"), "component").distinct()
         given = states.where(F.col("system").isin(*systems)).join(who, "contestant").select(F.col("contestant").alias("a"), "component", "system", "state")
@@ -548,13 +554,17 @@ def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), compat: bool
 
 def fold_on(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), states: DataFrame | None = None, compat: bool = True, bound: int = MAX_TASK_CONTESTS, keep: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """As ``fold``, going on from ``states`` (``STATE``); also the states of all contestants afterwards, unless ``keep`` is false."""
-    spark = log.sparkSession
-    rows = cut(numbers(prepared(log)))
+    run = lambda with_states: runner(delta_rows(compat), {s: SYSTEMS[s].start for s in systems}, SCHEMA, with_states)
+    return fold_rows(cut(numbers(prepared(log))), systems, run, DELTA, states, bound, keep)
+
+
+def fold_rows(rows: DataFrame, systems: tuple[str, ...], run: Callable[[bool], Callable], delta: str, states: DataFrame | None, bound: int, keep: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Written ``rows`` (contest_id, day as a number, a, b, and what ``run`` reads) through the runners of the systems; slices where a component is larger than ``bound``."""
+    spark, shape, names = rows.sparkSession, f"{delta}, state array<double>", [c.split()[0] for c in delta.split(", ")]
     whole = labelled(rows)
     found = largest_component(whole).first()
-    shape = f"{DELTA}, state array<double>"
     if not found or (found["n"] or 0) <= bound:
-        made = _dealt(whole, systems, states).mapInArrow(runner(compat, keep), shape)
+        made = _dealt(whole, systems, states).mapInArrow(run(keep), shape)
         if not keep:
             return made.drop("state"), None
         made = cut(made)
@@ -563,11 +573,10 @@ def fold_on(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), states: D
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/fold-{uuid.uuid4().hex}"
     for number, (start,) in enumerate(parts.select("slice").distinct().orderBy("slice").collect()):
-        made = _dealt(parts.where(F.col("slice") == start), systems, states).mapInArrow(runner(compat, True), shape)
+        made = _dealt(parts.where(F.col("slice") == start).drop("slice"), systems, states).mapInArrow(run(True), shape)
         made.write.parquet(f"{folder}/slice={number}")
-        made = spark.read.parquet(f"{folder}/slice={number}")
-        states = cut(_replaced(states, made))
-    return spark.read.parquet(folder).where("state is null").select(*NAMES), states
+        states = cut(_replaced(states, spark.read.parquet(f"{folder}/slice={number}")))
+    return spark.read.parquet(folder).where("state is null").select(*names), states
 
 
 def _replaced(states: DataFrame | None, made: DataFrame) -> DataFrame:

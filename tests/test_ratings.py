@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringledger.functions import attributes, features, text, weights
-from ringledger.operators import analytics, attribute_fold, folds, joins, stacking
+from ringledger.operators import analytics, attribute_fold, folds, joins, pools, stacking
 from ringledger.plans import performance
 from ringledger.plans.contest import contests, sides
 from ringledger.session import cut
@@ -260,22 +260,51 @@ def test_attribute_fold_equals_a_plain_loop(log):
     assert len(found) == 600
     near = [np.abs(np.array(r["stats"]) - expected[r["contest_id"], r["contestant"]]).max() for r in found]
     assert max(near) < 0.02 and np.mean(np.array(near) < 1e-9) > 0.9  # a target on the edge of two places may round either way
+    sliced = {(r["contest_id"], r["contestant"]): r for r in attribute_fold.fold(some, made, bound=150, block=64).collect()}
+    assert all(np.allclose(sliced[r["contest_id"], r["contestant"]]["stats"], r["stats"], atol=0.02) for r in found)
 
 
 def test_perks_come_and_go_by_three_in_a_row():
-    s = attribute_fold.State()
-    s.stats[:] = 100.0
-    s.scores[:] = 90.0
+    s = {k: np.array([v], float) for k, v in attribute_fold.START.items()}
+    one = np.array([0])
+    s["stats"][:], s["scores"][:] = 100.0, 90.0
     on = []
     for step in range(60):
         if step == 20:
-            s.stats[:] = 0.0
-        s.move_perks()
-        on.append(bool(s.active[0]))
+            s["stats"][:] = 0.0
+        attribute_fold.move_perks(s, one)
+        on.append(bool(s["active"][0, 0]))
     assert on[:3] == [False, False, True] and on[20] and not on[-1]
     assert on.index(False, 3) > 22  # it stays until three scores in a row are below 80
 
 
+def test_pools_do_not_depend_on_blocks(spark):
+    """Against a loop over all earlier rows, in one block and in many; ties, nulls, nan and groups too small for a pool of their own."""
+    r = random.Random(6)
+    value = lambda: r.choice((0.0, 1.0, 1.0, 2.0, r.random(), r.random(), None, float("nan")))
+    rows = [(place, 10 * place + side, place, r.choice(("x", "x", "x", "y", None)), r.random() < 0.4, r.random() < 0.7, float(r.choice((0, 3, 20))), [value() for _ in range(10)], [value() for _ in range(10)]) for place in range(1, 160) for side in (0, 1)]
+    df = cut(spark.createDataFrame(rows, "contest_id long, contestant long, place long, grp string, enters boolean, asks boolean, n double, pool array<double>, values array<double>"))
+    pulls, wanted = [float(k) for k in range(1, 11)], {}
+    known = lambda v: v is not None and v == v
+    for contest, who, place, grp, _, asks, n, _, values in rows:
+        if not asks:
+            continue
+        out = []
+        for k, v in enumerate(values):
+            pool = [x[7][k] for x in rows if x[4] and x[2] <= place and known(x[7][k]) and x[3] == grp and grp is not None]
+            if len(pool) < 15:
+                pool = [x[7][k] for x in rows if x[4] and x[2] <= place and known(x[7][k])]
+            w = n / (n + pulls[k])
+            out.append(None if not known(v) else 0.5 if not pool else sum(p < w * v + (1 - w) * (math.fsum(pool) / len(pool)) for p in pool) / len(pool))
+        wanted[contest, who] = out
+    for block in (1000, 40, 7):
+        found = {(x["contest_id"], x["contestant"]): x["shares"] for x in pools.growing_shares(df, pulls, 15, block).collect()}
+        assert found.keys() == wanted.keys()
+        for key, row in wanted.items():
+            assert [v is None for v in found[key]] == [v is None for v in row]
+            assert [v for v in found[key] if v is not None] == pytest.approx([v for v in row if v is not None], abs=1e-12), (block, key)
+
+
 def test_greedy_match_equals_plain_choice(spark):
     r = random.Random(2)
     pairs = {(r.randint(0, 25), r.randint(0, 25)): r.randint(1, 6) for _ in range(200)}
