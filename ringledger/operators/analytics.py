@@ -9,42 +9,70 @@ from pyspark.sql.window import Window
 from ..session import cut
 
 
+#: Rows of one group that a window takes at once.
+BLOCK = 4096
+
+
+def in_blocks(df: DataFrame, group: list[str], order: list[str | Column], back: int, block: int = BLOCK) -> tuple[DataFrame, Window]:
+    """``df`` for windows that look ``back`` rows behind, without a task that sees a whole group: rows are numbered by ranges (``_n``) and dealt in blocks of consecutive ones. The last ``back`` rows of a
+    block also stand, with ``_own`` false, before the next. Compute over the window that is returned, then keep ``_own`` rows.
+    """
+    block = max(block, back)
+    numbered = running_totals(df.withColumn("_one", F.lit(1)), group, order, {"_n": "_one"}).drop("_one")
+    own = F.floor((F.col("_n") - 1) / block)
+    ends = (F.col("_n") - 1) % block >= block - back
+    there = F.when(ends, F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own")), F.struct((own + 1).alias("_block"), F.lit(False).alias("_own")))).otherwise(F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own"))))
+    dealt = numbered.withColumn("_b", F.explode(there)).select(*numbered.columns, "_b.*")
+    return dealt, Window.partitionBy(*group, "_block").orderBy("_n")
+
+
 def longest_streak(sides: DataFrame, who: str = "contestant", result: str = "result", order: tuple[str, ...] = ("day", "contest_id")) -> DataFrame:
-    """Most wins in a row; losses and draws end a streak, no-contests do not."""
-    w = Window.partitionBy(who).orderBy(*order)
-    island = F.sum(F.when(F.col(result).isin("L", "D"), 1).otherwise(0)).over(w)
-    return sides.withColumn("_island", island).groupBy(who, "_island").agg(F.count_if(F.col(result) == "W").alias("n")).groupBy(who).agg(F.max("n").alias("longest"))
+    """Most wins in a row; losses and draws end a streak, no-contests do not. Streaks are told apart by the breaks before them, counted by ranges."""
+    broken = sides.select(who, result, *order, F.when(F.col(result).isin("L", "D"), 1).otherwise(0).alias("_break"))
+    islands = running_totals(broken, [who], list(order), {"_island": "_break"})
+    return islands.groupBy(who, "_island").agg(F.count_if(F.col(result) == "W").alias("n")).groupBy(who).agg(F.max("n").alias("longest"))
 
 
-def rolling_peak(series: DataFrame, who: str, value: str, order: tuple[str, ...], size: int = 3) -> DataFrame:
+def rolling_peak(series: DataFrame, who: str, value: str, order: tuple[str, ...], size: int = 3, block: int = BLOCK) -> DataFrame:
     """Best mean of ``size`` values in a row; the plain mean where there are fewer."""
-    w = Window.partitionBy(who).orderBy(*order)
-    frame = w.rowsBetween(-(size - 1), 0)
-    mean = F.when(F.row_number().over(w) >= size, F.avg(value).over(frame))
-    return series.withColumn("_m", mean).groupBy(who).agg(F.coalesce(F.max("_m"), F.avg(value)).alias("peak"))
-
-
-def window_peak(series: DataFrame, who: str, value: str, day: str, days: int = 365, gap: int = 180) -> DataFrame:
-    """Best mean over a forward window of ``days`` from each point; points that follow a longer gap than ``gap`` count only as a start."""
-    number = F.unix_date(day)
-    w = Window.partitionBy(who).orderBy(day)
-    marked = series.withColumn("_d", number).withColumn("_late", F.coalesce(F.col("_d") - F.lag("_d").over(w) > gap, F.lit(False)))
-    ahead = Window.partitionBy(who).orderBy("_d").rangeBetween(0, days)
+    dealt, w = in_blocks(series.select(who, value, *order), [who], list(order), size - 1, block)
+    mean = F.when(F.col("_n") >= size, F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
+    return dealt.withColumn("_m", mean).where("_own").groupBy(who).agg(F.coalesce(F.max("_m"), F.avg(value)).alias("peak"))
+
+
+def window_peak(series: DataFrame, who: str, value: str, day: str, days: int = 365, gap: int = 180, block: int = BLOCK) -> DataFrame:
+    """Best mean over a forward window of ``days`` from each point (one a day); points that follow a longer gap than ``gap`` count only as a start.
+
+    Points are dealt in stretches of several windows' days; those that an earlier stretch's windows reach stand in that one too.
+    """
+    dealt, w = in_blocks(series.select(who, value, F.unix_date(day).alias("_d")), [who], ["_d"], 1, block)
+    marked = dealt.withColumn("_late", F.coalesce(F.col("_d") - F.lag("_d").over(w) > gap, F.lit(False))).where("_own")
+    long = 8 * (days + 1)
+    own, reached = F.floor(F.col("_d") / long), F.floor((F.col("_d") - days) / long)
+    marked = marked.withColumn("_stretch", F.explode(F.array_distinct(F.array(own, reached)))).withColumn("_start", F.col("_stretch") == own)
+    ahead = Window.partitionBy(who, "_stretch").orderBy("_d").rangeBetween(0, days)
     use = F.when(~F.col("_late"), F.col(value))
     total = F.sum(use).over(ahead) + F.when(F.col("_late"), F.col(value)).otherwise(0.0)
     n = F.count(use).over(ahead) + F.when(F.col("_late"), 1).otherwise(0)
-    return marked.withColumn("_m", F.coalesce(total, F.col(value)) / F.greatest(n, F.lit(1))).groupBy(who).agg(F.max("_m").alias("peak"))
+    return marked.withColumn("_m", F.coalesce(total, F.col(value)) / F.greatest(n, F.lit(1))).where("_start").groupBy(who).agg(F.max("_m").alias("peak"))
 
 
-def capped_area(series: DataFrame, who: str, value: str, day: str, base: float = 1500.0, cap: int = 180, elite: float = 1600.0) -> DataFrame:
+def capped_area(series: DataFrame, who: str, value: str, day: str, base: float = 1500.0, cap: int = 180, elite: float = 1600.0, block: int = BLOCK) -> DataFrame:
     """Trapezoid area above ``base`` with gaps capped, and days whose midpoint is elite."""
-    w = Window.partitionBy(who).orderBy(day)
+    dealt, w = in_blocks(series.select(who, value, day), [who], [day], 1, block)
     days = F.least(F.datediff(day, F.lag(day).over(w)), F.lit(cap))
     middle = (F.col(value) + F.lag(value).over(w)) / 2
-    parts = series.select(who, (days * F.greatest(F.lit(0.0), middle - base)).alias("_a"), F.when(middle >= elite, days).otherwise(0).alias("_e"))
+    parts = dealt.select(who, "_own", (days * F.greatest(F.lit(0.0), middle - base)).alias("_a"), F.when(middle >= elite, days).otherwise(0).alias("_e")).where("_own")
     return parts.groupBy(who).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"), F.coalesce(F.sum("_e"), F.lit(0)).alias("elite_days"))
 
 
+def running_means(df: DataFrame, who: str, value: str, order: tuple[str, ...], size: int = 10, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``n`` and ``mean`` of up to ``size`` values of the contestant, up to and with the row's own."""
+    dealt, w = in_blocks(df, [who], list(order), size - 1, block)
+    last = w.rowsBetween(-(size - 1), 0)
+    return dealt.withColumns({"n": F.count(F.lit(1)).over(last), "mean": F.avg(value).over(last)}).where("_own").select(*df.columns, "n", "mean")
+
+
 def by_range(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
     """``df`` range-partitioned by group and order and written, with the number of its range (``_range``). Rows that are equal in both share a range."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

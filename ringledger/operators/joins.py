@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..session import cut
+from . import analytics, folds
 
 
 def forward_asof(left: DataFrame, left_time: str, marks: DataFrame, mark_time: str, mark_id: str, salts: int | None = None) -> DataFrame:
@@ -26,21 +31,59 @@ def forward_asof(left: DataFrame, left_time: str, marks: DataFrame, mark_time: s
     return met.join(F.broadcast(last)).select(*left.columns, F.coalesce("_met", "_last")[mark_id].alias(mark_id), F.coalesce("_met", "_last")[mark_time].alias(mark_time))
 
 
-def greedy_match(pairs: DataFrame, left: str, right: str, weight: str) -> DataFrame:
-    """One-to-one pairs as greedy choice by (-weight, left, right) gives them: in rounds, pairs that are best for both sides are taken.
+#: Pairs that one task may match by itself.
+ONE_TASK = 200_000
+MATCH_SCHEMA = pa.schema([("system", pa.string()), ("place", pa.int64()), ("contestant", pa.int64()), ("taken", pa.bool_()), ("state", pa.list_(pa.float64()))])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (left, right, weight) in order, those whose sides are both free."""
+    lefts, rights = set(), set()
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            free = x not in lefts and y not in rights
+            keep.append(free)
+            if free:
+                lefts.add(x)
+                rights.add(y)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _match_rows(name: str, states: folds.States, table: pa.Table) -> pa.RecordBatch:
+    """Pairs in waves: a pair is taken if both its sides are free, and then they are not."""
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    both, n = states.rows(np.concatenate([a, b])), len(a)
+    used, taken = states.data["fights"], np.zeros(n, bool)
+    for at in folds.waves(a, b):
+        x, y = both[at], both[at + n]
+        taken[at] = free = (used[x] == 0) & (used[y] == 0)
+        used[x[free]] = used[y[free]] = 1
+    return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(table.column("contest_id").to_numpy()), pa.nulls(n, pa.int64()), pa.array(taken), pa.nulls(n, pa.list_(pa.float64()))], schema=MATCH_SCHEMA)
+
 
-    Every round takes at least the best pair that is left, so the rounds end.
+def greedy_match(pairs: DataFrame, left: str, right: str, weight: str, one_task: int = ONE_TASK) -> DataFrame:
+    """One-to-one pairs as greedy choice by (-weight, left, right) gives them; null weights come last, pairs with a null side are left out.
+
+    Up to ``one_task`` pairs are chosen in one pass of one task. More are a fold like that of the ratings: a pair reads and writes whether its two sides are free, so pairs are dealt by
+    connected components and run in waves, and where a component has more than ``one_task`` pairs, by slices of the order. Chains of falling weights, of any length, need no rounds.
     """
-    rest, taken = cut(pairs.select(left, right, weight).where(F.col(left).isNotNull() & F.col(right).isNotNull())), None
-    while True:
-        best = F.min(F.struct((-F.col(weight)).alias("w"), left, right))
-        mine = rest.groupBy(left).agg(best.alias("x")).select("x.*")
-        yours = rest.groupBy(right).agg(best.alias("x")).select("x.*")
-        both = cut(mine.join(yours, ["w", left, right]).select(left, right, (-F.col("w")).alias(weight)))
-        if both.isEmpty():
-            return taken if taken is not None else both
-        taken = both if taken is None else cut(taken.unionByName(both))
-        rest = cut(rest.join(both.select(left), left, "left_anti").join(both.select(right), right, "left_anti"))
+    order = [F.col("_w").desc_nulls_last(), F.col("_l"), F.col("_r")]
+    named = pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(weight).alias("_w"))
+    rest = cut(named.where("_l is not null and _r is not null"))
+    back = [F.col(x).alias(c) for x, c in (("_l", left), ("_r", right), ("_w", weight))]
+    if rest.count() <= one_task:
+        return rest.repartition(1).sortWithinPartitions(*order).mapInArrow(_choose, rest.schema).select(*back)
+    placed = cut(analytics.running_totals(rest.dropDuplicates().withColumn("_one", F.lit(1)), [], order, {"_place": "_one"}).drop("_one"))
+
+    def ids(c: str, odd: int) -> DataFrame:
+        numbered = analytics.running_totals(placed.select(c).distinct().withColumn("_one", F.lit(1)), [], [c], {"_id": "_one"})
+        return numbered.select(c, (2 * F.col("_id") + odd).cast("long").alias("ab"[odd]))
+
+    rows = placed.select("_l", "_r", F.col("_place").alias("contest_id")).join(ids("_l", 0), "_l").join(ids("_r", 1), "_r").select("contest_id", F.lit(0).alias("day"), "a", "b")
+    run = lambda with_states: folds.runner(_match_rows, {"match": {"fights": 0.0}}, MATCH_SCHEMA, with_states)
+    found = folds.fold_rows(cut(rows), ("match",), run, "system string, place long, contestant long, taken boolean", None, one_task, False)[0]
+    return placed.join(found.where("taken").select(F.col("place").alias("_place")), "_place").select(*back)
 
 
 def merge_sources(primary: DataFrame, secondary: DataFrame, key: str, unknown: str = "UNKNOWN") -> DataFrame:
@@ -65,12 +108,27 @@ def latest_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Dat
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s")).select(*keys, "_s.*")
 
 
+def final_snapshots(history: DataFrame, final_day: Column) -> DataFrame:
+    """``history`` and, for every contestant and system without a row on the final day, the last state as of that day."""
+    last = latest_per_group(history, ["system", "contestant"], [F.col("day")]).withColumn("day", final_day)
+    missing = last.join(history.select("system", "contestant", "day"), ["system", "contestant", "day"], "left_anti")
+    return history.unionByName(missing)
+
+
 def lookup_with_fallback(rows: DataFrame, table: DataFrame, keys: list[str], value: str, fallback: dict[str, object]) -> DataFrame:
-    """``rows`` with ``value`` of ``table`` by ``keys``, or by the same keys with some replaced as ``fallback`` says, else null. ``table`` is a small dimension."""
+    """``rows`` with ``value`` of ``table`` by ``keys``, or by the same keys with some replaced as ``fallback`` says, else null. ``table`` is a small dimension with one row a key."""
     first = table.select(*keys, F.col(value).alias("_first"))
-    second = table.where(" and ".join(f"{k} = '{v}'" for k, v in fallback.items())).select(*[k for k in keys if k not in fallback], F.col(value).alias("_second"))
-    joined, rest = rows.join(first, keys, "left"), [k for k in keys if k not in fallback]
-    joined = joined.join(second, rest, "left") if rest else joined.join(second, how="left")
+    fixed = F.lit(True)
+    for k, v in fallback.items():
+        fixed = fixed & (F.col(k) == F.lit(v))
+    rest = [k for k in keys if k not in fallback]
+    second = table.where(fixed).select(*rest, F.col(value).alias("_second"))
+    joined = rows.join(first, keys, "left")
+    if rest:
+        joined = joined.join(second, rest, "left")
+    else:  # one value for all
+        one = second.limit(1).collect()
+        joined = joined.withColumn("_second", F.lit(one[0]["_second"] if one else None).cast(table.schema[value].dataType))
     return joined.select(*rows.columns, F.coalesce("_first", "_second").alias(value))
 
 

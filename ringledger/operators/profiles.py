@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..session import cut
-from . import analytics
+from . import analytics, joins
 
 # Fixed values of the composite: each pillar's share, and the weights of its attributes.
 PILLARS = {
@@ -58,23 +58,30 @@ def schedule(deltas: DataFrame, compat: bool = True) -> DataFrame:
 def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: bool = True) -> DataFrame:
     """One row per contestant with at least ``min_fights`` contests and a win: attributes, z of every pillar, ``score`` and ``place``.
 
-    ``sides`` is the log by contestant, ``deltas`` the folds of all systems. Missing attributes count as 0.
+    ``sides`` is the log by contestant, ``deltas`` the folds of all systems. Missing attributes count as 0. Peaks and the line of ratings come from the last rating of
+    each day, whatever its sport; with ``compat`` everyone also has their last rating on the log's last day, which adds a flat end to the line. A line of one point has no area and no best mean.
     """
     mma = sides.where("sport = 'mma'")
     won, finish, ps = F.col("result") == "W", kernels.is_finish(F.col("method")), (1 + F.col("edge")) / 2
     career = mma.groupBy("contestant").agg(
-        F.count("*").alias("fights"), F.count_if(won).alias("wins"), (F.count_if(won) / F.count("*")).alias("win_rate"), F.coalesce(F.count_if(won & finish) / F.nullif(F.count_if(won), F.lit(0)), F.lit(0.0)).alias("finish_rate"),
+        F.count("*").alias("fights"), F.count_if(won).alias("wins"), F.coalesce(F.count_if(won) / F.nullif(F.count_if(F.col("result").isin("W", "L")), F.lit(0)), F.lit(0.0)).alias("win_rate"), F.coalesce(F.count_if(won & finish) / F.nullif(F.count_if(won), F.lit(0)), F.lit(0.0)).alias("finish_rate"),
         F.count_if("title").alias("title_fights"), F.count_if(won & F.col("title")).alias("title_wins"), F.greatest(F.lit(0), F.count_if(won & F.col("title")) - 1).alias("defenses"),
         (F.datediff(F.max("day"), F.min("day")) / 365.25).alias("span_years"), F.avg(ps).alias("performance"), F.avg(F.greatest(F.lit(0.0), ps - 0.5)).alias("quality_of_win"))
-    deltas = cut(deltas.join(mma.select("contest_id", "contestant", "result"), ["contest_id", "contestant"]))
-    peaks = deltas.groupBy("contestant").pivot("system", ["unified", "factor", "elo", "glicko"]).agg(F.max("post_rating"))
+    deltas = cut(deltas)
+    history = cut(deltas.groupBy("system", "contestant", "day").agg(F.max_by("post_rating", "contest_id").alias("rating")))
+    peaks = history.groupBy("contestant").pivot("system", ["unified", "factor", "elo", "glicko"]).agg(F.max("rating"))
     peaks = peaks.select("contestant", *[F.col(s).alias(f"peak_{s}") for s in ("unified", "factor", "elo", "glicko")])
-    unified = deltas.where("system = 'unified'")
-    line = unified.groupBy("contestant", "day").agg(F.max_by("post_rating", "contest_id").alias("v"))
+    line = history.where("system = 'unified'")
+    if compat:
+        line = joins.final_snapshots(line, F.lit(sides.agg(F.max("day")).first()[0]))
+    line = cut(line.select("contestant", "day", F.col("rating").alias("v")))
+    points = line.groupBy("contestant").agg(F.count("*").alias("points"))
     elite = analytics.nearest_rank(peaks.where(F.col("peak_unified") > BASE), "peak_unified", *ELITE).first()[0]
-    parts = [
-        career, peaks, analytics.rolling_peak(line, "contestant", "v", ("day",)).withColumnRenamed("peak", "peak_three"), analytics.window_peak(line, "contestant", "v", "day").withColumnRenamed("peak", "peak_year"),
-        analytics.capped_area(line, "contestant", "v", "day", BASE, 180, elite), schedule(unified, compat), analytics.longest_streak(mma).withColumnRenamed("longest", "streak")]
+    shape = points.where("points > 1").select("contestant")
+    for part in (analytics.rolling_peak(line, "contestant", "v", ("day",)).withColumnRenamed("peak", "peak_three"), analytics.window_peak(line, "contestant", "v", "day").withColumnRenamed("peak", "peak_year"), analytics.capped_area(line, "contestant", "v", "day", BASE, 180, elite)):
+        shape = shape.join(part, "contestant", "left")
+    unified = deltas.where("system = 'unified'").join(mma.select("contest_id", "contestant", "result"), ["contest_id", "contestant"])
+    parts = [career, peaks, shape, schedule(unified, compat), analytics.longest_streak(mma).withColumnRenamed("longest", "streak")]
     whole = parts[0].where((F.col("fights") >= min_fights) & (F.col("wins") > 0))
     for part in parts[1:]:
         whole = whole.join(part, "contestant", "left")

@@ -101,7 +101,7 @@ def win_rates(log: DataFrame, mma_sides: DataFrame, deltas: DataFrame, latest: D
 
     ``latest`` has the last state of each contestant and system. The pool is 300 contestants at most, ties by who came first, and is broadcast.
     """
-    w = fit(design(log, mma_sides, deltas, compat))
+    w = fit(cut(design(log, mma_sides, deltas, compat)))
     came = F.min(F.struct("day", "contest_id", F.col("contestant") > F.col("opponent")))
     active = mma_sides.groupBy("contestant").agg(F.count("*").alias("known"), came.alias("_came"))
     state = latest.groupBy("contestant").pivot("system", list(SYSTEMS)).agg(F.first(F.struct("rating", "rd", "latent")))

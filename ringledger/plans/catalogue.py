@@ -260,14 +260,14 @@ def last_wins(spark, d):
 
 @query("select contest_id, contestant, count(*) over w n, round(avg(q) over w, 6) mean from sides window w as (partition by contestant order by day, contest_id rows 9 preceding)")
 def running_history(spark, d):
-    w = Window.partitionBy("contestant").orderBy("day", "contest_id").rowsBetween(-9, 0)
-    return sides(contests(spark, d)).select("contest_id", "contestant", F.count("*").over(w).alias("n"), r6(F.avg("q").over(w)).alias("mean"))
+    found = analytics.running_means(sides(contests(spark, d)).select("contest_id", "contestant", "day", "q"), "contestant", "q", ("day", "contest_id"))
+    return found.select("contest_id", "contestant", "n", r6("mean").alias("mean"))
 
 
 @query("select contest_id, contestant, coalesce(day - lag(day) over (partition by contestant order by day, contest_id), 999)::int as days from sides")
 def days_since_last(spark, d):
-    w = Window.partitionBy("contestant").orderBy("day", "contest_id")
-    return sides(contests(spark, d)).select("contest_id", "contestant", F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(999)).alias("days"))
+    dealt, w = analytics.in_blocks(sides(contests(spark, d)).select("contest_id", "contestant", "day"), ["contestant"], ["day", "contest_id"], 1)
+    return dealt.withColumn("days", F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(999))).where("_own").select("contest_id", "contestant", "days")
 
 
 @query("select division, contestant, n::bigint n, (row_number() over (partition by division order by n desc, contestant))::int as rank from (select division, contestant, count_if(result = 'W') n from sides group by 1, 2)")
@@ -355,12 +355,6 @@ def json_extract_numeric(spark, d):
 # ---- generators ----
 
 
-@query("select contest_id, unnest(range(1, rounds + 1))::int round_num, unnest(range(1, rounds + 1)) < finish_round or method = 'DEC' completed from contests")
-def round_spine(spark, d):
-    rows = contests(spark, d).select("contest_id", "method", "finish_round", F.explode(F.sequence(F.lit(1), F.col("rounds"))).alias("round_num"))
-    return rows.select("contest_id", "round_num", ((F.col("round_num") < F.col("finish_round")) | (F.col("method") == "DEC")).alias("completed"))
-
-
 _OUTCOMES, _DECISIONS, _OTHERS = ["W", "L", "D", "NC", "UNKNOWN"], ["UD", "SD", "MD", "TD", "DRAW", "NA", "UNKNOWN"], ["KO", "TKO", "SUB", "DQ", "OVERTURNED", "OTHER", "UNKNOWN"]
 
 

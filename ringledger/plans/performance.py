@@ -52,10 +52,41 @@ def totals_as_rounds(totals: DataFrame) -> DataFrame:
     return totals.withColumns({"head_landed": F.col("sig_landed")} | {c: F.lit(0) for c in features.COUNTS if c not in totals.columns and c != "head_landed"})
 
 
+def round_table(log: DataFrame, observed: DataFrame) -> DataFrame:
+    """(contest_id, round_num, round_seconds, completed): a row for each scheduled round, and for each observed one.
+
+    A round behind the finish is not completed, nor that of the finish if it is known to have ended before its full time; without a finish all are. An observed round
+    is completed unless its number is 0 (totals), whatever the schedule says. Contests without scheduled rounds have the observed ones only. Observed rows
+    that repeat count once; those without contest or number are left out.
+    """
+    seconds = int(features.ROUND_SECONDS)
+    number, last = F.col("round_num"), F.col("finish_round")
+    open_ = F.coalesce(number > last, F.lit(False)) | F.coalesce((number == last) & (F.col("finish_seconds") < seconds), F.lit(False))
+    planned = log.where("rounds > 0").select("contest_id", "finish_round", "finish_seconds", F.explode(F.sequence(F.lit(1), F.col("rounds"))).alias("round_num")).select("contest_id", "round_num", (~open_).alias("completed"))
+    seen = observed.where("contest_id is not null and round_num is not null").select("contest_id", "round_num").distinct().withColumn("_seen", F.lit(True))
+    both = planned.join(seen, ["contest_id", "round_num"], "full_outer")
+    return both.select("contest_id", "round_num", F.lit(seconds).alias("round_seconds"), F.when(F.col("_seen"), number != 0).otherwise(F.col("completed")).alias("completed"))
+
+
 def _log(spark, d):
     return contests(spark, d)
 
 
+@query(
+    f", {ROUNDS_SQL}, fb as (select contest_id, rounds, case when contest_id % 23 = 0 then null else finish_round end fr, finish_seconds fs from contests), "
+    "pl as (select contest_id, unnest(range(1, rounds + 1))::int round_num, rounds, fr, fs from fb), "
+    "pc as (select contest_id, round_num, not (fr is not null and round_num > fr) and not (fr is not null and round_num = fr and fs is not null and fs < 300) completed from pl), "
+    "ob as (select distinct contest_id, round_num::int round_num from rs where contest_id % 2 = 0 union select contest_id, 0 from contests where contest_id % 37 = 0) "
+    "select coalesce(p.contest_id, o.contest_id) contest_id, coalesce(p.round_num, o.round_num) round_num, 300 round_seconds, case when o.contest_id is not null then o.round_num <> 0 else completed end completed "
+    "from pc p full join ob o on p.contest_id = o.contest_id and p.round_num = o.round_num")
+def round_spine(spark, d):
+    """Scheduled rounds, overlaid with those that a source reports (of every second contest) and with totals as round 0; some finishes are unknown."""
+    log = _log(spark, d)
+    known = log.withColumn("finish_round", F.when(F.col("contest_id") % 23 != 0, F.col("finish_round")))
+    observed = source_tables(log)[0].where("contest_id % 2 = 0").select("contest_id", "round_num").unionByName(log.where("contest_id % 37 = 0").select("contest_id", F.lit(0).alias("round_num")))
+    return round_table(known, observed)
+
+
 @query(f", {ROUNDS_SQL} select contest_id, round_num::int round_num, contestant, {', '.join(f'{c}::bigint {c}' for c in features.COUNTS)} from rs")
 def round_stats(spark, d):
     rows = joined_rounds(*source_tables(_log(spark, d))[:3])

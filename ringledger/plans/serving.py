@@ -38,13 +38,6 @@ def snapshots(log: DataFrame) -> DataFrame:
     return rated.select("system", "contestant", "day", "rating", "rd")
 
 
-def final_snapshots(history: DataFrame, final_day: Column) -> DataFrame:
-    """``history`` and, for every contestant and system without a row on the final day, the last state as of that day."""
-    last = joins.latest_per_group(history, ["system", "contestant"], [F.col("day")]).withColumn("day", final_day)
-    missing = last.join(history.select("system", "contestant", "day"), ["system", "contestant", "day"], "left_anti")
-    return history.unionByName(missing)
-
-
 def current_rankings(history: DataFrame, log: DataFrame) -> DataFrame:
     """The last rating of every system, ranked within the division of the contestant's last contest (by day, then contest); ties by contestant."""
     now = joins.latest_per_group(history, ["system", "contestant"], [F.col("day")]).drop("day")
@@ -149,7 +142,7 @@ def snapshots_with_final(spark, d):
     """The history with a row for everyone at the last day of the log (1900-01-01 where there is none)."""
     log = cut(contests(spark, d))
     final = log.agg(F.coalesce(F.max("day"), F.to_date(F.lit("1900-01-01")))).first()[0]
-    return final_snapshots(snapshots(log), F.lit(final)).withColumn("day", _day())
+    return joins.final_snapshots(snapshots(log), F.lit(final)).withColumn("day", _day())
 
 
 @query(f", {VIEWS} select system, division, rank::int as rank, contestant, s_name as name, rating, rd, last_day::varchar last_day from cr join supplier on s_suppkey = contestant")
