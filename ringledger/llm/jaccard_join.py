@@ -12,14 +12,14 @@
 4. A pair of tiles returns link counts and a forest of its links; components of all forests give the classes.
 
 Any order of the shingles gives the same links, the counts only make it cheap. Clusters above a tile's size are spread
-over many tasks by pairs of tiles, so no task holds more than two tiles. Class ids are 64-bit hashes of whole sets; at
-10 billion different sets some three classes are expected to share an id.
+over many tasks by pairs of tiles, so no task holds more than two tiles. Sets are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,10 @@ def shingle_sets(texts, hashes: common.WordHashes, words: int):
         yield common.shingles(common.hashed(common.space_words(text if isinstance(text, str) else None), hashes), words)
 
 
-def set_id(items: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).astype(np.int64))
+def set_ids(items: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set, as two numbers."""
+    both = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), np.int64)
+    return int(both[0]), int(both[1])
 
 
 WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
@@ -100,14 +102,17 @@ def first_shingles(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, key, n, cls, first, bits) for every document; cls is null without words, and first empty there and where the task has met the class."""
+    """(id, key, n, cls, own, other, first, bits) for every document; cls is null without words, and first empty there and where the task has met the class.
+
+    ``own`` and ``other`` are 128 bits of the set's hash. A class is known by ``own``; where sets agree in it but not in ``other``, by a hash of both.
+    """
     rank = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, words))
 
     def run(batches):
         hashes, seen, none = common.WordHashes(), set(), np.zeros(0, np.int64)
         for batch in batches:
             sets = list(shingle_sets(batch["text"], hashes, words))
-            ids = [set_id(s) if len(s) else None for s in sets]
+            ids = [set_ids(s) if len(s) else (None, None) for s in sets]
             first = []
             for s, k in zip(sets, ids, strict=True):  # once a class and task: copies would only repeat it
                 first.append(none if k in seen else first_shingles(s, rank.value, percent))
@@ -115,9 +120,18 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if len(seen) > 500_000:
                 seen.clear()
             bits = [bitmap(s, width(len(s))).tobytes() for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": [len(s) for s in sets], "cls": pd.array(ids, "Int64"), "first": first, "bits": bits})
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": [len(s) for s in sets], "own": pd.array([k[0] for k in ids], "Int64"), "other": pd.array([k[1] for k in ids], "Int64"), "first": first, "bits": bits})
+
+    signed = cut(docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, n int, own long, other long, first array<long>, bits binary"))
+    return told_apart(signed)
 
-    return cut(docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, n int, cls long, first array<long>, bits binary"))
+
+def told_apart(signed: DataFrame) -> DataFrame:
+    """With ``cls``: ``own``, or a hash of both numbers where different sets have one ``own``."""
+    mixed = signed.where("own is not null").groupBy("own").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high").select("own", F.lit(True).alias("mixed"))
+    if mixed.isEmpty():
+        return signed.withColumn("cls", F.col("own"))
+    return signed.join(mixed, "own", "left").withColumn("cls", F.when(F.col("mixed"), F.xxhash64("own", "other")).otherwise(F.col("own"))).drop("mixed")
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
@@ -252,7 +266,8 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
     """(cls, root, n_links): links met in each pair of tiles, and a forest of them.
 
-    ``clustered`` has (key, cls, n, copies, cluster): one document of each class.
+    ``clustered`` has (key, cls, own, other, n, copies, cluster): one document of each class. Rows that repeat share a key; a task hands on each key once, so a text that a third of all
+    rows repeat, ids included, is as many rows as there are tasks.
     """
     sized = clustered.groupBy("cluster").agg(F.count("*").alias("members"))
     placed = clustered.join(sized, "cluster")
@@ -266,13 +281,15 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
     other = edges.select("cluster", F.col("tile").alias("with"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meet = edges.join(other, "cluster").where(f"with >= tile and 100 * high >= {percent} * low2").select("cluster", "tile", "with")
     both = meet.unionByName(meet.where("with != tile").select("cluster", F.col("with").alias("tile"), F.col("tile").alias("with")).withColumn("swap", F.lit(1)), allowMissingColumns=True)
-    dealt = tiled.join(both, ["cluster", "tile"]).select("key", "cls", "copies", "cluster", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "tile")
-    small = placed.where(F.col("members") <= tile).select("key", "cls", "copies", "cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("tile"))
+    dealt = tiled.join(both, ["cluster", "tile"]).select("key", "cls", "own", "other", "copies", "cluster", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "tile")
+    small = placed.where(F.col("members") <= tile).select("key", "cls", "own", "other", "copies", "cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("tile"))
     work = cut(small.unionByName(dealt))
     if work.count() <= MAX_BROADCAST_ROWS:  # else both sides are shuffled by key
         work = F.broadcast(work)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.join(work, "key").repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "tile")
+    names = ["cluster", "a", "b", "tile", "cls", "own", "other", "copies"]
+    met = once(docs.join(work, "key").select("key", *names, "text"), "key", "a", "b")
+    texts = met.repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "tile")
 
     def solve(group: list[tuple]):
         ids, copies, tiles, sets = zip(*group, strict=True)
@@ -294,12 +311,12 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
     def run(batches):
         hashes, key, group, out = common.WordHashes(), None, {}, []
         for batch in batches:
-            for cluster, a, b, tile_, cls, copies, s in zip(batch["cluster"], batch["a"], batch["b"], batch["tile"], batch["cls"], batch["copies"], shingle_sets(batch["text"], hashes, words), strict=True):
+            for cluster, a, b, tile_, cls, own, other, copies, s in zip(*(batch[c] for c in names), shingle_sets(batch["text"], hashes, words), strict=True):
                 if key != (cluster, a, b):
                     if len(group) > 1:
                         out += solve(list(group.values()))
                     key, group = (cluster, a, b), {}
-                if set_id(s) == cls:  # hashes may agree by chance
+                if set_ids(s) == (own, other):  # keys may agree by chance
                     group[cls] = (cls, copies, tile_, s)
                 if len(out) > 10_000:
                     yield pd.DataFrame(out, columns=["cls", "root", "n_links"])
@@ -308,7 +325,25 @@ def links(docs: DataFrame, clustered: DataFrame, words: int, percent: int, tile:
             out += solve(list(group.values()))
         yield pd.DataFrame(out, columns=["cls", "root", "n_links"])
 
-    return texts.select("cluster", "a", "b", "tile", "cls", "copies", "text").mapInPandas(run, "cls long, root long, n_links long")
+    return texts.select(*names, "text").mapInPandas(run, "cls long, root long, n_links long")
+
+
+def once(rows: DataFrame, *keys: str, most: int = 500_000) -> DataFrame:
+    """``rows`` without those whose keys the task has handed on already; it remembers up to ``most`` of them at a time. Rows of equal keys must be equal."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            fresh = []
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), strict=True)):
+                if row not in seen:
+                    seen.add(row)
+                    fresh.append(k)
+            if len(seen) > most:
+                seen.clear()
+            yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _parts(id_col: str, text_col: str) -> list:
@@ -326,7 +361,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = common.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(*_parts(id_col, text_col)).alias("key")))
     signed = signatures(docs, words, percent)
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("own").alias("own"), F.first("other").alias("other"), F.first("n").alias("n"), F.count("*").alias("copies"))
     clustered = cut(classes.join(clusters(signed, percent), "cls"))
     met = cut(links(docs, clustered, words, percent, tile))
     joined = components(met, "cls", "root").select(F.col("node").alias("cls"), "component")

@@ -370,3 +370,25 @@ def test_sharding(spark):
     found = sharding.assign_shards(df, "key", shards, 1009).collect()
     assert len(found) == 4 and all(r["shard"] == shards[table[r["slot"]]] for r in found)
     assert len({r["shard"] for r in found if r["key"] == "a"}) == 1
+
+
+def test_jaccard_join_of_one_row_repeated_by_the_thousand(spark):
+    """A hot row, ids and all, in a group of near copies: each task hands it on once, and all copies are counted."""
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (0, 1, 58, 59)]
+    n = 50_000
+    hot = spark.range(n, numPartitions=8).selectExpr("cast(null as long) doc_id", f"'{' '.join(words)}' text")
+    rest = spark.createDataFrame([(k, t) for k, t in enumerate(near)], "doc_id long, text string")
+    found = jaccard_join.jaccard_join(hot.unionByName(rest)).groupBy("doc_id", "component_id", "n_links").count().collect()
+    pairs = Counter(a for a in near for b in near if a != b and 100 * len(shingles(a) & shingles(b)) >= 80 * len(shingles(a) | shingles(b)))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["component_id"], r["n_links"], r["count"]) for r in found) == [(-1, 0, n - 1 + 4, n), *[(k, 0, n + pairs[t], 1) for k, t in enumerate(near)]]
+    keyed = hot.unionByName(rest).selectExpr("doc_id", "text", "xxhash64(doc_id, text) key", "0 a", "0 b")
+    assert jaccard_join.once(keyed, "key", "a", "b").count() <= 8 + len(near)
+
+
+def test_sets_that_agree_in_half_their_hash_are_told_apart(spark):
+    rows = [(1, 5, 7), (2, 5, 8), (3, 5, 7), (4, 6, 9), (5, None, None)]
+    signed = spark.createDataFrame(rows, "id long, own long, other long")
+    cls = {r["id"]: r["cls"] for r in jaccard_join.told_apart(signed).collect()}
+    assert cls[1] == cls[3] != cls[2] and cls[4] == 6 and cls[5] is None
+    assert {r["cls"] for r in jaccard_join.told_apart(signed.where("id != 2")).collect()} == {5, 6, None}
