@@ -14,6 +14,8 @@ import functools
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +33,7 @@ HIDDEN = frozenset("script style textarea title noscript template iframe noembed
 HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes head".split())
 #: Content that is shown where the medium is not: nodes of their own, which do not end a paragraph.
 FALLBACK = frozenset("object audio video canvas".split())
+CONTROLS = frozenset("button input select textarea".split())
 TABLE = frozenset("caption table tbody tfoot thead tr td th".split())
 #: Elements whose content is HTML again inside svg.
 INNER = frozenset("foreignobject desc".split())
@@ -64,7 +67,7 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|style|hid
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _LONG_MARK = re.compile(r"[.!?;:,]")
 #: An article's paragraph that is lost weighs as much as so many pieces of furniture that are kept.
-MAIN_WEIGHT = 2.0
+MAIN_WEIGHT, SHORT_ARTICLE = 2.0, 12
 _RIGHTS = re.compile("\u00a9|\\(c\\)|copyright|all rights reserved", re.I)
 
 
@@ -78,6 +81,7 @@ class Node:
     children: list = field(default_factory=list)
     texts: list = field(default_factory=list)  # (order, text) blocks that belong to it directly
     link: int = 0
+    controls: int = 0  # buttons, fields
     label: object = None
 
 
@@ -101,6 +105,7 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
     hidden: list[str] = []  # the outermost hidden element that is open, and what is open in it
     links, order = 0, 0
     linked = 0
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by element, so no tag looks through the stack
 
     def flush() -> None:
         nonlocal parts, order, linked
@@ -114,6 +119,8 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
 
     def pop(to: int) -> None:
         flush()
+        for node in stack[to:]:
+            opened[node.tag].pop()
         del stack[to:]
 
     def add(chunk: str) -> None:
@@ -125,7 +132,7 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
 
     def ended(tag: str) -> bool:
         """Ends the hidden elements that a start tag ends; whether the tag does nothing else."""
-        in_table = tag in TABLE and any(x.tag == "table" for x in stack)
+        in_table = tag in TABLE and bool(opened["table"])
         if hidden == ["head"]:
             if tag not in HEAD:
                 hidden.clear()
@@ -159,6 +166,8 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
         if not m[1]:
             if hidden and ended(tag):
                 continue
+            if tag in CONTROLS:
+                stack[-1].controls += 1
             if tag in RAW and not m[3].endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = close.start() if close else end
@@ -197,31 +206,28 @@ def parse(page: str, marker: str | None = None) -> list[Node]:
                     if stack[k].tag not in ("p",):
                         break
             if tag in CLOSED_BY:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSED_BY[tag]:
-                        pop(k)
-                    elif stack[k].tag in SCOPE[tag]:
-                        break
+                scope = max((opened[t][-1] for t in SCOPE[tag] if opened[t]), default=0)
+                ends = [opened[t][k] for t in CLOSED_BY[tag] if (k := bisect_right(opened[t], scope)) < len(opened[t])]
+                if ends:
+                    pop(min(ends))
             groups, gone = attribute_groups(m[3]) if m[3].strip() else (frozenset(), False)
             node = Node(tag, stack[-1], len(stack), groups, gone)
             if marker and marker in m[3]:
                 node.label = True
             stack[-1].children.append(node)
             nodes.append(node)
+            opened[tag].append(len(stack))
             stack.append(node)
         else:
             if tag in hidden:
                 del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
                 continue
-            if hidden and tag in BLOCK and ("select" not in hidden or tag in TABLE) and any(x.tag == tag for x in stack[1:]):
+            if hidden and tag in BLOCK and ("select" not in hidden or tag in TABLE) and opened[tag]:
                 hidden.clear()  # what was open around them ends
             if tag == "a":
                 links = 0
-            elif tag in BLOCK and not hidden:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop(k)
-                        break
+            elif tag in BLOCK and not hidden and opened[tag]:
+                pop(opened[tag][-1])
     flush()
     return nodes
 
@@ -230,11 +236,11 @@ def describe(nodes: list[Node]) -> np.ndarray:
     """One row of features a node."""
     n = len(nodes)
     place = {id(x): k for k, x in enumerate(nodes)}
-    own = np.zeros((n, 8))  # characters, linked characters, marks, texts, paragraphs, items, nodes, notes of rights
+    own = np.zeros((n, 9))  # characters, linked characters, marks, texts, paragraphs, items, nodes, notes of rights, controls
     parent = np.array([0] + [place[id(x.parent)] for x in nodes[1:]])
     for k, x in enumerate(nodes):
         chars = sum(len(t) for _, t in x.texts)
-        own[k] = chars, x.link, sum(len(_LONG_MARK.findall(t)) for _, t in x.texts), len(x.texts), x.tag == "p", x.tag in ("li", "dt", "dd"), 1, sum(bool(_RIGHTS.search(t)) for _, t in x.texts)
+        own[k] = chars, x.link, sum(len(_LONG_MARK.findall(t)) for _, t in x.texts), len(x.texts), x.tag == "p", x.tag in ("li", "dt", "dd"), 1, sum(bool(_RIGHTS.search(t)) for _, t in x.texts), x.controls
     total = own.copy()
     for k in range(n - 1, 0, -1):
         total[parent[k]] += total[k]
@@ -266,13 +272,32 @@ def describe(nodes: list[Node]) -> np.ndarray:
         chars_so_far += own[k, 0]
     whole = max(total[0, 0], 1)
     chars, up = total[:, 0], total[parent]
+    plain = chars - total[:, 1]  # without links
+    bare = max(plain[0], 1)
+    group, largest = plain.copy(), np.zeros(n)  # of all siblings of a node's kind; the largest of the page
+    for x in nodes:
+        sums: dict[str, float] = {}
+        for c in x.children:
+            k = place[id(c)]
+            sums[c.tag] = sums.get(c.tag, 0.0) + plain[k]
+        for c in x.children:
+            group[place[id(c)]] = sums[c.tag]
+    outside = np.where(furniture > 0, 0.0, group)
+    largest[:] = max(outside[1:].max(initial=0.0), 1.0)
     columns = [
         np.log1p(chars), np.log1p(own[:, 0]), total[:, 1] / np.maximum(chars, 1), own[:, 1] / np.maximum(own[:, 0], 1), total[:, 2] / np.maximum(chars, 1),
         chars / np.maximum(total[:, 6], 1), chars / np.maximum(total[:, 3], 1), np.log1p(total[:, 3]), np.log1p(total[:, 4]), np.log1p(total[:, 5]), np.log1p(total[:, 6]),
         chars / whole, chars / np.maximum(up[:, 0], 1), np.array([x.depth for x in nodes]), siblings, rank / siblings, alike / siblings, before / whole,
+        own[:, 8], total[:, 8], up[:, 8], np.log1p(group), group / bare, group / largest, np.full(n, np.log1p(bare)), np.full(n, n, float), np.full(n, float(len(nodes[0].children))),
         total[:, 7] / np.maximum(total[:, 3], 1), np.log1p(up[:, 0]), up[:, 1] / np.maximum(up[:, 0], 1), np.log1p(up[:, 4]), np.array([nodes[p].tag in ("article", "main", "section") for p in parent]),
     ]
-    return np.column_stack([*columns, tags, words, above, furniture, prose, hidden, (words + above)[:, 1:].sum(1), (words + above)[:, 0], total[:, 4] / np.maximum(total[:, 6], 1)]).astype(np.float32)
+    barred = np.maximum(np.maximum(furniture, hidden), np.maximum((words + above)[:, 1:].sum(1) > 0, own[:, 7] > 0))
+    barred = np.maximum(barred, np.isin([x.tag for x in nodes], ("nav", "header", "footer", "aside", "form", "dialog")))
+    return np.column_stack([*columns, tags, words, above, furniture, prose, hidden, (words + above)[:, 1:].sum(1), (words + above)[:, 0], total[:, 4] / np.maximum(total[:, 6], 1), barred]).astype(np.float32)
+
+
+#: The last feature: what cannot be an article.
+OPEN = -1
 
 
 @dataclass
@@ -352,11 +377,34 @@ def decode(nodes: list[Node], log_odds: np.ndarray, most: float = 6.0) -> np.nda
     return kept
 
 
+def chosen(nodes: list[Node], features: np.ndarray, log_odds: np.ndarray) -> np.ndarray:
+    """``decode``; where no text would be kept, the odds of all that may be an article at all are raised until one is: what has words that are no links, and neither is hidden, nor stands in
+    furniture, nor is named like it, nor tells of rights."""
+    kept = decode(nodes, log_odds)
+    if any(kept[k] and x.texts for k, x in enumerate(nodes)):
+        return kept
+    may = features[:, OPEN] < 0.5
+    place = {id(x): k for k, x in enumerate(nodes)}
+    for k, x in enumerate(nodes):
+        if k:
+            may[k] &= may[place[id(x.parent)]]
+    odds = [log_odds[k] for k, x in enumerate(nodes) if may[k] and x.texts and 2 * x.link < sum(len(t) for _, t in x.texts)]
+    if not odds:
+        return kept
+    raised = np.where(may, np.maximum(log_odds + 0.1 - max(odds), log_odds), -1e3)
+    inside = raised.copy()
+    for k in range(len(nodes) - 1, 0, -1):  # what holds it is kept with it
+        if inside[k] > 0:
+            inside[place[id(nodes[k].parent)]] = max(inside[place[id(nodes[k].parent)]], 0.1)
+    return decode(nodes, inside)
+
+
 def extract(page: str | None, model: Trees) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    return _joined(nodes, decode(nodes, model.log_odds(describe(nodes))))
+    features = describe(nodes)
+    return _joined(nodes, chosen(nodes, features, model.log_odds(features)))
 
 
 def _joined(nodes: list[Node], kept: np.ndarray) -> str:
@@ -399,6 +447,8 @@ def _prose(r: Layout, mark: str, low: int = 1, high: int = 14) -> str:
     out = []
     for _ in range(r.randint(low, high)):
         kind, text = r.random(), " ".join(_sentence(r, 1, 18) for _ in range(r.choice([1, 1, 2, 3, 6])))
+        if r.random() < 0.04:  # articles may tell of rights too
+            text = r.choice(["All rights reserved.", f"Copyright {r.randint(1990, 2030)}.", f"{text} All rights reserved."])
         if r.random() < 0.15:
             text = text.replace(" ", f' <a href="#">{_sentence(r, 1, 3)}</a> ', 1)
         if kind < 0.68:
@@ -439,11 +489,39 @@ def _furniture(r: Layout, kind: str) -> str:
     return f"<{tag}{attrs}>{body}</{tag}>"
 
 
+def _plain_page(r: Layout) -> str:
+    """A page with little beside its article, which may be short, have no element of its own, or stand at the page's beginning or end."""
+    mark = " data-main"
+    short = lambda: " ".join(_sentence(r, 4, 18) for _ in range(r.choice([1, 1, 2, 3])))
+    count = r.choice([1, 1, 2, 2, 3, 3, 4, 5, 6, 8, 12])
+    tag = r.choice(["p", "p", "p", "p", "div", "li"])
+    body = "".join(f"<{tag}{mark}>{short()}</{tag}>" for _ in range(count))
+    if tag == "li":
+        body = f"<ul{mark}>{body}</ul>"
+    if r.random() < 0.3:
+        body = f"<{(h := r.choice(['h1', 'h1', 'h2']))}{mark}>{_sentence(r, 2, 9)}</{h}>{body}"
+    if r.random() < 0.15:
+        body = short()
+    for _ in range(r.choice([0, 0, 1, 1, 1, 2])):
+        wrap = r.choice(["article", "main", "section", "div", "div"] if r.semantic else ["div", "div", "section"])
+        name = r.choice(["", "", f' id="{r.choice("abcxyz")}"', _attrs(r, "main", 0.5)])
+        body = f"<{wrap}{mark}{name}>{body}</{wrap}>"
+    top = [_furniture(r, k) for k in ("menu", "notice", "head") if r.random() < 0.3]
+    end = [_furniture(r, k) for k in ("foot", "menu") if r.random() < 0.3]
+    if r.random() < 0.3:
+        end.append(f"<{(t := r.choice(['div', 'p', 'div']))}>&copy; {r.randint(1990, 2030)} {_sentence(r, 1, 5)}</{t}>")
+    if r.random() < 0.25:
+        top.insert(0, f"<div>{_links(r)}</div>")
+    return r.choice([f"<html><body>{''.join(top)}{body}{''.join(end)}</body></html>", f"<title>t</title>{''.join(top)}{body}{''.join(end)}"])
+
+
 def compose_page(r: random.Random) -> str:
     """A page of random layout. Elements that hold main text carry the attribute ``data-main``. Half of the pages have names that say nothing, a third no elements
     that do."""
     r = Layout(r.random())
     r.named, r.semantic = r.random() < 0.5, r.random() < 0.67
+    if r.random() < 0.4:
+        return _plain_page(r)
     mark = " data-main"
     brief = r.random() < 0.2
     inside = [f"<h1{mark}>{_sentence(r, 2, 12)}</h1>"] if r.random() < 0.85 else []
@@ -463,16 +541,16 @@ def compose_page(r: random.Random) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 1200, seed: int = 7) -> Trees:
+def trained(pages: int = 1600, seed: int = 7) -> Trees:
     """Trees fitted to ``pages`` composed pages; the same for every call and every input."""
     r = random.Random(seed)
-    xs, ys = [], []
+    xs, ys, ws = [], [], []
     for _ in range(pages):
         nodes = parse(compose_page(r), "data-main")
         xs.append(describe(nodes))
         ys.append(np.array([k == 0 or x.label is True for k, x in enumerate(nodes)], np.float64))
-    y = np.concatenate(ys)
-    return boost(np.concatenate(xs), y, np.where(y > 0, MAIN_WEIGHT, 1.0))
+        ws.append(np.where(ys[-1] > 0, MAIN_WEIGHT * max(1.0, SHORT_ARTICLE / ys[-1].sum()), 1.0))  # short articles count as long ones do
+    return boost(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Trees | None = None) -> DataFrame:
@@ -490,9 +568,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         for batch in batches:
             parsed = [parse(p) if isinstance(p, str) and p else None for p in batch["html"]]
             some = [n for n in parsed if n]
-            odds = np.split(model.log_odds(np.concatenate([describe(n) for n in some])), np.cumsum([len(n) for n in some])[:-1]) if some else []
-            each = iter(odds)
-            texts = [_joined(n, decode(n, next(each))) if n else "" for n in parsed]
+            features = [describe(n) for n in some]
+            odds = np.split(model.log_odds(np.concatenate(features)), np.cumsum([len(n) for n in some])[:-1]) if some else []
+            each = iter(zip(features, odds, strict=True))
+            texts = [_joined(n, chosen(n, *next(each))) if n else "" for n in parsed]
             yield pd.DataFrame({id_col: batch[id_col], url_col: batch[url_col], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return picked.mapInPandas(run, schema)

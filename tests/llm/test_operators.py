@@ -294,7 +294,39 @@ def test_html_extraction(spark):
     assert len(found) == 5
     by = {r["page_id"]: r["text"] for r in found}
     assert by[1] == "Head & line\nFirst text of the page, with some words.\nSecond text of it, quite long as well."
-    assert by[2] == by[3] == "" and all(r["n_chars"] == len(r["text"]) for r in found)
+    assert by[2] == by[3] == "" and by[4] == "unclosed text" and all(r["n_chars"] == len(r["text"]) for r in found)
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text int")).collect() == []
+
+
+MENU, RIGHTS = "<div><a href=/a>Home</a> <a href=/b>News and more</a> <a href=/c>About us</a></div>", "<div>&copy; 2024 Some Company Ltd. All rights reserved.</div>"
+SHAPES = {
+    "article alone": ("<body><article>", "</article></body>"), "section between furniture": (f"<body>{MENU}<section>", f"</section>{RIGHTS}</body>"), "div between furniture": (f"<body>{MENU}<div>", f"</div>{RIGHTS}</body>"),
+    "behind a notice": ("<body><div>We use cookies to make this site better. <button>OK</button></div><div id=x>", "</div></body>"), "body alone": ("<body>", "</body>"), "main between furniture": (f"<body>{MENU}<main>", f"</main>{RIGHTS}</body>"),
+    "body between furniture": (f"<body>{MENU}", f"{RIGHTS}</body>")}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_html_keeps_every_paragraph_of_short_articles(shape):
+    start, end = SHAPES[shape]
+    for n in (1, 2, 3, 4, 5, 8, 12, 20):
+        paragraphs = [f"Paragraph {k} of the article says something in some fifteen words, as one does in an article." for k in range(n)]
+        page = f"<html>{start}{''.join(f'<p>{p}</p>' for p in paragraphs)}{end}</html>"
+        assert html_extract.extract(page, html_extract.trained()) == "\n".join(paragraphs), n
+
+
+def test_html_plain_text_and_pages_without_article():
+    model = html_extract.trained()
+    assert html_extract.extract("Just plain text without tags.", model) == "Just plain text without tags."
+    assert html_extract.extract("<p>Just one line of text.</p>", model) == "Just one line of text."
+    assert html_extract.extract("<nav><a href=/>Home</a></nav><footer>&copy; 2020 x</footer>", model) == ""
+
+
+def test_html_items_under_many_open_elements_take_linear_time():
+    import time
+
+    began = time.process_time()
+    nodes = html_extract.parse("<div>" * 20_000 + "<li>x" * 2_000 + "</p>" * 2_000)
+    assert sum(x.tag == "li" for x in nodes) == 2_000 and time.process_time() - began < 5
 
 
 @pytest.mark.parametrize("page", [
@@ -340,7 +372,8 @@ def test_html_blocks_of_the_pages_table():
         for x in nodes:
             inside[id(x)] = x.tag == "article" or (x.parent is not None and inside[id(x.parent)])
         gold = {b for x in nodes if inside[id(x)] for b in x.texts}
-        taken = html_extract.decode(nodes, model.log_odds(html_extract.describe(nodes)))
+        features = html_extract.describe(nodes)
+        taken = html_extract.chosen(nodes, features, model.log_odds(features))
         found = {b for k, x in enumerate(nodes) if taken[k] for b in x.texts}
         right, kept, wanted = right + len(gold & found), kept + len(found), wanted + len(gold)
     assert right / kept > 0.98 and right / wanted > 0.98
