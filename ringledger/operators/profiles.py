@@ -21,6 +21,8 @@ PILLARS = {
     "championship": (0.10, {"title_wins": 0.45, "defenses": 0.35, "title_fights": 0.20}),
     "consistency": (0.10, {"rating_variance": -0.50, "streak": 0.50}),
 }
+#: Further facts of a career.
+FACTS = ("wins", "losses", "draws", "ncs", "finish_wins", "decision_wins", "title_win_rate")
 BASE, UPSET, ELITE, TOP = 1500.0, 0.40, (0.90, 1700.0), (0.75, 1600.0)
 
 
@@ -56,7 +58,7 @@ def schedule(deltas: DataFrame, compat: bool = True) -> DataFrame:
 
 
 def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: bool = True) -> DataFrame:
-    """One row per contestant with at least ``min_fights`` contests and a win: attributes, z of every pillar, ``score`` and ``place``.
+    """One row per contestant with at least ``min_fights`` contests and a win: attributes, raw score and z of every pillar, ``score``, and further facts (``FACTS``).
 
     ``sides`` is the log by contestant, ``deltas`` the folds of all systems. Missing attributes count as 0. Peaks and the line of ratings come from the last rating of
     each day, whatever its sport; with ``compat`` everyone also has their last rating on the log's last day, which adds a flat end to the line. A line of one point has no area and no best mean.
@@ -65,6 +67,8 @@ def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: b
     won, finish, ps = F.col("result") == "W", kernels.is_finish(F.col("method")), (1 + F.col("edge")) / 2
     career = mma.groupBy("contestant").agg(
         F.count("*").alias("fights"), F.count_if(won).alias("wins"), F.coalesce(F.count_if(won) / F.nullif(F.count_if(F.col("result").isin("W", "L")), F.lit(0)), F.lit(0.0)).alias("win_rate"), F.coalesce(F.count_if(won & finish) / F.nullif(F.count_if(won), F.lit(0)), F.lit(0.0)).alias("finish_rate"),
+        F.count_if(F.col("result") == "L").alias("losses"), F.count_if(F.col("result") == "D").alias("draws"), F.count_if(F.col("result") == "NC").alias("ncs"), F.count_if(won & finish).alias("finish_wins"), F.count_if(won & (F.col("method") == "DEC")).alias("decision_wins"),
+        F.coalesce(F.count_if(won & F.col("title")) / F.nullif(F.count_if("title"), F.lit(0)), F.lit(0.0)).alias("title_win_rate"),
         F.count_if("title").alias("title_fights"), F.count_if(won & F.col("title")).alias("title_wins"), F.greatest(F.lit(0), F.count_if(won & F.col("title")) - 1).alias("defenses"),
         (F.datediff(F.max("day"), F.min("day")) / 365.25).alias("span_years"), F.avg(ps).alias("performance"), F.avg(F.greatest(F.lit(0.0), ps - 0.5)).alias("quality_of_win"))
     deltas = cut(deltas)
@@ -86,7 +90,8 @@ def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: b
     for part in parts[1:]:
         whole = whole.join(part, "contestant", "left")
     attributes = [a for _, weights in PILLARS.values() for a in weights]
-    whole = cut(whole.select("contestant", "wins", *[F.coalesce(F.col(a).cast("double"), F.lit(0.0)).alias(a) for a in attributes]))
+    whole = cut(whole.select("contestant", *FACTS, *[F.coalesce(F.col(a).cast("double"), F.lit(0.0)).alias(a) for a in attributes]))
     z = robust_all(whole.select("contestant", *attributes), attributes).select("contestant", *[analytics.weighted(weights).alias(f"z_{p}") for p, (_, weights) in PILLARS.items()])
-    z = robust_all(z, [f"z_{p}" for p in PILLARS]).withColumn("score", analytics.weighted({f"z_{p}": share for p, (share, _) in PILLARS.items()}))
+    raw = cut(z.select("*", *[F.col(f"z_{p}").alias(f"raw_{p}") for p in PILLARS]))
+    z = robust_all(raw, [f"z_{p}" for p in PILLARS]).withColumn("score", analytics.weighted({f"z_{p}": share for p, (share, _) in PILLARS.items()}))
     return whole.join(z, "contestant")
