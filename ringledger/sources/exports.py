@@ -9,11 +9,20 @@ from pyspark.sql import types as T
 from ..functions import text
 
 
-def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV export with the given columns as trimmed text; empty fields are null, missing columns all null, further ones are not read."""
-    head = spark.read.option("header", True).csv(path).columns
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(T.StructType([T.StructField(c, T.StringType()) for c in head])).csv(path)
-    return rows.select(*[(text.clean(F.col(c)) if c in head else F.lit(None).cast("string")).alias(c) for c in columns])
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The columns that a CSV file names; none where it is empty."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def read_export(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV export with the given columns (or all) as trimmed text; empty fields are null, missing columns all null, further ones are not read.
+
+    The header is read once. With ``multi_line`` fields may hold line breaks, and a file is read by one task.
+    """
+    head = header(spark, path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in head])
+    rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').schema(schema).csv(path)
+    return rows.select(*[(text.clean(F.col(c)) if c in head else F.lit(None).cast("string")).alias(c) for c in (head if columns is None else columns)])
 
 
 # The exports' files, and in which columns of them ids of 16 hex digits stand (with the column of the url that may hold them too).
@@ -34,21 +43,23 @@ HEX_IDS = {
 }
 
 
-def load(spark: SparkSession, folder: str, names: tuple[str, ...] = EXPORTS) -> dict[str, DataFrame]:
+def load(spark: SparkSession, folder: str, names: tuple[str, ...] = EXPORTS, multi_line: bool = False) -> dict[str, DataFrame]:
     """Every export as a frame of trimmed texts, its hex ids in canonical form. Files are read when the frames are."""
     frames = {}
     for name in names:
         path = f"{folder}/{name}.csv"
-        frame = read_export(spark, path, spark.read.option("header", True).csv(path).columns)
+        frame = read_export(spark, path, multi_line=multi_line)
         for id_col, url_col in HEX_IDS.get(name, {}).items():
-            frame = with_resolved_ids(frame, id_col, url_col)
+            if id_col in frame.columns or url_col in frame.columns:
+                frame = with_resolved_ids(frame, id_col, url_col)
         frames[name] = frame
     return frames
 
 
 def with_resolved_ids(df: DataFrame, id_col: str, url_col: str | None = None) -> DataFrame:
     """The id that the url holds, else the raw one if it is well formed, else null."""
-    return df.withColumn(id_col, text.resolve_hex_id(F.col(id_col), F.col(url_col) if url_col else F.lit(None).cast("string")))
+    known = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    return df.withColumn(id_col, text.resolve_hex_id(known(id_col), known(url_col)))
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, replace: bool = True) -> None:
