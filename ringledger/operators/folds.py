@@ -486,7 +486,8 @@ def prepared(log: DataFrame) -> DataFrame:
     bonus = F.when(k.is_finish(F.col("method")), k.TARGET["finish"]).otherwise(0.0)
     base = k.clip(0.5 + sign * k.TARGET["gap"] + k.TARGET["margin"] * F.coalesce("margin", F.lit(0.0)) + sign * (bonus + early), 0, 1)
     fixed = k.k_static(F.col("tier"), F.col("rounds"), F.col("title"), F.col("method"), F.col("margin"), F.col("promotion")).alias("k")
-    return log.withColumn("day", F.coalesce("day", F.lit(FIRST_DAY).cast("date"))).select(*COLUMNS, base.alias("base"), fixed)
+    seq = F.col("seq") if "seq" in log.columns else F.lit(0)
+    return log.withColumn("day", F.coalesce("day", F.lit(FIRST_DAY).cast("date"))).select(*COLUMNS, seq.cast("long").alias("seq"), base.alias("base"), fixed)
 
 
 def numbers(ready: DataFrame) -> DataFrame:
@@ -495,7 +496,7 @@ def numbers(ready: DataFrame) -> DataFrame:
     tier = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")), F.lit(0)), F.lit(len(TIERS))) - 1
     no = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return ready.select(
-        "contest_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.unix_date("day").alias("day"), code.alias("outcome"), no(F.col("sport") == "mma").alias("mma"), family(F.col("sport")).cast("int").alias("family"),
+        "contest_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.unix_date("day").alias("day"), "seq", code.alias("outcome"), no(F.col("sport") == "mma").alias("mma"), family(F.col("sport")).cast("int").alias("family"),
         no(kernels.is_finish(F.col("method"))).alias("finish"), no((F.col("rounds") >= 5) | F.coalesce("title", F.lit(False))).alias("major"), tier.cast("int").alias("tier"), F.col("margin").cast("double").alias("margin"),
         F.col("promotion").cast("double").alias("promotion"), F.col("base").cast("double").alias("base"), F.col("k").cast("double").alias("k"))
 
@@ -509,7 +510,7 @@ def _dealt(rows: DataFrame, systems: tuple[str, ...], states: DataFrame | None =
         given = states.where(F.col("system").isin(*systems)).join(who, "contestant").select(F.col("contestant").alias("a"), "component", "system", "state")
         each = each.unionByName(given, allowMissingColumns=True)
     parts = max(len(systems), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return each.repartition(parts, "system", "component").sortWithinPartitions("system", F.col("state").isNull(), "day", "contest_id").drop("component")
+    return each.repartition(parts, "system", "component").sortWithinPartitions("system", F.col("state").isNull(), "day", "seq", "contest_id").drop("component")
 
 
 def largest_component(rows: DataFrame, *keys: str) -> DataFrame:
@@ -527,7 +528,7 @@ def sliced(rows: DataFrame, bound: int) -> DataFrame:
     The whole order is halved again and again where a component is too large. Only the halves that are too large are looked at again, of which there are fewer
     than contests divided by ``bound``.
     """
-    ordered = cut(analytics.running_total(rows.withColumn("_one", F.lit(1)), [], ["day", "contest_id"], "_one", "_upto").withColumn("_place", F.col("_upto") - 1).drop("_one", "_upto"))
+    ordered = cut(analytics.running_total(rows.withColumn("_one", F.lit(1)), [], ["day", "seq", "contest_id"], "_one", "_upto").withColumn("_place", F.col("_upto") - 1).drop("_one", "_upto"))
     total, done, depth, rest = ordered.count(), None, 0, ordered
     while True:
         half = cut(rest.withColumn("_half", F.floor(F.col("_place") * F.lit(2**depth) / F.lit(total)).cast("long")))
@@ -544,7 +545,7 @@ def sliced(rows: DataFrame, bound: int) -> DataFrame:
 
 
 def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), compat: bool = True, bound: int = MAX_TASK_CONTESTS) -> DataFrame:
-    """Two rows a contest and system (``DELTA``), contests in the order of (day, contest_id). ``a`` and ``b`` differ and are not null.
+    """Two rows a contest and system (``DELTA``), contests in the order of (day, ``seq`` where the log has it, contest_id). ``a`` and ``b`` differ and are not null.
 
     ``expected`` is the expectation before the contest, ``expected_after`` (Elo and Glicko) that of the updated states, for a in both rows. No task gets a component of more than
     ``bound`` contests. Without ``compat`` the unified system takes each side's own outcome. An empty log gives an empty result.
@@ -561,6 +562,7 @@ def fold_on(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), states: D
 def fold_rows(rows: DataFrame, systems: tuple[str, ...], run: Callable[[bool], Callable], delta: str, states: DataFrame | None, bound: int, keep: bool) -> tuple[DataFrame, DataFrame | None]:
     """Written ``rows`` (contest_id, day as a number, a, b, and what ``run`` reads) through the runners of the systems; slices where a component is larger than ``bound``."""
     spark, shape, names = rows.sparkSession, f"{delta}, state array<double>", [c.split()[0] for c in delta.split(", ")]
+    rows = rows if "seq" in rows.columns else rows.withColumn("seq", F.lit(0).cast("long"))
     whole = labelled(rows)
     found = largest_component(whole).first()
     if not found or (found["n"] or 0) <= bound:

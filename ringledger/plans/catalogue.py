@@ -5,12 +5,15 @@ Doubles are rounded to 6 places in both; the order of sums may differ between en
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels, text, weights
-from ..operators import analytics, folds, graph, joins, profiles, stacking
+from ..operators import analytics, folds, graph, joins, loads, profiles, stacking
 from ..session import cut, read
+from ..sources.store import Store
 from ..streaming import activity
 from . import dimensions, performance, serving  # noqa: F401  they register their queries
 from .contest import contests, sides
@@ -402,6 +405,37 @@ def rating_folds(spark, d):
     return found.select("system", "contest_id", "contestant", *[F.round(c, 4).alias(c) for c in ("pre_rating", "post_rating", "expected", "target", "k", "rd")], "fights")
 
 
+@query()
+def ratings_by_stage(spark, d):
+    """Elo changes with the contests of a day in the order of their tournaments' stages."""
+    from .dimensions import same_day_order
+
+    log, k = contests(spark, d), F.col("contest_id")
+    log = log.withColumns({"total_a": F.when(k % 3 > 0, F.col("qa").cast("long") % 7), "total_b": F.when(k % 4 > 0, F.col("qb").cast("long") % 7), "name_a": F.concat(F.lit("N"), F.col("a").cast("string")), "name_b": F.concat(F.lit("N"), F.col("b").cast("string"))})
+    return folds.fold(same_day_order(log), ("elo",)).select("contest_id", "contestant", *[F.round(c, 4).alias(c) for c in ("pre_rating", "post_rating", "expected", "k")])
+
+
+@query()
+def ratings_in_loads(spark, d):
+    """Elo changes of three loads into a store, the last of which has late contests; the same as those of the whole log."""
+    log = cut(contests(spark, d))
+    spans = log.agg(F.percentile_approx(F.unix_date("day"), [0.5, 0.8])).first()[0]
+    late, number = F.col("contest_id") % 50 == 0, F.unix_date("day")
+    store = Store(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ratings-{uuid.uuid4().hex}")
+    for part in (log.where((number <= spans[0]) & ~late), log.where((number > spans[0]) & (number <= spans[1]) & ~late), log):
+        loads.load_contests(store, part, ("elo",))
+    return store.read("deltas").select("contest_id", "contestant", *[F.round(c, 4).alias(c) for c in ("pre_rating", "post_rating", "expected", "k")])
+
+
+@query()
+def profile_snapshots(spark, d):
+    """All-time profiles as stored snapshots of one system, with the whole nested record."""
+    log = cut(contests(spark, d))
+    store = Store(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/profiles-{uuid.uuid4().hex}")
+    loads.store_profiles(store, sides(log), folds.fold(log))
+    return store.read("snapshots", ["goat"]).select("system_id", "contestant", F.col("day").cast("string").alias("day"), "rating", "extra")
+
+
 @query()
 def unified_ratings(spark, d):
     """Last composite rating of every contestant, its deviation, and the rating less the deviation."""

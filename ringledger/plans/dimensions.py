@@ -33,24 +33,52 @@ def _case(values: list, i: str) -> str:
 
 # ---- text, enums, dates ----
 
-_IDS = ["urn:uuid:6BA7B810-9DAD-11D1-80B4-00C04FD430C8", "{6ba7b8109dad11d180b400c04fd430c8}", "6ba7b810-9dad-11d1-80b4", " "]
-_URLS = ["https://x.org/fightcenter/fighters/123-some-one?a=1", "https://x.org/fighters/", "/fighters/ab#top", "none"]
-_STAMPS = ["2020-01-05T10:20:30Z", "2020-01-05T10:20:30+02:00", "2020-01-05 10:20:30", "soon"]
-_DETAILS = ["Round 2 R2 at 4:05", "by 12:30 in r3", "no time", ""]
+#: Raw texts of orders, the same in both engines: identifiers, urls, times, details, flags, numbers, labels and sizes, in several spellings each.
+_LABELS2 = ["Decision - Unanimous", " KO/TKO", "Submission", "Could Not Continue", "dq", "Overturned", "S-DEC", "Decision - Majority", "TKO - Doctor's Stoppage", "KO", "Decision", "Decision (draw)", "", "Other thing"]
+_RESULTS = [" w", "L", "Draw", "d ", "NC", "no contest", "lost", ""]
+_FLAGS = ["true", " T", "1", "Yes", "n", "FALSE", "0", "maybe", ""]
+_RAW = {
+    "id": ("case k % 5 when 0 then 'urn:uuid:' || upper(dashed) when 1 then '{' || hex || '}' when 2 then dashed when 3 then substr(hex, 1, 20) else ' ' end"),
+    "url": ("case k % 3 when 0 then 'https://x.org/fightcenter/fighters/' || k || '-some-one?a=' || c when 1 then '/fighters/' || c || '#top' else 'https://x.org/fighters/' end"),
+    "stamp": ("case k % 4 when 0 then day || 'T' || hh || ':' || mm || ':30Z' when 1 then day || 'T' || hh || ':' || mm || ':30+02:00' when 2 then day || ' ' || hh || ':' || mm || ':30' else 'soon ' || day end"),
+    "details": ("case k % 3 when 0 then 'Round R' || (k % 5) || ' at ' || (k % 14) || ':' || mm when 1 then 'by ' || (c % 60) || ':' || mm || ' in r' || (c % 7) else 'no time, ' || c end"),
+    "sex": ("case c % 3 when 0 then ' ' || lower(status) when 1 then status || ' ' else 'm' end"),
+    "whole": ("case k % 3 when 0 then ' ' || c when 1 then price || '' else '-' || k end"),
+    "number": ("case k % 3 when 0 then ' ' || price when 1 then status else '-' || c end"),
+    "slug": ("case k % 2 when 0 then k || '-some-one' || c else 'some-' || c || '-one' end"),
+}
 
 
 @query(
-    f"select k, {_case(['6ba7b810-9dad-11d1-80b4-00c04fd430c8', '6ba7b810-9dad-11d1-80b4-00c04fd430c8', None, None], 'k')} id, {_case(['123-some-one', None, 'ab', None], 'k')} profile, {_case(['2020-01-05 10:20:30', '2020-01-05 08:20:30', '2020-01-05 10:20:30', None], 'k')} fetched, "
-    f"{_case([245, 750, None, None], 'k')}::int as seconds, {_case(['M', 'F', 'U', 'U'], 'k')} sex, {_case([12, -1, -1, 7], 'k')}::int whole, {_case([12.0, 3.5, 0.0, 7.0], 'k')}::double number, {_case(['red', 'UNKNOWN', None, 'blue'], 'k')} corner, "
-    f"case when k % {len(_SPORTS)} = {len(_SPORTS) - 1} then 'unknown' else {_case(_SPORTS, 'k')} end sport from (select c_custkey k from customer)", views=False)
+    "with o as (select o_orderkey k, o_custkey c, o_orderstatus status, o_orderpriority priority, round(o_totalprice)::bigint::varchar || '.5' price, strftime(o_orderdate::date, '%Y-%m-%d') as day, md5(o_orderkey::varchar) hex, lpad((o_custkey % 24)::varchar, 2, '0') hh, lpad((o_orderkey % 60)::varchar, 2, '0') mm from orders), "
+    "q as (select *, substr(hex, 1, 8) || '-' || substr(hex, 9, 4) || '-' || substr(hex, 13, 4) || '-' || substr(hex, 17, 4) || '-' || substr(hex, 21) dashed from o), "
+    f"r as (select k, c, priority, {', '.join(f'{v} r_{n}' for n, v in _RAW.items())}, {_case(_LABELS2, 'k')} r_label, {_case(_RESULTS, 'k')} r_result, {_case(_FLAGS, 'k')} r_flag from q), "
+    "x as (select *, lower(regexp_replace(replace(lower(trim(r_id)), 'urn:uuid:', ''), '[{}-]', '', 'g')) h, lower(trim(coalesce(r_label, ''))) l, upper(trim(r_result)) u, lower(trim(r_flag)) f, (k % 1000) * 635 milli from r) "
+    "select k, case when regexp_full_match(h, '[0-9a-f]{32}') then substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) end id, nullif(regexp_extract(r_url, '/fighters/([^/?#]+)', 1), '') profile, "
+    "strftime(case when k % 4 = 1 then strptime(left(r_stamp, 19), '%Y-%m-%dT%H:%M:%S') - interval 2 hour when k % 4 = 0 then strptime(left(r_stamp, 19), '%Y-%m-%dT%H:%M:%S') when k % 4 = 2 then strptime(r_stamp, '%Y-%m-%d %H:%M:%S') end, '%Y-%m-%d %H:%M:%S') fetched, "
+    "(try_cast(nullif(regexp_extract(r_details, '(\\d+):(\\d{2})', 1), '') as int) * 60 + try_cast(nullif(regexp_extract(r_details, '(\\d+):(\\d{2})', 2), '') as int))::int as seconds, try_cast(nullif(regexp_extract(r_details, '[Rr](\\d+)', 1), '') as int) as round, "
+    "case when upper(trim(r_sex)) in ('M', 'F') then upper(trim(r_sex)) else 'U' end sex, case when regexp_full_match(trim(r_whole), '[+-]?\\d+') then trim(r_whole)::int else -1 end as whole, coalesce(try_cast(trim(r_number) as double), 0.0) number, "
+    "case when priority in ('1-URGENT', '2-HIGH') then priority else 'UNKNOWN' end corner, case when f in ('true', 't', '1', 'yes', 'y') then true when f in ('false', 'f', '0', 'no', 'n') then false end flag, "
+    "case when u in ('W', 'L') then u when u in ('D', 'DRAW') then 'D' when u in ('NC', 'NO CONTEST', 'NO-CONTEST') then 'NC' else 'UNKNOWN' end outcome, "
+    "case when l = '' then 'UNKNOWN/UNKNOWN' when contains(l, 'overturned') then 'OVERTURNED/NA' when contains(l, 'dq') then 'DQ/NA' when contains(l, 'submission') or l = 'sub' then 'SUB/NA' when contains(l, 'ko/tko') or contains(l, 'doctor') then 'TKO/NA' "
+    "when l in ('decision - unanimous', 'u-dec') then 'DEC/UD' when l in ('decision - split', 's-dec') then 'DEC/SD' when l in ('decision - majority', 'm-dec') then 'DEC/MD' when l in ('decision', 'decision - technical', 't-dec') then 'DEC/NA' when contains(l, 'decision') and contains(l, 'draw') then 'DEC/DRAW' "
+    "when contains(l, 'could not continue') then 'OTHER/NA' when contains(l, 'ko') then 'KO/NA' else 'OTHER/NA' end as method, ((milli // 10 + case when milli % 10 > 5 or (milli % 10 = 5 and (milli // 10) % 2 = 1) then 1 else 0 end) / 100.0)::double cm, "
+    "array_to_string(list_transform(string_split(regexp_replace(r_slug, '^\\d+-', ''), '-'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') as name from x", views=False)
 def text_tokens(spark, d):
-    """Identifiers, times, genders, numbers and enumerated labels of raw texts."""
-    k = F.col("k")
-    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return rows.select(
-        "k", text.uuid(_pick(_IDS, k)).alias("id"), text.profile_id_in_url(_pick(_URLS, k)).alias("profile"), F.date_format(text.timestamp(_pick(_STAMPS, k)), "yyyy-MM-dd HH:mm:ss").alias("fetched"), text.time_in_details(_pick(_DETAILS, k)).alias("seconds"),
-        text.gender(_pick([" m", "F ", "x", ""], k)).alias("sex"), text.int_or(_pick([" 12", "3.5", "", "7"], k), -1).alias("whole"), text.double_or(_pick([" 12", "3.5", "x", "7"], k), 0.0).alias("number"),
-        text.member(_pick(["red", "green", "", " blue "], k), ("red", "blue"), None, "UNKNOWN").alias("corner"), text.sport(_pick(_SPORTS, k)).alias("sport"))
+    """Identifiers, urls, times, rounds, genders, numbers, labels, flags, results, methods, sizes and names of raw texts of every order."""
+    c = F.col
+    pad = lambda x: F.lpad(x.cast("string"), 2, "0")
+    o = read(spark, d, "orders").select(
+        c("o_orderkey").alias("k"), c("o_custkey").alias("c"), c("o_orderstatus").alias("status"), c("o_orderpriority").alias("priority"), F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(".5")).alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.md5(c("o_orderkey").cast("string")).alias("hex"), pad(c("o_custkey") % 24).alias("hh"), pad(c("o_orderkey") % 60).alias("mm"))
+    cut_at = lambda start, n: F.substring("hex", start, n)
+    o = o.withColumn("dashed", F.concat_ws("-", cut_at(1, 8), cut_at(9, 4), cut_at(13, 4), cut_at(17, 4), cut_at(21, 12)))
+    r = o.select("k", "priority", *[F.expr(v).alias(n) for n, v in _RAW.items()], *[_pick(values, c("k")).alias(n) for n, values in (("label", _LABELS2), ("result", _RESULTS), ("flag", _FLAGS))])
+    met = text.method_group_second(c("label"), F.lit(None).cast("string"))
+    return r.select(
+        "k", text.uuid(c("id")).alias("id"), text.profile_id_in_url(c("url")).alias("profile"), F.date_format(text.timestamp(c("stamp")), "yyyy-MM-dd HH:mm:ss").alias("fetched"), text.time_in_details(c("details")).alias("seconds"), text.round_in_details(c("details")).alias("round"),
+        text.gender(c("sex")).alias("sex"), text.int_or(c("whole"), -1).alias("whole"), text.double_or(c("number"), 0.0).alias("number"), text.member(c("priority"), ("1-URGENT", "2-HIGH"), None, "UNKNOWN").alias("corner"), text.boolean(c("flag")).alias("flag"),
+        text.result(c("result")).alias("outcome"), F.concat_ws("/", met["method"], met["decision"]).alias("method"), text.inches_to_cm((c("k") % 1000 / 4).cast("decimal(10,2)")).cast("double").alias("cm"), text.name_of_slug(c("slug")).alias("name"))
 
 
 @query("select contest_id, coalesce(case when contest_id % 3 = 0 then day - 1 end, day)::varchar processing, round(case when method = 'DEC' then case when title then rounds * 5.0 else finish_round * 5.0 end else (finish_round - 1) * 5.0 + finish_seconds / 60.0 end, 6) as minutes from contests")
@@ -259,7 +287,7 @@ def same_day_order(log, totals: tuple[str, str] = ("total_a", "total_b")):
     never = F.lit(10**9).cast("long")
     joined = joined.withColumns({"stage": F.coalesce(F.greatest(*rise), F.lit(0)), "_few": F.coalesce(F.least(*totals), never), "_most": F.coalesce(F.greatest(*totals), never), "_label": F.concat_ws(" vs ", F.array_sort(F.array("name_a", "name_b")))})
     w = Window.partitionBy("day").orderBy("stage", "_few", "_most", "_label", "contest_id")
-    return joined.withColumn("place", F.row_number().over(w)).drop("_base_a", "_base_b", "_few", "_most", "_label")
+    return joined.withColumn("place", F.row_number().over(w)).withColumn("seq", F.col("place")).drop("_base_a", "_base_b", "_few", "_most", "_label")
 
 
 @query(

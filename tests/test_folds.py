@@ -168,6 +168,14 @@ def test_states_pass_on(spark, odd):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9, nan_ok=True) for k in a)
 
 
+def test_the_order_within_a_day_may_be_given(spark, odd):
+    turned = odd.withColumn("seq", -F.col("contest_id"))
+    wanted = plain_unified(sorted(folds.prepared(odd).collect(), key=lambda r: (r["day"], -r["contest_id"])))
+    found = {(r["contest_id"], r["contestant"]): r["post_rating"] for r in folds.fold(turned, ("unified",)).collect()}
+    assert found == pytest.approx({k: v["post_rating"] for k, v in wanted.items()}, abs=1e-7)
+    assert found != {(r["contest_id"], r["contestant"]): r["post_rating"] for r in folds.fold(odd, ("unified",)).collect()}
+
+
 def test_waves_touch_nobody_twice_and_keep_the_order():
     r = random.Random(2)
     for _ in range(30):
