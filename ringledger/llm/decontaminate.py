@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,99 +39,136 @@ def words(text: str | None) -> list[str]:
 
 
 class Automaton:
-    """Generalised suffix automaton of several word sequences, with what each state needs to name its items."""
-
-    def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW) -> None:
-        self.window = window
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.names = [name for name, seq in items if seq]
-        ends: list[list[tuple[int, int]]] = [[]]  # (item, position + 1) where a prefix of an item ends, by its state
-        for k, (_, seq) in enumerate([x for x in items if x[1]]):
+    """Generalised suffix automaton of several word sequences, in flat arrays.
+
+    Words are numbers. A state's first move stands in two arrays, as most states have one; only states with more have a dict. An item's windows are named where they are met first on the way up
+    the suffix links (``top``): a window's state has the items of all prefixes that end in it.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, list[str]]], window: int = WINDOW) -> None:
+        self.window, self.number = window, {}
+        self.word, self.to, self.more = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.names: list[str] = []
+        ends, owners, sizes, number = array("i"), array("i"), array("i"), self.number
+        for k, (name, seq) in enumerate(x for x in items if x[1]):
+            self.names.append(name)
+            sizes.append(len(seq))
             last = 0
-            for at, word in enumerate(seq):
-                last = self._extend(last, word)
-                ends += [[] for _ in range(len(self.next) - len(ends))]
-                ends[last].append((k, at + 1))
-        self._collect(ends, [len(seq) for _, seq in items if seq])
-
-    def _state(self, length: int, link: int, moves: dict[str, int]) -> int:
-        self.next.append(moves)
+            for w in seq:
+                last = self._extend(last, number.setdefault(w, len(number)))
+                ends.append(last)
+                owners.append(k)
+        self._collect(ends, owners, sizes)
+
+    def _move(self, s: int, w: int) -> int:
+        """The state behind ``w``, or -1."""
+        if self.word[s] == w:
+            return self.to[s]
+        more = self.more.get(s)
+        return more.get(w, -1) if more else -1
+
+    def _set(self, s: int, w: int, to: int) -> None:
+        if self.word[s] in (w, -1):
+            self.word[s], self.to[s] = w, to
+        else:
+            self.more.setdefault(s, {})[w] = to
+
+    def _state(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
         self.length.append(length)
         self.link.append(link)
-        return len(self.next) - 1
+        return len(self.link) - 1
 
-    def _split(self, p: int, word: str, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+    def _split(self, p: int, w: int, q: int) -> int:
+        clone = self._state(self.length[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = clone
+        while p >= 0 and self._move(p, w) == q:
+            self._set(p, w, clone)
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, word: str) -> int:
-        q = self.next[last].get(word)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, word, q)
-        new, p = self._state(self.length[last] + 1, 0, {}), last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = new
+    def _extend(self, last: int, w: int) -> int:
+        q = self._move(last, w)
+        if q >= 0:
+            return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
+        new, p = self._state(self.length[last] + 1, 0), last
+        while p >= 0 and (q := self._move(p, w)) < 0:
+            self._set(p, w, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][word]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return new
 
-    def _collect(self, ends: list[list[tuple[int, int]]], sizes: list[int]) -> None:
-        """items[s]: those with a full window ending in state s's runs of at least that length; short[s]: whole short items that are suffixes."""
-        n, window = len(self.next), self.window
-        order = sorted(range(1, n), key=self.length.__getitem__)
-        found: list[set[int]] = [{k for k, _ in e} for e in ends] + [set() for _ in range(n - len(ends))]
-        for s in reversed(order):
-            # A run of at least a window need not be walked above the state that first reaches the window.
-            if self.length[self.link[s]] >= window:
-                found[self.link[s]] |= found[s]
-        # The state on the suffix path whose shortest run is at most a window long stands for the window itself.
-        self.items: list[frozenset[int] | None] = [None] * n
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * n
-        for s in order:
-            up = self.link[s]
-            if self.length[s] >= window:
-                self.items[s] = self.items[up] if self.length[up] >= window else frozenset(found[s])
-            own = tuple((at, k) for k, at in (ends[s] if s < len(ends) else ()) if at == sizes[k] < window)
-            self.short[s] = self.short[up] + own if own else self.short[up]
+    def _collect(self, ends: array, owners: array, sizes: array) -> None:
+        """``top``: the window's state of each state that is as long, else -1. ``only``, ``several``: its items. ``whole``: short items that a state is, and ``near`` the next such state on the way up."""
+        n, window, link, length = len(self.link), self.window, self.link, self.length
+        self.top, self.near, self.only = array("i", [-1]) * n, array("i", [-1]) * n, array("i", [-1]) * n
+        self.several: dict[int, set[int]] = {}
+        self.whole: dict[int, list[tuple[int, int]]] = {}
+        start = 0
+        for k, size in enumerate(sizes):
+            start += size
+            if size < window:
+                self.whole.setdefault(ends[start - 1], []).append((size, k))
+        for s in map(int, np.argsort(np.frombuffer(length, np.int32), kind="stable").astype(np.int32)):
+            up = link[s]
+            if length[s] >= window:
+                self.top[s] = self.top[up] if length[up] >= window else s
+            self.near[s] = s if s in self.whole else self.near[up] if up >= 0 else -1
+        for s, k in zip(ends, owners, strict=True):
+            t = self.top[s]
+            if t < 0 or self.only[t] == k:
+                continue
+            if self.only[t] < 0:
+                self.only[t] = k
+            else:
+                self.several.setdefault(t, {self.only[t]}).add(k)
 
     def match(self, seq: list[str]) -> tuple[list[list[int]], list[int], int]:
         """Merged hit spans over the words, the items with occurring windows, and the longest run met."""
-        moves, link, length, items, short, window = self.next, self.link, self.length, self.items, self.short, self.window
+        first, to, more, link, length, window, near = self.word, self.to, self.more, self.link, self.length, self.window, self.near
         spans: list[list[int]] = []
         met: set[int] = set()
         seen: set[int] = set()
         state = run = longest = 0
-        root = moves[0]
-        for at, word in enumerate(seq):
-            to = moves[state].get(word)
-            if to is None:
-                if word not in root:
-                    state = run = 0
-                    continue
-                while to is None:
+        number, root, first_word, first_to = self.number, self.more.get(0, {}), self.word[0], self.to[0]
+        for at, text in enumerate(seq):
+            w = number.get(text)
+            if w is None:
+                state = run = 0
+                continue
+            if state and first[state] == w:
+                state, run = to[state], run + 1
+            else:
+                while state:
+                    nxt = to[state] if first[state] == w else more[state].get(w, -1) if state in more else -1
+                    if nxt >= 0:
+                        break
                     state = link[state]
-                    to = moves[state].get(word)
-                run = length[state]
-            state = to
-            run += 1
+                    run = length[state]
+                if state:
+                    state, run = nxt, run + 1
+                else:  # every word of an item is a move of the root
+                    state, run = (first_to if first_word == w else root[w]), 1
             if run > longest:
                 longest = run
-            if run >= window or short[state]:
+            short = near[state]
+            if run >= window or short >= 0:
                 size = run if run >= window else 0
-                if run >= window and state not in seen:
-                    seen.add(state)
-                    met |= items[state]
-                for n, k in short[state]:
-                    if n <= run:
-                        met.add(k)
-                        size = max(size, n)
+                if run >= window and (top := self.top[state]) not in seen:
+                    seen.add(top)
+                    met |= self.several[top] if top in self.several else {self.only[top]}
+                while short >= 0:
+                    for n, k in self.whole[short]:
+                        if n <= run:
+                            met.add(k)
+                            size = max(size, n)
+                    short = near[link[short]]
                 if size:
                     start = at + 1 - size
                     while spans and spans[-1][0] >= start:
@@ -142,6 +180,16 @@ class Automaton:
         return spans, [int(k) for k in met], longest
 
 
+def packed(items: list[tuple[str, list[str]]]) -> tuple[list[str], str]:
+    """The items of a block with words, as one text: words are without spaces."""
+    return [name for name, seq in items if seq], "\n".join(" ".join(seq) for _, seq in items if seq)
+
+
+def unpacked(names: list[str], text: str) -> Iterator[tuple[str, list[str]]]:
+    """Item by item, so no more than one item's words are held beside the automaton."""
+    return ((name, line.split(" ")) for name, line in zip(names, text.split("\n") if names else [], strict=True))
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_block_words: int) -> tuple[int, Iterator[list[tuple[str, list[str]]]]]:
     """Number of blocks, which follows the benchmark's size, and the blocks of (item, words), each of about ``max_block_words``."""
     counted = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -162,8 +210,8 @@ def _automaton(handle) -> Automaton:
     """Built once per Python worker and block."""
     if handle.id not in _built:
         _built.clear()
-        items, window = handle.value
-        _built[handle.id] = Automaton(items, window)
+        names, text, window = handle.value
+        _built[handle.id] = Automaton(unpacked(names, text), window)
     return _built[handle.id]
 
 
@@ -198,7 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def _scan(rows: DataFrame, items: list[tuple[str, list[str]]], window: int, carried: list[str], used: list | None = None) -> DataFrame:
     """``carried`` columns of ``rows`` with n_words, spans, items and longest of their text, by one block."""
-    handle = _Handle(rows.sparkSession.sparkContext.broadcast((items, window)), next(_numbers))
+    handle = _Handle(rows.sparkSession.sparkContext.broadcast((*packed(items), window)), next(_numbers))
     if used is not None:
         used.append(handle.broadcast)
     columns = [*carried, "n_words", "spans", "items", "longest"]
@@ -252,7 +300,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
     has_count = "n_chars" in docs.columns
 
     if n == 1:
-        handle = _Handle(docs.sparkSession.sparkContext.broadcast((next(blocks), window)), next(_numbers))
+        handle = _Handle(docs.sparkSession.sparkContext.broadcast((*packed(next(blocks)), window)), next(_numbers))
         rows = docs
     else:
         handle = None
