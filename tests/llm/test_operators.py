@@ -425,3 +425,30 @@ def test_sets_that_agree_in_half_their_hash_are_told_apart(spark):
     cls = {r["id"]: r["cls"] for r in jaccard_join.told_apart(signed).collect()}
     assert cls[1] == cls[3] != cls[2] and cls[4] == 6 and cls[5] is None
     assert {r["cls"] for r in jaccard_join.told_apart(signed.where("id != 2")).collect()} == {5, 6, None}
+
+
+def test_automaton_equals_search_for_every_window():
+    """Items of few different words, shorter and longer than a window, repeated and contained in one another."""
+    r = random.Random(11)
+    for _ in range(120):
+        window, letters = r.choice((2, 3, 5)), "abc"[: r.randint(1, 3)]
+        items = [(f"i{k}", [r.choice(letters) for _ in range(r.randint(0, 9))]) for k in range(r.randint(0, 7))]
+        auto = decontaminate.Automaton(decontaminate.unpacked(*decontaminate.packed(items)), window)
+        for _ in range(8):
+            doc = [r.choice(letters + "x") for _ in range(r.randint(0, 30))]
+            hit, met, longest = set(), set(), 0
+            for name, seq in items:
+                n = min(window, len(seq))
+                for at in range(len(doc) - n + 1):
+                    if n and any(doc[at : at + n] == seq[k : k + n] for k in range(len(seq) - n + 1)):
+                        hit |= set(range(at, at + n))
+                        met.add(name)
+                for a in range(len(doc)):
+                    for k in range(len(seq)):
+                        run = 0
+                        while a + run < len(doc) and k + run < len(seq) and doc[a + run] == seq[k + run]:
+                            run += 1
+                        longest = max(longest, run)
+            spans, found, most = auto.match(doc)
+            assert {p for a, b in spans for p in range(a, b)} == hit and {auto.names[k] for k in found} == met and most == longest
+            assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
