@@ -84,21 +84,39 @@ def test_embedding_join(spark):
     for k in range(40):
         v = r.normal(size=12)
         rows += [(3 * k + j, [float(x) for x in v + j * 0.1 * r.normal(size=12)], "ab"[k % 2], "x") for j in range(3)]
+    for k in range(20):  # other lengths, one of them shorter than the axes
+        v = r.normal(size=(3, 15)[k % 2])
+        rows += [(500 + 2 * k + j, [float(x) for x in v + j * 0.1], "a", "x") for j in range(2)]
     rows += [(1000 + k, rows[0][1], rows[0][2], "x") for k in range(5)]
     rows += [(2000, None, "a", "x"), (2001, [0.0] * 12, "a", "x"), (2002, [float("nan")] * 12, "a", "x"), (2003, rows[0][1], None, "x"), (2004, [None] + [1.0] * 11, "a", "x"), (2005, [], "a", "x")]
     ok = {k: np.array(v, np.float32).astype(float) for k, v, label, _ in rows if k < 2000}
     label = {k: x for k, _, x, _ in rows}
     cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
-    pairs = [(a, b) for a in ok for b in ok if a < b and label[a] == label[b] and cos(ok[a], ok[b]) >= 0.93]
+    pairs = [(a, b) for a in ok for b in ok if a < b and label[a] == label[b] and len(ok[a]) == len(ok[b]) and cos(ok[a], ok[b]) >= 0.93]
     assert len(pairs) > 40
     ids = [x[0] for x in rows]
     reach, degree = smallest_reachable(ids, pairs), Counter(x for p in pairs for x in p)
-    for block in (512, 8):
+    for block in (512, 1):  # one block a label; 16 and more of them, so intervals of several levels
         found = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in embedding_join.near_duplicates(spark.createDataFrame(rows, schema), block=block).collect()}
         assert found == {k: (degree[k], reach[k], reach[k] == k) for k in ids}
     assert not embedding_join.near_duplicates(spark.createDataFrame([], schema)).collect()
 
 
+def test_close_blocks_equal_all_pairs_of_boxes(spark):
+    r, eps = np.random.default_rng(5), 0.1
+    low = np.sort(r.random((300, 1)), 0) + [[0.0, 0.0]] * 300
+    low[:, 1] = r.random(300)
+    high = low + 0.05 * r.random((300, 2))
+    label = ["a" if k < 290 else "b" for k in range(300)]
+    packed = spark.createDataFrame([(label[k], 2, k // 100, k % 100 + 7, low[k].tolist(), high[k].tolist()) for k in range(300)], "label string, size int, part int, pos long, low array<double>, high array<double>")
+    boxes = embedding_join.numbered(packed)
+    assert sorted((x["label"], x["seq"]) for x in boxes.collect()) == [("a", k) for k in range(290)] + [("b", k) for k in range(10)]
+    found = [(x["label"], x["a"], x["b"]) for x in embedding_join.close_blocks(boxes, 2, eps).collect()]
+    gap = lambda i, j: np.maximum(np.maximum(low[i] - high[j], low[j] - high[i]), 0)
+    want = [(label[i], i % 290, j % 290) for i in range(300) for j in range(i, 300) if label[i] == label[j] and gap(i, j) @ gap(i, j) <= eps * eps]
+    assert sorted(found) == sorted(want) and len(want) < 10_000
+
+
 def test_url_filter(spark):
     urls = ["http://example.net/en/a?x#y", "https://Sub.Example.NET/fr", "http://example.org/fr/x", "http://example.com/de/q", "http://example.com/d", "http://badexample.net/", "no scheme", None, "http://", "http://net", "x://org?/fr/"]
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
