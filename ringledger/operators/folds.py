@@ -49,7 +49,7 @@ CHUNK, MAX_TASK_CONTESTS = 1 << 16, 4_000_000
 FIRST_DAY = "1900-01-01"
 
 COLUMNS = ["contest_id", "day", "a", "b", "outcome", "sport", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier", "margin"]
-DELTA = "system string, contest_id long, contestant long, opponent long, day date, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long, expected_after double, latent double, streak int, peak double, finish_rate double"
+DELTA = "system string, contest_id long, contestant long, opponent long, day date, seq long, pre_rating double, post_rating double, expected double, target double, k double, rd double, fights long, expected_after double, latent double, streak int, peak double, finish_rate double"
 STATE = "system string, contestant long, state array<double>"
 NAMES = [c.split()[0] for c in DELTA.split(", ")]
 
@@ -400,7 +400,7 @@ def run_chunk(name: str, states: States, ids: np.ndarray, a: np.ndarray, b: np.n
     return {"contest_id": np.concatenate([ids, ids]), "contestant": np.concatenate([a, b]), "opponent": np.concatenate([b, a]), "day": np.concatenate([day, day]), **flat}
 
 
-TYPES = {"system": pa.string(), "contest_id": pa.int64(), "contestant": pa.int64(), "opponent": pa.int64(), "day": pa.date32(), "fights": pa.int64(), "streak": pa.int32()}
+TYPES = {"system": pa.string(), "contest_id": pa.int64(), "contestant": pa.int64(), "opponent": pa.int64(), "day": pa.date32(), "seq": pa.int64(), "fights": pa.int64(), "streak": pa.int32()}
 SCHEMA = pa.schema([(n, TYPES.get(n, pa.float64())) for n in NAMES] + [("state", pa.list_(pa.float64()))])
 
 
@@ -422,6 +422,7 @@ def delta_rows(compat: bool) -> Rows:
         f |= {c: f[c].astype(bool) for c in ("mma", "finish", "major")} | {c: f[c].astype(int) for c in ("family", "tier")} | {c: f[c].astype(float) for c in ("day", "margin", "promotion", "base", "k")}
         f |= {"won": outcome == 1, "draw": outcome == 0, "decided": np.abs(outcome) == 1}
         made = run_chunk(name, states, one["contest_id"], one["a"], one["b"], f, compat)
+        made["seq"] = np.tile(table.column("seq").to_numpy(), 2)
         arrays = [pa.array([name] * len(made["day"]), pa.string()), *[_array(n, made[n]) for n in NAMES[1:]], pa.nulls(len(made["day"]), pa.list_(pa.float64()))]
         return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
@@ -586,7 +587,12 @@ def _replaced(states: DataFrame | None, made: DataFrame) -> DataFrame:
     return new if states is None else states.join(new, ["system", "contestant"], "left_anti").unionByName(new)
 
 
+def order_of(rows: DataFrame) -> Column:
+    """What contests are ordered by: day, ``seq`` where ``rows`` have it, contest_id."""
+    return F.struct(*[c for c in ("day", "seq", "contest_id") if c in rows.columns])
+
+
 def latest(deltas: DataFrame) -> DataFrame:
     """The last state of each contestant and system, in one partial aggregation."""
-    last = F.max_by(F.struct("day", F.col("post_rating").alias("rating"), "rd", "fights", "latent", "streak", "peak", "finish_rate"), F.struct("day", "contest_id"))
+    last = F.max_by(F.struct("day", F.col("post_rating").alias("rating"), "rd", "fights", "latent", "streak", "peak", "finish_rate"), order_of(deltas))
     return deltas.groupBy("system", "contestant").agg(last.alias("s")).select("system", "contestant", "s.*")

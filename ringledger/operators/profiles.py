@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..session import cut
-from . import analytics, joins
+from . import analytics, folds, joins
 
 # Fixed values of the composite: each pillar's share, and the weights of its attributes.
 PILLARS = {
@@ -72,7 +72,7 @@ def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: b
         F.count_if("title").alias("title_fights"), F.count_if(won & F.col("title")).alias("title_wins"), F.greatest(F.lit(0), F.count_if(won & F.col("title")) - 1).alias("defenses"),
         (F.datediff(F.max("day"), F.min("day")) / 365.25).alias("span_years"), F.avg(ps).alias("performance"), F.avg(F.greatest(F.lit(0.0), ps - 0.5)).alias("quality_of_win"))
     deltas = cut(deltas)
-    history = cut(deltas.groupBy("system", "contestant", "day").agg(F.max_by("post_rating", "contest_id").alias("rating")))
+    history = cut(deltas.groupBy("system", "contestant", "day").agg(F.max_by("post_rating", folds.order_of(deltas)).alias("rating")))
     peaks = history.groupBy("contestant").pivot("system", ["unified", "factor", "elo", "glicko"]).agg(F.max("rating"))
     peaks = peaks.select("contestant", *[F.col(s).alias(f"peak_{s}") for s in ("unified", "factor", "elo", "glicko")])
     line = history.where("system = 'unified'")

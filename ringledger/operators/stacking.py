@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..session import cut
+from . import folds
 
 # Fixed values of the stacking fit, and of the neutral contest of the expected win rates.
 RATE, RIDGE, ROUNDS, MIN_SAMPLES = 0.05, 1e-3, 1500, 20
@@ -34,7 +35,7 @@ def expected_win_rate(contestants: DataFrame, pool: DataFrame, who: str, probabi
 
 def careers(mma_sides: DataFrame) -> DataFrame:
     """(contest_id, contestant, days, known): days since a contestant's last MMA contest (none: 999) and how many there were, in either role."""
-    w = Window.partitionBy("contestant").orderBy("day", "contest_id")
+    w = Window.partitionBy("contestant").orderBy(folds.order_of(mma_sides))
     return mma_sides.select("contest_id", "contestant", F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(999)).alias("days"), (F.row_number().over(w) - 1).alias("known"))
 
 
@@ -102,7 +103,7 @@ def win_rates(log: DataFrame, mma_sides: DataFrame, deltas: DataFrame, latest: D
     ``latest`` has the last state of each contestant and system. The pool is 300 contestants at most, ties by who came first, and is broadcast.
     """
     w = fit(cut(design(log, mma_sides, deltas, compat)))
-    came = F.min(F.struct("day", "contest_id", F.col("contestant") > F.col("opponent")))
+    came = F.min(F.struct(folds.order_of(mma_sides), F.col("contestant") > F.col("opponent")))
     active = mma_sides.groupBy("contestant").agg(F.count("*").alias("known"), came.alias("_came"))
     state = latest.groupBy("contestant").pivot("system", list(SYSTEMS)).agg(F.first(F.struct("rating", "rd", "latent")))
     now = cut(active.join(state, "contestant", "left").select(

@@ -275,18 +275,20 @@ def participants_merged(spark, d):
 def same_day_order(log, totals: tuple[str, str] = ("total_a", "total_b")):
     """``log`` with ``seq``: contests by day and, within a day, by how far a tournament had gone for either side, by the fewest and most earlier contests, and by names.
 
-    A side's baseline is its smallest total of the day; missing totals count for nothing, and a contest without any comes last of its stage. A day is one
+    A side's baseline is its smallest total of the day; missing totals count for nothing, and a contest without any comes last of its stage. Names are put in order
+    without regard to case. Where the log has a ``checkpoint``, the contests of a day stand by it first and each checkpoint of a day has its own baselines. A day is one
     group: its contests are few whatever the history.
     """
-    pair = log.select("day", F.explode(F.array(*[F.struct(F.col(s).alias("who"), F.col(t).alias("total")) for s, t in zip("ab", totals, strict=True)])).alias("s")).select("day", "s.*")
-    base = pair.groupBy("day", "who").agg(F.min("total").alias("base"))
+    at = ["day", *(["checkpoint"] if "checkpoint" in log.columns else [])]
+    pair = log.select(*at, F.explode(F.array(*[F.struct(F.col(s).alias("who"), F.col(t).alias("total")) for s, t in zip("ab", totals, strict=True)])).alias("s")).select(*at, "s.*")
+    base = pair.groupBy(*at, "who").agg(F.min("total").alias("base"))
     joined = log
     for s in "ab":
-        joined = joined.join(base.select("day", F.col("who").alias(s), F.col("base").alias(f"_base_{s}")), ["day", s], "left")
+        joined = joined.join(base.select(*at, F.col("who").alias(s), F.col("base").alias(f"_base_{s}")), [*at, s], "left")
     rise = [F.greatest(F.lit(0), F.col(t) - F.col(f"_base_{s}")) for s, t in zip("ab", totals, strict=True)]
     never = F.lit(10**9).cast("long")
-    joined = joined.withColumns({"stage": F.coalesce(F.greatest(*rise), F.lit(0)), "_few": F.coalesce(F.least(*totals), never), "_most": F.coalesce(F.greatest(*totals), never), "_label": F.concat_ws(" vs ", F.array_sort(F.array("name_a", "name_b")))})
-    w = Window.partitionBy("day").orderBy("stage", "_few", "_most", "_label", "contest_id")
+    joined = joined.withColumns({"stage": F.coalesce(F.greatest(*rise), F.lit(0)), "_few": F.coalesce(F.least(*totals), never), "_most": F.coalesce(F.greatest(*totals), never), "_label": F.when(F.lower("name_a") <= F.lower("name_b"), F.concat_ws(" vs ", "name_a", "name_b")).otherwise(F.concat_ws(" vs ", "name_b", "name_a"))})
+    w = Window.partitionBy("day").orderBy(*at[1:], "stage", "_few", "_most", "_label", "contest_id")
     return joined.withColumn("place", F.row_number().over(w)).withColumn("seq", F.col("place")).drop("_base_a", "_base_b", "_few", "_most", "_label")
 
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import analytics, joins
+from ..operators import analytics, folds, joins, loads
 from ..session import cut, read
 from .contest import contests, sides
 from .registry import query, r6
 
-# The rating systems' keys and what they are.
+# The rating systems' keys and what they are, and the columns of a contestant's card.
 SYSTEMS = [("dynamic_factor_bt", "Dynamic factor Bradley-Terry with cross-sport."), ("elo_ps", "Elo with tiered evidence."), ("expected_win_rate", "Expected-win-rate pool, uncertainty adjusted."), ("glicko2_ps", "Glicko-2, uncertainty-aware."), ("stacked_logit", "Stacked logistic mixture."), ("stat_builder", "Progressive stat builder."), ("unified_composite", "Unified composite of all signals.")]
+CARD = ["fighter_id", "display_name", "nickname", "birth_date", "birth_place", "country_code", "fighting_out_of", "affiliation_gym", "foundation_style", "profile_image_url", "height_cm", "reach_cm", "stance", "sex"]
 BY_TIER = {"A": "elo_ps", "B": "glicko2_ps", "C": "unified_composite"}
 
 VIEWS = f"""
@@ -79,6 +80,30 @@ def profile(history: DataFrame, contestant: int | None = None) -> DataFrame:
     return rows.groupBy("contestant", "system").agg(last, F.max("rating").alias("peak")).select("contestant", "system", "s.rating", "s.rd", "peak")
 
 
+def fighter_cards(fighters: DataFrame, history: DataFrame, fighter: int | None = None) -> DataFrame:
+    """One contestant, or all: the columns of ``CARD`` and ``ratings``, an array of (system, rating, rd, peak) by system, empty where there are none.
+
+    ``fighters`` is the load's table or one with the card's names; columns that it lacks are null. ``history`` has (contestant, system, day, rating, rd).
+    """
+    named = fighters.withColumnsRenamed({"name": "display_name", "country": "country_code"})
+    named = named.select(*[F.col(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in CARD]).withColumns({c: F.col(c).cast("double") for c in ("height_cm", "reach_cm")})
+    named = named if fighter is None else named.where(F.col("fighter_id") == fighter)
+    rated = profile(history, fighter).groupBy("contestant").agg(F.array_sort(F.collect_list(F.struct("system", "rating", "rd", "peak"))).alias("ratings"))  # one a system
+    met = named.join(rated.withColumnRenamed("contestant", "fighter_id"), "fighter_id", "left")
+    return met.select(*CARD, F.coalesce("ratings", F.array().cast(rated.schema["ratings"].dataType)).alias("ratings"))
+
+
+def pagination(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row about a page: total, limit, offset, has_next, has_previous."""
+    total = F.count("*")
+    return rows.agg(total.alias("total"), F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (total > offset + limit).alias("has_next"), F.lit(offset > 0).alias("has_previous"))
+
+
+def rating_changes(deltas: DataFrame) -> DataFrame:
+    """What the folds made of each contest, for ``contest_detail``."""
+    return deltas.select("contest_id", "system", "contestant", F.col("pre_rating").alias("before"), F.col("post_rating").alias("after"), (F.col("post_rating") - F.col("pre_rating")).alias("change"), "expected")
+
+
 def with_participants(rows: DataFrame, log_sides: DataFrame, names: DataFrame) -> DataFrame:
     """``rows`` of contests with an array of (contestant, name, result), by contestant."""
     people = log_sides.select("contest_id", "contestant", "result").join(names, "contestant").groupBy("contest_id").agg(F.array_sort(F.collect_list(F.struct("contestant", "name", "result"))).alias("participants"))  # two a contest
@@ -94,6 +119,7 @@ def history_of(log: DataFrame, names: DataFrame, contestant: int | None = None)
 
 
 def series(history: DataFrame, system: str, contestant: int | None = None) -> DataFrame:
+    """The line of one system, of one contestant or all; a page of it by ``analytics.page`` and ``pagination``."""
     rows = history.where(F.col("system") == system)
     return rows if contestant is None else rows.where(F.col("contestant") == contestant)
 
@@ -245,6 +271,40 @@ def contest_details(spark, d):
         _flat("scores", ["contestant", "ps"]).alias("scores"), F.when(F.col("changes").isNotNull(), _flat("changes", ["system", "contestant", "change"])).alias("changes"))
 
 
+def rated_history(deltas: DataFrame, systems: tuple[str, ...] = tuple(folds.SYSTEMS)) -> DataFrame:
+    """(system, contestant, day, rating, rd) of the folds: the last rating of each day."""
+    each = [loads.rating_snapshots(deltas, s, s).select(F.lit(s).alias("system"), "contestant", "day", "rating", "rd") for s in systems]
+    whole = each[0]
+    for part in each[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@query()
+def rated_contest_details(spark, d):
+    """Contests with participants, and the changes that the four rating systems made, by system and contestant."""
+    log = cut(contests(spark, d))
+    each = sides(log)
+    totals, scores = each.select("contest_id", "contestant", F.col("q").cast("long").alias("landed")), each.select("contest_id", "contestant", F.round(100 * (1 + F.col("edge")), 2).alias("ps"))
+    found = contest_detail(log, _names(spark, d), totals, scores, rating_changes(folds.fold(log)))
+    shown = F.transform("changes", lambda x: F.concat_ws("|", x["system"], x["contestant"].cast("string"), *[F.format_string("%.4f", x[c]) for c in ("before", "after", "change", "expected")]))
+    return found.select("contest_id", _day(), "method", _flat("participants", ["contestant", "name", "result"]).alias("people"), F.array_join(shown, ";").alias("changes"))
+
+
+@query()
+def rated_profiles(spark, d):
+    """Every contestant's last rating, deviation and peak in the four systems, from the folds."""
+    found = profile(rated_history(cut(folds.fold(contests(spark, d))))).join(_names(spark, d), "contestant")
+    return found.select("contestant", "name", "system", *[F.round(c, 4).alias(c) for c in ("rating", "rd", "peak")])
+
+
+@query()
+def rated_series_page(spark, d):
+    """The first 500 points of one contestant's unified line, by day."""
+    found = series(rated_history(folds.fold(contests(spark, d), ("unified",)), ("unified",)), "unified", 7)
+    return analytics.page(found, [F.col("day")], 500).select(_day(), F.round("rating", 4).alias("rating"), "rd")
+
+
 @query("select contest_id, string_agg(contestant || '|' || result, ';' order by contestant) people from sides where contest_id in (select l_orderkey from lineitem where l_returnflag = 'R') group by 1")
 def participants_of_many(spark, d):
     """Participants of a list of contests, read by a semi join."""

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, weights
-from ..operators import analytics, joins
+from ..operators import analytics, folds, joins
 from ..sources import exports
 from ..sources.store import Store
+from .dimensions import same_day_order
 from .performance import round_table
 
 # The day that stands for a missing one, the last day of the events, seconds of a round, and the outcomes of the ontology.
@@ -120,7 +121,7 @@ def fighters(frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(people, links): those of the first source who took part and have a profile, each with the last of the second that the map ties to it; the links (tap, ufc) are the last of each ufc id."""
     c = F.col
     taking = frames["tapology_bout_fighters"].select(c("tapology_fighter_id").alias("tap")).where("tap is not null").distinct()
-    profile = ["name", "nickname", "dob", "dob_raw", "birth_place", "country", "fighting_out_of", "affiliation_gym", "foundation_style", "height_in", "reach_in", "stance", "fetched_at", "source_file"]
+    profile = ["name", "nickname", "dob", "dob_raw", "birth_place", "country", "fighting_out_of", "affiliation_gym", "foundation_style", "profile_image_url", "height_in", "reach_in", "stance", "fetched_at", "source_file"]
     first = last_record(fields(frames["tapology_fighters"], "tapology_fighter_id", *profile).withColumnRenamed("tapology_fighter_id", "tap"), "tap").join(taking, "tap", "left_semi")
     second = last_record(fields(frames["ufcstats_fighters"], "ufcstats_fighter_id", "name", "dob", "record", "height_in", "reach_in", "stance", "fetched_at").withColumnRenamed("ufcstats_fighter_id", "ufc"), "ufc")
     second = second.select("ufc", *[c(x).alias(f"u_{x}") for x in second.columns if x != "ufc"])
@@ -132,7 +133,7 @@ def fighters(frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     size = lambda n: F.coalesce(F.nullif(text.to_decimal(c(n)), F.lit(0)), text.to_decimal(c(f"u_{n}")))
     people = met.select(
         "tap", "ufc", F.coalesce("name", "u_name", text.name_of_slug(c("tap"))).alias("name"), "nickname", "dob_raw", text.flexible_date(F.coalesce("dob", "u_dob")).alias("birth_date"), "birth_place", F.coalesce("country", F.lit("UNK")).alias("country"), "fighting_out_of",
-        "affiliation_gym", "foundation_style", c("u_record").alias("record"), size("height_in").alias("height_in"), text.inches_to_cm(size("height_in")).alias("height_cm"), size("reach_in").alias("reach_in"), text.inches_to_cm(size("reach_in")).alias("reach_cm"),
+        "affiliation_gym", "foundation_style", "profile_image_url", c("u_record").alias("record"), size("height_in").alias("height_in"), text.inches_to_cm(size("height_in")).alias("height_cm"), size("reach_in").alias("reach_in"), text.inches_to_cm(size("reach_in")).alias("reach_cm"),
         F.coalesce("stance", "u_stance").alias("stance"), F.coalesce("sex", F.lit("U")).alias("sex"), F.greatest(text.timestamp(c("fetched_at")), text.timestamp(c("u_fetched_at"))).alias("fetched_at"), "source_file", c("u_name").isNotNull().alias("has_second"))
     return numbered(people, ["tap"], "fighter_id"), links
 
@@ -296,15 +297,25 @@ def load_exports(spark: SparkSession, folder: str, store: Store) -> int:
 
 
 def contest_log(store: Store, tiers: tuple[float, float] = (0.9, 0.6)) -> DataFrame | None:
-    """The log that the folds read: contests of exactly two contestants, the smaller id as ``a``. The day is the event's; the promotion's strength gives ``promotion`` and the tier: A and B from ``tiers`` on, else C."""
+    """The log that the folds read: contests of exactly two contestants, the smaller id as ``a``; the promotion's strength gives ``promotion`` and the tier: A and B from ``tiers`` on, else C.
+
+    ``day`` is the first source's day of the contest, else the event's; ``checkpoint`` is the event's, at which snapshots stand. ``seq`` orders the contests of a day by checkpoint and then as
+    tournaments go, by the records that contestants brought to them. A missing day is the first of 1900.
+    """
     c = F.col
     people = store.read("participants")
     if people is None:
         return None
-    pair = people.groupBy("bout_id").agg(F.min(F.struct("fighter_id", "outcome")).alias("x"), F.max(F.struct("fighter_id", "outcome")).alias("y"), F.count("*").alias("n")).where("n = 2")
+    names = store.read("fighters").select("fighter_id", "name")
+    people = people.join(names, "fighter_id", "left").withColumns({"name": F.coalesce("name", c("fighter_id").cast("string")), "total": text.record_total(c("record"))})
+    side = F.struct("fighter_id", "outcome", "total", "name")
+    pair = people.groupBy("bout_id").agg(F.min(side).alias("x"), F.max(side).alias("y"), F.count("*").alias("n")).where("n = 2")
     strength = store.read("promotions").select("promotion_id", c("strength").cast("double").alias("promotion"))
     met = store.read("bouts").join(pair, "bout_id").join(store.read("events").select("event_id", "event_date"), "event_id", "left").join(strength, "promotion_id", "left")
     tier = F.when(c("promotion") >= tiers[0], "A").when(c("promotion") >= tiers[1], "B").otherwise("C")
-    return met.select(
-        c("bout_id").alias("contest_id"), c("event_date").alias("day"), c("x.fighter_id").alias("a"), c("y.fighter_id").alias("b"), text.rating_outcome(text.pair_outcome(c("x.outcome"), c("y.outcome"))).alias("outcome"), "sport", text.finish_method(c("method")).alias("method"),
-        F.coalesce("rounds", F.lit(3)).alias("rounds"), "title", "finish_round", "finish_seconds", "promotion", tier.alias("tier"), F.lit(None).cast("double").alias("margin"))
+    first = F.lit(folds.FIRST_DAY).cast("date")
+    log = met.select(
+        c("bout_id").alias("contest_id"), F.coalesce("day", "event_date", first).alias("day"), F.coalesce("event_date", "day", first).alias("checkpoint"), c("x.fighter_id").alias("a"), c("y.fighter_id").alias("b"), text.rating_outcome(text.pair_outcome(c("x.outcome"), c("y.outcome"))).alias("outcome"), "sport", text.finish_method(c("method")).alias("method"),
+        F.coalesce("rounds", F.lit(3)).alias("rounds"), "title", "finish_round", "finish_seconds", "promotion", tier.alias("tier"), F.lit(None).cast("double").alias("margin"),
+        c("x.total").alias("total_a"), c("y.total").alias("total_b"), c("x.name").alias("name_a"), c("y.name").alias("name_b"))
+    return same_day_order(log)

@@ -5,8 +5,10 @@ import datetime
 
 import pytest
 
-from ringledger.operators import folds
-from ringledger.plans import warehouse
+from pyspark.sql import functions as F
+
+from ringledger.operators import folds, loads
+from ringledger.plans import serving, warehouse
 from ringledger.sources import exports
 from ringledger.sources.store import Store
 
@@ -21,7 +23,7 @@ FILES = {
         ["b3", "http://t/events/e3", "2020-01-10", "", "boxing", "", "true", "Heavyweight", "", "KO", "R1 0:10", "", ""],
         ["b4", "http://t/events/e2", "", "2020-Feb 01", "mma", "", "", "Catchweight (150 lbs)", "", "TKO", "overturned by the commission", "", ""],
         ["b5", "http://t/events/e9", "2031-01-01", "", "nonsense", "", "", "", "", "", "", "", ""]]),
-    "tapology_fighters": (["tapology_fighter_id", "name", "height_in", "dob", "fetched_at"], [["f1", "One", "70", "1990-01-05", "2020-01-01T00:00:00Z"], ["f2", "", "0", "", ""], ["f3", "Three", "", "", ""], ["f4", "Takes no part", "", "", ""]]),
+    "tapology_fighters": (["tapology_fighter_id", "name", "height_in", "dob", "fetched_at", "profile_image_url"], [["f1", "One", "70", "1990-01-05", "2020-01-01T00:00:00Z", "http://i/1"], ["f2", "", "0", "", "", ""], ["f3", "Three", "", "", "", ""], ["f4", "Takes no part", "", "", "", ""]]),
     "tapology_bout_fighters": (["tapology_bout_id", "tapology_fighter_id", "opponent_tapology_slug", "result", "fighter_record_before_raw"], [
         ["b1", "f1", "f2", "W", "3-0"], ["b2", "f2", "f3", "L", ""], ["b2", "f3", "f2", "W", "9-9"], ["b3", "f1", "f3", "W", ""], ["b4", "f1", "f3", "W", ""], ["b5", "f9", "f1", "W", ""]]),
     "ufcstats_fighters": (["ufcstats_fighter_id", "ufcstats_url", "name", "height_in", "record", "stance", "fetched_at"], [[H[1], "", "U One", "71", "3-0-0", "Orthodox", "2021-01-01T00:00:00Z"], ["", f"http://u/fighter-details/{H[2]}", "U Two", "68", "1-1-0", "", ""], [H[5], "", "Unmapped", "", "", "", ""]]),
@@ -113,4 +115,20 @@ def test_ratings_follow(spark, store):
     assert log.where("day is null").count() == 0 and {r["tier"] for r in log.collect()} == {"A", "C"}
     deltas = folds.fold(log, ("elo",)).where("k != 0").collect()
     assert len(deltas) == 4 and {r["contest_id"] for r in deltas} == {r["bout_id"] for r in bouts.where("ref in ('b1', 'b2')").collect()}
+    when = {r["ref"]: (str(r["day"]), str(r["checkpoint"]), r["seq"]) for r in log.join(bouts.select(F.col("bout_id").alias("contest_id"), "ref"), "contest_id").collect()}
+    assert when["b1"][2] == 1 and when["b2"] == ("2020-01-04", "2020-01-05", 2)  # records of 3 and 2 contests come before one of 18
+    assert when["b4"][:2] == ("2020-02-01", "2020-02-01")
     assert warehouse.contest_log(Store(spark, str(store.where / "empty"))) is None
+
+
+def test_cards_and_snapshots_of_the_load(spark, store):
+    log = warehouse.contest_log(store)
+    deltas = folds.fold(log, ("elo",))
+    snapshots = loads.rating_snapshots(deltas, "elo", "x", log).withColumn("system", F.lit("elo"))
+    events = {r["event_date"] for r in store.read("events").collect()}
+    assert {r["day"] for r in snapshots.collect()} <= events and snapshots.count() == snapshots.select("contestant", "day").distinct().count() > 0
+    cards = {r["display_name"]: r for r in serving.fighter_cards(store.read("fighters"), snapshots).collect()}
+    one = cards["One"]
+    assert (one["profile_image_url"], one["height_cm"], str(one["birth_date"]), one["stance"], one["country_code"], one["sex"]) == ("http://i/1", pytest.approx(177.8), "1990-01-05", "Orthodox", "UNK", "M")
+    last = max(snapshots.where(F.col("contestant") == one["fighter_id"]).collect(), key=lambda r: r["day"])
+    assert [(x["system"], x["rating"]) for x in one["ratings"]] == [("elo", last["rating"])]
