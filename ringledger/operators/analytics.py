@@ -163,8 +163,8 @@ def weighted(parts: dict[str, float]) -> Column:
     return sum((F.col(c) * v for c, v in parts.items()), F.lit(0.0))
 
 
-def page(df: DataFrame, order: list[Column], limit: int = 25, offset: int = 0) -> DataFrame:
-    """One page of a sorted listing (limit 1..200)."""
-    if not 1 <= limit <= 200 or offset < 0:
-        raise ValueError("limit must be 1..200 and offset not negative")
+def page(df: DataFrame, order: list[Column], limit: int = 25, offset: int = 0, most: int = 200) -> DataFrame:
+    """One page of a sorted listing (limit 1..``most``)."""
+    if not 1 <= limit <= most or offset < 0:
+        raise ValueError(f"limit must be 1..{most} and offset not negative")
     return df.orderBy(*order).offset(offset).limit(limit)

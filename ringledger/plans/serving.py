@@ -99,6 +99,11 @@ def pagination(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.agg(total.alias("total"), F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (total > offset + limit).alias("has_next"), F.lit(offset > 0).alias("has_previous"))
 
 
+def series_page(line: DataFrame, limit: int = 500, offset: int = 0) -> DataFrame:
+    """Points of one contestant's line by day (limit 1..5000)."""
+    return analytics.page(line, [F.col("day")], limit, offset, 5000)
+
+
 def rating_changes(deltas: DataFrame) -> DataFrame:
     """What the folds made of each contest, for ``contest_detail``."""
     return deltas.select("contest_id", "system", "contestant", F.col("pre_rating").alias("before"), F.col("post_rating").alias("after"), (F.col("post_rating") - F.col("pre_rating")).alias("change"), "expected")
@@ -119,7 +124,7 @@ def history_of(log: DataFrame, names: DataFrame, contestant: int | None = None)
 
 
 def series(history: DataFrame, system: str, contestant: int | None = None) -> DataFrame:
-    """The line of one system, of one contestant or all; a page of it by ``analytics.page`` and ``pagination``."""
+    """The line of one system, of one contestant or all; ``series_page`` is a page of it."""
     rows = history.where(F.col("system") == system)
     return rows if contestant is None else rows.where(F.col("contestant") == contestant)
 
@@ -302,7 +307,7 @@ def rated_profiles(spark, d):
 def rated_series_page(spark, d):
     """The first 500 points of one contestant's unified line, by day."""
     found = series(rated_history(folds.fold(contests(spark, d), ("unified",)), ("unified",)), "unified", 7)
-    return analytics.page(found, [F.col("day")], 500).select(_day(), F.round("rating", 4).alias("rating"), "rd")
+    return series_page(found).select(_day(), F.round("rating", 4).alias("rating"), "rd")
 
 
 @query("select contest_id, string_agg(contestant || '|' || result, ';' order by contestant) people from sides where contest_id in (select l_orderkey from lineitem where l_returnflag = 'R') group by 1")

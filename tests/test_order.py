@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ringledger.operators import analytics, folds, loads
+from ringledger.operators import folds, loads
 from ringledger.plans import serving
 from ringledger.plans.contest import contests
 from ringledger.plans.dimensions import same_day_order
@@ -107,7 +107,9 @@ def test_cards_profiles_and_pages(spark, deltas):
     assert [r["fighter_id"] for r in serving.fighter_cards(people, history, 2).collect()] == [2]
     line = serving.series(history, "elo", 1)
     days = sorted(r["day"] for r in line.collect())
-    assert [r["day"] for r in analytics.page(line, [F.col("day")], 3, 2).collect()] == days[2:5]
+    assert [r["day"] for r in serving.series_page(line, 3, 2).collect()] == days[2:5]
+    with pytest.raises(ValueError, match="5000"):
+        serving.series_page(line, 5001)
     meta = lambda limit, offset: tuple(serving.pagination(line, limit, offset).first())
     n = len(days)
     assert meta(3, 2) == (n, 3, 2, n > 5, True) and meta(n, 0) == (n, n, 0, False, False) and serving.pagination(line.where("1 = 0"), 5).first()["total"] == 0
