@@ -43,7 +43,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sides(log: DataFrame) -> DataFrame:
     """Two rows a contest, one for each contestant: contestant, opponent, result and what the contest has; no shuffle."""
     flip = F.create_map(*[F.lit(x) for x in ("W", "L", "L", "W", "D", "D", "NC", "NC")])
-    shared = ["contest_id", "day", "sport", "division", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier"]
+    shared = ["contest_id", "day", "sport", "division", "method", "rounds", "title", "finish_round", "finish_seconds", "promotion", "tier", *[c for c in ("seq",) if c in log.columns]]
     one = F.struct(F.col("a").alias("contestant"), F.col("b").alias("opponent"), F.col("qa").alias("q"), F.col("qb").alias("q_other"), F.col("outcome").alias("result"), F.col("margin").alias("edge"))
     two = F.struct(F.col("b").alias("contestant"), F.col("a").alias("opponent"), F.col("qb").alias("q"), F.col("qa").alias("q_other"), flip[F.col("outcome")].alias("result"), (0 - F.col("margin")).alias("edge"))
     return log.select(*shared, F.explode(F.array(one, two)).alias("side")).select(*shared, "side.*")

@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ringledger.operators import folds, loads
+from ringledger.operators import folds, loads, stacking
 from ringledger.plans import serving
-from ringledger.plans.contest import contests
+from ringledger.plans.contest import contests, sides
 from ringledger.plans.dimensions import same_day_order
 from ringledger.session import cut
 from ringledger.sources.store import Store
@@ -46,6 +46,15 @@ def test_last_states_and_snapshots_follow_the_given_order(spark, deltas):
     assert {(r["contestant"], r["day"]): r["rating"] for r in loads.rating_snapshots(deltas, "elo", "x", marks).collect()} == {k: r["post_rating"] for k, r in monthly.items()}
 
 
+def test_careers_follow_the_given_order(log):
+    wanted, known, last = {}, {}, {}
+    for r in sorted(sides(log).collect(), key=lambda r: (r["day"], r["seq"], r["contest_id"])):
+        who = r["contestant"]
+        wanted[r["contest_id"], who] = ((r["day"] - last[who]).days if who in last else 999, known.get(who, 0))
+        known[who], last[who] = known.get(who, 0) + 1, r["day"]
+    assert {(r["contest_id"], r["contestant"]): (r["days"], r["known"]) for r in stacking.careers(sides(log)).collect()} == wanted
+
+
 def test_late_contests_stand_before_known_ones_of_their_day(spark, log, tmp_path):
     """The first load numbers the contests that it has; the second knows all, and its places hold."""
     store, late = Store(spark, str(tmp_path / "s")), F.col("contest_id") % 5 == 0
