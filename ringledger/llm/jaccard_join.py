@@ -5,7 +5,8 @@
 2. Shingles are ranked by how common they are, from counts of all documents in 2^22 hash buckets (a fixed size). Two
    sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, rarest first. The classes of
    a rare shingle (at most ``PAIRS_UP_TO``) are paired where sizes, places and bit counts allow the similarity; those of a
-   commoner one are only pointed at one of them, so its pairs are never listed. Connected classes are one cluster.
+   commoner one in an ordinary bucket (a passage that many texts quote) meet in one task with short signatures, and only a forest of what these allow is handed on; those in a
+   heavy bucket are only pointed at one of them. So the pairs of a common shingle are never listed. Connected classes are one cluster.
 3. Inside a cluster classes are sorted by size and cut into tiles. A tile meets only tiles whose sizes are within the
    similarity. In a pair of tiles the bit counts of signatures (1,024 to 65,536 bits, by size) bound every overlap from above:
    overlap <= (|x| + |y| - bits(x xor y)) / 2. Only pairs that this bound lets pass are intersected exactly.
@@ -139,15 +140,17 @@ def _allowed(n: np.ndarray, m: np.ndarray, shared: np.ndarray, percent: int) ->
 
 
 def light_edges(tiles: DataFrame, percent: int) -> DataFrame:
-    """(cls, lead, sure) from the tiles of rare shingles: the pairs that sizes and places allow, or pointers (``sure``) in larger tiles."""
+    """(cls, lead, place) from the tiles of ordinary buckets' shingles: the pairs that sizes and places allow, or for a shingle of more than ``PAIRS_UP_TO`` classes its classes with their places, ``lead`` being the shingle."""
 
     def pair(token, place, n, cls):
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])  # tasks that met copies all hand on the class
+        token, place, n, cls = token[fresh], place[fresh], n[fresh], cls[fresh]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.concatenate([start, [len(token)]]))
         within, run = np.repeat(size, size), np.repeat(start, size)
         out = []
-        big = (within > PAIRS_UP_TO) & (cls != cls[run])
-        out.append(pd.DataFrame({"cls": cls[big], "lead": cls[run[big]], "sure": True}))
+        big = within > PAIRS_UP_TO
+        out.append(pd.DataFrame({"cls": cls[big], "lead": token[big], "place": pd.array(place[big], "Int32")}))
         few = np.flatnonzero((within > 1) & (within <= PAIRS_UP_TO))
         run, place, n, cls = run[few], place[few], n[few], cls[few]
         for step in range(1, int(within[few].max(initial=1))):
@@ -155,7 +158,7 @@ def light_edges(tiles: DataFrame, percent: int) -> DataFrame:
             b = a + step
             left = np.minimum(n[a] - place[a], n[b] - place[b])  # at most so many can be shared if this is the first shared one
             a, b = (x[_allowed(n[a], n[b], left, percent) & (cls[a] != cls[b])] for x in (a, b))
-            out.append(pd.DataFrame({"cls": cls[a], "lead": cls[b], "sure": False}))
+            out.append(pd.DataFrame({"cls": cls[a], "lead": cls[b], "place": pd.array([None] * len(a), "Int32")}))
         return pd.concat(out, ignore_index=True).drop_duplicates()
 
     def run(batches):
@@ -175,7 +178,61 @@ def light_edges(tiles: DataFrame, percent: int) -> DataFrame:
 
     parts = max(8, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tiles = tiles.repartition(parts, "token").sortWithinPartitions("token", "cls")
-    return tiles.select("token", "place", "n", "cls").mapInPandas(run, "cls long, lead long, sure boolean")
+    return tiles.select("token", "place", "n", "cls").mapInPandas(run, "cls long, lead long, place int")
+
+
+def common_edges(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(cls, lead): a forest of the pairs that sizes, places and signatures allow among the classes of each shingle (``token``); ``members`` has (cls, token, place), ``bits`` (cls, n, bits).
+
+    A shingle's classes meet in one task: they are fewer than an ordinary bucket's count.
+    """
+
+    def shorten(batches):
+        for batch in batches:
+            short = [folded(np.frombuffer(b, np.uint64).reshape(1, -1), width(n) // 128).tobytes() for n, b in zip(batch["n"], batch["bits"], strict=True)]
+            yield batch[["cls", "n"]].assign(bits=short)
+
+    def forest(cls, n, place, maps):
+        order = np.argsort(n, kind="stable")
+        cls, n, place, wide = cls[order], n[order], place[order], np.array([len(maps[k]) // 8 for k in order])
+        sets = {w: np.zeros((len(n), w), np.uint64) for w in np.unique(wide).tolist()}  # at each width those that have at least that many bits
+        for w, m in sets.items():
+            for v in sets:
+                if v >= w:
+                    at = np.flatnonzero(wide == v)
+                    m[at] = folded(np.frombuffer(b"".join(maps[order[k]] for k in at), np.uint64).reshape(len(at), -1), w)
+        ends, label, left = np.searchsorted(n, 100 * n // percent, "right"), np.arange(len(n)), n - place
+        for i in range(len(n)):
+            j = np.arange(i + 1, ends[i])
+            j = j[label[j] != label[i]]
+            j = j[_allowed(n[i], n[j], np.minimum(left[i], left[j]), percent)]
+            if not len(j):
+                continue
+            m = sets[int(wide[i])]
+            most = (n[i] + n[j] - np.bitwise_count(m[i] ^ m[j]).sum(1, dtype=np.int64)) // 2
+            for k in j[_allowed(n[i], n[j], most, percent)].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    yield cls[i], cls[k]
+
+    def run(batches):
+        token, group, out = None, [], []
+        for batch in batches:
+            for row in zip(*(batch[c] for c in ("token", "cls", "n", "place", "bits")), strict=True):
+                if row[0] != token:
+                    out += forest(*(np.array(c, np.int64) for c in list(zip(*group, strict=True))[:3]), [g[3] for g in group]) if group else []
+                    token, group = row[0], []
+                group.append(row[1:])
+            yield pd.DataFrame(out, columns=["cls", "lead"]).drop_duplicates()
+            out = []
+        if group:
+            out = forest(*(np.array(c, np.int64) for c in list(zip(*group, strict=True))[:3]), [g[3] for g in group])
+            yield pd.DataFrame(out, columns=["cls", "lead"])
+
+    parts = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = bits.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "bits").mapInPandas(shorten, "cls long, n int, bits binary")
+    met = members.join(asked, "cls").repartition(parts, "token").sortWithinPartitions("token")
+    return met.select("token", "cls", "n", "place", "bits").mapInPandas(run, "cls long, lead long")
 
 
 def heavy_edges(tiles: DataFrame) -> DataFrame:
@@ -199,7 +256,7 @@ def clusters(signed: DataFrame, percent: int) -> DataFrame:
     light = cut(light_edges(tiles.where(_rank() == 0), percent).distinct())
     bits = signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     other = bits.select(F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
-    pairs = light.where("not sure").select(F.greatest("cls", "lead").alias("cls"), F.least("cls", "lead").alias("lead")).distinct()
+    pairs = light.where("place is null").select(F.greatest("cls", "lead").alias("cls"), F.least("cls", "lead").alias("lead")).distinct()
 
     def bounded(batches):
         for batch in batches:
@@ -211,7 +268,8 @@ def clusters(signed: DataFrame, percent: int) -> DataFrame:
                 yield same.loc[_allowed(n, m, most, percent), ["cls", "lead"]]
 
     close = pairs.join(bits, "cls").join(other, "lead").select("cls", "lead", "n", "m", "bits", "bits2").mapInPandas(bounded, "cls long, lead long")
-    edges = close.unionByName(light.where("sure").select("cls", "lead")).unionByName(heavy_edges(tiles.where(_rank() > 0))).distinct()
+    common_ = common_edges(light.where("place is not null").select("cls", F.col("lead").alias("token"), "place"), bits, percent)
+    edges = close.unionByName(common_).unionByName(heavy_edges(tiles.where(_rank() > 0))).distinct()
     return components(edges, "cls", "lead").select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
 
 
@@ -379,10 +437,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     keyed = docs.withColumn("_key", F.concat(*[F.hex(F.xxhash64(F.lit(k), *_parts(id_col, text_col))) for k in (1, 2)]))
     found = jaccard_join(keyed, "_key", text_col).select("_key", F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
-    ids = keyed.select("_key", F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_id")).distinct()
-    first = found.join(ids, "_key").groupBy("_component").agg(F.min(F.struct("_last", "_id", "_key")).getField("_key").alias("_key"), F.first("_bare").alias("_bare"))
-    kept = keyed.join(cut(first.select("_key", "_bare")), "_key")
-    return kept.where("_bare").unionByName(kept.where("not _bare").dropDuplicates(["_key"])).select(*docs.columns)
+    ids = keyed.groupBy("_key").agg(F.first(F.col(id_col).isNull()).alias("_last"), F.first(id_col).alias("_id"), (F.count("*") > 1).alias("_again"))
+    first = found.join(ids, "_key").groupBy("_component").agg(F.min(F.struct("_last", "_id", "_key", "_again")).alias("_s"), F.first("_bare").alias("_bare"))
+    kept = keyed.join(cut(first.select("_s._key", (F.col("_s._again") & ~F.col("_bare")).alias("_again"))), "_key")
+    return kept.where("not _again").unionByName(kept.where("_again").dropDuplicates(["_key"])).select(*docs.columns)  # only rows that repeat are shuffled whole
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

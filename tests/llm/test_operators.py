@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions
 
 from ringledger.llm import decontaminate, embedding_join, html_extract, jaccard_join, lm_scoring, quality, sentencepiece_codec, sharding, token_counts, url_filter
 
@@ -423,6 +424,31 @@ def test_sharding(spark):
     assert len({r["shard"] for r in found if r["key"] == "a"}) == 1
 
 
+def test_jaccard_passage_that_many_texts_quote_ties_only_near_ones(spark, monkeypatch):
+    """With buckets that hide it, as in a large input: texts that share a passage alone are no cluster, near copies among them are."""
+    monkeypatch.setattr(jaccard_join, "bucket_counts", lambda docs, words: np.zeros(jaccard_join.BUCKETS, np.uint8))
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join([*(f"d{k}x{i}" for i in range(60 + k % 30)), *passage])) for k in range(500)]
+    rows += [(1000 + k, rows[k][1].replace("x3 ", "y ")) for k in range(0, 500, 50)]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("key", functions.xxhash64("id", "text"))
+    signed = jaccard_join.signatures(docs, 5, 80)
+    tokens = signed.select(functions.explode("first").alias("token")).groupBy("token").count()
+    assert tokens.where(f"count > {jaccard_join.PAIRS_UP_TO}").count() > 0
+    sizes = [r["count"] for r in jaccard_join.clusters(signed, 80).groupBy("cluster").count().collect()]
+    assert sorted(sizes) == [2] * 10
+    found = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs.withColumnRenamed("id", "doc_id")).collect()}
+    assert found == {k: (k % 1000, int(k % 50 == 0)) for k, _ in rows}
+
+
+def test_jaccard_large_groups_in_ordinary_buckets(spark, monkeypatch):
+    """A family of near copies whose shingles are in more classes than are paired, with buckets that hide them."""
+    monkeypatch.setattr(jaccard_join, "bucket_counts", lambda docs, words: np.zeros(jaccard_join.BUCKETS, np.uint8))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[:-1], f"v{k}"]), "x", 1) for k in range(130)]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS), tile=20).collect()
+    assert {(r["component_id"], r["n_links"]) for r in found} == {(0, 129)}
+
+
 def test_jaccard_join_of_one_row_repeated_by_the_thousand(spark):
     """A hot row, ids and all, in a group of near copies: each task hands it on once, and all copies are counted."""
     words = [f"w{k}" for k in range(60)]
