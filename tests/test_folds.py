@@ -196,3 +196,15 @@ def test_null_days_and_an_empty_log(spark, odd):
     found = folds.fold(spark.createDataFrame(rows, LOG), ("elo",)).orderBy("contest_id", "contestant").collect()
     assert [str(r["day"]) for r in found] == ["1900-01-01"] * 2 + ["2020-01-01"] * 2 and found[2]["fights"] == 2
     assert folds.fold(odd.where("false")).collect() == [] and folds.fold_on(odd.where(F.lit(False)))[1].collect() == []
+
+
+def test_rows_of_one_component_are_opened_in_several_tasks(spark):
+    """A chain of contests is one component, hence one task of the fold; what follows has its rows in many tasks, and all of them once."""
+    n = 12_000
+    log = spark.range(n).selectExpr(
+        "id contest_id", "date_add(date'2000-01-01', cast(id % 3000 as int)) day", "id % 200 a", "id % 200 + 1 b", "case when id % 3 = 0 then 'W' else 'L' end outcome", "'mma' sport", "'KO' method", "3 rounds", "false title", "1 finish_round",
+        "10 finish_seconds", "0.5D promotion", "'A' tier", "0.1D margin")
+    found = folds.fold(log, ("elo",))
+    assert found.selectExpr("spark_partition_id() p").distinct().count() > 1
+    assert found.count() == found.select("contest_id", "contestant").distinct().count() == 2 * n
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 2**31 - 1
