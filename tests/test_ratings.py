@@ -8,6 +8,8 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +307,33 @@ def test_pools_do_not_depend_on_blocks(spark):
             assert [v for v in found[key] if v is not None] == pytest.approx([v for v in row if v is not None], abs=1e-12), (block, key)
 
 
+def test_pool_values_travel_in_packed_ranges(monkeypatch):
+    """Blocks of a pool whose columns have several ranges, without Spark: shares as by a loop, and a row for each column, range and block, not for each value and level."""
+    monkeypatch.setattr(pools, "RANGE", 40)
+    r = random.Random(8)
+    value = lambda: r.choice((0.0, 1.0, 1.0, r.random(), r.random(), r.random(), float("nan")))
+    rows = [(p, p % 2, p, p // 20, r.random() < 0.5, r.random() < 0.8, 3.0, [value(), value()], [value(), value()]) for p in range(200)]
+    names, pulls = ["contest_id", "contestant", "place", "block", "enters", "asks", "n", "pool", "values"], [2.0, 5.0]
+    table = pa.table({n: [x[k] for x in rows] for k, n in enumerate(names)} | {"pool_name": ["gx"] * len(rows)})
+    blocks = [table.filter(pa.compute.equal(table["block"], b)) for b in range(10)]
+    before = pools.totals_before(pa.concat_tables([pools.block_totals(b) for b in blocks]))
+    parts = pa.concat_tables([pools.block_parts(pulls)(b, before.filter(pa.compute.equal(before["block"], k))) for k, b in enumerate(blocks)])
+    ranges = len(set(parts.filter(pa.compute.equal(parts["col"], 0))["part"].to_pylist()))
+    assert ranges > 2 and len(parts) <= 10 * (2 * (ranges + 2) + 1)
+    parts = parts.sort_by([(c, "ascending") for c in ("pool_name", "col", "part", "block")])
+    answers = pa.Table.from_batches(list(pools.answered(iter(parts.to_batches(max_chunksize=7)))))
+    found = {}
+    for b in range(10):
+        for x in pools.block_shares(15, pools.lists)(answers.filter(pa.compute.equal(answers["block"], b))).to_pylist():
+            found[x["contest_id"]] = (x["whole"], x["shares"] if x["whole"] else x["open"])
+    assert found.keys() == {x[0] for x in rows if x[5]}
+    for x in (x for x in rows if x[5]):
+        for k, v in enumerate(x[8]):
+            pool = [y[7][k] for y in rows if y[4] and y[2] <= x[2] and y[7][k] == y[7][k]]
+            w, got = 3 / (3 + pulls[k]), found[x[0]][1][k]
+            assert got is None if v != v or len(pool) < 15 else got == sum(p < w * v + (1 - w) * math.fsum(pool) / len(pool) for p in pool) / len(pool)
+
+
 def test_greedy_match_equals_plain_choice(spark):
     r = random.Random(2)
     pairs = {(r.randint(0, 25), r.randint(0, 25)): r.randint(1, 6) for _ in range(200)}
