@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import read
+from ..session import parts_for, read
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One shuffle by order serves the aggregation, the window and the pairing, as all are keyed by the order.
     """
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
-    lines = lines.repartition("l_orderkey")
+    table = read(spark, sf_dir, "lineitem")
+    lines = table.select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity").repartition(parts_for(table), "l_orderkey")
     sides = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"), F.min("l_linenumber").alias("line"))
     first = sides.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("line", "l_suppkey"))).where("place <= 2")
     pair = first.groupBy("l_orderkey").agg(F.min(F.struct("l_suppkey", "q")).alias("x"), F.max(F.struct("l_suppkey", "q")).alias("y"), F.count("*").alias("sides")).where("sides = 2")

@@ -9,7 +9,7 @@ from ringledger.operators import folds, loads, stacking
 from ringledger.plans import serving
 from ringledger.plans.contest import contests, sides
 from ringledger.plans.dimensions import same_day_order
-from ringledger.session import cut
+from ringledger.session import cut, parts_for
 from ringledger.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +122,12 @@ def test_cards_profiles_and_pages(spark, deltas):
     meta = lambda limit, offset: tuple(serving.pagination(line, limit, offset).first())
     n = len(days)
     assert meta(3, 2) == (n, 3, 2, n > 5, True) and meta(n, 0) == (n, n, 0, False, False) and serving.pagination(line.where("1 = 0"), 5).first()["total"] == 0
+
+
+def test_larger_tables_are_dealt_to_more_tasks(spark, tmp_path):
+    """The share of a task does not grow with the table; small tables keep the session's number, and so does one whose size is not known."""
+    table = spark.range(200_000).withColumn("x", F.rand(1))
+    table.write.parquet(str(tmp_path / "t"))
+    read, fewest = spark.read.parquet(str(tmp_path / "t")), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_for(read) == fewest
+    assert parts_for(read, 1 << 14) > 4 * fewest and parts_for(read.unionByName(read), 1 << 14) > 1.9 * parts_for(read, 1 << 14)
