@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import analytics, folds, joins, loads
-from ..session import cut, read
+from ..session import cut, parts_for, read
 from .contest import contests, sides
 from .registry import query, r6
 
@@ -32,10 +32,12 @@ ev as (select day, 'Card ' || day::varchar as name, count(*) contests, case when
 # ---- tables ----
 
 
-def snapshots(log: DataFrame) -> DataFrame:
-    """(system, contestant, day, rating, rd, extra): one row a contestant, system and day."""
+def snapshots(log: DataFrame, parts: int | None = None) -> DataFrame:
+    """(system, contestant, day, rating, rd, extra): one row a contestant, system and day. ``parts``: tasks that the rows are dealt to, where the session's number is too few for them."""
     system = F.create_map(*[F.lit(x) for pair in BY_TIER.items() for x in pair])[F.col("tier")]
-    rated = sides(log).groupBy(system.alias("system"), "contestant", "day").agg(F.round(1500 + 400 * F.avg("edge"), 4).alias("rating"), F.round(100.0 / F.count("*"), 4).alias("rd"), F.max("contest_id").alias("contest_id"))
+    each = sides(log).select(system.alias("system"), "contestant", "day", "edge", "contest_id")
+    each = each if parts is None else each.repartition(parts, "system", "contestant", "day")
+    rated = each.groupBy("system", "contestant", "day").agg(F.round(1500 + 400 * F.avg("edge"), 4).alias("rating"), F.round(100.0 / F.count("*"), 4).alias("rd"), F.max("contest_id").alias("contest_id"))
     return rated.select("system", "contestant", "day", "rating", "rd")
 
 
@@ -150,6 +152,11 @@ def contest_detail(log: DataFrame, names: DataFrame, totals: DataFrame, scores:
 # ---- queries ----
 
 
+def _snapshots(spark, d) -> DataFrame:
+    """Those of the contest log, by more tasks for larger tables."""
+    return snapshots(contests(spark, d), parts_for(read(spark, d, "lineitem")))
+
+
 def _names(spark, d) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("contestant"), F.col("s_name").alias("name"))
 
@@ -165,7 +172,7 @@ _day = lambda c="day": F.col(c).cast("string").alias(c)
 @query(f", {VIEWS} select system, contestant, day::varchar as day, rating, rd from sn")
 def rating_timeseries(spark, d):
     """Every snapshot, as the series table has it."""
-    return snapshots(contests(spark, d)).withColumn("day", _day())
+    return _snapshots(spark, d).withColumn("day", _day())
 
 
 @query(f", {VIEWS}, al as (select system, contestant, day, rating, rd from sn union all select system, contestant, (select max(day) from contests), arg_max(rating, day), arg_max(rd, day) from sn group by 1, 2 having max(day) < (select max(day) from contests)) select system, contestant, day::varchar as day, rating, rd from al")
@@ -199,13 +206,13 @@ def rankings_count(spark, d):
 
 @query(f", {VIEWS} select contestant, s_name as name, system, rating, rd, peak from (select contestant, system, arg_max(rating, day) rating, arg_max(rd, day) rd, max(rating) peak from sn group by 1, 2) join supplier on s_suppkey = contestant")
 def fighter_profiles(spark, d):
-    return profile(snapshots(contests(spark, d))).join(_names(spark, d), "contestant")
+    return profile(_snapshots(spark, d)).join(_names(spark, d), "contestant")
 
 
 @query(f", {VIEWS} select system, rating, rd, peak from (select system, arg_max(rating, day) rating, arg_max(rd, day) rd, max(rating) peak from sn where contestant = 7 group by 1)")
 def fighter_profile(spark, d):
     """One contestant's."""
-    return profile(snapshots(contests(spark, d)), 7).drop("contestant")
+    return profile(_snapshots(spark, d), 7).drop("contestant")
 
 
 _PEOPLE = "string_agg(s.contestant || '|' || s_name || '|' || s.result, ';' order by s.contestant)"
@@ -227,13 +234,13 @@ def fighter_history_page(spark, d):
 
 @query(f", {VIEWS} select contestant, count(*) points, min(day)::varchar since from sn where system = 'unified_composite' group by 1")
 def series_counts(spark, d):
-    found = series(snapshots(contests(spark, d)), "unified_composite")
+    found = series(_snapshots(spark, d), "unified_composite")
     return found.groupBy("contestant").agg(F.count("*").alias("points"), F.min("day").cast("string").alias("since"))
 
 
 @query(f", {VIEWS} select day::varchar as day, rating, rd from sn where system = 'unified_composite' and contestant = 7")
 def fighter_series(spark, d):
-    return series(snapshots(contests(spark, d)), "unified_composite", 7).select(_day(), "rating", "rd")
+    return series(_snapshots(spark, d), "unified_composite", 7).select(_day(), "rating", "rd")
 
 
 @query(f", {VIEWS} select ev.day::varchar as day, name, contests, promotion::int promotion, n_name promotion_name from ev left join nation on n_nationkey = promotion")
@@ -341,7 +348,7 @@ def profile_facts(spark, d):
     g, c = F.col("contestant") % 3, F.col
     extra = F.when(g == 0, F.to_json(F.struct(F.round(c("rating") / 1000, 4).alias("striking"), F.lit(1600).alias("peak"), (c("contestant") % 5).alias("streak"), F.lit(9).alias("mma_fights")))).when(
         g == 1, F.to_json(F.struct(c("rating").cast("string").alias("striking"), (c("contestant") % 5).alias("streak")))).otherwise("{}")
-    rows = snapshots(contests(spark, d)).withColumn("extra", extra)
+    rows = _snapshots(spark, d).withColumn("extra", extra)
     facts = text.profile_facts(c("extra"), c("rating"))
     return rows.select("system", "contestant", _day(), facts["strike"].cast("double").alias("strike"), facts["peak"].cast("double").alias("peak"), facts["streaks"].alias("streaks"))
 
@@ -378,4 +385,4 @@ def profile_json(spark, d):
 @query(f", {VIEWS} select system, count(*) as rows, count(distinct contestant) contestants, round(avg(rating), 6) mean from sn group by 1")
 def load_counts(spark, d):
     """What is counted after a load."""
-    return snapshots(contests(spark, d)).groupBy("system").agg(F.count("*").alias("rows"), F.countDistinct("contestant").alias("contestants"), r6(F.avg("rating")).alias("mean"))
+    return _snapshots(spark, d).groupBy("system").agg(F.count("*").alias("rows"), F.countDistinct("contestant").alias("contestants"), r6(F.avg("rating")).alias("mean"))
