@@ -62,11 +62,11 @@ def _match_rows(name: str, states: folds.States, table: pa.Table) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(table.column("contest_id").to_numpy()), pa.nulls(n, pa.int64()), pa.array(taken), pa.nulls(n, pa.list_(pa.float64()))], schema=MATCH_SCHEMA)
 
 
-def greedy_match(pairs: DataFrame, left: str, right: str, weight: str, one_task: int = ONE_TASK) -> DataFrame:
+def greedy_match(pairs: DataFrame, left: str, right: str, weight: str, one_task: int = ONE_TASK, bound: int = folds.MAX_TASK_CONTESTS) -> DataFrame:
     """One-to-one pairs as greedy choice by (-weight, left, right) gives them; null weights come last, pairs with a null side are left out.
 
     Up to ``one_task`` pairs are chosen in one pass of one task. More are a fold like that of the ratings: a pair reads and writes whether its two sides are free, so pairs are dealt by
-    connected components and run in waves, and where a component has more than ``one_task`` pairs, by slices of the order. Chains of falling weights, of any length, need no rounds.
+    connected components and run in waves, and where a component has more than ``bound`` pairs, by slices of the order. Chains of falling weights, of any length, need no rounds.
     """
     order = [F.col("_w").desc_nulls_last(), F.col("_l"), F.col("_r")]
     named = pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(weight).alias("_w"))
@@ -82,7 +82,7 @@ def greedy_match(pairs: DataFrame, left: str, right: str, weight: str, one_task:
 
     rows = placed.select("_l", "_r", F.col("_place").alias("contest_id")).join(ids("_l", 0), "_l").join(ids("_r", 1), "_r").select("contest_id", F.lit(0).alias("day"), "a", "b")
     run = lambda with_states: folds.runner(_match_rows, {"match": {"fights": 0.0}}, MATCH_SCHEMA, with_states)
-    found = folds.fold_rows(cut(rows), ("match",), run, "system string, place long, contestant long, taken boolean", None, one_task, False)[0]
+    found = folds.fold_rows(cut(rows), ("match",), run, "system string, place long, contestant long, taken boolean", None, bound, False)[0]
     return placed.join(found.where("taken").select(F.col("place").alias("_place")), "_place").select(*back)
 
 
