@@ -51,6 +51,8 @@ TIERS = tuple(UNIFIED["tier"])
 CHUNK, MAX_TASK_CONTESTS = 1 << 16, 4_000_000
 #: Bytes of contests in a pack before its columns are chosen, beyond which the next begins; rows of a pack that a fold gives.
 BYTES, PACK = 1 << 26, 1 << 13
+#: Packs of a file, so that files are small beside what a task reads.
+PACKS_A_FILE = 64
 #: Contests of a task that opens packs, and of a bin of small components.
 OPENED, BIN = 1 << 18, 1 << 21
 FIRST_DAY = "1900-01-01"
@@ -528,6 +530,7 @@ def runs(*columns: list) -> Iterator[tuple[int, int]]:
 
 
 BUNDLE = "system string, bin int, task int, number long, rows binary"
+PACKS = "task int, number long, system string, kept boolean, rows binary"
 
 
 def bundled(prepare: Callable[[pa.Table], pa.Table], reads: dict[str, list[str] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -649,19 +652,42 @@ def largest_component(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "component").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("n"))
 
 
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's pairs: each contestant beside the smallest that it is tied to in the task, itself left out; far fewer rows than pairs, with the same components."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if x is not None and y is not None:
+                p, q = up.setdefault(x, x), up.setdefault(y, y)
+                if p != q:
+                    p, q = top(x), top(y)
+                    up[x] = up[y] = up[max(p, q)] = min(p, q)
+    found = [(x, top(x)) for x in up if up[x] != x]
+    for at in range(0, len(found), CHUNK):
+        u, v = zip(*found[at : at + CHUNK], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def labelled(rows: DataFrame) -> DataFrame:
-    label = components(rows.select("a", "b"), "a", "b")
+    label = components(row_batches(rows.select("a", "b")).mapInArrow(met, "u long, v long"))
     return rows.join(label.select(F.col("node").alias("a"), "component"), "a")
 
 
 def packed(run: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What ``run`` gives, as rows (task, number, system, rows) of up to ``PACK`` rows in Arrow's stream format."""
+    """What ``run`` gives, as ``PACKS`` of up to ``PACK`` rows in Arrow's stream format; ``kept`` are those of states."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for system, batch in run(batches):
+            kept = "state" in batch.schema.names and batch.column("state").null_count < batch.num_rows
             for start in range(0, batch.num_rows, PACK):
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([number], pa.int64()), pa.array([system]), pa.array([written(batch.slice(start, PACK))], pa.binary())], ["task", "number", "system", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([number], pa.int64()), pa.array([system]), pa.array([kept]), pa.array([written(batch.slice(start, PACK))], pa.binary())], ["task", "number", "system", "kept", "rows"])
                 number += 1
 
     return go
@@ -693,29 +719,17 @@ def folded(dealt: DataFrame, run: Callable, shape: str, contests: int, finish: C
     """The rows of ``run`` over dealt contests, opened by as many tasks as a shuffle has, by more where these would get over ``OPENED`` of the ``contests`` (times systems)."""
     dealt = row_batches(dealt)
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contests // OPENED))
-    return dealt.mapInArrow(packed(run), "task int, number long, system string, rows binary").repartition(parts, "task", "number").mapInArrow(unpacked(finish), shape)
+    return dealt.mapInArrow(packed(run), PACKS).repartition(parts, "task", "number").mapInArrow(unpacked(finish), shape)
 
 
-def sliced(rows: DataFrame, bound: int, depth: int = 0) -> DataFrame:
-    """``rows`` with ``slice`` (a number that grows with the order) and ``component``, which is one of the slice alone and has at most ``bound`` contests.
+def sliced(rows: DataFrame, bound: int, start: int = 0) -> DataFrame:
+    """``rows`` with ``component`` and ``slice``, a number from ``start`` that grows with the order inside a component, of which a slice has at most ``bound`` contests.
 
-    The whole order is halved ``depth`` times, and again and again where a component is too large. Only the halves that are too large are looked at again, of which there are fewer
-    than contests divided by ``bound``.
+    Components do not matter to one another, so each is cut on its own, and there are no more slices than the largest needs.
     """
-    ordered = cut(analytics.running_total(rows.withColumn("_one", F.lit(1)), [], ["day", "seq", "contest_id"], "_one", "_upto").withColumn("_place", F.col("_upto") - 1).drop("_one", "_upto"))
-    total, done, rest = ordered.count(), None, ordered
-    while True:
-        half = rest.withColumn("_half", F.floor(F.col("_place") * F.lit(2**depth) / F.lit(total)).cast("long"))
-        node = lambda c: F.struct(F.col("_half").alias("half"), F.col(c).alias("who"))
-        label = components(half.select(node("a").alias("x"), node("b").alias("y")), "x", "y").select(F.col("node.half").alias("_half"), F.col("node.who").alias("a"), F.col("component.who").alias("component"))
-        named = cut(half.join(label, ["_half", "a"]))
-        large = largest_component(named, "_half").where(F.col("n") > bound).select("_half")
-        fine = named.join(F.broadcast(large), "_half", "left_anti").withColumn("slice", F.col("_half") / F.lit(2.0**depth)).drop("_half", "_place")
-        done = fine if done is None else done.unionByName(fine)
-        rest = cut(named.join(F.broadcast(large), "_half", "left_semi").drop("_half", "component"))
-        if rest.isEmpty():
-            return stored(done, "slice")
-        depth += 1
+    whole = rows if "component" in rows.columns else labelled(rows)
+    placed = analytics.running_total(whole.withColumn("_one", F.lit(1)), ["component"], ["day", "seq", "contest_id"], "_one", "_upto")
+    return stored(placed.withColumn("slice", F.floor((F.col("_upto") - 1) / bound).cast("long") + start).drop("_one", "_upto"), "slice")
 
 
 def fold(log: DataFrame, systems: tuple[str, ...] = tuple(SYSTEMS), compat: bool = True, bound: int = MAX_TASK_CONTESTS) -> DataFrame:
@@ -752,14 +766,16 @@ def fold_rows(
             return made.drop("state"), None
         made = cut(made)
         return made.where("state is null").drop("state"), _replaced(states, made)
-    parts = sliced(rows, bound, (-(-found["n"] // bound) - 1).bit_length())  # fewer halvings leave more contests than the bound, unless they fall apart
+    parts = sliced(whole, bound)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/fold-{uuid.uuid4().hex}"
+    opened = lambda path, kept: spark.read.parquet(path).where(F.col("kept") == kept).select("system", "rows").mapInArrow(unpacked(finish), shape)
     for number, size in enumerate(sizes(parts, "slice").orderBy("slice").collect()):
-        made = folded(_dealt(parts.where(F.col("slice") == size["slice"]).drop("slice"), systems, states, size, prepare, reads), run(True), shape, len(systems) * size["total"], finish)
-        made.write.parquet(f"{folder}/slice={number}")
-        states = cut(_replaced(states, spark.read.parquet(f"{folder}/slice={number}")))
-    return spark.read.parquet(folder).where("state is null").select(*names), states
+        dealt = row_batches(_dealt(parts.where(F.col("slice") == size["slice"]).drop("slice"), systems, states, size, prepare, reads))
+        # The packs stay closed here: who reads the result opens those of all slices at once, while a slice waits for its largest component.
+        dealt.mapInArrow(packed(run(True)), PACKS).write.option("maxRecordsPerFile", PACKS_A_FILE).parquet(f"{folder}/slice={number}")
+        states = cut(_replaced(states, opened(f"{folder}/slice={number}", True)))
+    return opened(folder, False).select(*names), states
 
 
 def _replaced(states: DataFrame | None, made: DataFrame) -> DataFrame:
