@@ -41,12 +41,17 @@ def rolling_peak(series: DataFrame, who: str, value: str, order: tuple[str, ...]
 
 
 def window_peak(series: DataFrame, who: str, value: str, day: str, days: int = 365, gap: int = 180, block: int = BLOCK) -> DataFrame:
-    """Best mean over a forward window of ``days`` from each point (one a day); points that follow a longer gap than ``gap`` count only as a start.
+    """Best mean over a forward window of ``days`` from each point (one a day); points that follow a longer gap than ``gap`` count only as a start."""
+    dealt, w = in_blocks(series.select(who, value, F.unix_date(day).alias("_d")), [who], ["_d"], 1, block)
+    marked = dealt.withColumn("_late", F.coalesce(F.col("_d") - F.lag("_d").over(w) > gap, F.lit(False))).where("_own")
+    return ahead_peak(marked, who, value, days)
+
+
+def ahead_peak(marked: DataFrame, who: str, value: str, days: int = 365) -> DataFrame:
+    """``window_peak`` of points with their day as a number (``_d``), and whether they follow a long gap (``_late``).
 
     Points are dealt in stretches of several windows' days; those that an earlier stretch's windows reach stand in that one too.
     """
-    dealt, w = in_blocks(series.select(who, value, F.unix_date(day).alias("_d")), [who], ["_d"], 1, block)
-    marked = dealt.withColumn("_late", F.coalesce(F.col("_d") - F.lag("_d").over(w) > gap, F.lit(False))).where("_own")
     long = 8 * (days + 1)
     own, reached = F.floor(F.col("_d") / long), F.floor((F.col("_d") - days) / long)
     marked = marked.withColumn("_stretch", F.explode(F.array_distinct(F.array(own, reached)))).withColumn("_start", F.col("_stretch") == own)

@@ -110,8 +110,9 @@ def latest_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 def final_snapshots(history: DataFrame, final_day: Column) -> DataFrame:
     """``history`` and, for every contestant and system without a row on the final day, the last state as of that day."""
-    last = latest_per_group(history, ["system", "contestant"], [F.col("day")]).withColumn("day", final_day)
-    missing = last.join(history.select("system", "contestant", "day"), ["system", "contestant", "day"], "left_anti")
+    rest = [c for c in history.columns if c not in ("system", "contestant")]
+    last = history.groupBy("system", "contestant").agg(F.max_by(F.struct(*rest), F.struct("day")).alias("_s"), F.coalesce(F.bool_or(F.col("day") == final_day), F.lit(False)).alias("_there"))
+    missing = last.where("not _there").select("system", "contestant", "_s.*").withColumn("day", final_day)
     return history.unionByName(missing)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..session import cut
+from ..session import cut, stored
 from . import analytics, folds, joins
 
 # Fixed values of the composite: each pillar's share, and the weights of its attributes.
@@ -48,6 +48,7 @@ def schedule(deltas: DataFrame, compat: bool = True) -> DataFrame:
     met = other.where("r > 0").join(own, ["contest_id", "contestant"])
     if not compat:
         met = met.withColumns({"e": F.col("own_e"), "change": F.col("own_change")})
+    met = stored(met.select("contestant", "result", "r", "e", "change"))
     won = F.col("result") == "W"
     means = met.groupBy("contestant").agg(
         F.avg("r").alias("opponent_rating"), F.coalesce(F.avg(F.when(won, F.col("r"))), F.lit(0.0)).alias("beaten_rating"), F.count_if(won & (F.col("e") < UPSET)).alias("upset_wins"),
@@ -57,6 +58,20 @@ def schedule(deltas: DataFrame, compat: bool = True) -> DataFrame:
     return means.join(wins, "contestant", "left")
 
 
+def line_shape(line: DataFrame, elite: float) -> DataFrame:
+    """(contestant, peak_three, area, elite_days, peak_year) of lines (contestant, day, v) of more than one point: ``analytics.rolling_peak``, ``capped_area`` and ``window_peak`` from one numbering of the points."""
+    dealt, w = analytics.in_blocks(line, ["contestant"], ["day"], 2)
+    before, gap = F.lag("v").over(w), F.datediff("day", F.lag("day").over(w))
+    mean = F.when(F.col("_n") >= 3, F.avg("v").over(w.rowsBetween(-2, 0)))
+    points = stored(dealt.withColumns({"_m": mean, "_gap": gap, "_before": before}).where("_own").select("contestant", "v", F.unix_date("day").alias("_d"), "_m", "_gap", "_before"))
+    days, middle = F.least("_gap", F.lit(180)), (F.col("v") + F.col("_before")) / 2
+    area, high = days * F.greatest(F.lit(0.0), middle - BASE), F.when(middle >= elite, days).otherwise(0)
+    shape = points.groupBy("contestant").agg(
+        F.count("*").alias("_points"), F.coalesce(F.max("_m"), F.avg("v")).alias("peak_three"), F.coalesce(F.sum(area), F.lit(0.0)).alias("area"), F.coalesce(F.sum(high), F.lit(0)).alias("elite_days"))
+    year = analytics.ahead_peak(points.select("contestant", "v", "_d", F.coalesce(F.col("_gap") > 180, F.lit(False)).alias("_late")), "contestant", "v")
+    return shape.where("_points > 1").drop("_points").join(year.withColumnRenamed("peak", "peak_year"), "contestant", "left")
+
+
 def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: bool = True) -> DataFrame:
     """One row per contestant with at least ``min_fights`` contests and a win: attributes, raw score and z of every pillar, ``score``, and further facts (``FACTS``).
 
@@ -71,19 +86,17 @@ def profiles(sides: DataFrame, deltas: DataFrame, min_fights: int = 8, compat: b
         F.coalesce(F.count_if(won & F.col("title")) / F.nullif(F.count_if("title"), F.lit(0)), F.lit(0.0)).alias("title_win_rate"),
         F.count_if("title").alias("title_fights"), F.count_if(won & F.col("title")).alias("title_wins"), F.greatest(F.lit(0), F.count_if(won & F.col("title")) - 1).alias("defenses"),
         (F.datediff(F.max("day"), F.min("day")) / 365.25).alias("span_years"), F.avg(ps).alias("performance"), F.avg(F.greatest(F.lit(0.0), ps - 0.5)).alias("quality_of_win"))
-    deltas = cut(deltas)
-    history = cut(deltas.groupBy("system", "contestant", "day").agg(F.max_by("post_rating", folds.order_of(deltas)).alias("rating")))
+    primary = lambda c: F.when(F.col("system") == "unified", F.col(c)).alias(c)
+    order = [c for c in ("seq", "contest_id") if c in deltas.columns]
+    deltas = stored(deltas.select("system", "contestant", "day", *order, "post_rating", *map(primary, ("opponent", "pre_rating", "expected"))))
+    history = stored(deltas.groupBy("system", "contestant", "day").agg(F.max_by("post_rating", F.struct(*order)).alias("rating")))
     peaks = history.groupBy("contestant").pivot("system", ["unified", "factor", "elo", "glicko"]).agg(F.max("rating"))
     peaks = peaks.select("contestant", *[F.col(s).alias(f"peak_{s}") for s in ("unified", "factor", "elo", "glicko")])
     line = history.where("system = 'unified'")
     if compat:
         line = joins.final_snapshots(line, F.lit(sides.agg(F.max("day")).first()[0]))
-    line = cut(line.select("contestant", "day", F.col("rating").alias("v")))
-    points = line.groupBy("contestant").agg(F.count("*").alias("points"))
     elite = analytics.nearest_rank(peaks.where(F.col("peak_unified") > BASE), "peak_unified", *ELITE).first()[0]
-    shape = points.where("points > 1").select("contestant")
-    for part in (analytics.rolling_peak(line, "contestant", "v", ("day",)).withColumnRenamed("peak", "peak_three"), analytics.window_peak(line, "contestant", "v", "day").withColumnRenamed("peak", "peak_year"), analytics.capped_area(line, "contestant", "v", "day", BASE, 180, elite)):
-        shape = shape.join(part, "contestant", "left")
+    shape = line_shape(line.select("contestant", "day", F.col("rating").alias("v")), elite)
     unified = deltas.where("system = 'unified'").join(mma.select("contest_id", "contestant", "result"), ["contest_id", "contestant"])
     parts = [career, peaks, shape, schedule(unified, compat), analytics.longest_streak(mma).withColumnRenamed("longest", "streak")]
     whole = parts[0].where((F.col("fights") >= min_fights) & (F.col("wins") > 0))
