@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..session import cut
-from . import folds
+from . import folds, pools
 
 # Fixed values of the stacking fit, and of the neutral contest of the expected win rates.
 RATE, RIDGE, ROUNDS, MIN_SAMPLES = 0.05, 1e-3, 1500, 20
@@ -17,8 +20,10 @@ NEUTRAL_DAYS, MAX_DOUBT, DOUBT_SCALE = 120.0, 0.49, 800.0
 MAX_LOGIT = float(np.log((1 - 1e-6) / 1e-6))
 #: The reference pool is a fixed number of contestants, so broadcasting it is safe at any size.
 POOL = 300
-#: Labelled contests that the fit takes at most, chosen by a hash of the contest: 14 doubles each are brought together.
+#: Labelled contests that are brought together for the fit (14 doubles each); the sums over more of them are made where they lie.
 MAX_SAMPLES = 200_000
+#: Steps of a stretch of the fit whose slopes are computed, those of them whose curvature is too, sweeps over a stretch, and how far slopes may lie from computed ones at these steps and between them.
+NODES, BENDS, SWEEPS, MISS, BETWEEN = 16, 4, 12, 1e-13, 1e-11
 SYSTEMS = ("elo", "glicko", "factor")
 
 
@@ -64,17 +69,108 @@ def design(log: DataFrame, mma_sides: DataFrame, deltas: DataFrame, compat: bool
     return rows.select("contest_id", x.alias("x"), F.when(c("outcome") == "W", 1.0).otherwise(0.0).alias("won"), (sum(c(s) for s in SYSTEMS) / 3).alias("mean"))
 
 
+def summed(x: np.ndarray, y: np.ndarray, slopes_at: np.ndarray, bends_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the loss' gradients at weights (rows of ``slopes_at``) and of its second derivatives (at ``bends_at``), without the penalty."""
+    with np.errstate(over="ignore"):
+        p, q = (1 / (1 + np.exp(-(x @ w.T))) for w in (slopes_at, bends_at))
+    return (p - y[:, None]).T @ x, np.stack([(x * v[:, None]).T @ x for v in (q * (1 - q)).T])
+
+
+def packed(samples: DataFrame) -> DataFrame:
+    """Batches of samples as one value each (``terms`` columns of x and the label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([pools.matrix(pa.Table.from_batches([b]), "x"), b.column("won").to_numpy(zero_copy_only=False)])
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1] - 1], pa.int32()), pa.array([pools.pack(x.T)], pa.binary())], ["terms", "rows"])
+
+    return cut(samples.select("x", "won").mapInArrow(run, "terms int, rows binary"))
+
+
+def sums_over(packs: DataFrame) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """``summed`` over all packs: a task adds up its own, and gives one row."""
+
+    def over(slopes_at: np.ndarray, bends_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for terms, rows in zip(b.column("terms").to_pylist(), b.column("rows"), strict=True):
+                    x = unpacked(rows.as_py(), terms + 1)
+                    found = np.concatenate([v.reshape(-1) for v in summed(x[:, :-1], x[:, -1], slopes_at, bends_at)])
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pools.lists(total[None, :])], ["sums"])
+
+        total = sum(np.array(r["sums"], float) for r in packs.mapInArrow(run, "sums array<double>").collect())
+        (k, size), m = slopes_at.shape, len(bends_at)
+        return total[: k * size].reshape(k, size), total[k * size :].reshape(m, size, size)
+
+    return over
+
+
+def unpacked(rows: bytes, columns: int) -> np.ndarray:
+    return np.ascontiguousarray(pools.unpack(rows, "f8").reshape(columns, -1).T)
+
+
+def line_through(at: np.ndarray, length: int) -> np.ndarray:
+    """Matrix from values at the steps ``at`` to those of their polynomial at each of ``length`` steps."""
+    t = np.arange(length) / max(length - 1, 1)
+    return np.stack([np.prod((t[:, None] - np.delete(t[at], j)) / (t[at[j]] - np.delete(t[at], j)), axis=1) for j in range(len(at))], axis=1)
+
+
+def spread(length: int, most: int) -> np.ndarray:
+    """At most ``most`` of ``length`` steps, denser towards both ends as interpolation wants them."""
+    return np.arange(length) if length <= most else np.unique(np.rint((1 - np.cos(np.pi * np.arange(most) / (most - 1))) / 2 * (length - 1)).astype(int))
+
+
+def descended(sums: Callable, n: int, size: int, rounds: int) -> np.ndarray:
+    """The weights of ``rounds`` gradient steps from 0, with few passes over the rows.
+
+    Slopes change smoothly from step to step. So of a stretch of steps those at ``NODES`` are computed in one pass, along a guessed path; those between lie on the polynomial through them. The path is
+    stepped anew with these slopes, corrected by the curvature, until slopes computed along it are those it was stepped with. A stretch of at most ``NODES`` steps has nothing between; a longer one is
+    halved where slopes computed between nodes are not on the polynomial, so the steps taken are those of the plain loop.
+    """
+    ridge = np.diag(np.concatenate([[0.0], np.full(size - 1, RIDGE)]))
+    w, done, length = np.zeros(size), 0, NODES
+    while done < rounds:
+        length = min(length, rounds - done)
+        at = spread(length, NODES)
+        bent = at[spread(len(at), BENDS)]
+        free = np.setdiff1d(np.arange(length), at)
+        probes = free[np.unique(np.linspace(0, len(free) - 1, 3).astype(int))] if len(free) else free
+        through, bending = line_through(at, length), line_through(bent, length)
+        path, used, good = np.repeat(w[None], length, 0), None, False
+        for _ in range(SWEEPS if len(free) else NODES + 2):
+            slopes, bends = sums(path[np.concatenate([at, probes])], path[bent])
+            slopes, bends = slopes / n + path[np.concatenate([at, probes])] @ ridge, bends / n + ridge
+            base = through @ slopes[: len(at)]
+            if used is not None and np.abs(used[at] - slopes[: len(at)]).max() <= MISS:
+                good = np.abs(base[probes] - slopes[len(at) :]).max(initial=0.0) <= BETWEEN
+                break
+            bend, steps, used = np.tensordot(bending, bends, 1), [w], np.empty_like(path)
+            for i in range(length):
+                used[i] = base[i] + bend[i] @ (steps[i] - path[i])
+                steps.append(steps[i] - RATE * used[i])
+            path, end = np.array(steps[:-1]), steps[-1]
+        if good or not len(free):
+            w, done, length = end, done + length, 2 * length
+        else:
+            length //= 2
+    return w
+
+
 def fit(samples: DataFrame, rounds: int = ROUNDS, max_samples: int = MAX_SAMPLES) -> np.ndarray | None:
-    """Weights after a fixed number of gradient steps (the fit is not run to convergence). Null with too few samples.
+    """Weights after a fixed number of gradient steps on all samples (the fit is not run to convergence). Null with too few samples.
 
-    Up to ``max_samples`` labelled contests are fitted, all of them if there are no more; beyond, a share by the hash of the contest. The rows are brought together in
-    the order of the contests, so sums do not depend on how they were dealt.
+    Up to ``max_samples`` labelled contests are brought together, in the order of the contests, so that sums do not depend on how they were dealt. More of them stay where they are, and tasks add up their own.
     """
     n = samples.count()
     if n < MIN_SAMPLES:
         return None
     if n > max_samples:
-        samples = samples.where(F.pmod(F.xxhash64("contest_id"), F.lit(1 << 20)) < int((1 << 20) * max_samples / n))
+        packs = packed(samples)
+        return descended(sums_over(packs), n, packs.first()["terms"], rounds)
     rows = samples.select("contest_id", "x", "won").toPandas().sort_values("contest_id")
     x, y = np.stack(rows["x"].to_numpy()).astype(np.float64), rows["won"].to_numpy(np.float64)
     w = np.zeros(x.shape[1])
