@@ -1,10 +1,14 @@
 """The stacking fit takes every labelled contest, however many are brought together."""
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from ringledger.operators import stacking
+from ringledger.operators import folds, stacking
+from ringledger.plans.contest import contests, sides
+from ringledger.session import cut
 
 
 def plain(x, y, rounds):
@@ -25,3 +29,14 @@ def test_a_fit_beyond_the_bound_takes_all_samples(spark, scale, rounds):
     found = stacking.fit(samples, rounds=rounds, max_samples=100)
     assert found == pytest.approx(plain(x, y, rounds), abs=1e-9)
     assert stacking.fit(samples, rounds=rounds) == pytest.approx(found, abs=1e-9)
+
+
+def test_win_rates_beyond_the_bound_are_those_of_all_samples(spark, monkeypatch):
+    log = cut(contests(spark, "/root/testdata/sf0.001"))
+    mma, deltas = sides(log.where("sport = 'mma'")), cut(folds.fold(log, ("elo", "glicko", "factor")))
+    rates = lambda: {r["contestant"]: (r["win_rate"], r["adjusted"]) for r in stacking.win_rates(log, mma, deltas, folds.latest(deltas)).collect()}
+    whole = rates()
+    monkeypatch.setattr(stacking, "fit", partial(stacking.fit, max_samples=50))
+    few = rates()
+    assert few.keys() == whole.keys() and len(whole) > 1
+    assert all(few[k] == pytest.approx(v, abs=1e-9) for k, v in whole.items())
