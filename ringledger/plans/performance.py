@@ -354,16 +354,16 @@ def attribute_rules(spark, d):
     return found.select("contest_id", "organisation", "r.*")
 
 
-def attribute_deltas(spark: SparkSession, d: str) -> DataFrame:
+def attribute_deltas(spark: SparkSession, d: str, columns: tuple[str, ...] = attribute_fold.COLUMNS, by_day: bool = False) -> DataFrame:
     log = cut(contests(spark, d))  # read for rounds, totals and the fold
-    return attribute_fold.fold(log, features_of(log))
+    return attribute_fold.fold(log, features_of(log), columns=columns, by_day=by_day)
 
 
 @query()
 def attribute_ratings(spark, d):
     """The overall before and after every contest, and the sum of the stats' changes."""
-    found = attribute_deltas(spark, d)
-    return found.select("contest_id", "contestant", F.round("pre_overall", 2).alias("pre_overall"), F.round("post_overall", 2).alias("post_overall"), F.round(F.aggregate("changes", F.lit(0.0), lambda s, x: s + x), 3).alias("change"), "fights")
+    found = attribute_deltas(spark, d, ("contest_id", "contestant", "pre_overall", "post_overall", "change", "fights"))
+    return found.select("contest_id", "contestant", F.round("pre_overall", 2).alias("pre_overall"), F.round("post_overall", 2).alias("post_overall"), F.round("change", 3).alias("change"), "fights")
 
 
 @query()
