@@ -369,7 +369,7 @@ def attribute_ratings(spark, d):
 @query()
 def attribute_snapshots(spark, d):
     """Stats, buckets and the overall of every contestant after each day."""
-    return attribute_fold.snapshots(attribute_deltas(spark, d)).drop("stats", "perk_scores", "perk_active", "perk_above", "perk_below").withColumn("day", F.col("day").cast("string"))
+    return attribute_fold.scored(attribute_deltas(spark, d, attribute_fold.OF_DAY, by_day=True)).drop("stats", "perk_scores", "perk_active", "perk_above", "perk_below").withColumn("day", F.col("day").cast("string"))
 
 
 @query()
