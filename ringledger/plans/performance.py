@@ -374,4 +374,5 @@ def attribute_snapshots(spark, d):
 
 @query()
 def attribute_perks(spark, d):
-    return attribute_fold.perk_rows(attribute_fold.snapshots(attribute_deltas(spark, d))).withColumn("day", F.col("day").cast("string"))
+    last = attribute_deltas(spark, d, ("contestant", "day", "perk_scores", "perk_active", "perk_above", "perk_below"), by_day=True)
+    return attribute_fold.perk_rows(last).withColumn("day", F.col("day").cast("string"))
